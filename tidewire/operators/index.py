@@ -51,3 +51,26 @@ def first_seen_ids(df: DataFrame, node: str, seq: str = "seq", name: str = "node
     """Dense numbers of the nodes in the order they first appear."""
     first = df.groupBy(node).agg(F.min(seq).alias("first_seq"))
     return row_index(first, ["first_seq", node], name=name)
+
+
+def running_totals(
+    df: DataFrame, columns: Sequence[str], order: Sequence, *, stream: Sequence[str] = (), suffix: str = "_upto"
+) -> DataFrame:
+    """Running sums (including the row) per stream in ``order``, balanced over tasks whatever the skew.
+
+    ``order`` must be unique within a stream: rows are range partitioned, summed inside each partition and
+    shifted by the totals of the partitions before. ``order`` may hold columns such as ``F.desc('x')``.
+    """
+    stream = list(stream)
+    keys = [*stream, *order]
+    placed = cut(df.repartitionByRange(*keys)).withColumn("_part", F.spark_partition_id())
+    totals = placed.groupBy(*stream, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    before = Window.partitionBy(*stream).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(
+        *stream, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns]
+    )
+    inside = Window.partitionBy(*stream, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(c).over(inside).alias(f"_s_{c}") for c in columns])
+    return summed.join(shifts, on=[*stream, "_part"]).select(
+        *df.columns, *[(F.col(f"_s_{c}") + F.col(f"_b_{c}")).alias(f"{c}{suffix}") for c in columns]
+    )

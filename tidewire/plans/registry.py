@@ -70,7 +70,7 @@ def stat_digits(column: str) -> int:
 STAT_DIGITS = {
     "_weight": 6,
     "_mean": 5,
-    "_std": 4,
+    "_std": 3,
     "_magnitude": 5,
     "_radius": 3,
     "_covariance": 4,

@@ -48,7 +48,7 @@ def single_columns(alias: str, name: str) -> list[str]:
         out += [
             r(f"{alias}.w_{tag}", f"{name}_{tag}_weight", 6),
             r(f"{alias}.m_{tag}", f"{name}_{tag}_mean", 5),
-            r(f"sqrt({alias}.q_{tag})", f"{name}_{tag}_std", 4),
+            r(f"sqrt({alias}.q_{tag})", f"{name}_{tag}_std", 3),
         ]
     return out
 
