@@ -13,36 +13,24 @@ def ks_distance(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def ks_p_value(d: float, n: int, m: int) -> float:
-    """Exact P(D >= d): one minus the share of lattice paths that stay closer than ``d`` to the diagonal."""
+    """Exact P(D >= d): one minus the share of lattice paths that stay closer than ``d`` to the diagonal.
+
+    Paths are counted row by row of the shorter sample; a row is a running sum inside the band, and the
+    factor ``i / (i + m)`` per row turns the counts into shares at the end.
+    """
     if n > m:
         n, m = m, n
     if d <= 0:
         return 1.0
-    limit = d - 1e-12
+    limit = d - 1e-9
     columns = np.arange(m + 1) / m
-    # inside[j]: share of paths to (i, j) that never left the band, built up row by row.
     inside = (columns < limit).astype(float)
     for i in range(1, n + 1):
         band = np.abs(i / n - columns) < limit
-        weight = i / (i + np.arange(m + 1))
-        scaled = np.where(band, inside * weight, 0.0)
-        # share(i, j) = i/(i+j) * share(i-1, j) + j/(i+j) * share(i, j-1)
-        inside = _along(scaled, 1.0 - weight, band)
+        inside = np.cumsum(np.where(band, inside, 0.0)) * band * (i / (i + m))
     return float(min(1.0, max(0.0, 1.0 - inside[m])))
 
 
-def _along(add: np.ndarray, keep: np.ndarray, band: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(add)
-    hit = np.flatnonzero(band)
-    if len(hit) == 0:
-        return out
-    carried = 0.0
-    for j in range(hit[0], hit[-1] + 1):
-        carried = add[j] + keep[j] * carried
-        out[j] = carried
-    return out
-
-
 def ks_min_p_value(x: np.ndarray, y: np.ndarray) -> float:
     """Smallest p-value over the columns of two row samples."""
     return min(ks_p_value(ks_distance(x[:, c], y[:, c]), len(x), len(y)) for c in range(x.shape[1]))

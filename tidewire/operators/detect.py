@@ -140,6 +140,8 @@ def adaptive_threshold(
         order=[batch, row],
         chunk="_chunk",
         guess=guess,
+        pack=lambda state: (state.batches, np.array(state.scores)),
+        unpack=lambda plain: Queue(plain[0], deque(plain[1].tolist(), maxlen=queue)),
     )
     return result if stream else result.drop("_all")
 
@@ -242,7 +244,7 @@ def one_class_svm(
         share, pull = float(row[0]), np.array(row[1:], dtype=float)
         step = rate / np.sqrt(i)
         w = w - step * (nu * w - pull)
-        rho = rho - step * (share - nu)
+        rho = float(rho - step * (share - nu))
     return w, rho
 
 

@@ -137,6 +137,11 @@ def concept_drift(
                 out.append((name, at, *original, *scaled, concept, malicious, len(state.samples)))
         return state, pd.DataFrame(out, columns=schema.fieldNames())
 
+    def resume(plain: dict) -> Concepts:
+        state = Concepts(min_rows, max_rows)
+        vars(state).update(plain)
+        return state
+
     numbered = rows.select(entity, order, *features, F.floor(F.col(order) / F.lit(chunk_rows)).alias("_at"))
     # Pieces without rows are skipped: number the ones that exist.
     present = numbered.select(entity, "_at").distinct()
@@ -150,6 +155,8 @@ def concept_drift(
         chunk="_chunk",
         guess=lambda _: Concepts(min_rows, max_rows),
         speculate=False,
+        pack=vars,
+        unpack=resume,
     )
 
 
@@ -174,11 +181,11 @@ def scored_graph(decided: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 class ScoreLevels:
     """Queues of batch medians below and above the threshold."""
 
-    def __init__(self, patience: int):
-        self.usual: deque = deque(maxlen=patience)
-        self.potential: deque = deque(maxlen=patience)
-        self.since = 0
-        self.models = 1
+    def __init__(self, patience: int, usual=(), potential=(), since: int = 0, models: int = 1):
+        self.usual: deque = deque((float(x) for x in usual), maxlen=patience)
+        self.potential: deque = deque((float(x) for x in potential), maxlen=patience)
+        self.since = since
+        self.models = models
 
 
 def drift_levels(
@@ -246,6 +253,8 @@ def drift_levels(
         order=[batch],
         chunk="_chunk",
         guess=lambda _: ScoreLevels(patience),
+        pack=lambda state: (np.array(state.usual), np.array(state.potential), state.since, state.models),
+        unpack=lambda plain: ScoreLevels(patience, *plain),
     )
     return result if stream else result.drop("_all")
 

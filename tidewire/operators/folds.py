@@ -23,6 +23,8 @@ def chunked_fold(
     chunk: str,
     guess: Callable[[int], object],
     speculate: bool = True,
+    pack: Callable[[object], object] = lambda state: state,
+    unpack: Callable[[object], object] = lambda plain: plain,
 ) -> DataFrame:
     """Fold ``step(state, rows) -> (state, output)`` over each stream, exactly as if done in one go.
 
@@ -32,20 +34,23 @@ def chunked_fold(
     as a bounded queue, settles after a round or two. Without ``speculate`` the pieces of a stream run one
     round after the other, all streams side by side.
 
-    States are stored as bytes in a checkpointed table of one row per piece.
+    States are stored as bytes in a checkpointed table of one row per piece; ``pack`` turns a state into
+    plain values (numbers, arrays, containers) and ``unpack`` back.
     """
     stream = list(stream)
     keys = [*stream, chunk]
+    # Folds cost time, not bytes: keep the configured parallelism where sizes alone would merge tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = out_schema.fieldNames()
 
     def run(left: pd.DataFrame, right: pd.DataFrame, *, emit: bool) -> pd.DataFrame:
         if len(right) == 0 or len(left) == 0:
             return pd.DataFrame({c: [] for c in (names if emit else [*keys, "exit"])})
-        state = pickle.loads(right["entry"].iloc[0])
+        state = unpack(pickle.loads(right["entry"].iloc[0]))
         state, out = step(state, left.sort_values(list(order), kind="stable"))
         if emit:
             return out[names]
-        return pd.DataFrame({**{k: [left[k].iloc[0]] for k in keys}, "exit": [pickle.dumps(state, protocol=5)]})
+        return pd.DataFrame({**{k: [left[k].iloc[0]] for k in keys}, "exit": [pickle.dumps(pack(state), protocol=5)]})
 
     key_fields = [rows.schema[k] for k in keys]
     exit_schema = T.StructType([*key_fields, T.StructField("exit", T.BinaryType())])
@@ -56,11 +61,11 @@ def chunked_fold(
         def piece(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return run(left, right, emit=False)
 
-        return wanted.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(piece, exit_schema)
+        return wanted.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(piece, exit_schema)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(entry=[pickle.dumps(guess(int(c)), protocol=5) for c in batch[chunk]])
+            yield batch.assign(entry=[pickle.dumps(pack(guess(int(c))), protocol=5) for c in batch[chunk]])
 
     entry_schema = T.StructType([*key_fields, T.StructField("entry", T.BinaryType())])
     pieces = rows.select(*keys).distinct()
@@ -86,4 +91,4 @@ def chunked_fold(
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return run(left, right, emit=True)
 
-    return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(finish, out_schema)
+    return rows.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(finish, out_schema)
