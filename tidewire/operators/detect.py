@@ -61,12 +61,15 @@ def rolling_threshold(
 
     ``position`` numbers the stream's rows densely and batches hold ``rows_per_batch`` of them. Each row is
     sent to the batches whose queue holds it (about ``queue / rows_per_batch``), so groups have ``queue`` rows
-    whatever the size of the stream.
+    whatever the size of the stream. Rows carried over from before the stream have negative positions and
+    no batch.
     """
     first = F.floor(F.col(position) / F.lit(rows_per_batch)) + 1
     last = F.floor((F.col(position) + queue) / F.lit(rows_per_batch))
-    spread = scores.select(*stream, F.explode(F.sequence(first, last)).alias(batch), "score")
-    known = scores.select(*stream, batch).distinct()
+    spread = scores.where(last >= 0).select(
+        *stream, F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)).alias(batch), "score"
+    )
+    known = scores.select(*stream, batch).where(F.col(batch).isNotNull()).distinct()
     found = spread.groupBy(*stream, batch).agg(F.expr(f"percentile(score, {p!r}D) AS _q"))
     return known.join(found, on=[*stream, batch], how="left").select(
         *stream, batch, F.when(F.col(batch) >= warmup, F.col("_q")).otherwise(F.lit(-1.0)).alias("threshold")

@@ -9,26 +9,26 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.traffic import KEYS, layer_id_sql
 
-HEADER_COLUMNS = (
-    "seq", "t", "frame_len", "eth_src", "eth_dst", "has_ip", "has_ip6", "has_arp", "has_tcp", "has_udp", "has_icmp",
-    "ip_src", "ip_dst", "ip6_src", "ip6_dst", "arp_hwsrc", "arp_hwdst", "arp_psrc", "arp_pdst", "sport", "dport",
-)
-
-
-def traffic_records(headers: DataFrame) -> DataFrame:
+def traffic_records(headers: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Keep IP, IPv6 and ARP packets and choose endpoints by layer precedence.
 
     ARP overrides the hardware addresses, and where there is no port also the IPs; port labels become
-    ``arp``/``icmp`` for packets without ports. ``transport`` is tcp, udp or null.
+    ``arp``/``icmp`` for packets without ports. A packet with no address at all takes its hardware addresses.
+    ``transport`` is tcp, udp or null; ``carry`` columns pass through.
     """
     ported = "(has_tcp OR has_udp)"
     label = "CASE WHEN has_arp THEN 'arp' WHEN has_icmp THEN 'icmp' ELSE '' END"
     by_ip = "CASE WHEN has_ip THEN ip_{0} WHEN has_ip6 THEN ip6_{0} ELSE '' END"
 
     def ip(side: str) -> str:
-        return f"CASE WHEN NOT {ported} AND has_arp THEN arp_p{side} ELSE {by_ip.format(side)} END"
+        nothing = f"NOT {ported} AND NOT has_arp AND NOT has_icmp AND NOT has_ip AND NOT has_ip6"
+        return (
+            f"CASE WHEN NOT {ported} AND has_arp THEN arp_p{side} WHEN {nothing} THEN eth_{side}"
+            f" ELSE {by_ip.format(side)} END"
+        )
 
     return headers.where("has_ip OR has_ip6 OR has_arp").selectExpr(
+        *carry,
         "seq",
         "t",
         "CASE WHEN has_tcp THEN 'TCP' WHEN has_udp THEN 'UDP' WHEN has_arp THEN 'ARP'"

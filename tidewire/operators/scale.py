@@ -14,6 +14,16 @@ from tidewire.operators.index import running_totals
 from tidewire.schema import CONCEPT_MAX_ROWS, SCALE_LIMIT, SCALE_QUANTILES
 
 
+def batch_state(df: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """Sketch, sum and count per feature (``k_``, ``s_``, ``n_`` columns), combined before the shuffle."""
+    parts = [
+        text
+        for f in features
+        for text in (f"{sketch(f, k)} AS k_{f}", f"sum(cast({f} AS double)) AS s_{f}", f"count({f}) AS n_{f}")
+    ]
+    return df.groupBy(*by).agg(*[F.expr(t) for t in parts])
+
+
 def earlier_batches(
     df: DataFrame,
     features: Sequence[str],
@@ -24,18 +34,27 @@ def earlier_batches(
     k: int = SKETCH_K,
     block: int = 256,
     own_first: bool = True,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Quantiles, mean and count of every feature over all batches before each batch.
 
     One sketch per batch (combined before the shuffle); sketches of earlier batches are merged first by
     block of ``block`` batches, then inside the block, so a window holds one row per batch of a block or one
     per block. Columns: ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` the first batch, which has
-    none before it, reads its own quantiles.
+    none before it, reads its own quantiles. ``initial`` is a one-row ``batch_state`` every stream continues
+    from.
     """
     stream = list(stream)
-    sketches = [F.expr(f"{sketch(f, k)} AS k_{f}") for f in features]
-    sums = [a for f in features for a in (F.sum(F.col(f).cast("double")).alias(f"s_{f}"), F.count(f).alias(f"n_{f}"))]
-    per_batch = df.groupBy(*stream, batch).agg(*sketches, *sums).withColumn("_block", F.floor(F.col(batch) / F.lit(block)))
+    per_batch = batch_state(df, features, by=[*stream, batch], k=k)
+    if initial is not None:
+        names = [c for f in features for c in (f"k_{f}", f"s_{f}", f"n_{f}")]
+        start = df.select(*stream).distinct() if stream else df.limit(1).select(F.lit(0).alias("_none"))
+        for name in names:
+            start = start.withColumn(name, initial.select(name).scalar())
+        per_batch = per_batch.unionByName(
+            start.withColumn(batch, F.lit(-1).cast(df.schema[batch].dataType)).select(*per_batch.columns)
+        )
+    per_batch = per_batch.withColumn("_block", F.floor(F.col(batch) / F.lit(block)))
 
     def merged(prefix: str, over: str) -> list[str]:
         return [
@@ -68,6 +87,8 @@ def earlier_batches(
             f"(coalesce(os_{f}, 0D) + coalesce(is_{f}, 0D)) / nullif({n}, 0) AS {f}_mean",
         ]
     found = both.selectExpr(*stream, batch, *out)
+    if initial is not None:
+        found = found.where(F.col(batch) >= 0)
     return found.selectExpr(
         *stream,
         batch,
