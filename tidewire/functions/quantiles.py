@@ -43,6 +43,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
         ).alias("b"),
     ).select(*keys, "b.*")
     packed = brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "rank", "lo", "hi")).alias("_all"))
+    if not group:
+        packed = F.broadcast(packed)  # one row
     v = F.col(value).cast("double")
     counted = (
         rows.join(packed, on=keys)

@@ -142,6 +142,7 @@ def adaptive_threshold(
         stream=keys,
         order=[batch, row],
         chunk="_chunk",
+        initial=lambda: guess(0),
         guess=guess,
         pack=lambda state: (state.batches, np.array(state.scores)),
         unpack=lambda plain: Queue(plain[0], deque(plain[1].tolist(), maxlen=queue)),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,18 +142,14 @@ def concept_drift(
         vars(state).update(plain)
         return state
 
-    numbered = rows.select(entity, order, *features, F.floor(F.col(order) / F.lit(chunk_rows)).alias("_at"))
-    # Pieces without rows are skipped: number the ones that exist.
-    present = numbered.select(entity, "_at").distinct()
-    present = present.withColumn("_chunk", F.row_number().over(Window.partitionBy(entity).orderBy("_at")) - 1)
     return chunked_fold(
-        numbered.join(present, on=[entity, "_at"]).drop("_at"),
+        rows.select(entity, order, *features, F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk")),
         step,
         schema,
         stream=[entity],
         order=[order],
         chunk="_chunk",
-        guess=lambda _: Concepts(min_rows, max_rows),
+        initial=lambda: Concepts(min_rows, max_rows),
         speculate=False,
         pack=vars,
         unpack=resume,
@@ -252,7 +248,7 @@ def drift_levels(
         stream=keys,
         order=[batch],
         chunk="_chunk",
-        guess=lambda _: ScoreLevels(patience),
+        initial=lambda: ScoreLevels(patience),
         pack=lambda state: (np.array(state.usual), np.array(state.potential), state.since, state.models),
         unpack=lambda plain: ScoreLevels(patience, *plain),
     )

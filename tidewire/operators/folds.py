@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,18 +21,20 @@ def chunked_fold(
     stream: Sequence[str],
     order: Sequence[str],
     chunk: str,
-    guess: Callable[[int], object],
+    initial: Callable[[], object],
+    guess: Callable[[int], object] | None = None,
     speculate: bool = True,
     pack: Callable[[object], object] = lambda state: state,
     unpack: Callable[[object], object] = lambda plain: plain,
 ) -> DataFrame:
     """Fold ``step(state, rows) -> (state, output)`` over each stream, exactly as if done in one go.
 
-    ``chunk`` numbers consecutive pieces of a stream from 0 and bounds what one task holds. Speculatively
-    all pieces run at once, each from ``guess(chunk)``; pieces whose real entry state (the exit state of the
-    piece before) turns out different run again, until nothing changes. A state that forgets its start, such
-    as a bounded queue, settles after a round or two. Without ``speculate`` the pieces of a stream run one
-    round after the other, all streams side by side.
+    ``chunk`` numbers pieces of a stream in order (gaps are fine) and bounds what one task holds. A stream's
+    first piece starts from ``initial()``. Speculatively all pieces run at once, the others from
+    ``guess(chunk)``; pieces whose real entry state (the exit state of the piece before) turns out different
+    run again, until nothing changes. A state that forgets its start, such as a bounded queue, settles after
+    a round or two. Without ``speculate`` the pieces of a stream run one round after the other, all streams
+    side by side.
 
     States are stored as bytes in a checkpointed table of one row per piece; ``pack`` turns a state into
     plain values (numbers, arrays, containers) and ``unpack`` back.
@@ -63,30 +65,39 @@ def chunked_fold(
 
         return wanted.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(piece, exit_schema)
 
+    by_stream = Window.partitionBy(*stream).orderBy(chunk)
+    pieces = cut(
+        rows.select(*keys)
+        .distinct()
+        .withColumn("_next", F.lead(chunk).over(by_stream))
+        .withColumn("_first", F.row_number().over(by_stream) == 1)
+    )
+
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(entry=[pickle.dumps(pack(guess(int(c))), protocol=5) for c in batch[chunk]])
+            states = [
+                initial() if first or guess is None else guess(int(c))
+                for first, c in zip(batch["_first"], batch[chunk], strict=True)
+            ]
+            yield batch[keys].assign(entry=[pickle.dumps(pack(state), protocol=5) for state in states])
 
     entry_schema = T.StructType([*key_fields, T.StructField("entry", T.BinaryType())])
-    pieces = rows.select(*keys).distinct()
-    entries = cut(pieces.mapInPandas(start, entry_schema))
-    pending = entries if speculate else entries.where(F.col(chunk) == 0)
-    exits = None
+    begun = pieces if speculate else pieces.where("_first")
+    entries = cut(begun.select(*keys, "_first").mapInPandas(start, entry_schema))
+    pending = entries
+    follows = pieces.where("_next IS NOT NULL").select(*keys, "_next")
     while True:
-        fresh = cut(exits_of(pending))
-        exits = fresh if exits is None else cut(
-            exits.join(fresh.select(*keys), on=keys, how="left_anti").unionByName(fresh)
+        exits = exits_of(pending)
+        changed = cut(
+            exits.join(follows, on=keys).select(*stream, F.col("_next").alias(chunk), F.col("exit").alias("entry"))
         )
-        real = fresh.select(*stream, (F.col(chunk) + 1).alias(chunk), F.col("exit").alias("_real"))
-        changed = entries.join(real, on=keys)
         if speculate:
-            changed = changed.where("entry <> _real")
-        pending = cut(changed.select(*keys, F.col("_real").alias("entry")))
+            known = entries.select(*keys, F.col("entry").alias("_used"))
+            changed = changed.join(known, on=keys).where("entry <> _used").drop("_used")
+        pending = cut(changed)
         if pending.isEmpty():
             break
-        entries = cut(
-            entries.join(pending.select(*keys), on=keys, how="left_anti").unionByName(pending)
-        )
+        entries = cut(entries.join(pending.select(*keys), on=keys, how="left_anti").unionByName(pending))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return run(left, right, emit=True)

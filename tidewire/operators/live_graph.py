@@ -66,13 +66,14 @@ def live_nodes(
 
 
 def edge_versions(
-    changes: DataFrame, features: Sequence[str], *, keep: str = "last", stream: Sequence[str] = ()
+    changes: DataFrame, features: Sequence[str], *, keep: str = "last", stream: Sequence[str] = (), block: int = 65_536
 ) -> DataFrame:
     """The live graph of every batch at once: one row per edge state with its range of batches.
 
     A version is valid from ``from_batch`` up to, not including, ``to_batch`` (null: still valid). Inside a
     batch the last change of an edge decides; ``keep='first'`` takes the features of its first upsert
-    instead. The per-batch reduction runs before the window, which then holds one row per edge and batch.
+    instead. The per-batch reduction runs first; the next change of an edge is then looked up inside blocks of
+    ``block`` batches, and across blocks in a table of one row per edge and block.
     """
     key = [*stream, "src", "dst"]
     order = F.struct("seq", "type")
@@ -82,9 +83,21 @@ def edge_versions(
     per_batch = changes.groupBy(*key, "batch_id").agg(
         F.max_by("type", order).alias("type"), picked.alias("f")
     )
-    ahead = Window.partitionBy(*key).orderBy("batch_id")
+    blocked = per_batch.withColumn("_block", F.floor(F.col("batch_id") / F.lit(block)))
+    inside = Window.partitionBy(*key, "_block").orderBy("batch_id")
+    across = (
+        blocked.groupBy(*key, "_block")
+        .agg(F.min("batch_id").alias("_first"))
+        .withColumn("_later", F.lead("_first").over(Window.partitionBy(*key).orderBy("_block")))
+    )
     return (
-        per_batch.withColumn("to_batch", F.lead("batch_id").over(ahead))
+        blocked.withColumn("_near", F.lead("batch_id").over(inside))
+        .join(across, on=[*key, "_block"])
         .where("type = 1")
-        .select(*key, F.col("batch_id").alias("from_batch"), "to_batch", *[f"f.{f}" for f in features])
+        .select(
+            *key,
+            F.col("batch_id").alias("from_batch"),
+            F.coalesce("_near", "_later").alias("to_batch"),
+            *[f"f.{f}" for f in features],
+        )
     )

@@ -32,15 +32,15 @@ def earlier_batches(
     stream: Sequence[str] = (),
     probs: Sequence[float] = SCALE_QUANTILES,
     k: int = SKETCH_K,
-    block: int = 256,
+    levels: Sequence[int] = (256, 65_536),
     own_first: bool = True,
     initial: DataFrame | None = None,
 ) -> DataFrame:
     """Quantiles, mean and count of every feature over all batches before each batch.
 
-    One sketch per batch (combined before the shuffle); sketches of earlier batches are merged first by
-    block of ``block`` batches, then inside the block, so a window holds one row per batch of a block or one
-    per block. Columns: ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` the first batch, which has
+    One sketch per batch (combined before the shuffle). What came before a batch is the merge of earlier
+    batches in its block, earlier blocks in its block of blocks, and so on; ``levels`` are the block sizes in
+    batches. So a window holds at most a few hundred sketches, and the top one a row per largest block. Columns: ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` the first batch, which has
     none before it, reads its own quantiles. ``initial`` is a one-row ``batch_state`` every stream continues
     from.
     """
@@ -54,9 +54,12 @@ def earlier_batches(
         per_batch = per_batch.unionByName(
             start.withColumn(batch, F.lit(-1).cast(df.schema[batch].dataType)).select(*per_batch.columns)
         )
-    per_batch = per_batch.withColumn("_block", F.floor(F.col(batch) / F.lit(block)))
+    sizes = sorted(levels)
+    per_batch = per_batch.select(
+        "*", *[F.floor(F.col(batch) / F.lit(size)).alias(f"_b{i}") for i, size in enumerate(sizes)]
+    )
 
-    def merged(prefix: str, over: str) -> list[str]:
+    def merged(prefix: str, over: str = "") -> list[str]:
         return [
             text
             for f in features
@@ -67,26 +70,32 @@ def earlier_batches(
             )
         ]
 
-    by = ", ".join(stream)
-    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    stream_part = f"PARTITION BY {by}" if by else "PARTITION BY 1"
-    block_part = f"PARTITION BY {by}, _block" if by else "PARTITION BY _block"
-    blocks = per_batch.groupBy(*stream, "_block").agg(*[F.expr(t) for t in merged("", "")])
-    blocks = blocks.selectExpr(*stream, "_block", *merged("o", f"OVER ({stream_part} ORDER BY _block {before})"))
-    inner = per_batch.selectExpr("*", *merged("i", f"OVER ({block_part} ORDER BY {batch} {before})"))
-    both = inner.join(blocks, on=[*stream, "_block"], how="left")
+    def before(inside: Sequence[str], order: str) -> str:
+        groups = ", ".join([*stream, *inside]) or "1"
+        return f"OVER (PARTITION BY {groups} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    found = per_batch.selectExpr("*", *merged("p0", before(["_b0"], batch)))
+    unit = per_batch
+    for i in range(len(sizes)):
+        ids = [f"_b{j}" for j in range(i, len(sizes))]
+        unit = unit.groupBy(*stream, *ids).agg(*[F.expr(t) for t in merged("")])
+        ahead = unit.selectExpr(*stream, f"_b{i}", *merged(f"p{i + 1}", before(ids[1:2], f"_b{i}")))
+        found = found.join(ahead, on=[*stream, f"_b{i}"], how="left")
+    prefixes = [f"p{i}" for i in range(len(sizes) + 1)]
     out = []
     for f in features:
-        pair = f"kll_sketch_merge_double(ok_{f}, ik_{f})"
-        whole = f"CASE WHEN on_{f} > 0 AND in_{f} > 0 THEN {pair} WHEN on_{f} > 0 THEN ok_{f} WHEN in_{f} > 0 THEN ik_{f}"
-        whole += f" WHEN n_{f} > 0 THEN k_{f} END" if own_first else " END"
-        n = f"coalesce(on_{f}, 0) + coalesce(in_{f}, 0)"
-        out += [
-            f"{whole} AS _w_{f}",
-            f"{n} AS {f}_n",
-            f"(coalesce(os_{f}, 0D) + coalesce(is_{f}, 0D)) / nullif({n}, 0) AS {f}_mean",
-        ]
-    found = both.selectExpr(*stream, batch, *out)
+        whole = "NULL"
+        for p in prefixes:
+            whole = (
+                f"CASE WHEN coalesce({p}n_{f}, 0) = 0 THEN {whole} WHEN {whole} IS NULL THEN {p}k_{f}"
+                f" ELSE kll_sketch_merge_double({whole}, {p}k_{f}) END"
+            ) if whole != "NULL" else f"CASE WHEN {p}n_{f} > 0 THEN {p}k_{f} END"
+        if own_first:
+            whole = f"coalesce({whole}, CASE WHEN n_{f} > 0 THEN k_{f} END)"
+        n = " + ".join(f"coalesce({p}n_{f}, 0)" for p in prefixes)
+        s = " + ".join(f"coalesce({p}s_{f}, 0D)" for p in prefixes)
+        out += [f"{whole} AS _w_{f}", f"{n} AS {f}_n", f"({s}) / nullif({n}, 0) AS {f}_mean"]
+    found = found.selectExpr(*stream, batch, *out)
     if initial is not None:
         found = found.where(F.col(batch) >= 0)
     return found.selectExpr(
@@ -133,7 +142,7 @@ def reference_scale(
         low, centre, high = ("_q0", "_q0", "_q1") if kind == "minmax" else ("_q0", "_q1", "_q2")
         spread = F.col(high) - F.col(low)
         scaled = (F.col(f) - F.col(centre)) / F.when(spread == 0, 1.0).otherwise(spread)
-        rows = rows.join(q, on=keys).withColumn(f, scaled).drop("_q0", "_q1", "_q2")
+        rows = rows.join(q if group else F.broadcast(q), on=keys).withColumn(f, scaled).drop("_q0", "_q1", "_q2")
     return rows.select(*df.columns)
 
 

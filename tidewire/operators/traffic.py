@@ -397,11 +397,8 @@ def expired_links(
         .groupBy(*keys, "session")
         .agg(F.max("seq").alias("seq"), F.max("expires_at").alias("t"))
     )
-    horizon = links.agg(F.max("t").alias("_end"))  # one row, so it can be broadcast
-    return (
-        ends.join(F.broadcast(horizon), F.col("t") <= F.col("_end"))
-        .select("seq", "t", F.lit(0).alias("type"), *keys, "session")
-    )
+    horizon = links.agg(F.max("t")).scalar()
+    return ends.where(F.col("t") <= horizon).select("seq", "t", F.lit(0).alias("type"), *keys, "session")
 
 
 def peek(

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewire.operators.folds import chunked_fold
 
 
 def frequency(df: DataFrame, window: float = 1.0, *, time: str = "t", stream: Sequence[str] = ()) -> DataFrame:
@@ -36,3 +41,54 @@ def tumbling_snapshots(df: DataFrame, granularity: float, *, time: str = "t") ->
     """Snapshot number of each row by fixed windows of event time."""
     number = F.floor(F.col(time) / F.lit(float(granularity)))
     return df.withColumn("snapshot_id", number).withColumn("window_start", number * F.lit(float(granularity)))
+
+
+def anchored_windows(
+    df: DataFrame,
+    granularity: float,
+    *,
+    time: str = "t",
+    seq: str = "seq",
+    stream: Sequence[str] = (),
+    chunk_rows: int = 1 << 20,
+) -> DataFrame:
+    """Windows that open at a row: ``(seq, window_start, window_end)`` per row.
+
+    A window closes with the first row more than ``granularity`` after its start; that row still belongs to
+    it, and its time opens the next window. Rows of the trailing window have no end and are left out.
+    """
+    keys = list(stream) or ["_all"]
+    rows = df.select(*stream, seq, F.col(time).cast("double").alias("_t"), F.floor(F.col(seq) / F.lit(chunk_rows)).alias("_chunk"))
+    if not stream:
+        rows = rows.withColumn("_all", F.lit(0))
+    schema = T.StructType(
+        [
+            *[rows.schema[k] for k in keys],
+            rows.schema[seq],
+            T.StructField("window_start", T.DoubleType()),
+            T.StructField("opened", T.LongType()),
+            T.StructField("_closed_at", T.DoubleType()),
+        ]
+    )
+
+    def step(state, piece: pd.DataFrame):
+        t, ids = piece["_t"].to_numpy(), piece[seq].to_numpy()
+        start, opened = state or (float(t[0]), int(ids[0]) - 1)
+        starts, openers, closed = np.empty(len(t)), np.empty(len(t), dtype=np.int64), np.full(len(t), np.nan)
+        at = 0
+        while at < len(t):
+            last = at + int(np.searchsorted(t[at:] - start, granularity, side="right"))
+            stop = min(last + 1, len(t))
+            starts[at:stop], openers[at:stop] = start, opened
+            if last < len(t):
+                closed[last] = t[last]
+                start, opened = float(t[last]), int(ids[last])
+            at = stop
+        out = piece[[*keys, seq]].assign(window_start=starts, opened=openers, _closed_at=closed)
+        return (start, opened), out
+
+    found = chunked_fold(
+        rows, step, schema, stream=keys, order=[seq], chunk="_chunk", initial=lambda: None
+    )
+    ends = found.where("_closed_at IS NOT NULL AND NOT isnan(_closed_at)").select(*keys, "opened", F.col("_closed_at").alias("window_end"))
+    return found.join(ends, on=[*keys, "opened"]).select(*stream, seq, "window_start", "window_end")

@@ -75,19 +75,8 @@ def layered_detection(links: DataFrame, names: Sequence[str], *, warmup: int) ->
     scored = joined.selectExpr(
         "seq", "batch_id", "protocol", f"greatest({', '.join(mixed)}, 0D) AS score"
     )
-    thresholds = (
-        scored.groupBy("protocol", "batch_id")
-        .agg(F.expr("percentile(score, 0.99D)").alias("_q"))
-        .select(
-            "protocol",
-            "batch_id",
-            F.when(F.col("batch_id") >= warmup, F.lag("_q").over(Window.partitionBy("protocol").orderBy("batch_id")))
-            .otherwise(F.lit(-1.0))
-            .alias("threshold"),
-        )
-    )
-    judged = scored.join(thresholds, on=["protocol", "batch_id"]).selectExpr(
-        "batch_id", "cast(protocol AS string) AS layer", "score", "coalesce(threshold, -1D) AS threshold"
+    judged = D.adaptive_threshold(scored, stream=["protocol"], warmup=warmup).selectExpr(
+        "batch_id", "cast(protocol AS string) AS layer", "score", "threshold"
     )
     layers = G.layer_scores(judged, [str(i) for i in PROTOCOL_IDS.values()])
     return E.batch_metrics(layers, by=["batch_id"])

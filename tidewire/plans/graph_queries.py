@@ -9,7 +9,7 @@ from tidewire.operators import graph_iter as GI
 from tidewire.operators import live_graph as L
 from tidewire.operators.index import first_seen_ids
 from tidewire.operators.traffic import expired_links, layer_id_sql
-from tidewire.operators.windows import tumbling_snapshots
+from tidewire.operators.windows import anchored_windows, tumbling_snapshots
 from tidewire.plans.registry import query, r, rounded
 from tidewire.schema import PROTOCOL_IDS, packets, table
 
@@ -366,3 +366,16 @@ def layer_scores(spark, sf):
     warm = "CASE WHEN batch_id < 2 OR (protocol = 'ARP' AND batch_id < 4) THEN -1D ELSE 100D END AS threshold"
     scores = packets(spark, sf).selectExpr("batch_id", "protocol AS layer", "packet_size AS score", warm)
     return rounded(G.layer_scores(scores, list(PROTOCOL_IDS)))
+
+
+@query(
+    "anchored_windows",
+    f"""WITH RECURSIVE {{packets}}, w(start, after, close) AS (
+        SELECT min(t), -1, (SELECT min(seq) FROM packets WHERE t - (SELECT min(t) FROM packets) > 0.7) FROM packets
+        UNION ALL SELECT c.t, w.close, (SELECT min(p.seq) FROM packets p WHERE p.seq > w.close AND p.t - c.t > 0.7)
+        FROM w JOIN packets c ON c.seq = w.close)
+      SELECT p.seq, {r("start", "window_start")}, {r("c.t", "window_end")} FROM w JOIN packets c ON c.seq = w.close
+        JOIN packets p ON p.seq > w.after AND p.seq <= w.close""",
+)
+def anchored(spark, sf):
+    return rounded(anchored_windows(packets(spark, sf), 0.7, chunk_rows=4096))

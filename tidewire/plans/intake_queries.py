@@ -421,8 +421,12 @@ def scaled_detection(spark, sf):
 
 @query("layered_detection")
 def layered_detection(spark, sf):
-    links = CH.feature_extraction(packets(spark, sf), form="link").withColumn("batch_id", F.floor(F.col("seq") / 1024))
-    return CH.layered_detection(links, ["src_1_weight", "src_1_mean", "dst_1_weight", "link_1_magnitude"], warmup=2)
+    """Link statistics are one stage's table, detection the next stage's plan."""
+    path = staging_path(spark, "links")
+    links = CH.feature_extraction(packets(spark, sf), form="link")
+    ST.write_stage(links, path, partition_by=["protocol"])
+    stage = ST.read_stage(spark, path, links.schema, index="seq")
+    return CH.layered_detection(stage, ["src_1_weight", "src_1_mean", "dst_1_weight", "link_1_magnitude"], warmup=2)
 
 
 @query("multilayer_graph_detection")
