@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.session import cut
+from tidewire.session import settle
 
 
 def chunked_fold(
@@ -66,7 +66,7 @@ def chunked_fold(
         return wanted.repartition(tasks, *keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(piece, exit_schema)
 
     by_stream = Window.partitionBy(*stream).orderBy(chunk)
-    pieces = cut(
+    pieces = settle(
         rows.select(*keys)
         .distinct()
         .withColumn("_next", F.lead(chunk).over(by_stream))
@@ -83,21 +83,21 @@ def chunked_fold(
 
     entry_schema = T.StructType([*key_fields, T.StructField("entry", T.BinaryType())])
     begun = pieces if speculate else pieces.where("_first")
-    entries = cut(begun.select(*keys, "_first").mapInPandas(start, entry_schema))
+    entries = settle(begun.select(*keys, "_first").mapInPandas(start, entry_schema))
     pending = entries
     follows = pieces.where("_next IS NOT NULL").select(*keys, "_next")
     while True:
         exits = exits_of(pending)
-        changed = cut(
+        changed = settle(
             exits.join(follows, on=keys).select(*stream, F.col("_next").alias(chunk), F.col("exit").alias("entry"))
         )
         if speculate:
             known = entries.select(*keys, F.col("entry").alias("_used"))
             changed = changed.join(known, on=keys).where("entry <> _used").drop("_used")
-        pending = cut(changed)
+        pending = settle(changed)
         if pending.isEmpty():
             break
-        entries = cut(entries.join(pending.select(*keys), on=keys, how="left_anti").unionByName(pending))
+        entries = settle(entries.join(pending.select(*keys), on=keys, how="left_anti").unionByName(pending))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return run(left, right, emit=True)

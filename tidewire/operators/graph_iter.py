@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.graph import SNAP
 from tidewire.operators.index import row_index
-from tidewire.session import cut
+from tidewire.session import settle
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -18,13 +18,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then jumps to the label's own label, so
     long chains shorten by half. Rounds end when no label changes.
     """
-    both = cut(
+    both = settle(
         edges.where("src <> dst")
         .select(SNAP, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
         .select(SNAP, "e.src", "e.dst")
         .distinct()
     )
-    labels = cut(nodes.select(SNAP, "node").distinct().withColumn("label", F.col("node")))
+    labels = settle(nodes.select(SNAP, "node").distinct().withColumn("label", F.col("node")))
     while True:
         offered = (
             both.join(labels.withColumnRenamed("node", "src"), on=[SNAP, "src"])
@@ -35,7 +35,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             SNAP, "node", F.col("label").alias("_old"), F.least("label", "_offer").alias("label")
         )
         jump = lowered.select(SNAP, F.col("node").alias("label"), F.col("label").alias("_next"))
-        jumped = cut(
+        jumped = settle(
             lowered.join(jump, on=[SNAP, "label"]).select(SNAP, "node", "_old", F.col("_next").alias("label"))
         )
         if jumped.where("label <> _old").isEmpty():
@@ -74,7 +74,7 @@ def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4) -> Data
     that arrive is the number of pairs at that distance. No list of node pairs is ever made.
     """
     lcc = row_index(largest_component(nodes, edges), ["node"], stream=[SNAP], name="no")
-    lcc = cut(lcc)
+    lcc = settle(lcc)
     ids = lcc.select(SNAP, "node")
     both = edges.where("src <> dst").select(
         SNAP,
@@ -82,7 +82,7 @@ def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4) -> Data
             F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
         ).alias("e"),
     ).select(SNAP, "e.src", "e.dst").distinct()
-    both = cut(both.join(ids.withColumnRenamed("node", "src"), on=[SNAP, "src"], how="left_semi"))
+    both = settle(both.join(ids.withColumnRenamed("node", "src"), on=[SNAP, "src"], how="left_semi"))
     per_block = 64 * words
     blocks = (lcc.agg(F.max("no")).first()[0] or 0) // per_block + 1
     found = []
@@ -92,7 +92,7 @@ def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4) -> Data
             f"CASE WHEN {at} >= {64 * w} AND {at} < {64 * (w + 1)} THEN shiftleft(1L, cast({at} - {64 * w} AS int)) ELSE 0L END"
             for w in range(words)
         ]
-        state = cut(
+        state = settle(
             lcc.selectExpr(
                 SNAP,
                 "node",
@@ -110,7 +110,7 @@ def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4) -> Data
                 .groupBy(SNAP, F.col("dst").alias("node"))
                 .agg(*[F.bit_or(f"f{w}").alias(f"m{w}") for w in range(words)])
             )
-            state = cut(
+            state = settle(
                 state.join(moved, on=[SNAP, "node"], how="left")
                 .selectExpr(
                     SNAP,

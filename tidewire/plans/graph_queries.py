@@ -378,4 +378,4 @@ def layer_scores(spark, sf):
         JOIN packets p ON p.seq > w.after AND p.seq <= w.close""",
 )
 def anchored(spark, sf):
-    return rounded(anchored_windows(packets(spark, sf), 0.7, chunk_rows=4096))
+    return rounded(anchored_windows(packets(spark, sf), 0.7, chunk_rows=16_384))

@@ -65,3 +65,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint (survives executor loss)."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared scratch area and continue from the stored table.
+
+    For loops: a checkpoint keeps the statistics and constraints of the old plan, which grow with every
+    round, while a stored table starts clean.
+    """
+    path = staging_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
