@@ -217,13 +217,13 @@ def _gcn_hop(source: str, target: str) -> str:
       deg AS (SELECT snapshot_id, dst AS node, count(*) + 1 AS d FROM edges GROUP BY ALL),
       x0 AS (SELECT snapshot_id, node, 1 / sqrt(coalesce(d, 1)) AS w, count, size FROM nodes LEFT JOIN deg USING (snapshot_id, node)),
       {_gcn_hop("x0", "x1")}, {_gcn_hop("x1", "x2")}
-      SELECT snapshot_id, node, {r("count", "count", 4)}, {r("size", "size", 3)} FROM x2""",
+      SELECT snapshot_id, node, {r("count", "count")}, {r("size", "size")} FROM x2""",
 )
 def neighbour_propagation(spark, sf):
     rows = snapshots(spark, sf)
     nodes, edges = G.layer_nodes(rows, "internet"), G.layer_edges(rows, "internet")
     out = G.propagate(nodes.withColumn("count", F.col("count").cast("double")), edges, ["count", "size"], hops=2)
-    return rounded(out, 4, size=3)
+    return rounded(out)
 
 
 @query(
@@ -232,12 +232,12 @@ def neighbour_propagation(spark, sf):
       g AS (SELECT n.snapshot_id, n.node, any_value(n.size) + coalesce(sum(m.size), 0) AS size
         FROM nodes n LEFT JOIN edges e ON e.snapshot_id = n.snapshot_id AND e.dst = n.node
         LEFT JOIN nodes m ON m.snapshot_id = e.snapshot_id AND m.node = e.src GROUP BY 1, 2)
-      SELECT snapshot_id, {r("sum(size)", "size_add", 3)}, {r("avg(size)", "size_mean", 4)} FROM g GROUP BY ALL""",
+      SELECT snapshot_id, {r("sum(size)", "size_add")}, {r("avg(size)", "size_mean")} FROM g GROUP BY ALL""",
 )
 def neighbour_sum_read_out(spark, sf):
     rows = snapshots(spark, sf)
     summed = G.propagate(G.layer_nodes(rows, "internet"), G.layer_edges(rows, "internet"), ["size"], kind="gin")
-    return rounded(G.read_out(summed, ["size"]), 4, size_add=3)
+    return rounded(G.read_out(summed, ["size"]))
 
 
 def _vectors(spark, sf):
