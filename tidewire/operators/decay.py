@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewire.functions.columns import decay_tag
 from tidewire.schema import DECAY_RATES
@@ -114,7 +115,7 @@ def decayed_sums(
         sliced.append("first(_is_gap) AS _is_gap")
     if first_is_zero:
         sliced += [f"min_by({term.value}, {rank}) AS _f_{term.name}" for term in terms]
-    slices = rows.groupBy(*slice_keys).agg(*_exprs(sliced))
+    slices = rows.groupBy(*slice_keys).agg(*[F.expr(text) for text in sliced])
     carried = _carried(slices, keys, terms, growth, bool(gap_where), first_is_zero, bits, carry_buckets)
 
     joined = local.join(carried, on=slice_keys, how="left")
@@ -127,12 +128,6 @@ def decayed_sums(
     )
 
 
-def _exprs(texts: Sequence[str]):
-    from pyspark.sql import functions as F
-
-    return [F.expr(text) for text in texts]
-
-
 def _carried(slices, keys, terms, growth, gaps, first_is_zero, bits, carry_buckets) -> DataFrame:
     """What has to be added to the prefix sums of each slice."""
     group = ", ".join(keys)

@@ -121,6 +121,8 @@ def detection_summary(
     attacks = rows.where(~F.col("_benign"))
     # One row per parameter set: the attack files of a data set are a short, registered list.
     files = attacks.groupBy(*by, F.lit(0).alias("_one")).agg(F.collect_set("file").alias("_files"))
+    if not by:
+        files = F.broadcast(files)  # one row
     keyed = rows.where("_benign").withColumn("_one", F.lit(0)).join(files, on=[*by, "_one"])
     against = keyed.select(*by, F.explode(F.concat("_files", F.array(F.lit("*")))).alias("pair"), "score", "label")
     own = attacks.select(*by, F.explode(F.array("file", F.lit("*"))).alias("pair"), "score", "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +77,3 @@ STAT_DIGITS = {
     "_pcc": 4,
 }
 
-
-def in_list(names: Sequence[str]) -> str:
-    return ", ".join(names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,8 +149,6 @@ def file_order(df: DataFrame, *, file: str = "file") -> DataFrame:
     """The files found in a table in processing order: benign first (state ``new``), the rest ``loaded``."""
     found = df.groupBy(file).agg(F.count("*").alias("rows"))
     benign = F.col(file).startswith("benign")
-    from pyspark.sql import Window
-
     # One row per file.
     place = Window.partitionBy(F.lit(0)).orderBy(F.when(benign, 0).otherwise(1), file)
     return found.select(
