@@ -359,7 +359,7 @@ def edge_versions(spark, sf):
       best AS (SELECT batch_id, layer, max(CASE WHEN threshold >= 0 THEN score / threshold END) AS score FROM s GROUP BY ALL),
       grid AS (SELECT batch_id, unnest({list(PROTOCOL_IDS)}) AS layer FROM (SELECT DISTINCT batch_id FROM s))
       SELECT batch_id, layer, {r("score", "score")},
-        {r("max(CASE WHEN score IS NOT NULL THEN 1.0 END) OVER (PARTITION BY batch_id)", "threshold")}
+        {r("max(CASE WHEN score IS NOT NULL THEN CAST(1 AS DOUBLE) END) OVER (PARTITION BY batch_id)", "threshold")}
       FROM grid LEFT JOIN best USING (batch_id, layer)""",
 )
 def layer_scores(spark, sf):

@@ -221,7 +221,7 @@ def graph_documents(spark, sf):
 @query(
     "scored_documents",
     f"""WITH {{packets}}, ends AS (SELECT {S}, src_mac AS node, packet_size FROM packets UNION ALL SELECT {S}, dst_mac, packet_size FROM packets),
-      sc AS (SELECT {S}, max(packet_size) AS graph_as, 100.0 AS threshold FROM packets GROUP BY ALL)
+      sc AS (SELECT {S}, max(packet_size) AS graph_as, CAST(100 AS DOUBLE) AS threshold FROM packets GROUP BY ALL)
       SELECT DISTINCT snapshot_id, node, graph_as, threshold FROM ends JOIN sc USING (snapshot_id)""",
 )
 def scored_documents(spark, sf):

@@ -425,7 +425,7 @@ def user_model_scores(spark, sf):
 # Evaluation. Scores: packet sizes against 100, missing for one protocol.
 
 _SCORES = """scores AS (SELECT file, batch_id, seq, t, CASE WHEN protocol = 'Other' THEN NULL ELSE packet_size END AS score,
-      100.0 AS threshold FROM packets)"""
+      CAST(100 AS DOUBLE) AS threshold FROM packets)"""
 
 
 def scores(spark, sf):
@@ -575,7 +575,7 @@ _SETS = E.parameter_sets({"power": [0.5, 1.0, 2.0], "cap": [50.0, 400.0], "form"
 @query(
     "best_parameters",
     f"""WITH {{packets}}, {_SCORES}, sets(param_id, power, cap) AS (VALUES {", ".join(f"({i}, {s['power']}, {s['cap']})" for i, s in enumerate(_SETS))}),
-      tuned AS (SELECT param_id, power, cap, file, batch_id, 100.0 AS threshold,
+      tuned AS (SELECT param_id, power, cap, file, batch_id, CAST(100 AS DOUBLE) AS threshold,
         pow(abs(score - cap), power) AS score FROM scores, sets),
       metrics AS (SELECT param_id, power, cap, file, batch_id, {_METRIC_COLS} FROM tuned GROUP BY param_id, power, cap, file, batch_id),
       {_ap_sql("benign", by="param_id")}
