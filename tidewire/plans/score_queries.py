@@ -57,7 +57,7 @@ def deviation_sql(features: list[str]) -> str:
     return f"greatest({', '.join(parts)}, 0)"
 
 
-def _scaled_sql(f: str) -> str:
+def scaled_sql(f: str) -> str:
     return (
         f"CASE WHEN {f}_q2 <> {f}_q0 THEN greatest(least(({f} - {f}_q1) / ({f}_q2 - {f}_q0), 1e6), -1e6) ELSE 0 END"
     )
@@ -66,7 +66,7 @@ def _scaled_sql(f: str) -> str:
 @query(
     "running_scale",
     f"""WITH {{packets}}, {SIZED}, {prior_sql("sized", SIZES)}
-      SELECT seq, batch_id, {r(_scaled_sql("packet_size"), "packet_size")}, {r(_scaled_sql("k"), "k")}
+      SELECT seq, batch_id, {r(scaled_sql("packet_size"), "packet_size")}, {r(scaled_sql("k"), "k")}
       FROM sized JOIN prior USING (batch_id)""",
 )
 def running_scale(spark, sf):
@@ -148,26 +148,36 @@ def standard_scale(spark, sf):
 _KS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-@query(
-    "ks_statistic",
+_KS_SQL = (
     "WITH v AS ("
     + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, l_linestatus, {f} AS v, l_returnflag = 'A' AS second FROM lineitem" for f in _KS
     )
-    + f"""), c AS (SELECT l_linestatus, feature, v, count(*) FILTER (NOT second) AS a, count(*) FILTER (second) AS b FROM v GROUP BY ALL),
+    + """), c AS (SELECT l_linestatus, feature, v, count(*) FILTER (NOT second) AS a, count(*) FILTER (second) AS b FROM v GROUP BY ALL),
       u AS (SELECT *, sum(a) OVER w AS au, sum(b) OVER w AS bu, sum(a) OVER p AS n, sum(b) OVER p AS m FROM c
-        WINDOW w AS (PARTITION BY l_linestatus, feature ORDER BY v), p AS (PARTITION BY l_linestatus, feature))
-      SELECT l_linestatus, feature, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m,
-        {r("max(abs(au / n - bu / m))", "statistic")} FROM u GROUP BY ALL""",
+        WINDOW w AS (PARTITION BY l_linestatus, feature ORDER BY v), p AS (PARTITION BY l_linestatus, feature)),
+      d AS (SELECT l_linestatus, feature, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m,
+        max(abs(au / n - bu / m)) AS statistic FROM u GROUP BY ALL)"""
 )
+
+
+@query("ks_statistic", f"{_KS_SQL} SELECT l_linestatus, feature, n, m, {r('statistic', 'statistic')} FROM d")
 def ks_statistic(spark, sf):
     out = SC.ks_statistic(table(spark, sf, "lineitem"), _KS, "l_returnflag = 'A'", group=["l_linestatus"])
     return rounded(out.drop("p_value"))
 
 
-@query("ks_multivariate")
+@query(
+    "ks_multivariate",
+    f"""{_KS_SQL}, x AS (SELECT *, statistic * sqrt(n * m / (n + m)) AS x FROM d),
+      j AS (SELECT unnest(range(1, 101)) AS j),
+      p AS (SELECT l_linestatus, feature, statistic, CASE WHEN x < 0.2 THEN 1 ELSE
+          greatest(0, least(1, sum(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * j * j * x * x)))) END AS p_value
+        FROM x, j GROUP BY l_linestatus, feature, statistic, x)
+      SELECT l_linestatus, {r("min(p_value)", "p_value")}, {r("max(statistic)", "statistic")} FROM p GROUP BY ALL""",
+)
 def ks_multivariate(spark, sf):
-    return SC.ks_multivariate(table(spark, sf, "lineitem"), _KS, "l_returnflag = 'A'", group=["l_linestatus"])
+    return rounded(SC.ks_multivariate(table(spark, sf, "lineitem"), _KS, "l_returnflag = 'A'", group=["l_linestatus"]))
 
 
 @query(
