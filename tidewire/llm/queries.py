@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, mixing, sharding
+from tidewire.llm import exact_dedup, mixing, near_dedup, sharding
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder))
+
+
+@query("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder))
