@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, mixing, near_dedup, sharding, toxicity
+from tidewire.llm import bpe, exact_dedup, mixing, near_dedup, sharding, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,23 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_digests(documents(spark, folder))
+
+
+def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Encode and decode whole texts with a rank file: n_tokens and digests of the ids and of the decoded bytes."""
+    ranks = bpe.read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.packed(F.col("ids"), ranks), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder))
