@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, exact_dedup, mixing, near_dedup, sharding, toxicity
+from tidewire.llm import bpe, exact_dedup, licenses, mixing, near_dedup, sharding, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,29 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_near_dedup")
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({n}, {i}, '{a}', '{b}', '{label}', {exact}, {grams})" for n, i, a, b, label, exact, grams in licenses.template_rows())
+    return f"""WITH t(template, t_place, t_one, t_two, t_label, exact, grams) AS (VALUES {rows}),
+    w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{licenses.TERM}') AS words FROM documents),
+    g AS (SELECT rid, i - 1 AS place, words[i] AS one, words[i + 1] AS two FROM (SELECT rid, words, unnest(range(1, len(words))) AS i FROM w)),
+    h AS (SELECT rid, template, t_label, exact, grams, place - t_place AS diagonal, count(DISTINCT t_place) AS n, list(DISTINCT t_place) AS held
+      FROM g JOIN t ON one = t_one AND two = t_two GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {licenses.NEAR} THEN 1 ELSE 0 END AS starts FROM h),
+    p AS (SELECT *, sum(starts) OVER (PARTITION BY rid, template ORDER BY diagonal) AS spot FROM s),
+    m AS (SELECT rid, t_label, exact, grams, len(list_distinct(flatten(list(held)))) AS covered, count(*) FILTER (exact AND n = grams) AS whole,
+        min(diagonal) FILTER (exact AND n = grams) AS first, max(diagonal) FILTER (exact AND n = grams) AS last, max(diagonal) - min(diagonal) AS stretch
+      FROM p GROUP BY rid, template, t_label, exact, grams, spot),
+    d AS (SELECT rid, sum(whole) AS n_base, min(first) AS first_word, max(last) AS last_word, max(CAST(covered AS DOUBLE) / grams) AS score,
+        string_agg(DISTINCT t_label, ',' ORDER BY t_label) FILTER (whole > 0) AS base_labels,
+        string_agg(DISTINCT t_label, ',' ORDER BY t_label) FILTER (whole > 0 OR (NOT exact AND CAST(covered AS DOUBLE) / grams >= {licenses.COVER} AND stretch <= grams)) AS labels
+      FROM m GROUP BY rid)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+      CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+    FROM w LEFT JOIN d USING (rid)"""
+
+
+@query("op8_licenses", _license_sql())
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
