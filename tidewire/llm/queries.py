@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, exact_dedup, licenses, mixing, near_dedup, sharding, toxicity
+from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, sharding, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def _license_sql() -> str:
 @query("op8_licenses", _license_sql())
 def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_pairs(documents(spark, folder))
