@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, mixing, near_dedup, sharding, toxicity
+from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, sharding, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_pairs(documents(spark, folder))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.without_repeats(documents(spark, folder)).select("row.doc_id", "n_lines", "n_deleted", "text")
