@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, sharding, toxicity
+from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
+@query("op5_pii")
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, folder)).select("row.doc_id", "text", "n_values", "n_replaced")
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder))
