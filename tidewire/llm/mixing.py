@@ -81,7 +81,7 @@ def plan(sized: DataFrame, *, share: float, weights: Sequence[int], max_epochs:
         .join(goals.select("_source", "need"), "_source")
         .withColumn("_from", F.col("_upto") - F.col("_sum"))
     )
-    full = buckets.where("_upto <= need").groupBy("_source").agg(F.max("_top").alias("_cut"))
+    full = buckets.where("need > 0 AND _upto <= need").groupBy("_source").agg(F.max("_top").alias("_cut"))
     edge = buckets.where("_from < need AND _upto > need").select("_source", "_bucket", "_from", "need")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_place")
     taken = (

@@ -13,7 +13,7 @@ from tidewire.session import settle
 
 SHARDS = 16
 # A group of equal texts above this share of all bytes is divided; so there are at most this many of them.
-HEAVY = 512
+HEAVY = 64
 DIMENSIONS = ("d_length", "d_id", "d_source", "d_lang")
 
 
@@ -21,7 +21,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
     """Shards 0 to ``shards`` - 1 of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The points are groups of equal texts (null counts as empty), so copies share a shard; a group above a
-    512th of all bytes is dealt by doc_id into pieces of about that weight. A node of the tree is split at
+    64th of all bytes is dealt by doc_id into pieces of about that weight. A node of the tree is split at
     the weighted median along the dimension (log length, smallest doc_id, source, language) in which it
     is widest relative to the whole table, until ``shards`` leaves of the target bytes are left. Ties on a coordinate
     are broken by the group, so the halves differ by one piece at most. Only the widths of the at most
