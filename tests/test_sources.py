@@ -73,7 +73,7 @@ def test_ingest(spark, tmp_path):
 def test_graph_documents_split_and_join(spark, tmp_path):
     nodes = spark.createDataFrame([(1, f"n{i}", i, float(i)) for i in range(30)], "snapshot_id long, node string, count long, size double")
     edges = spark.createDataFrame([(1, f"n{i}", f"n{(i * 7) % 30}", 1, 2.0) for i in range(30)], "snapshot_id long, src string, dst string, count long, size double")
-    docs = ST.graph_documents(nodes, edges, max_items=8)
+    docs = ST.graph_documents(nodes, edges, parts=4)
     assert docs.count() > 1
     ST.write_graphs(docs, str(tmp_path / "g"))
     back_nodes, back_edges = ST.read_graphs(spark, str(tmp_path / "g"))

@@ -1,4 +1,4 @@
-"""Exact quantiles of unbounded groups, threshold rules and mergeable sketches."""
+"""Exact quantiles of unbounded groups, threshold rules and mergeable states."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.index import running_totals
+
 ACCURACY = 10_000
-SKETCH_K = 16_384
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group: Sequence[str] = (), out: str = "q") -> DataFrame:
@@ -89,29 +90,26 @@ def log_normal_quantile(value: str, p: float) -> Column:
     return F.exp(normal_quantile(F.log(F.col(value) + F.lit(1e-6)), p))
 
 
-def sketch(value: str, k: int = SKETCH_K) -> str:
-    """SQL aggregate: mergeable quantile sketch of a column."""
-    return f"kll_sketch_agg_double(cast({value} AS double), {k})"
-
+def quantile_state(df: DataFrame, features: Sequence[str], *, group: Sequence[str] = ()) -> DataFrame:
+    """The distinct values of every feature with their counts as a table: (group, feature, value, n).
 
-def quantile_state(df: DataFrame, features: Sequence[str], *, group: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
-    """Sketch per feature as a table that can be stored and merged: (group, feature, rows, sketch)."""
-    one = df.groupBy(*group).agg(
-        *[F.expr(f"{sketch(f, k)} AS s_{f}") for f in features], *[F.count(f).alias(f"n_{f}") for f in features]
-    )
-    entries = ", ".join(f"named_struct('feature', '{f}', 'rows', n_{f}, 'sketch', s_{f})" for f in features)
-    return one.selectExpr(*group, f"inline(array({entries}))")
+    An exact state that can be stored and merged; it never has more rows than the data and is counted before the
+    shuffle.
+    """
+    entries = ", ".join(f"named_struct('feature', '{f}', 'value', cast({f} AS double))" for f in features)
+    rows = df.selectExpr(*group, f"inline(array({entries}))").where("value IS NOT NULL")
+    return rows.groupBy(*group, "feature", "value").agg(F.count("*").alias("n"))
 
 
 def merge_states(states: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:
-    return states.groupBy(*group, "feature").agg(
-        F.sum("rows").alias("rows"), F.expr("kll_merge_agg_double(sketch) AS sketch")
-    )
+    return states.groupBy(*group, "feature", "value").agg(F.sum("n").alias("n"))
 
 
-def state_quantiles(states: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Quantiles ``q0``, ``q1``, ... read from stored sketches."""
-    return states.selectExpr(
-        *[c for c in states.columns if c != "sketch"],
-        *[f"kll_sketch_get_quantile_double(sketch, {p!r}D) AS q{i}" for i, p in enumerate(probs)],
+def state_quantiles(states: DataFrame, probs: Sequence[float], *, group: Sequence[str] = ()) -> DataFrame:
+    """Quantiles ``q0``, ``q1``, ... per (group, feature): the smallest value that so many rows do not exceed."""
+    keys = [*group, "feature"]
+    rows = states.groupBy(*keys).agg(F.sum("n").alias("rows"))
+    steps = running_totals(states.select(*keys, "value", "n"), ["n"], ["value"], stream=keys).join(rows, on=keys)
+    return steps.groupBy(*keys, "rows").agg(
+        *[F.min(F.when(F.col("n_upto") >= F.lit(float(p)) * F.col("rows"), F.col("value"))).alias(f"q{i}") for i, p in enumerate(probs)]
     )

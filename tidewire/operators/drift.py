@@ -260,6 +260,8 @@ def pool_reliability(
 ) -> DataFrame:
     """Reliability of each pooled model on each batch and of the pool as a whole.
 
+    It is no number (NaN) where all scores, now and in training, are one value.
+
     ``baselines(model, last_mean, last_min, last_max)`` describe the scores a model was trained on.
     """
     now = scores.groupBy(*batch, model).agg(
@@ -272,7 +274,8 @@ def pool_reliability(
     joined = now.join(baselines, on=model)
     gap = F.col("mean") - F.col("last_mean")
     spread = F.greatest("max", "last_max") - F.least("min", "last_min")
-    reliability = F.exp(-2 * gap * gap / ((2 / F.col("n")) * spread * spread))
+    exponent = F.try_divide(-2 * gap * gap, (2 / F.col("n")) * spread * spread)
+    reliability = F.exp(F.when(spread == 0, F.lit(float("nan"))).otherwise(exponent))
     return joined.withColumn("reliability", reliability).select(*batch, model, "reliability", "mean", "std", "n")
 
 
@@ -285,7 +288,7 @@ def pool_scores(
         scores.join(reliable, on=[*batch, model])
         .groupBy(*batch, row)
         .agg(
-            F.sum(F.col("reliability") * (F.col("score") - F.col("mean")) / F.col("std")).alias("score"),
+            F.sum(F.col("reliability") * F.when(F.col("std") == 0, float("nan")).otherwise(F.try_divide(F.col("score") - F.col("mean"), F.col("std")))).alias("score"),
             (1 - F.product(1 - F.col("reliability"))).alias("drift_level"),
         )
     )

@@ -100,9 +100,9 @@ def average_precision(ranked: DataFrame, *, by: Sequence[str], score: str = "sco
         F.sum(label).alias("_p"), F.count("*").alias("_n")
     )
     steps = running_totals(ties, ["_p", "_n"], [F.desc("_s")], stream=by)
-    return steps.groupBy(*by).agg(
-        (F.sum(F.col("_p") * F.col("_p_upto") / F.col("_n_upto")) / F.sum("_p")).alias("ap")
-    )
+    # Without positives the precision is 0 at every recall.
+    gained = F.sum(F.col("_p") * F.col("_p_upto") / F.col("_n_upto"))
+    return steps.groupBy(*by).agg(F.coalesce(F.try_divide(gained, F.sum("_p")), F.lit(0.0)).alias("ap"))
 
 
 def detection_summary(
@@ -134,13 +134,13 @@ def detection_summary(
     return joined.groupBy(*by).agg(
         F.max(F.when(~single, F.col("ap"))).alias("pooled_ap"),
         F.avg(F.when(single, F.col("ap"))).alias("macro_ap"),
-        (F.sum(F.when(single, F.col("ap") * F.col("_w"))) / F.sum(F.when(single, F.col("_w")))).alias("weighted_ap"),
+        F.try_divide(F.sum(F.when(single, F.col("ap") * F.col("_w"))), F.sum(F.when(single, F.col("_w")))).alias("weighted_ap"),
     )
 
 
 def file_accuracy(metrics: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Share of rows judged right per file; a file that is neither benign nor attack is an error."""
-    rate = F.sum("pos_count") / F.sum("batch_size")
+    """Share of rows judged right per file, null without scores; a file that is neither benign nor attack is an error."""
+    rate = F.try_divide(F.sum("pos_count"), F.sum("batch_size"))
     found = metrics.groupBy(*by, "file").agg(rate.alias("_rate"))
     return found.select(
         *by,
@@ -152,20 +152,10 @@ def file_accuracy(metrics: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def f_beta(tp, fn, fp, beta: float = 1.0):
-    b = beta * beta
-    return ratio_or((1 + b) * tp, (1 + b) * tp + b * fn + fp, 0.0)
-
-
-def weighted_hmean(precision, recall, beta: float = 1.0):
-    b = beta * beta
-    return ratio_or((1 + b) * precision * recall, b * precision + recall, 0.0)
-
-
 def run_statistics(metrics: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Counts, F1 and accuracies of benign and attack rows in one aggregation."""
+    """Counts, F1 and accuracies of benign and attack rows in one aggregation; batches without scores have no accuracy."""
     benign, attack = is_benign(), F.col("file").startswith("attack")
-    accuracy = F.col("pos_count") / F.col("batch_size")
+    accuracy = F.try_divide("pos_count", "batch_size")
     found = metrics.groupBy(*by).agg(
         F.sum(F.when(benign, F.col("pos_count"))).alias("pos_benign"),
         F.sum(F.when(benign, F.col("batch_size"))).alias("total_benign"),
@@ -175,9 +165,10 @@ def run_statistics(metrics: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
         F.avg(F.when(attack, accuracy)).alias("acc_malicious"),
     )
     c = F.col
+    # Hits count twice against all alarms and all attacks; the accuracies meet in their harmonic mean.
     return found.withColumn(
-        "f1", f_beta(c("pos_malicious"), c("total_malicious") - c("pos_malicious"), c("pos_benign"))
-    ).withColumn("hmean_acc", weighted_hmean(c("acc_benign"), c("acc_malicious")))
+        "f1", ratio_or(2 * c("pos_malicious"), c("pos_malicious") + c("total_malicious") + c("pos_benign"), 0.0)
+    ).withColumn("hmean_acc", ratio_or(2 * c("acc_benign") * c("acc_malicious"), c("acc_benign") + c("acc_malicious"), 0.0))
 
 
 def parameter_sets(spec: Mapping[str, object]) -> list[dict[str, object]]:

@@ -252,43 +252,38 @@ def numbered_nodes(nodes: DataFrame) -> DataFrame:
     return row_index(nodes.select(SNAP, "node").distinct(), ["node"], stream=[SNAP], name="node_no")
 
 
-def negative_edges(nodes: DataFrame, edges: DataFrame, *, seed: int = 0, tries: int = 3) -> DataFrame:
-    """About as many random non-edges as edges, never listing the complete graph.
+def negative_edges(nodes: DataFrame, edges: DataFrame, *, seed: int = 0, rounds: int = 6) -> DataFrame:
+    """As many random non-edges per snapshot as it has edges, or all of them where there are fewer.
 
-    Every edge draws ``tries`` seeded pair numbers of its snapshot's complete graph; existing edges and
-    repeats drop out and the surplus is cut by a hash order that spreads evenly (one number per draw).
+    A seeded permutation walks through the numbers of a snapshot's possible pairs without repeating one. Among the first
+    ``goal + edges`` pairs of the walk at least ``goal`` are no edges, so the first ``goal`` of those are
+    taken: no draw is repeated, and the complete graph is never listed unless it is that small. The places of the walk are
+    dealt out by the edges' own numbers.
     """
     numbers = numbered_nodes(nodes)
-    sizes = numbers.groupBy(SNAP).agg(F.count("*").alias("_n"))
     distinct = edges.select(SNAP, "src", "dst").distinct()
-    draws = distinct.join(sizes, on=SNAP).where("_n > 1").select(
-        SNAP, "_n", "src", "dst", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try")
-    )
-    pair = f"pmod(xxhash64({seed}, {SNAP}, src, dst, try), _n * (_n - 1))"
-    drawn = draws.selectExpr(SNAP, "_n", "try", f"{pair} AS pair").groupBy(SNAP, "_n", "pair").agg(
-        F.min("try").alias("try")
+    sizes = numbers.groupBy(SNAP).agg(F.count("*").alias("_n"))
+    counts = distinct.groupBy(SNAP).agg(F.count("*").alias("_all"), F.count_if(F.col("src") != F.col("dst")).alias("_own"))
+    goals = sizes.join(counts, on=SNAP).selectExpr(SNAP, "_n", "_own", "least(_all, _n * (_n - 1) - _own) AS _goal").where("_n > 1")
+    walk = (
+        row_index(distinct, ["src", "dst"], stream=[SNAP], name="_e")
+        .join(goals, on=SNAP)
+        .selectExpr(SNAP, "_n", "_goal", "_goal + _own AS _span", "explode(array(2 * _e, 2 * _e + 1)) AS _at")
+        .where("_at < _span")
+        .selectExpr("*", "_at div (_n - 1) AS _i", "_at % (_n - 1) AS _j")
     )
-    first, second = pair_ends("pair", "_n")
-    ends = drawn.selectExpr(SNAP, "try", f"{first} AS _i", f"{second} AS _j")
+    for k in range(rounds):
+        walk = walk.withColumn("_i", F.expr(f"pmod(_i + pmod(xxhash64({seed}, {k}, {SNAP}, _j), _n), _n)"))
+        walk = walk.withColumn("_j", F.expr(f"pmod(_j + pmod(xxhash64({seed}, {k}, {SNAP}, _i), _n - 1), _n - 1)"))
+    # The second end skips the first one's number.
+    ends = walk.withColumn("_j", F.expr("_j + CASE WHEN _j >= _i THEN 1 ELSE 0 END"))
     for end, number in (("src", "_i"), ("dst", "_j")):
         ends = ends.join(
             numbers.select(SNAP, F.col("node").alias(end), F.col("node_no").alias(number)), on=[SNAP, number]
         )
-    fresh = ends.select(SNAP, "src", "dst", "try").join(distinct, on=[SNAP, "src", "dst"], how="left_anti")
-    # Enough draws of one try usually replace all edges; later tries only fill what collisions took.
-    counts = fresh.groupBy(SNAP).pivot("try", list(range(1, tries + 1))).count().fillna(0)
-    goal = distinct.groupBy(SNAP).agg(F.count("*").alias("_goal"))
-    share, before = [], F.lit(0)
-    for k in range(1, tries + 1):
-        share.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_goal") - before) / F.col(str(k)))))
-        before = before + F.col(str(k))
-    shares = counts.join(goal, on=SNAP).select(SNAP, F.array(*share).alias("_share"))
-    keep = F.abs(F.xxhash64(F.lit(seed + 1), "src", "dst") % 1_000_000) / 1_000_000.0
-    return (
-        fresh.join(shares, on=SNAP)
-        .where(keep < F.element_at("_share", F.col("try")))
-        .select(SNAP, "src", "dst")
-    )
+    fresh = ends.select(SNAP, "src", "dst", "_at", "_goal").join(distinct, on=[SNAP, "src", "dst"], how="left_anti")
+    placed = row_index(fresh, ["_at"], stream=[SNAP], name="_place")
+    return placed.where("_place < _goal").select(SNAP, "src", "dst")
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], k: int, *, seed: int = 0, by: Sequence[str] = ("seq",)) -> DataFrame:
@@ -340,11 +335,17 @@ def layer_scores(
 ) -> DataFrame:
     """Highest score relative to its threshold per batch and layer, on the full batch x layer grid.
 
+    A threshold of 0 makes a positive score infinite; a score of 0 then counts as none.
+
     Null where a layer has no rows or is still warming up (negative threshold). ``threshold`` is 1, or null
     for a batch in which no layer is ready.
     """
     best = scores.groupBy(*batch, layer).agg(
-        F.max(F.when(F.col("threshold") >= 0, F.col("score") / F.col("threshold"))).alias("score")
+        F.max(
+            F.when(F.col("threshold") > 0, F.try_divide("score", "threshold")).when(
+                (F.col("threshold") == 0) & (F.col("score") > 0), float("inf")
+            )
+        ).alias("score")
     )
     grid = scores.select(*batch).distinct().withColumn(
         layer, F.explode(F.array(*[F.lit(name) for name in layers]))

@@ -87,7 +87,7 @@ def linear_cka(df: DataFrame, x: Sequence[str], y: Sequence[str], *, group: Sequ
     """Linear similarity of two representations of the same rows, from feature covariances.
 
     The row-by-row Gram matrices have the same inner products as the d x d cross-covariances, so nothing
-    larger is built.
+    larger is built. Constant features have no similarity (NaN).
     """
 
     def hsic(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -99,7 +99,8 @@ def linear_cka(df: DataFrame, x: Sequence[str], y: Sequence[str], *, group: Sequ
         return total
 
     found = df.groupBy(*group).agg(hsic(x, y).alias("hsic_xy"), hsic(x, x).alias("hsic_xx"), hsic(y, y).alias("hsic_yy"))
-    return found.withColumn("cka", F.col("hsic_xy") / F.sqrt(F.col("hsic_xx") * F.col("hsic_yy")))
+    size = F.sqrt(F.col("hsic_xx") * F.col("hsic_yy"))
+    return found.withColumn("cka", F.when(size == 0, float("nan")).otherwise(F.try_divide(F.col("hsic_xy"), size)))
 
 
 def residual_distances(df: DataFrame, residuals: Sequence[str]) -> DataFrame:

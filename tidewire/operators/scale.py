@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.columns import clip, finite_or, stable_rank
-from tidewire.functions.quantiles import SKETCH_K, exact_quantiles, sketch
+from tidewire.functions.quantiles import exact_quantiles, quantile_state
 from tidewire.operators.graph import sample_per_group
-from tidewire.operators.index import running_totals
+from tidewire.operators.index import row_index, running_totals
 from tidewire.schema import CONCEPT_MAX_ROWS, SCALE_LIMIT, SCALE_QUANTILES
+from tidewire.session import settle
 
 
-def batch_state(df: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
-    """Sketch, sum and count per feature (``k_``, ``s_``, ``n_`` columns), combined before the shuffle."""
-    parts = [
-        text
-        for f in features
-        for text in (f"{sketch(f, k)} AS k_{f}", f"sum(cast({f} AS double)) AS s_{f}", f"count({f}) AS n_{f}")
-    ]
-    return df.groupBy(*by).agg(*[F.expr(t) for t in parts])
+def batch_state(df: DataFrame, features: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
+    """The values of every feature with their counts: an exact, mergeable state (see ``quantile_state``)."""
+    return quantile_state(df, features, group=by)
 
 
 def earlier_batches(
@@ -31,81 +27,127 @@ def earlier_batches(
     batch: str = "batch_id",
     stream: Sequence[str] = (),
     probs: Sequence[float] = SCALE_QUANTILES,
-    k: int = SKETCH_K,
-    levels: Sequence[int] = (256, 65_536),
     own_first: bool = True,
     initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Quantiles, mean and count of every feature over all batches before each batch.
-
-    One sketch per batch (combined before the shuffle). What came before a batch is the merge of earlier
-    batches in its block, earlier blocks in its block of blocks, and so on; ``levels`` are the block sizes in
-    batches. So a window holds at most a few hundred sketches, and the top one a row per largest block. Columns: ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` the first batch, which has
-    none before it, reads its own quantiles. ``initial`` is a one-row ``batch_state`` every stream continues
-    from.
+    """Exact quantiles, mean and count of every feature over all batches before each batch.
+
+    A wanted quantile is the k-th smallest of the earlier rows. All rows are numbered by value once; then all
+    batches search at the same time, ``BITS`` bits of that number per round: a round counts, for the ranges
+    still looked at, the rows per batch and subrange, and running totals over the batches tell each batch in which subrange
+    its k-th row lies. So the rounds grow with the logarithm of the rows, no task holds a stream, and what a
+    batch carries is three numbers per feature. Columns: ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` a batch that
+    has none before it reads its own quantiles. Every stream continues from ``initial``, a ``batch_state``, if given;
+    it is counted once for all streams.
     """
     stream = list(stream)
-    per_batch = batch_state(df, features, by=[*stream, batch], k=k)
+    keys = [*stream, "feature"]
+    entries = ", ".join(f"named_struct('feature', '{f}', 'v', cast({f} AS double))" for f in features)
+    rows = df.selectExpr(*stream, f"{batch} AS _batch", f"inline(array({entries}))").where("v IS NOT NULL").withColumn("w", F.lit(1))
+    rows = rows.withColumn("saved", F.lit(False))
     if initial is not None:
-        names = [c for f in features for c in (f"k_{f}", f"s_{f}", f"n_{f}")]
-        start = df.select(*stream).distinct() if stream else df.limit(1).select(F.lit(0).alias("_none"))
-        for name in names:
-            start = start.withColumn(name, initial.select(name).scalar())
-        per_batch = per_batch.unionByName(
-            start.withColumn(batch, F.lit(-1).cast(df.schema[batch].dataType)).select(*per_batch.columns)
+        saved = initial.select("feature", F.col("value").alias("v"), F.col("n").alias("w"), F.lit(True).alias("saved"))
+        rows = rows.unionByName(saved, allowMissingColumns=True)
+    placed = settle(row_index(rows, ["v", "saved", "_batch", *stream], stream=["feature"], name="pos"))
+    own, kept = placed.where("NOT saved"), placed.where("saved").select("feature", "pos", "w", "v")
+
+    # How many rows, and which sum, came before each batch.
+    every = df.select(*stream, F.col(batch).alias("_batch"), F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")).distinct()
+    sums = own.groupBy(*keys, "_batch").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    filled = every.join(sums, on=[*keys, "_batch"], how="left").fillna(0, ["n", "s"])
+    totals = _batch_totals(filled, ["n", "s"], keys).selectExpr(*keys, "_batch", "n", "n_upto - n AS before", "s_upto - s AS before_s")
+    start = kept.groupBy("feature").agg(F.sum("w").alias("_n"), F.sum(F.col("v") * F.col("w")).alias("_s"))
+    totals = settle(
+        totals.join(start, "feature", "left").selectExpr(
+            *keys, "_batch", "n", "before + coalesce(_n, 0) AS before", "before_s + coalesce(_s, 0D) AS before_s"
         )
-    sizes = sorted(levels)
-    per_batch = per_batch.select(
-        "*", *[F.floor(F.col(batch) / F.lit(size)).alias(f"_b{i}") for i, size in enumerate(sizes)]
     )
-
-    def merged(prefix: str, over: str = "") -> list[str]:
-        return [
-            text
+    include = F.col("before") == 0 if own_first else F.lit(False)
+    size = F.when(include, F.col("n")).otherwise(F.col("before"))
+    queries = totals.select(
+        *keys, "_batch", include.alias("own"), size.alias("size"), F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("q", "p")
+    ).where("size > 0")
+    queries = queries.select(*keys, "_batch", "own", "q", F.greatest(F.ceil(F.col("p") * F.col("size")) - 1, F.lit(0)).cast("long").alias("k"))
+    found = _kth_rows(own, kept, queries.withColumn("node", F.lit(0).cast("long")), keys)
+    values = placed.select("feature", F.col("pos").alias("node"), "v")
+    answers = found.join(values, ["feature", "node"]).select(*stream, "_batch", "feature", "q", "v")
+    picked = answers.groupBy(*stream, "_batch").agg(
+        *[F.max(F.when((F.col("feature") == f) & (F.col("q") == i), F.col("v"))).alias(f"{f}_q{i}") for f in features for i in range(len(probs))]
+    )
+    means = totals.groupBy(*stream, "_batch").agg(
+        *[
+            column
             for f in features
-            for text in (
-                f"kll_merge_agg_double(k_{f}) {over} AS {prefix}k_{f}",
-                f"sum(s_{f}) {over} AS {prefix}s_{f}",
-                f"sum(n_{f}) {over} AS {prefix}n_{f}",
+            for column in (
+                F.max(F.when(F.col("feature") == f, F.try_divide("before_s", "before"))).alias(f"{f}_mean"),
+                F.max(F.when(F.col("feature") == f, F.col("before"))).alias(f"{f}_n"),
             )
         ]
-
-    def before(inside: Sequence[str], order: str) -> str:
-        groups = ", ".join([*stream, *inside]) or "1"
-        return f"OVER (PARTITION BY {groups} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-
-    found = per_batch.selectExpr("*", *merged("p0", before(["_b0"], batch)))
-    unit = per_batch
-    for i in range(len(sizes)):
-        ids = [f"_b{j}" for j in range(i, len(sizes))]
-        unit = unit.groupBy(*stream, *ids).agg(*[F.expr(t) for t in merged("")])
-        ahead = unit.selectExpr(*stream, f"_b{i}", *merged(f"p{i + 1}", before(ids[1:2], f"_b{i}")))
-        found = found.join(ahead, on=[*stream, f"_b{i}"], how="left")
-    prefixes = [f"p{i}" for i in range(len(sizes) + 1)]
-    out = []
-    for f in features:
-        whole = "NULL"
-        for p in prefixes:
-            whole = (
-                f"CASE WHEN coalesce({p}n_{f}, 0) = 0 THEN {whole} WHEN {whole} IS NULL THEN {p}k_{f}"
-                f" ELSE kll_sketch_merge_double({whole}, {p}k_{f}) END"
-            ) if whole != "NULL" else f"CASE WHEN {p}n_{f} > 0 THEN {p}k_{f} END"
-        if own_first:
-            whole = f"coalesce({whole}, CASE WHEN n_{f} > 0 THEN k_{f} END)"
-        n = " + ".join(f"coalesce({p}n_{f}, 0)" for p in prefixes)
-        s = " + ".join(f"coalesce({p}s_{f}, 0D)" for p in prefixes)
-        out += [f"{whole} AS _w_{f}", f"{n} AS {f}_n", f"({s}) / nullif({n}, 0) AS {f}_mean"]
-    found = found.selectExpr(*stream, batch, *out)
-    if initial is not None:
-        found = found.where(F.col(batch) >= 0)
-    return found.selectExpr(
+    )
+    out = means.join(picked, on=[*stream, "_batch"], how="left")
+    return out.select(
         *stream,
-        batch,
-        *[f"kll_sketch_get_quantile_double(_w_{f}, {p!r}D) AS {f}_q{i}" for f in features for i, p in enumerate(probs)],
+        F.col("_batch").alias(batch),
+        *[f"{f}_q{i}" for f in features for i in range(len(probs))],
         *[c for f in features for c in (f"{f}_mean", f"{f}_n")],
     )
 
 
+BITS = 5  # bits of the row number per round of the search
+BLOCK = 4096  # batches of a block; a window holds the batches of one block or the blocks of one stream
+
+
+def _batch_totals(table: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Running sums (including the row) over ``_batch`` per key, by blocks of batches."""
+    blocked = table.withColumn("_block", F.floor(F.col("_batch") / BLOCK))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_batch").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(names)])
+    shifts = blocks.select(*keys, "_block", *[F.coalesce(F.sum(f"_t{i}").over(ahead), F.lit(0)).alias(f"_a{i}") for i in range(len(names))])
+    summed = blocked.select("*", *[F.sum(c).over(inside).alias(f"_s{i}") for i, c in enumerate(names)])
+    return summed.join(shifts, [*keys, "_block"]).select(
+        *table.columns, *[(F.col(f"_s{i}") + F.col(f"_a{i}")).alias(f"{c}_upto") for i, c in enumerate(names)]
+    )
+
+
+def _kth_rows(rows: DataFrame, saved: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``queries`` (keys, _batch, own, q, k) with ``node``, the number of their k-th row among the earlier ones."""
+    top = rows.agg(F.max("pos")).first()[0]
+    top = max(top if top is not None else 0, saved.agg(F.max("pos")).first()[0] or 0)
+    shift = -(-max(top.bit_length(), 1) // BITS) * BITS
+    names = [f"c{i}" for i in range(1 << BITS)]
+    place = [*keys, "node"]
+    while shift > 0:
+        node, child = F.shiftright("pos", shift), F.shiftright("pos", shift - BITS).bitwiseAND((1 << BITS) - 1)
+
+        def counted(table: DataFrame, by: Sequence[str], node=node, child=child) -> DataFrame:
+            split = table.withColumn("node", node).withColumn("child", child).join(queries.select(*by[: by.index("node") + 1]).distinct(), by[: by.index("node") + 1], "left_semi")
+            return split.groupBy(*by).agg(*[F.sum(F.when(F.col("child") == i, F.col("w")).otherwise(0)).alias(c) for i, c in enumerate(names)])
+
+        cells = counted(rows, [*place, "_batch"])
+        marks = queries.select(*place, "_batch").distinct().select("*", *[F.lit(0).cast("long").alias(c) for c in names])
+        table = cells.unionByName(marks).groupBy(*place, "_batch").agg(*[F.sum(c).alias(c) for c in names])
+        upto = _batch_totals(table, names, place)
+        seen = upto.select(*place, "_batch", F.array(*names).alias("mine"), F.array(*[f"{c}_upto" for c in names]).alias("upto"))
+        start = counted(saved, ["feature", "node"]).select("feature", "node", F.array(*names).alias("start"))
+        asked = queries.join(seen, [*place, "_batch"]).join(start, ["feature", "node"], "left")
+        counts = F.expr(
+            "transform(upto, (u, i) -> u - CASE WHEN own THEN 0 ELSE mine[i] END + coalesce(start[i], 0))"
+        )
+        step = F.expr(
+            "aggregate(counts, named_struct('child', 0L, 'left', k, 'done', false), (s, c) -> CASE WHEN s.done OR s.left < c"
+            " THEN named_struct('child', s.child, 'left', s.left, 'done', true)"
+            " ELSE named_struct('child', s.child + 1, 'left', s.left - c, 'done', false) END)"
+        )
+        queries = settle(
+            asked.withColumn("counts", counts)
+            .withColumn("step", step)
+            .select(*keys, "_batch", "own", "q", F.col("step.left").alias("k"), (F.col("node") * (1 << BITS) + F.col("step.child")).alias("node"))
+        )
+        shift -= BITS
+    return queries
+
+
 def running_scale(df: DataFrame, features: Sequence[str], *, batch: str = "batch_id", stream: Sequence[str] = (), **options) -> DataFrame:
     """Robust scaling of each batch by the quantiles of all earlier ones; other columns pass unscaled.
 

@@ -114,7 +114,7 @@ def multilayer_graph_reconstruction(nodes: DataFrame, edges: DataFrame) -> DataF
 
 
 def fit_detector(benign: DataFrame, names: Sequence[str], state_path: str, *, queue: int = QUEUE_ROWS) -> None:
-    """Store the benign file's quantile sketches and its last scores as tables."""
+    """Store the benign file's value counts and its last scores as tables."""
     batch_state(benign, names).write.mode("overwrite").parquet(f"{state_path}/quantiles")
     scored = D.deviation_scores(benign.select("seq", "batch_id", *names), names)
     last = scored.orderBy(F.desc("seq")).limit(queue).select("seq", "score")
@@ -126,8 +126,8 @@ def apply_detector(
 ) -> DataFrame:
     """Score all attack files in one job, each continuing from the saved benign state.
 
-    ``attacks`` has ``file, seq, batch_id`` with rows and batches numbered from 0 per file. The saved state is
-    one sketch row and at most ``queue`` scores, copied to every file.
+    ``attacks`` has ``file, seq, batch_id`` with rows and batches numbered from 0 per file. The saved values
+    are counted once for all files; at most ``queue`` scores are copied to every file.
     """
     spark = attacks.sparkSession
     state = spark.read.parquet(f"{state_path}/quantiles")

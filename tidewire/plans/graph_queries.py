@@ -17,8 +17,8 @@ SNAP = "snapshot_id"
 S = "CAST(floor(t) AS BIGINT) AS snapshot_id"
 EDGES = f"edges AS (SELECT DISTINCT {S}, src_ip AS src, dst_ip AS dst FROM packets)"
 UNDIRECTED = (
-    f"und AS (SELECT DISTINCT {S}, least(src_mac, dst_mac) AS src, greatest(src_mac, dst_mac) AS dst"
-    " FROM packets WHERE packet_size > 150)"
+    "und AS (SELECT DISTINCT CAST(floor(t * 32) AS BIGINT) AS snapshot_id, least(src_mac, dst_mac) AS src,"
+    " greatest(src_mac, dst_mac) AS dst FROM packets)"
 )
 UND_NODES = "und_nodes AS (SELECT snapshot_id, src AS node FROM und UNION SELECT snapshot_id, dst FROM und)"
 
@@ -32,8 +32,8 @@ def ip_edges(spark, sf):
 
 
 def sparse_graph(spark, sf):
-    """Undirected graph of the large packets: sparse enough to fall into components."""
-    edges = G.undirected(G.layer_edges(snapshots(spark, sf).where("packet_size > 150"), "physical"))
+    """Undirected graphs of snapshots so short that they fall into components."""
+    edges = G.undirected(G.layer_edges(tumbling_snapshots(packets(spark, sf), 1 / 32), "physical"))
     nodes = edges.select(SNAP, F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes, edges
 
@@ -61,16 +61,24 @@ def layer_graph_edges(spark, sf):
 _SS, _DS = "src_ip || ':' || src_port", "dst_ip || ':' || dst_port"
 
 
-@query(
-    "multilayer_graph_edges",
-    f"""WITH {{packets}}, e AS (
+MULTILAYER = f"""e AS (
       SELECT {S}, src_mac AS src, dst_mac AS dst, packet_size AS size FROM packets UNION ALL
       SELECT {S}, src_ip, dst_ip, packet_size FROM packets UNION ALL
       SELECT {S}, src_ip, src_mac, packet_size FROM packets UNION ALL
       SELECT {S}, dst_mac, dst_ip, packet_size FROM packets UNION ALL
       SELECT {S}, {_SS}, {_DS}, 0 FROM packets WHERE src_port <> '' AND dst_port <> '' UNION ALL
       SELECT {S}, {_SS}, src_ip, 0 FROM packets WHERE src_port <> '' AND dst_port <> '' UNION ALL
-      SELECT {S}, dst_ip, {_DS}, packet_size FROM packets WHERE src_port <> '' AND dst_port <> '')
+      SELECT {S}, dst_ip, {_DS}, packet_size FROM packets WHERE src_port <> '' AND dst_port <> '')"""
+NODES = f"""SELECT {S}, src_mac AS node, 'Physical' AS layer FROM packets
+      UNION SELECT {S}, dst_mac, 'Physical' FROM packets
+      UNION SELECT {S}, src_ip, 'Internet' FROM packets UNION SELECT {S}, dst_ip, 'Internet' FROM packets
+      UNION SELECT {S}, {_SS}, 'Transport' FROM packets WHERE src_port <> '' AND dst_port <> ''
+      UNION SELECT {S}, {_DS}, 'Transport' FROM packets WHERE src_port <> '' AND dst_port <> ''"""
+
+
+@query(
+    "multilayer_graph_edges",
+    f"""WITH {{packets}}, {MULTILAYER}
       SELECT snapshot_id, src, dst, {r("sum(size)", "size", 4)}, count(*) AS count FROM e GROUP BY ALL""",
 )
 def multilayer_graph_edges(spark, sf):
@@ -79,11 +87,7 @@ def multilayer_graph_edges(spark, sf):
 
 @query(
     "multilayer_graph_nodes",
-    f"""WITH {{packets}} SELECT {S}, src_mac AS node, 'Physical' AS layer FROM packets
-      UNION SELECT {S}, dst_mac, 'Physical' FROM packets
-      UNION SELECT {S}, src_ip, 'Internet' FROM packets UNION SELECT {S}, dst_ip, 'Internet' FROM packets
-      UNION SELECT {S}, {_SS}, 'Transport' FROM packets WHERE src_port <> '' AND dst_port <> ''
-      UNION SELECT {S}, {_DS}, 'Transport' FROM packets WHERE src_port <> '' AND dst_port <> ''""",
+    f"WITH {{packets}} {NODES}",
 )
 def multilayer_graph_nodes(spark, sf):
     return G.multilayer_nodes(snapshots(spark, sf))
@@ -176,7 +180,7 @@ def largest_component_ratio(spark, sf):
       lcc AS (SELECT snapshot_id, a AS node, size FROM comp JOIN best USING (snapshot_id, label)),
       walk(snapshot_id, a, b, d) AS (SELECT snapshot_id, node, node, 0 FROM lcc UNION
         SELECT w.snapshot_id, w.a, adj.b, w.d + 1 FROM walk w JOIN adj ON adj.snapshot_id = w.snapshot_id AND adj.a = w.b
-        WHERE w.d < 12),
+        WHERE w.d < 20),
       dist AS (SELECT snapshot_id, a, b, min(d) AS d FROM walk GROUP BY ALL)
       SELECT snapshot_id, {r("CASE WHEN max(size) > 1 THEN sum(d) / (max(size) * (max(size) - 1)) ELSE 0 END", "avg_shortest_path_length_lcc")},
         max(d) AS diameter_lcc FROM dist JOIN (SELECT DISTINCT snapshot_id, size FROM lcc) USING (snapshot_id) GROUP BY ALL""",
@@ -255,11 +259,26 @@ def edge_reconstruction_loss(spark, sf):
     return rounded(G.reconstruction_loss(G.edge_scores(ip_edges(spark, sf), _vectors(spark, sf))))
 
 
-@query("negative_edges")
+@query(
+    "negative_edges",
+    f"""WITH {{packets}}, {EDGES}, n AS (SELECT snapshot_id, src AS node FROM edges UNION SELECT snapshot_id, dst FROM edges),
+      k AS (SELECT snapshot_id, count(*) AS n FROM n GROUP BY ALL),
+      e AS (SELECT snapshot_id, count(*) AS every, count(*) FILTER (src <> dst) AS own FROM edges GROUP BY ALL)
+      SELECT snapshot_id, least(every, n * (n - 1) - own) AS drawn, CAST(0 AS BIGINT) AS existing, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS loops
+      FROM e JOIN k USING (snapshot_id)""",
+)
 def negative_edges(spark, sf):
-    edges = ip_edges(spark, sf)
+    """The draws are seeded; what SQL can check is their number, and that none exists, repeats or joins a node to itself."""
+    edges = ip_edges(spark, sf).select(SNAP, "src", "dst").distinct()
     nodes = edges.select(SNAP, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return G.negative_edges(nodes, edges)
+    drawn = G.negative_edges(nodes, edges).groupBy(SNAP, "src", "dst").agg(F.count("*").alias("times"))
+    known = edges.withColumn("known", F.lit(1))
+    return drawn.join(known, [SNAP, "src", "dst"], "left").groupBy(SNAP).agg(
+        F.sum("times").alias("drawn"),
+        F.count("known").alias("existing"),
+        F.count_if(F.col("times") > 1).alias("repeated"),
+        F.count_if(F.col("src") == F.col("dst")).alias("loops"),
+    )
 
 
 @query(

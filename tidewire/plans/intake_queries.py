@@ -9,7 +9,7 @@ from tidewire.operators import graph as G
 from tidewire.operators import index as IX
 from tidewire.operators import meta as M
 from tidewire.plans import chains as CH
-from tidewire.plans.graph_queries import S, snapshots
+from tidewire.plans.graph_queries import MULTILAYER, NODES, S, snapshots
 from tidewire.plans.registry import query, r, round_stats, rounded
 from tidewire.plans.score_queries import (
     _DOUBLES,
@@ -204,24 +204,24 @@ def stage_csv(spark, sf):
 
 def _graph_tables(spark, sf):
     rows = snapshots(spark, sf)
-    return G.layer_nodes(rows, "physical"), G.multilayer_edges(rows).where("src LIKE 'm%' AND dst LIKE 'm%'")
+    return G.multilayer_nodes(rows), G.multilayer_edges(rows)
 
 
 @query(
     "graph_documents",
-    f"""WITH {{packets}}, e AS (SELECT {S}, src_mac AS src, dst_mac AS dst, packet_size FROM packets)
-      SELECT snapshot_id, src, dst, count(*) AS count, {r("sum(packet_size)", "size", 4)} FROM e GROUP BY ALL""",
+    f"""WITH {{packets}}, {MULTILAYER}
+      SELECT snapshot_id, src, dst, count(*) AS count, {r("sum(size)", "size", 4)} FROM e GROUP BY ALL""",
 )
 def graph_documents(spark, sf):
     """Write snapshots as JSON documents, read them back and list their links."""
     path = staging_path(spark, "graphs")
-    ST.write_graphs(ST.graph_documents(*_graph_tables(spark, sf), max_items=150), path)
+    ST.write_graphs(ST.graph_documents(*_graph_tables(spark, sf), parts=3), path)
     return rounded(ST.read_graphs(spark, path)[1], 4)
 
 
 @query(
     "scored_documents",
-    f"""WITH {{packets}}, ends AS (SELECT {S}, src_mac AS node, packet_size FROM packets UNION ALL SELECT {S}, dst_mac, packet_size FROM packets),
+    f"""WITH {{packets}}, ends AS ({NODES}),
       sc AS (SELECT {S}, max(packet_size) AS graph_as, CAST(100 AS DOUBLE) AS threshold FROM packets GROUP BY ALL)
       SELECT DISTINCT snapshot_id, node, graph_as, threshold FROM ends JOIN sc USING (snapshot_id)""",
 )

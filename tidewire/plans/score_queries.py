@@ -83,7 +83,8 @@ def quantile_state(spark, sf):
     by_user = Q.quantile_state(table(spark, sf, "events"), ["value"], group=["event_type", "user_id"])
     path = staging_path(spark, "quantiles")
     by_user.write.parquet(path)  # one stored state per entity, merged on reading
-    return Q.state_quantiles(Q.merge_states(spark.read.parquet(path), group=["event_type"]), [0.16, 0.5, 0.84])
+    merged = Q.merge_states(spark.read.parquet(path), group=["event_type"])
+    return Q.state_quantiles(merged, [0.16, 0.5, 0.84], group=["event_type"])
 
 
 @query(
@@ -385,7 +386,7 @@ def reconstruction_scores(spark, sf):
 
 
 def _wide(spark, sf):
-    names = [f"x{i}" for i in range(24)]
+    names = [f"x{i}" for i in range(64)]
     return table(spark, sf, "embeddings").selectExpr(
         "vec_id", "label", *[f"cast(embedding[{i}] AS double) AS {n}" for i, n in enumerate(names)]
     ), names

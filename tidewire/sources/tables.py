@@ -61,25 +61,23 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").parquet(path)
 
 
-def graph_documents(nodes: DataFrame, edges: DataFrame, *, time: DataFrame | None = None, max_items: int = 100_000) -> DataFrame:
+def graph_documents(nodes: DataFrame, edges: DataFrame, *, time: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """Snapshots as node-link documents.
 
-    A snapshot with more than ``max_items`` nodes or links is split over several documents with the same
-    ``snapshot_id`` (by a hash of the item), so no task holds an unbounded snapshot; reading puts the parts
-    together again.
+    Every snapshot becomes ``parts`` documents with the same ``snapshot_id`` (by a hash of the item); a part without
+    nodes or links is left out. Take more parts where snapshots are large; reading puts them together again.
     """
     node_fields = [F.col("node").alias("id"), *[F.col(c) for c in ("layer", "count", "size") if c in nodes.columns]]
     link_fields = [
         F.col("src").alias("source"), F.col("dst").alias("target"), *[F.col(c) for c in ("count", "size") if c in edges.columns]
     ]
 
-    def parts(df: DataFrame, key: Sequence[str], fields, name: str) -> DataFrame:
-        sizes = df.groupBy(SNAP).agg(F.ceil(F.count("*") / F.lit(max_items)).alias("_parts"))
-        part = F.pmod(F.xxhash64(*key), F.col("_parts")).alias("part")
-        return df.join(sizes, on=SNAP).groupBy(SNAP, part).agg(F.collect_list(F.struct(*fields)).alias(name))
+    def packed_by(df: DataFrame, key: Sequence[str], fields, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*key), F.lit(parts)).alias("part")
+        return df.groupBy(SNAP, part).agg(F.collect_list(F.struct(*fields)).alias(name))
 
-    packed = parts(nodes, ["node"], node_fields, "nodes").join(
-        parts(edges, ["src", "dst"], link_fields, "links"), on=[SNAP, "part"], how="full"
+    packed = packed_by(nodes, ["node"], node_fields, "nodes").join(
+        packed_by(edges, ["src", "dst"], link_fields, "links"), on=[SNAP, "part"], how="full"
     )
     stamp = F.col(SNAP).cast("double")
     if time is not None:
