@@ -131,3 +131,22 @@ def test_peek_leaves_history_alone(spark):
     rows = TR.peek(history, new, "src", "v", rates=(1.0,)).orderBy("seq").collect()
     assert [r["stat_1_weight"] for r in rows] == pytest.approx([1.5, 1.5])
     assert [r["stat_1_mean"] for r in rows] == pytest.approx([8 / 1.5, 10 / 1.5])
+
+
+def test_captures_share_packet_numbers(spark):
+    schema = "file string, seq long, t double, protocol string, src_mac string, dst_mac string, src_ip string, dst_ip string, src_port string, dst_port string, packet_size double"
+    rows = [(f, i, 0.5 * i, "TCP", "m1", "m2", "a", "b", "1", "2", size + i) for f, size in (("one", 10.0), ("two", 99.0)) for i in range(3)]
+    both = spark.createDataFrame(rows, schema)
+    for form in (TR.traffic_features, TR.link_features):
+        found = sorted(map(tuple, form(both, (1.0,)).collect()))
+        alone = [tuple(r) for f in ("one", "two") for r in form(both.where(f"file = '{f}'"), (1.0,)).collect()]
+        assert len(found) == 6 and found == sorted(alone)
+        assert found[0] != found[3]
+
+
+def test_late_packets_cross_chunks(spark):
+    rows = [(i, float(i), "a", "b", 1.0) for i in range(10)]
+    late = [(9 - i, t, a, b, v) for i, t, a, b, v in rows]
+    for chunk in (1 << 20, 3):
+        found = TR.keyed_statistics(spark.createDataFrame(late, SCHEMA), "src", "v", rates=(1.0,), chunk_rows=chunk).collect()
+        assert max(r["stat_1_weight"] for r in found) == pytest.approx(2 - 2.0**-9)

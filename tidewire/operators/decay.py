@@ -58,8 +58,8 @@ def decayed_sums(
     terms: Sequence[Term],
     *,
     time: str = "t",
-    order: Sequence[str] = ("t", "seq"),
-    arrival: str = "seq",
+    order: Sequence[str] = ("_arrival",),
+    arrival: str = "_arrival",
     gap_where: str | None = None,
     first_is_zero: bool = False,
     bits: int = 400,
@@ -69,7 +69,7 @@ def decayed_sums(
     """Add one decayed sum per term to ``events``.
 
     keys           columns of the statistic's key (never null).
-    order          row order inside a key; ``arrival`` must grow with it.
+    order          row order inside a key; ``arrival`` (see ``index.arrival``) must grow with it and with time.
     gap_where      SQL condition of the rows whose value is the time since the key's previous row (0 for
                    the first row); their terms take ``gap ** power`` in place of ``value``.
     first_is_zero  the first row of a key adds nothing.

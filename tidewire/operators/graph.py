@@ -133,13 +133,6 @@ def complete_pair_count(nodes: DataFrame) -> DataFrame:
     )
 
 
-def pair_ends(pair: str, n: str) -> tuple[str, str]:
-    """SQL of the two node numbers of ordered pair ``pair`` in the complete graph on ``n`` nodes."""
-    first = f"({pair} div ({n} - 1))"
-    second = f"({pair} % ({n} - 1) + CASE WHEN {pair} % ({n} - 1) >= {first} THEN 1 ELSE 0 END)"
-    return first, second
-
-
 def degree_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Size, density and degree statistics per snapshot of an undirected graph."""
     ends = edges.select(SNAP, F.explode(F.array("src", "dst")).alias("node"), F.lit(1).alias("one"))

@@ -37,6 +37,17 @@ def row_index(
     )
 
 
+def arrival(
+    df: DataFrame, stream: Sequence[str] = (), *, order: Sequence[str] = ("t", "seq"), name: str = "_arrival"
+) -> DataFrame:
+    """Number the rows of each stream in time order; a table that is numbered already stays as it is.
+
+    Sources may deliver late, and their own numbers may jump (byte offsets) or repeat (one capture's number in
+    another one), so order and identity of rows rest on this number only.
+    """
+    return df if name in df.columns else row_index(df, order, stream=stream, name=name)
+
+
 def batches(df: DataFrame, index: str = "idx", rows: int = BATCH_ROWS, name: str = "batch_id") -> DataFrame:
     """Fixed-size micro-batches from an arrival number."""
     return df.withColumn(name, F.floor(F.col(index) / F.lit(rows)))

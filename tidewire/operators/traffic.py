@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
 from tidewire.operators.decay import Term, decayed_sums, statistic_terms
+from tidewire.operators.index import arrival
 from tidewire.schema import DECAY_RATES, PROTOCOL_IDS, WEIGHT_FLOOR
 
 STATS_1D = ("weight", "mean", "std")
@@ -62,16 +63,17 @@ def statistics(
     *,
     rates: Sequence[float] = DECAY_RATES,
     keep: Sequence[str] = ("t",),
-    session: Sequence[str] = (),
+    stream: Sequence[str] = (),
     **options,
 ) -> DataFrame:
-    """One row per packet with all requested statistics.
+    """One row per packet with all requested statistics, by ``stream`` columns and ``seq``.
 
     Every packet contributes one row per single and two per pair to one key-event table; the sums of all
     statistics come from one windowed pass, the link covariances from a second one. Both endpoint states
-    of a packet meet again by one shuffle on ``seq``, which the covariance pass and the result share.
-    ``session`` columns join the keys (independent streams). ``keep`` columns pass through.
+    of a packet meet again by one shuffle on its place in time, which the covariance pass and the result share.
+    Each ``stream`` (a capture file) has its own packet numbers and statistics. ``keep`` columns pass through.
     """
+    packets = arrival(packets, stream)
     slots: list[tuple[int, str, str]] = []
     for number, single in enumerate(singles):
         slots.append((number, single.key, single.value or "0D"))
@@ -80,7 +82,8 @@ def statistics(
         slots.append((number, pair.dst, f"-({pair.value})"))
     gap_kinds = [str(number) for number, single in enumerate(singles) if single.value is None]
     tags = [C.decay_tag(rate) for rate in rates]
-    row_id = [*session, "seq"]
+    row_id = [*stream, "_arrival"]
+    shown = [*stream, "seq"]
 
     entries = ", ".join(
         f"named_struct('slot', {slot}, 'kind', {kind}, 'key', cast({key} AS string), 'v', cast({value} AS double))"
@@ -89,9 +92,9 @@ def statistics(
     events = packets.selectExpr(*row_id, "t", f"explode(array({entries})) AS e").selectExpr(*row_id, "t", "e.*")
     sums = decayed_sums(
         events,
-        [*session, "kind", "key"],
+        [*stream, "kind", "key"],
         statistic_terms("v", rates),
-        order=("t", "seq", "slot"),
+        order=("_arrival", "slot"),
         gap_where=f"kind IN ({', '.join(gap_kinds)})" if gap_kinds else None,
         **options,
     )
@@ -122,10 +125,10 @@ def statistics(
             )
         ]
 
-    kept = [name for name in keep if name not in row_id]
+    kept = [name for name in keep if name not in shown]
     facts = packets.selectExpr(
         *row_id,
-        *dict.fromkeys(["t", *kept]),
+        *dict.fromkeys(["seq", "t", *kept]),
         *[
             text
             for number, pair in enumerate(pairs)
@@ -136,11 +139,11 @@ def statistics(
             )
         ],
     )
-    # Both sides have one row per packet and are placed by ``seq``: never worth a broadcast.
+    # Both sides have one row per packet and are placed alike: never worth a broadcast.
     wide = pivot.hint("merge").join(facts, on=row_id)
     singles_out = [text for number, single in enumerate(singles) for text in one_sided(single.name, number)]
     if not pairs:
-        return wide.selectExpr(*row_id, *kept, *singles_out)
+        return wide.selectExpr(*shown, *kept, *singles_out)
 
     def endpoint(number: int, part: str, tag: str) -> str:
         """The source state the covariance sees: after both updates, so a packet to itself reads the second."""
@@ -164,9 +167,8 @@ def statistics(
     )
     residuals = decayed_sums(
         link_rows,
-        [*session, "pair", "link"],
+        [*stream, "pair", "link"],
         [Term(f"sr_{tag}", rate, f"r_{tag}") for tag, rate in zip(tags, rates, strict=True)],
-        order=("t", "seq"),
         first_is_zero=True,
         **options,
     )
@@ -198,7 +200,12 @@ def statistics(
                 f"c{number}[{place}] AS {pair.name}_{tag}_covariance",
                 f"c{number}[{len(tags) + place}] AS {pair.name}_{tag}_pcc",
             ]
-    return wide.hint("merge").join(by_packet, on=row_id).selectExpr(*row_id, *kept, *singles_out, *pair_out)
+    return wide.hint("merge").join(by_packet, on=row_id).selectExpr(*shown, *kept, *singles_out, *pair_out)
+
+
+def capture_stream(packets: DataFrame, stream: Sequence[str] | None) -> list[str]:
+    """The columns that tell captures apart: ``file`` where the table has it, unless stated otherwise."""
+    return list(stream) if stream is not None else [c for c in ("file",) if c in packets.columns]
 
 
 def _ordered(names: Sequence[str], stats: Sequence[str], rates: Sequence[float]) -> list[str]:
@@ -206,12 +213,20 @@ def _ordered(names: Sequence[str], stats: Sequence[str], rates: Sequence[float])
 
 
 def traffic_features(
-    packets: DataFrame, rates: Sequence[float] = DECAY_RATES, *, arp_by_mac: bool = False, **options
+    packets: DataFrame,
+    rates: Sequence[float] = DECAY_RATES,
+    *,
+    arp_by_mac: bool = False,
+    stream: Sequence[str] | None = None,
+    **options,
 ) -> DataFrame:
     """The tabular form: ``t`` and 20 statistics per decay rate (100 columns for five rates).
 
+    Every capture file is a stream of its own and its name part of the result; ``stream=()`` reads all as one.
+
     ``arp_by_mac`` keys the socket statistic of ARP packets by hardware address.
     """
+    streams = capture_stream(packets, stream)
     src_socket, dst_socket = KEYS["src_socket"], KEYS["dst_socket"]
     if arp_by_mac:
         src_socket = f"CASE WHEN lower(src_port) = 'arp' THEN src_mac ELSE {src_socket} END"
@@ -224,9 +239,11 @@ def traffic_features(
             Pair("socket", src_socket, dst_socket, "packet_size"),
         ],
         rates=rates,
+        stream=streams,
         **options,
     )
     return wide.select(
+        *streams,
         "seq",
         "t",
         *_ordered(("src_mac_ip", "jitter"), STATS_1D, rates),
@@ -238,9 +255,12 @@ def link_features(
     packets: DataFrame,
     rates: Sequence[float] = DECAY_RATES,
     protocol_ids: dict[str, int] | None = None,
+    *,
+    stream: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
-    """The graph form: endpoint, gap and link statistics per (hardware address, layer)."""
+    """The graph form: endpoint, gap and link statistics per (hardware address, layer), per capture file."""
+    streams = capture_stream(packets, stream)
     layered = packets.selectExpr("*", f"{layer_id_sql('protocol', protocol_ids)} AS protocol_id")
     src = "concat_ws('/', src_mac, cast(protocol_id AS string))"
     dst = "concat_ws('/', dst_mac, cast(protocol_id AS string))"
@@ -250,10 +270,12 @@ def link_features(
         [Pair("link", src, dst, "packet_size")],
         rates=rates,
         keep=("t", "src_mac", "dst_mac", "protocol_id"),
+        stream=streams,
         **options,
     )
     tags = [C.decay_tag(rate) for rate in rates]
     return wide.selectExpr(
+        *streams,
         "seq",
         "t",
         "1 AS type",
@@ -281,11 +303,13 @@ def keyed_statistics(
     """Weight, mean and deviation of one keyed statistic per packet.
 
     With a single statistic no packet needs to be put together again, so the result stays where the
-    windows left it: one shuffle of the packets in all. ``keys`` adds further key columns.
+    windows left it: one shuffle of the packets besides the numbering. ``keys`` adds further key columns, such as
+    the capture file.
     """
     kept = [c for c in dict.fromkeys([*keep, *keys]) if c != "seq"]
-    rows = packets.selectExpr(
+    rows = arrival(packets).selectExpr(
         "seq",
+        "_arrival",
         *dict.fromkeys(["t", *kept, *keys]),
         f"cast({key} AS string) AS _key",
         f"cast({value or '0D'} AS double) AS _value",
@@ -343,10 +367,10 @@ def idle_sessions(
     keys = list(keys)
     slow = min(rates)
     group = ", ".join([*keys, "_chunk"])
-    weighed = decayed_sums(rows, keys, [Term("weight", slow)], chunk_rows=chunk_rows, **options).selectExpr(
-        "*", f"t + log2(weight / {floor!r}D) / {slow!r}D AS expires_at", f"floor(seq / {chunk_rows}) AS _chunk"
+    weighed = decayed_sums(arrival(rows), keys, [Term("weight", slow)], chunk_rows=chunk_rows, **options).selectExpr(
+        "*", f"t + log2(weight / {floor!r}D) / {slow!r}D AS expires_at", f"floor(_arrival / {chunk_rows}) AS _chunk"
     )
-    in_chunk = f"PARTITION BY {group} ORDER BY t, seq"
+    in_chunk = f"PARTITION BY {group} ORDER BY _arrival"
     flagged = weighed.selectExpr(
         "*", f"CASE WHEN t > lag(expires_at) OVER ({in_chunk}) THEN 1 ELSE 0 END AS _new"
     )
@@ -356,7 +380,7 @@ def idle_sessions(
         .agg(
             F.sum("_new").alias("_n"),
             F.min("t").alias("_first"),
-            F.max_by("expires_at", F.struct("t", "seq")).alias("_end"),
+            F.max_by("expires_at", "_arrival").alias("_end"),
         )
         .selectExpr("*", f"CASE WHEN _first > lag(_end) OVER ({by_key}) THEN 1 ELSE 0 END AS _cut")
         .selectExpr(*keys, "_chunk", f"sum(_n + _cut) OVER ({by_key} ROWS UNBOUNDED PRECEDING) - _n AS _base")
@@ -373,7 +397,7 @@ def statistics_with_expiry(
     packets: DataFrame, key: str, value: str | None, *, rates: Sequence[float] = DECAY_RATES, **options
 ) -> DataFrame:
     """Keyed statistics that start afresh once they have died out."""
-    keyed = packets.selectExpr("*", f"cast({key} AS string) AS stat_key")
+    keyed = arrival(packets).selectExpr("*", f"cast({key} AS string) AS stat_key")
     sessions = idle_sessions(keyed, ["stat_key"], rates=rates, **options).drop("weight", "expires_at")
     return keyed_statistics(
         sessions, "stat_key", value, rates=rates, keep=("t", "stat_key", "session"), keys=("session",), **options
@@ -431,7 +455,8 @@ def peek(
             Term(f"s_{tag}", rate, f"{own} * v"),
             Term(f"ss_{tag}", rate, f"{own} * v * v"),
         ]
-    state = decayed_sums(rows, ["key"], terms, order=("t", "new", "seq"), **options).where("new = 1")
+    placed = arrival(rows, order=("t", "new", "seq"))
+    state = decayed_sums(placed, ["key"], terms, **options).where("new = 1")
     out = []
     for tag in map(C.decay_tag, rates):
         w, s, ss = f"(w_{tag} + 1D)", f"(s_{tag} + v)", f"(ss_{tag} + v * v)"

@@ -77,6 +77,14 @@ def jitter_statistics(spark, sf):
     return round_stats(df.withColumn("t", F.round("t", 6)))
 
 
+@query("late_packets", keyed_sql("file || src_mac || '_' || src_ip", "packet_size"))
+def late_packets(spark, sf):
+    """Statistics per capture of packets that arrive in reverse, across many chunks."""
+    late = packets(spark, sf).selectExpr("* EXCEPT (seq)", "10000000 - seq AS seq", "seq AS event")
+    df = TR.keyed_statistics(late, TR.KEYS["mac_ip"], "packet_size", keys=("file",), keep=("t", "event"), chunk_rows=64)
+    return round_stats(df.drop("seq", "file").withColumnRenamed("event", "seq").withColumn("t", F.round("t", 6)))
+
+
 def wide_sql(singles: list[tuple[str, str, str]], pairs: list[tuple[str, str, str]], layered: bool = False) -> str:
     """CTEs of a full statistics table: ``singles`` (name, key, value|gap), ``pairs`` (name, src, dst)."""
     ctes = ["{packets}"]
@@ -203,7 +211,7 @@ _T9_PAIRS = [
     + joins(["src_mac_ip", "jitter"], ["channel", "socket"]),
 )
 def traffic_features(spark, sf):
-    return round_stats(TR.traffic_features(packets(spark, sf)).withColumn("t", F.round("t", 6)))
+    return round_stats(TR.traffic_features(packets(spark, sf), stream=()).withColumn("t", F.round("t", 6)))
 
 
 _LAYER_SRC = "(src_mac || '/' || layer)"
@@ -227,7 +235,7 @@ _LAYER_DST = "(dst_mac || '/' || layer)"
     + joins(["jitter"], ["link"]),
 )
 def link_features(spark, sf):
-    return round_stats(TR.link_features(packets(spark, sf)).withColumn("t", F.round("t", 6)))
+    return round_stats(TR.link_features(packets(spark, sf), stream=()).withColumn("t", F.round("t", 6)))
 
 
 @query(
