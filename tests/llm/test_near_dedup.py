@@ -40,3 +40,21 @@ def test_strangers_in_a_bucket(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == near_components(rows)
+
+
+def test_blocks_of_a_divided_bucket(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = rng.choice(["p", "q", f"r{k}"])
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(base[:60] + [f"s{k}-{i}" for i in range(30 + k)])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == near_components(rows)
