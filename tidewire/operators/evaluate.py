@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.columns import cap_infinite, ratio_or
 from tidewire.operators.index import running_totals
 
+# Column names of the published results.
 METRICS = (
     "detection_rate",
     "lower_quartile_score",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import quantiles as Q
 from tidewire.operators import evaluate as E
 from tidewire.operators import graph as G
 from tidewire.operators import index as IX
@@ -497,13 +498,16 @@ def saved_state_detection(spark, sf):
     return rounded(CH.apply_detector(rows.where("file NOT LIKE 'benign%'"), SIZES, state, queue=2000))
 
 
-@query("reloaded_state_difference", "WITH {packets} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM (SELECT DISTINCT file FROM packets)")
+@query(
+    "reloaded_state_difference",
+    f"""WITH {{packets}}, {SIZED} SELECT 'packet_size' AS feature, count(packet_size) AS rows, quantile_disc(packet_size, 0.16) AS q0,
+        quantile_disc(packet_size, 0.5) AS q1, quantile_disc(packet_size, 0.84) AS q2 FROM sized
+      UNION ALL SELECT 'k', count(k), quantile_disc(k, 0.16), quantile_disc(k, 0.5), quantile_disc(k, 0.84) FROM sized""",
+)
 def reloaded_state_difference(spark, sf):
-    """Save a state table, load it and count the rows that changed."""
-    totals = packets(spark, sf).groupBy("file").agg(F.count("*").alias("n"), F.sum("packet_size").alias("bytes"))
+    """State saved half way, read back and continued; SQL reads the same quantiles from one uninterrupted run."""
+    rows = sized(spark, sf)
     path = staging_path(spark, "state")
-    totals.write.parquet(path)
-    loaded = spark.read.parquet(path)
-    return loaded.agg(F.count("*").alias("rows")).withColumn(
-        "different", E.table_difference(totals, loaded, digits=6).agg(F.count("*").alias("n")).scalar()
-    )
+    Q.quantile_state(rows.where("batch_id % 2 = 0"), SIZES).write.parquet(path)
+    rest = Q.quantile_state(rows.where("batch_id % 2 = 1"), SIZES)
+    return Q.state_quantiles(Q.merge_states(spark.read.parquet(path).unionByName(rest)), [0.16, 0.5, 0.84])
