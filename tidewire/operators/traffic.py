@@ -64,6 +64,7 @@ def statistics(
     rates: Sequence[float] = DECAY_RATES,
     keep: Sequence[str] = ("t",),
     stream: Sequence[str] = (),
+    joint: bool = True,
     **options,
 ) -> DataFrame:
     """One row per packet with all requested statistics, by ``stream`` columns and ``seq``.
@@ -71,7 +72,7 @@ def statistics(
     Every packet contributes one row per single and two per pair to one key-event table; the sums of all
     statistics come from one windowed pass, the link covariances from a second one. Both endpoint states
     of a packet meet again by one shuffle on its place in time, which the covariance pass and the result share.
-    Each ``stream`` (a capture file) has its own packet numbers and statistics. ``keep`` columns pass through.
+    Without ``joint`` that second pass and its columns (covariance, pcc) are left out. Each ``stream`` (a capture file) has its own packet numbers and statistics. ``keep`` columns pass through.
     """
     packets = arrival(packets, stream)
     slots: list[tuple[int, str, str]] = []
@@ -150,6 +151,22 @@ def statistics(
         first = len(singles) + 2 * number
         return f"(CASE WHEN _src{number} = _dst{number} THEN {at(first + 1, part, tag)} ELSE {at(first, part, tag)} END)"
 
+    def two_sided(number: int, pair: Pair) -> list[str]:
+        first = len(singles) + 2 * number
+        second = first + 1
+        out = one_sided(pair.name, first) + one_sided(f"{pair.name}_dst", second)
+        for tag in tags:
+            ends = endpoint(number, "m", tag), at(second, "m", tag)
+            spreads = endpoint(number, "q", tag), at(second, "q", tag)
+            out += [
+                f"{C.magnitude_sql(*ends)} AS {pair.name}_{tag}_magnitude",
+                f"{C.magnitude_sql(*spreads)} AS {pair.name}_{tag}_radius",
+            ]
+        return out
+
+    pair_out = [text for number, pair in enumerate(pairs) for text in two_sided(number, pair)]
+    if not joint:
+        return wide.selectExpr(*shown, *kept, *singles_out, *pair_out)
     links = []
     for number in range(len(pairs)):
         second = len(singles) + 2 * number + 1
@@ -185,18 +202,9 @@ def statistics(
         .groupBy(*row_id)
         .agg(*[F.expr(f"first(CASE WHEN pair = {number} THEN c END, true) AS c{number}") for number in range(len(pairs))])
     )
-    pair_out = []
     for number, pair in enumerate(pairs):
-        first = len(singles) + 2 * number
-        second = first + 1
-        pair_out += one_sided(pair.name, first) + one_sided(f"{pair.name}_dst", second)
-        for tag in tags:
-            place = tags.index(tag)
-            ends = endpoint(number, "m", tag), at(second, "m", tag)
-            spreads = endpoint(number, "q", tag), at(second, "q", tag)
+        for place, tag in enumerate(tags):
             pair_out += [
-                f"{C.magnitude_sql(*ends)} AS {pair.name}_{tag}_magnitude",
-                f"{C.magnitude_sql(*spreads)} AS {pair.name}_{tag}_radius",
                 f"c{number}[{place}] AS {pair.name}_{tag}_covariance",
                 f"c{number}[{len(tags) + place}] AS {pair.name}_{tag}_pcc",
             ]

@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from tidewire.operators.folds import chunked_fold
 
 
+GRID_BLOCK = 65_536  # windows of the grid that one row lists
+
+
 def frequency(df: DataFrame, window: float = 1.0, *, time: str = "t", stream: Sequence[str] = ()) -> DataFrame:
     """Rows per tumbling window, anchored at the stream's first timestamp.
 
@@ -29,7 +32,14 @@ def frequency(df: DataFrame, window: float = 1.0, *, time: str = "t", stream: Se
     counts = rows.groupBy(*stream, number.alias("n")).agg(F.count("*").alias("frequency"))
     # Windows 0 .. last, where the last one starts more than one window before the end.
     last = F.ceil((F.col("_t1") - F.col("_t0")) / F.lit(float(window))) - 2
-    grid = span.where(last >= 0).select(*stream, "_t0", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n"))
+    # The grid grows with the time range, so it is dealt out in blocks before it is listed.
+    blocks = span.where(last >= 0).select(
+        *stream, "_t0", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / GRID_BLOCK))).alias("_block")
+    )
+    start = F.col("_block") * GRID_BLOCK
+    grid = blocks.repartition("_block").select(
+        *stream, "_t0", F.explode(F.sequence(start, F.least(start + (GRID_BLOCK - 1), F.col("_last")))).alias("n")
+    )
     return grid.join(counts, on=[*stream, "n"], how="left").select(
         *stream,
         (F.col("_t0") + F.col("n") * F.lit(float(window))).alias("window_start"),

@@ -175,7 +175,7 @@ _IP_PAIR = [("channel", "src_ip", "dst_ip")]
     f"{wide_sql([], _IP_PAIR)} SELECT p.seq, {', '.join(single_columns('channel_src', 'channel'))} {joins([], ['channel'])}",
 )
 def two_role_statistics(spark, sf):
-    df = TR.link_statistics(packets(spark, sf), "src_ip", "dst_ip", "packet_size", name="channel")
+    df = TR.link_statistics(packets(spark, sf), "src_ip", "dst_ip", "packet_size", name="channel", joint=False)
     return round_stats(df.select("seq", *[f"channel_{tag}_{s}" for _, tag in TAGS for s in TR.STATS_1D]))
 
 
