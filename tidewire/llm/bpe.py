@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BUCKETS = 1 << 17  # of the pair table, about one pair each
 WORDS_A_BATCH = 2_000_000  # words whose distinct ones are folded together
+CACHED, CACHE_ROWS = 150_000, 20_000  # size of the cache of frequent words, and of the sample it is taken from
 LONG = 256  # bytes; longer words are merged with a heap, since a fold takes quadratic time
 
 
@@ -65,6 +67,10 @@ def fold_merges(ids: Column, pairs: Column) -> Column:
         ids, ranks = state["ids"], state["ranks"]
 
         def at(p: Column) -> Column:
+            # No place, no pair with a rank: the word is done.
+            return F.when(p.isNull(), state).otherwise(merged_at(p))
+
+        def merged_at(p: Column) -> Column:
             new = F.element_at(ranks, p)
             size = F.size(ranks)
             left = F.when(p > 1, F.array(_pair(pairs, F.element_at(ids, F.greatest(p - 1, F.lit(1))), new))).otherwise(F.slice(ranks, 1, 0))
@@ -74,13 +80,12 @@ def fold_merges(ids: Column, pairs: Column) -> Column:
                 F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, size)).alias("ranks"),
             )
 
-        place = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        return F.when(F.array_min(ranks).isNull(), state).otherwise(_with(place, at))
+        return _with(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
 
     size = F.size(ids)
     ranks = F.transform(F.sequence(F.lit(1), size - 1), lambda i: _pair(pairs, F.element_at(ids, i), F.element_at(ids, i + 1)))
     folded = F.aggregate(F.sequence(F.lit(1), size - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), merge, lambda s: s["ids"])
-    return F.when((size < 2) | (size > LONG), ids).otherwise(folded)
+    return F.when(size < 2, ids).otherwise(folded)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -115,49 +120,81 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _distinct(ranks):
-    """Batches of documents' words -> one row per batch: the distinct words as byte ids, documents as places in them."""
+def _distinct(ranks, cache):
+    """Batches of documents' words -> one row per batch: the distinct words as ids, documents as places in them.
+
+    ``fresh`` marks words that still are byte ids; words of the cache, whole tokens and long words come merged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks.value
-        single = np.array([known.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
+        known, merged = ranks.value, cache.value
         for batch in batches:
-            counts = np.array([len(w) if w.is_valid else 0 for w in batch.column(1)], dtype=np.int64)
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
             start, held = 0, 0
             for i, n in enumerate([*counts, None]):
                 if n is None or (held + n > WORDS_A_BATCH and i > start):
                     if i > start:
-                        yield _one(batch.slice(start, i - start), known, single)
+                        yield _one(batch.slice(start, i - start), known, merged)
                     start, held = i, 0
                 held += n or 0
 
     return run
 
 
-def _one(batch: pa.RecordBatch, known: dict[bytes, int], single: np.ndarray) -> pa.RecordBatch:
+def _starts(words: list[bytes], known: dict[bytes, int], merged: dict[bytes, bytes]) -> tuple[pa.Array, pa.Array]:
+    """The words as ids (packed 32-bit integers), and which are fresh."""
+    single = np.array([known.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
+    parts, fresh = [], []
+    for word in words:
+        part = merged.get(word)
+        if part is None:
+            rank = known.get(word)
+            if rank is not None:
+                part = rank.to_bytes(4, "little")
+            elif len(word) > LONG:
+                part = np.array(merge_long(word, known), dtype=np.int32).tobytes()
+        fresh.append(part is None)
+        parts.append(single[list(word)].tobytes() if part is None else part)
+    ends = np.cumsum([0, *map(len, parts)]) // 4
+    ids = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.array(fresh, pa.bool_())
+
+
+def _one(batch: pa.RecordBatch, known: dict[bytes, int], merged: dict[bytes, bytes]) -> pa.RecordBatch:
     lists = batch.column(1)
     coded = lists.flatten().dictionary_encode()
-    words = [known.get(w) or w for w in coded.dictionary.cast(pa.binary()).to_pylist()]
-    ids, ends = [], [0]
-    for word in words:
-        if isinstance(word, int):
-            part = np.array([word], dtype=np.int32)
-        elif word in known:  # rank 0
-            part = np.array([known[word]], dtype=np.int32)
-        elif len(word) > LONG:
-            part = np.array(merge_long(word, known), dtype=np.int32)
-        else:
-            part = single[np.frombuffer(word, dtype=np.uint8)]
-        ids.append(part)
-        ends.append(ends[-1] + len(part))
-    bytes_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+    ids, fresh = _starts(coded.dictionary.cast(pa.binary()).to_pylist(), known, merged)
     offsets = lists.offsets.to_numpy()
     places = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), coded.indices.cast(pa.int32()))
     docs = pa.StructArray.from_arrays([batch.column(0), places], names=["doc_id", "places"])
-    return pa.RecordBatch.from_arrays(
-        [pa.ListArray.from_arrays(pa.array([0, len(bytes_of)], pa.int32()), bytes_of), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)],
-        names=["words", "docs"],
-    )
+    row = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+    return pa.RecordBatch.from_arrays([row(ids), row(fresh), row(docs)], names=["words", "fresh", "docs"])
+
+
+WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counted = batch.column(0).flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.binary()), counted.field(1)], schema=WORD_COUNTS)
+
+
+def frequent_words(split: DataFrame, ranks: dict[bytes, int], pairs: Column) -> dict[bytes, bytes]:
+    """The CACHED most frequent words of a sample of at most about CACHE_ROWS rows, folded once for all batches.
+
+    Only a cache, of bounded size: any other choice, or none, gives the same ids.
+    """
+    share = min(1.0, CACHE_ROWS / max(split.select("doc_id").count(), 1))
+    seen = split.select("words").sample(share, seed=1).mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [bytes(r["word"]) for r in seen.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(CACHED).collect()]
+    words = [w for w in words if w not in ranks]
+    step = 4096
+    blocks = [_starts(words[i : i + step], ranks, {})[0].to_pylist() for i in range(0, len(words), step)]
+    rows = split.sparkSession.createDataFrame(list(enumerate(blocks)), "block int, words array<array<int>>").repartition(max(1, len(blocks)))
+    folded = rows.withColumn("pairs", pairs).select("block", F.transform("words", lambda w: fold_merges(w, F.col("pairs"))).alias("ids"))
+    ids = [i for r in sorted(folded.collect(), key=lambda r: r["block"]) for i in r["ids"]]
+    return {w: np.array(i, dtype=np.int32).tobytes() for w, i in zip(words, ids, strict=True)}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -167,16 +204,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     of special tokens are ordinary text. Inside a task the distinct words of a batch of documents are numbered;
     the merges are folded once per distinct word by higher-order functions with the rank map as a literal value,
     and the documents look their words up by number, so no word is shuffled and no dictionary grows with
-    the corpus. Repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
+    the corpus; the most frequent words are folded once beforehand and handed to all tasks. Repeated rows give
+    repeated rows; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
-    rows = split.mapInArrow(_distinct(spark.sparkContext.broadcast(ranks)), "words array<array<int>>, docs array<struct<doc_id: long, places: array<int>>>")
-    known = rows.withColumn("pairs", pair_table(spark, ranks))
-    folded = known.select("docs", F.transform("words", lambda w: fold_merges(w, F.col("pairs"))).alias("words"))
+    pairs = pair_table(spark, ranks)
+    cache = frequent_words(split, ranks, pairs)
+    share = spark.sparkContext.broadcast
+    rows = split.mapInArrow(
+        _distinct(share(ranks), share(cache)), "words array<array<int>>, fresh array<boolean>, docs array<struct<doc_id: long, places: array<int>>>"
+    )
+    known = rows.withColumn("pairs", pairs)
+    fold = F.transform("words", lambda w, i: F.when(F.element_at(F.col("fresh"), i + 1), fold_merges(w, F.col("pairs"))).otherwise(w))
     # The generator keeps the optimizer from moving the fold into the lookup below.
-    once = folded.select(F.inline(F.array(F.struct("docs", "words"))))
+    once = known.select("docs", fold.alias("words")).select(F.inline(F.array(F.struct("docs", "words"))))
     looked_up = F.transform(
         "docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["places"], lambda p: F.element_at(F.col("words"), p + 1))).alias("ids"))
     )
