@@ -36,22 +36,30 @@ BLOCK = rf"(?<= )(?:(?!{ANCHOR} )[^ ]+ ){{4}}"
 SPOT = rf"(?<= ){ANCHOR} (?=((?:(?:{ANCHOR} )*+[^ ]+ ){{{CHAIN}}}))"
 
 
-def signatures(text: Column) -> Column:
-    """The sorted distinct signatures of a text as 32-bit checksums; only an empty text has none.
+def with_marks(df: DataFrame, text: str, name: str = "marks") -> DataFrame:
+    """Add the sorted distinct signatures of a text column (not null) as 32-bit checksums; only an empty text has none.
 
     Every anchor gives the chain of the next CHAIN content words. Stretches without anchors (lists, tables, other
     languages) give their blocks of four words, so they count too. A text without either gives its words, one without
-    words itself as a whole.
+    words itself as a whole. The generators keep the optimizer from repeating a search for each use.
     """
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spots = F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1))
-    chains = F.transform(spots, lambda s: F.ltrim(F.regexp_replace(F.concat(F.lit(" "), s), rf"(?<= ){ANCHOR} ", "")))
-    words = F.transform(F.filter(F.split(F.trim(plain), " "), lambda w: w != ""), lambda w: F.concat(w, F.lit(" ")))
-    whole = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
-    blocks = F.regexp_extract_all(plain, F.lit(BLOCK), F.lit(0))
-    found = F.when(F.size(spots) + F.size(blocks) > 0, F.concat(chains, blocks)).when(plain != "  ", words).otherwise(whole)
+    spread = df.select("*", F.inline(F.array(F.struct(plain.alias("_plain")))))
+    found = F.struct(F.regexp_extract_all("_plain", F.lit(SPOT), F.lit(1)).alias("_spots"), F.regexp_extract_all("_plain", F.lit(BLOCK), F.lit(0)).alias("_blocks"))
+    spread = spread.select("*", F.inline(F.array(found)))
+
+    def chain(spot: Column) -> Column:
+        # A run of just CHAIN words holds no anchor.
+        clean = F.ltrim(F.regexp_replace(F.concat(F.lit(" "), spot), rf"(?<= ){ANCHOR} ", ""))
+        return F.when(F.length(spot) - F.length(F.replace(spot, F.lit(" "), F.lit(""))) == CHAIN, spot).otherwise(clean)
+
+    chains = F.transform("_spots", chain)
+    words = F.transform(F.filter(F.split(F.trim("_plain"), " "), lambda w: w != ""), lambda w: F.concat(w, F.lit(" ")))
+    whole = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.array(text))
+    marks = F.when(F.size("_spots") + F.size("_blocks") > 0, F.concat(chains, "_blocks")).when(F.col("_plain") != "  ", words).otherwise(whole)
     # 32 bits each; sorted as unsigned numbers.
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.crc32(s.cast("binary")))))
+    checks = F.sort_array(F.array_distinct(F.transform(marks, lambda s: F.crc32(s.cast("binary")))))
+    return spread.select(*df.columns, checks.alias(name))
 
 
 def fingerprint(marks: Column) -> Column:
@@ -104,8 +112,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     doc_id follow by the digest of their text; rows that repeat both are one document and are listed as often. Null
     texts count as empty; an empty table gives an empty result; other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = texts.withColumn("hash", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    lowest = F.lit(-(2**63))  # stands for null
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = texts.select("id", F.xxhash64("text").alias("hash"), "text")
     chain = row_index(
         keyed.select("id", "hash", F.length("text").alias("n")).distinct().withColumn("down", -F.col("id").cast("decimal(20,0)")), ["down", "hash"], name="place"
     )
@@ -114,21 +123,23 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     # The document before a document: it is the one that takes this one's first characters.
     before = chain.select(F.col("id").alias("to_id"), F.col("hash").alias("to_hash"), (F.col("n") / 3).cast("int").alias("take"), F.pmod(F.col("place") + 1, F.lit(max(count, 1))).alias("place"))
     giver = chain.join(before, "place").select("id", "hash", "to_id", "to_hash", "take")
+    # Both uses below read all four columns, so they share one exchange and the signatures are made once.
+    spotted = with_marks(keyed, "text")
     heads = (
-        keyed.join(giver, ["id", "hash"])
-        .select("to_id", "to_hash", F.col("text").substr(F.lit(1), F.col("take")).alias("head"), signatures(F.col("text")).alias("next_marks"))
+        spotted.join(giver, ["id", "hash"])
+        .select("to_id", "to_hash", F.col("text").substr(F.lit(1), F.col("take")).alias("head"), F.col("marks").alias("next_marks"))
         .groupBy(F.col("to_id").alias("id"), F.col("to_hash").alias("hash"))
         .agg(F.first("head").alias("head"), F.first("next_marks").alias("next_marks"))
     )
     size = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), size - (size / 3).cast("int")), F.col("head"))
-    # Null-safe marks: computed once each in the first selection, compared in the second.
-    marked = keyed.join(heads, ["id", "hash"]).select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("marks"), "next_marks")
-    both = marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "marks", "next_marks", signatures(F.col("edited")).alias("edited_marks"))
-    return both.select(
+    marked = spotted.join(heads, ["id", "hash"]).select(
+        F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"), size.cast("long").alias("n_chars"), edited.alias("edited"), "marks", "next_marks"
+    )
+    return with_marks(marked, "edited", "edited_marks").select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("marks")).alias("fingerprint"),
         fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
         likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
