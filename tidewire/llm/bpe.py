@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BUCKETS = 1 << 17  # of the pair table, about one pair each
 WORDS_A_BATCH = 2_000_000  # words whose distinct ones are folded together
-CACHED, CACHE_ROWS = 150_000, 20_000  # size of the cache of frequent words, and of the sample it is taken from
+CACHED, CACHE_ROWS = 80_000, 20_000  # size of the cache of frequent words, and of the sample it is taken from
 LONG = 256  # bytes; longer words are merged with a heap, since a fold takes quadratic time
 
 
