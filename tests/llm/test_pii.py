@@ -67,3 +67,28 @@ def test_rows(spark):
     rows = pii.pseudonymise(docs)
     assert rows.count() == 3 and {r.n_replaced for r in rows.collect()} == {0, 1}
     assert pii.pseudonymise(docs.limit(0)).collect() == []
+
+
+def test_phones(spark):
+    values = [
+        "+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (386) 055-3733", "(017) 555-7713", "017-555-7713", "3865553733", "(386)5553733", "+13865553733",
+        "+44 20 7946 0958", "+442079460958", "+49 (0)30 1234567", "+358 9 123456", "+7 (495) 123-45-67",
+    ]
+    for value, text in zip(values, changed(spark, [f"call {v}, or ({v}) é" for v in values]), strict=True):
+        one, two = re.fullmatch(r"call (.*), or \((.*)\) é", text).groups()
+        assert one == two != value and re.sub("[0-9]", "0", one) == re.sub("[0-9]", "0", value), (value, text)
+        assert value[0] != "+" or one.startswith(re.match(r"\+(1|7|44|49|358)", value)[0])
+        digits, new = (re.sub("[^0-9]", "", x)[-10:] for x in (value, one))
+        assert value[:2] != "+1" or all((digits[i] < "2") == (new[i] < "2") for i in (0, 3)), (value, text)
+    # One number in several forms stays one number.
+    forms = changed(spark, ["+1 (017) 555-7713", "(017) 555-7713", "017.555.7713"])
+    assert len({re.sub("[^0-9]", "", x)[-10:] for x in forms}) == 1
+    quiet = ["1700000000 and 100000 2020", "a 3865553733abc", "x+13865553733", "+1234567"]
+    assert changed(spark, quiet) == quiet
+
+
+def test_phone_permutation(spark):
+    for low, high in ((0, 200), (200, 1000)):
+        ids = spark.range(low, high).select(F.concat(F.lit("017"), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("0042")).alias("d"))
+        moved = ids.select(pii._national(F.col("d"), "key").alias("d"))
+        assert moved.distinct().count() == high - low and moved.where(f"length(d) <> 10 OR d >= '2' OR substr(d, 4, 3) < {low} OR substr(d, 4, 3) >= {high}").isEmpty()

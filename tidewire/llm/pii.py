@@ -11,7 +11,19 @@ ROUNDS = 8
 # What counts as a candidate of a kind. The first alternative that matches a place wins.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9A-Za-z+.(-])(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+# Phone numbers: three, three and four digits after a plus and a country, other numbers after a plus (8 to 15 digits), three,
+# three and four digits divided or in brackets, and ten digits in a row where area and exchange start with 2 to 9.
+BARE = r"(?<![0-9A-Za-z+.-])(?:1[ .-]?)?"
+PHONE = "|".join(
+    (
+        r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+        r"(?<![0-9A-Za-z+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])",
+        BARE + r"(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-]|\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-])[0-9]{4}(?![0-9])",
+        BARE + r"[2-9][0-9]{2}[ .-]?[2-9][0-9]{6}(?![0-9A-Za-z_])",
+    )
+)
+# Country codes of one and two digits; all others have three.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]|[/.-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -107,18 +119,35 @@ def _card(v: Column, key: str) -> Column:
     return F.when(luhn(d) % 10 == 0, _into(v, new)).otherwise(v)
 
 
-def _phone(v: Column, key: str) -> Column:
-    last = F.substr(_digits(v), F.lit(-10))
-    lead = F.substr(_digits(v), F.lit(1), F.length(_digits(v)) - 10)
-    area, office, line = F.substr(last, F.lit(1), F.lit(3)).cast("int") - 200, F.substr(last, F.lit(4), F.lit(3)).cast("int") - 200, F.substr(last, F.lit(7)).cast("int")
-    moved = feistel(area * 800 + office, line, F.lit(640_000), F.lit(10_000), F.lit("phone"), key)
-    new = _let(
+def _national(digits: Column, key: str) -> Column:
+    """Ten digits: an area and an exchange that start with 2 to 9 stay so, and so do those that start with 0 or 1."""
+
+    def part(at: int) -> tuple[Column, Column, Column]:
+        number = F.substr(digits, F.lit(at), F.lit(3)).cast("int")
+        low = number < 200
+        return number, F.when(low, 0).otherwise(200), F.when(low, 200).otherwise(800)
+
+    (area, area_from, areas), (office, office_from, offices) = part(1), part(4)
+    moved = feistel((area - area_from) * offices + office - office_from, F.substr(digits, F.lit(7)).cast("int"), areas * offices, F.lit(10_000), F.lit("phone"), key)
+    return _let(
         moved,
         lambda m: F.concat(
-            lead, (F.floor(m["left"] / 800) + 200).cast("string"), (m["left"] % 800 + 200).cast("string"), F.lpad(m["right"].cast("string"), 4, "0")
+            F.lpad((F.floor(m["left"] / offices) + area_from).cast("string"), 3, "0"),
+            F.lpad((m["left"] % offices + office_from).cast("string"), 3, "0"),
+            F.lpad(m["right"].cast("string"), 4, "0"),
         ),
     )
-    return _into(v, new)
+
+
+def _phone(v: Column, key: str) -> Column:
+    """The country stays; the digits after it are permuted, ten of them as with no country."""
+
+    def new(d: Column) -> Column:
+        lead = F.when(v.startswith("+"), F.regexp_extract(d, COUNTRY, 0)).otherwise(F.substr(d, F.lit(1), F.length(d) - 10))
+        rest = F.substr(d, F.length(lead) + 1)
+        return F.concat(lead, _let(rest, lambda r: F.when(F.length(r) == 10, _national(r, key)).otherwise(permute_digits(r, "phone", key))))
+
+    return _into(v, _let(_digits(v), new))
 
 
 def _address(v: Column, key: str) -> Column:
@@ -192,7 +221,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(is_a("[0-9]{3}-[0-9]{2}-[0-9]{4}"), _social(value, key))
         .when(is_a("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"), _date(value, key))
         .when(is_a("[0-9]{1,3}([.][0-9]{1,3}){3}"), _address(value, key))
-        .when(is_a(r"(\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}"), _phone(value, key))
+        .when(is_a(PHONE), _phone(value, key))
         .otherwise(_card(value, key))
     )
 
@@ -200,7 +229,7 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     """All rows as ``row`` with the text in which valid personal values are replaced, n_values and n_replaced.
 
-    Kinds: card numbers (Luhn), IBANs (mod 97), US phone and social security numbers, IPv4 addresses, dates from 1900-01-01
+    Kinds: card numbers (Luhn), IBANs (mod 97), phone numbers, US social security numbers, IPv4 addresses, dates from 1900-01-01
     to 2099-08-04, and mail addresses. Numbers and dates are permuted within their format by the key: the
     pseudonym is valid too, keeps its separators, differs for different values, and is the same for equal ones
     in all documents. Formats that fail validation stay as they are. The work is row by row, so nothing is
