@@ -61,6 +61,26 @@ def test_captures(spark, tmp_path):
     assert first[0]["t"] == 1_700_000_000.5
 
 
+def test_splits_lose_nothing(spark, tmp_path):
+    records = [(1_700_000_000 + i + (i > 185) * 200_000, raw, len(raw)) for i, raw in enumerate(frames(200))]
+    records[60] = (records[60][0], frame("tcp", 60) + bytes(300_000), 300_054)
+    records[90] = (records[90][0], b"", 0)
+    # A long pause, a long and an empty record, then a truncated last one.
+    with open(tmp_path / "benign_a.pcap", "wb") as out:
+        out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+        for seconds, raw, length in records:
+            out.write(struct.pack("<IIII", seconds, 0, len(raw), length) + raw)
+        out.write(struct.pack("<IIII", records[-1][0], 0, 500, 500) + bytes(40))
+    whole = CA.read_captures(spark, str(tmp_path))
+    assert whole.count() == 202
+    for size in (700, 1500, 6000):
+        split = CA.read_captures(spark, str(tmp_path), split_bytes=size)
+        assert split.rdd.getNumPartitions() > 3 and split.count() == 202 and whole.exceptAll(split).isEmpty()
+    # Read without the first pass of read_captures.
+    assert spark.read.format("capture").option("splitBytes", "1500").load(str(tmp_path)).exceptAll(whole).isEmpty()
+    assert CA.split_points(str(tmp_path / "benign_a.pcap"), 1500)[-1] == (tmp_path / "benign_a.pcap").stat().st_size
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write_pcap(tmp_path / "in" / "benign_a.pcap", frames(20))

@@ -1,15 +1,17 @@
 """Packet captures as a Spark data source: decoded headers of pcap and pcapng files.
 
-A classic pcap file is split into byte ranges, so one large capture is read by many tasks; a range starts at
-the first offset from which a run of record headers is consistent. A pcapng file is one task. Rows carry the
+A classic pcap file is split into byte ranges, so one large capture is read by many tasks; a first pass hops over the
+16-byte record headers, one task per file, and every range starts at a record it met. A pcapng file is one task. Rows carry the
 byte offset of their record as ``seq``: unique and in capture order within the file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +43,7 @@ PROTO_ICMP, PROTO_TCP, PROTO_UDP = 1, 6, 17
 IP6_EXTENSIONS = (0, 43, 60)
 # End of fixed values.
 
-MAX_RECORD = 262_144
-CHAIN = 32
+SPLIT_BYTES = 128 << 20
 
 
 def decode(frame: bytes) -> dict[str, object]:
@@ -88,36 +89,30 @@ def decode(frame: bytes) -> dict[str, object]:
     return row
 
 
-def _plausible(handle, offset: int, size: int, order: str) -> bool:
-    """Whether a chain of consistent record headers starts at ``offset``."""
-    previous = None
-    for _ in range(CHAIN):
-        if offset == size:
-            return previous is not None
-        handle.seek(offset)
-        head = handle.read(16)
-        if len(head) < 16:
-            return False
-        seconds, fraction, kept, length = struct.unpack(order + "IIII", head)
-        if not 0 < kept <= length or length > MAX_RECORD or fraction >= 1_000_000_000:
-            return False
-        if previous is not None and abs(seconds - previous) > 86_400:
-            return False
-        previous, offset = seconds, offset + 16 + kept
-        if offset > size:
-            return False
-    return True
+def split_points(path: str, step: int) -> list[int]:
+    """The first record offset at or after every ``step`` bytes, the end of the file last; only headers are read."""
+    size, points = os.path.getsize(path), [0]
+    with open(path, "rb") as handle:
+        order, _ = PCAP_MAGIC[handle.read(24)[:4]]
+        offset, goal = 24, step
+        while offset < size:
+            if offset >= goal:
+                points.append(offset)
+                goal = (offset // step + 1) * step
+            handle.seek(offset + 8)
+            head = handle.read(4)
+            if len(head) < 4:
+                break
+            offset += 16 + struct.unpack(order + "I", head)[0]
+    return [*points, size]
 
 
 def pcap_records(path: str, start: int, end: int) -> Iterator[tuple[int, float, int, bytes]]:
-    """(offset, time, frame length, captured bytes) of the records that start in ``[start, end)``."""
+    """(offset, time, frame length, captured bytes) of the records in ``[start, end)``; a record starts at ``start``, or it is 0."""
     size = os.path.getsize(path)
     with open(path, "rb") as handle:
         order, tick = PCAP_MAGIC[handle.read(24)[:4]]
         offset = max(start, 24)
-        if start > 24:
-            while offset < min(end, size) and not _plausible(handle, offset, size, order):
-                offset += 1
         while offset < min(end, size):
             handle.seek(offset)
             head = handle.read(16)
@@ -168,20 +163,29 @@ class CapturePart(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def capture_files(path: str) -> list[str]:
+    files = []
+    for folder, _, names in os.walk(path) if os.path.isdir(path) else [("", [], [path])]:
+        files += [os.path.join(folder, n) for n in names if n.endswith((".pcap", ".pcapng"))]
+    return sorted(files)
+
+
+def divided(path: str, step: int) -> bool:
+    return path.endswith(".pcap") and os.path.getsize(path) > step
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.split = int(options.get("splitBytes", 128 << 20))
+        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        # {file: split points}; files that it lacks are passed over here.
+        self.points = json.loads(options.get("splitPoints", "{}"))
 
     def partitions(self):
-        files = []
-        for folder, _, names in os.walk(self.path) if os.path.isdir(self.path) else [("", [], [self.path])]:
-            files += [os.path.join(folder, n) for n in names if n.endswith((".pcap", ".pcapng"))]
         parts = []
-        for path in sorted(files):
-            size = os.path.getsize(path)
-            step = self.split if path.endswith(".pcap") else max(size, 1)
-            parts += [CapturePart(path, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
+        for path in capture_files(self.path):
+            points = self.points.get(path) or (split_points(path, self.split) if divided(path, self.split) else [0, os.path.getsize(path)])
+            parts += [CapturePart(path, start, end) for start, end in pairwise(points)]
         return parts
 
     def read(self, partition):
@@ -222,9 +226,12 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options)
 
 
-def read_captures(spark: SparkSession, path: str, *, split_bytes: int = 128 << 20) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The packets of all captures below ``path``. Files above ``split_bytes`` are passed over first, one task per file."""
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").option("splitBytes", str(split_bytes)).load(path)
+    large = [f for f in capture_files(path) if divided(f, split_bytes)]
+    points = dict(spark.sparkContext.parallelize(large, len(large)).map(lambda f: (f, split_points(f, split_bytes))).collect()) if large else {}
+    return spark.read.format("capture").option("splitBytes", str(split_bytes)).option("splitPoints", json.dumps(points)).load(path)
 
 
 def ingest_captures(spark: SparkSession, path: str, target: str, *, dataset: str) -> None:
