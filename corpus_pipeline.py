@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Later copies of repeated line runs go; every document stays, with what is left of its text."""
-    left = line_dedup.cleaned(docs)
+    """Later copies of repeated stretches of ten words or more go; every document stays, with what is left of its text."""
+    left = line_dedup.cleaned(docs, joined=True)
     kinds = dict(docs.dtypes)
     return left.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else left
 

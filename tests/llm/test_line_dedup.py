@@ -3,7 +3,7 @@
 import random
 
 from tests.llm.brute import WORD
-from tidewire.llm import line_dedup
+from tidewire.llm import line_dedup, queries
 
 
 def brute(rows, min_words):
@@ -72,3 +72,20 @@ def test_edges(spark):
     same = line_dedup.cleaned(twice)
     assert same.columns == docs.columns and sorted(r.text for r in same.where("doc_id = 1").collect()) == [long, long]
     assert line_dedup.cleaned(docs.limit(0)).collect() == []
+
+
+def test_joined_stretches(spark):
+    one, two, three = "one a b c d", "two a b c d", "three a b c d"
+    rows = [(1, one), (2, two), (3, three), (4, f"{one}\n{two}\nown line"), (5, f"{two}\n\n\n{three}"), (6, f"{one}\nother line\n{two}"), (7, f"  \n{one}"), (8, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(v[1] == 0 for v in found(docs, 10).values())
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, joined=True).collect()}
+    assert got == dict(rows) | {4: "own line", 5: "\n"}
+
+
+def test_query_keeps_no_later_copy(spark, tmp_path):
+    rows = [(1, "short line\nx\n\nlast"), (2, "short line"), (3, "x\nnew\n\nx"), (4, " "), (5, " \nshort line"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, rows[0][1]), 2: (1, 1, ""), 3: (4, 2, "new\n"), 4: (1, 0, " "), 5: (2, 2, ""), 6: (0, 0, None)}
+    assert got == brute(rows, 0)

@@ -24,17 +24,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_sequences(keyed: DataFrame) -> DataFrame:
-    """Lines that occur at least twice: id, hash, place, rank, words. Equal lines share a rank; ranks are dense."""
-    lines = keyed.select(*DOC, F.posexplode(F.split("body", "\n")).alias("place", "line"))
+    """Lines that occur at least twice: id, hash, place, number, rank, words. Equal lines share a rank; ranks are dense.
+
+    ``place`` counts all lines of a document, ``number`` only those that are not empty.
+    """
+    placed = F.transform(F.split("body", "\n"), lambda line, place: F.struct(place.alias("place"), line.alias("line")))
+    filled = F.filter(placed, lambda spot: spot["line"] != "")
+    lines = keyed.select(*DOC, F.posexplode(filled).alias("number", "spot")).select(*DOC, "number", "spot.place", "spot.line")
     # 128 bits tell lines apart; the copies of a repeated document count once.
     coded = settle(
-        lines.where("line <> ''")
-        .select(*DOC, "place", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(1), "line").alias("two"), word_count(F.col("line")).alias("words"))
-        .distinct()
+        lines.select(
+            *DOC, "place", "number", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(1), "line").alias("two"), word_count(F.col("line")).alias("words")
+        ).distinct()
     )
     often = coded.groupBy("one", "two").agg(F.count("*").alias("often")).where("often > 1").select("one", "two")
     ranks = row_index(often, ["one", "two"], name="rank")
-    return settle(coded.join(ranks, ["one", "two"]).select(*DOC, "place", "rank", "words"))
+    return settle(coded.join(ranks, ["one", "two"]).select(*DOC, "place", "number", "rank", "words"))
 
 
 def later_windows(lines: DataFrame) -> DataFrame:
@@ -64,12 +69,12 @@ def later_windows(lines: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy(*DOC, "place").agg(F.max("length").alias("length"))
 
 
-def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS, joined: bool = False) -> DataFrame:
     """Places to delete per document: id, hash, gone (array of places).
 
     Windows of later copies that overlap make up the maximal repeated runs: a run of m lines is covered by the
     windows of its largest power of two, each a line further. A stretch of overlapping runs goes if it has at least
-    ``min_words`` words.
+    ``min_words`` words; ``joined`` makes one stretch of runs that only touch or have empty lines between them.
     """
     lines = line_sequences(keyed)
     along = Window.partitionBy(*DOC).orderBy("place")
@@ -82,21 +87,24 @@ def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .withColumn("stretch", F.sum(F.when(F.col("held") <= F.col("place"), 1).otherwise(0)).over(upto))
         .where("end > place")
     )
+    if joined:
+        marked = marked.withColumn("stretch", F.col("number") - F.row_number().over(along))
     long = marked.groupBy(*DOC, "stretch").agg(F.sum("words").alias("words"), F.collect_list("place").alias("places")).where(F.col("words") >= min_words)
     return long.groupBy(*DOC).agg(F.flatten(F.collect_list("places")).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, joined: bool = False) -> DataFrame:
     """All rows as ``row`` with n_lines, n_deleted and the text that is left.
 
     Lines end at line feeds and are compared as they are. Later copies (by doc_id, then by place) of runs of
     lines are deleted, inside a document and across documents; null doc_ids come first. Every row stays, even with
     nothing left (''); null and empty texts stay as they are and have no lines. Empty lines are never part of a run and
-    always stay. Rows that repeat doc_id and text are one document and share its result. An empty table gives an empty
+    always stay. Stretches of fewer than ``min_words`` words stay; 0 deletes every later copy. ``joined`` judges runs that
+    touch, or have only empty lines between them, as one stretch. Rows that repeat doc_id and text are one document and share its result. An empty table gives an empty
     result. Input columns stay inside ``row`` and cannot clash.
     """
     keyed = _keyed(docs)
-    gone = repeated_lines(keyed, min_words)
+    gone = repeated_lines(keyed, min_words, joined)
     lines = F.split("body", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
@@ -109,7 +117,7 @@ def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame
     )
 
 
-def cleaned(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, *, min_words: int = MIN_WORDS, joined: bool = False) -> DataFrame:
     """The documents with their columns, the text without repeated lines."""
-    held = without_repeats(docs, min_words=min_words)
+    held = without_repeats(docs, min_words=min_words, joined=joined)
     return held.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -133,4 +133,4 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.without_repeats(documents(spark, folder)).select("row.doc_id", "n_lines", "n_deleted", "text")
+    return line_dedup.without_repeats(documents(spark, folder), min_words=0).select("row.doc_id", "n_lines", "n_deleted", "text")
