@@ -86,3 +86,9 @@ def test_similar_pairs(spark):
         seen.setdefault(tuple(s), key)
     alone = {k: s for s, k in seen.items() if s}
     assert got == {(a, b) for a in alone for b in alone if a < b and jaccard(alone[a], alone[b]) >= 0.75}
+
+
+def test_likeness_of_unequal_lengths(spark):
+    sets = [([1], list(range(100))), ([], [1, 2]), ([], []), ([500], list(range(100))), ([3, 4], list(range(1000)))]
+    pairs = spark.createDataFrame(sets, "a array<long>, b array<long>").select("a", "b", fp.likeness(fp.F.col("a"), fp.F.col("b")).alias("x")).collect()
+    assert all(abs(r.x - jaccard(r.a, r.b)) < 1e-12 for r in pairs)

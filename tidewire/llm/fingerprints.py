@@ -18,7 +18,6 @@ ANCHORS = (
     "el los las y del se por con su para lo como más al"
 ).split()
 CHAIN = 2  # content words of a signature
-LEAST_SHARE = 0.02  # sets whose lengths differ more than this share allows are unlike without a comparison
 
 
 def _choice(words: list[str]) -> str:
@@ -68,14 +67,9 @@ def fingerprint(marks: Column) -> Column:
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Jaccard similarity of two signature sets; 1 if both are empty.
-
-    It cannot exceed the ratio of the lengths: where that is below LEAST_SHARE the sets lie in length
-    partitions too far apart, and 0 is given without a comparison.
-    """
-    short, long = F.least(F.size(one), F.size(two)), F.greatest(F.size(one), F.size(two))
+    """Jaccard similarity of two signature sets; 1 if both are empty."""
     both = F.size(F.array_intersect(one, two))
-    return F.when(long == 0, 1.0).when(short < long * LEAST_SHARE, 0.0).otherwise(both / (F.size(one) + F.size(two) - both))
+    return F.when((F.size(one) == 0) & (F.size(two) == 0), 1.0).otherwise(both / (F.size(one) + F.size(two) - both))
 
 
 def similar_pairs(marked: DataFrame, similarity: float = 0.75) -> DataFrame:
