@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, exact_dedup, fim, fingerprints, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
+from tidewire.llm import bpe, exact_dedup, fim, fingerprints, licenses, line_dedup, mixing, near_dedup, pii, sharding, spelling, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ def op12_fim(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_forms(documents(spark, folder))
