@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, exact_dedup, fim, fingerprints, licenses, line_dedup, mixing, near_dedup, pii, sharding, spelling, toxicity
+from tidewire.llm import bpe, exact_dedup, fim, fingerprints, licenses, line_dedup, mixing, near_dedup, pieces, pii, sharding, spelling, toxicity
 from tidewire.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,23 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.without_repeats(documents(spark, folder), min_words=0).select("row.doc_id", "n_lines", "n_deleted", "text")
 
 
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_digests(documents(spark, folder))
+
+
+def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Encode whole texts with an end id and decode them: n_tokens and digests of the ids and of the decoded text."""
+    vocabulary = pieces.read_pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
+    ended = pieces.encode(docs, vocabulary).select("doc_id", F.concat("ids", F.array(F.lit(vocabulary.end))).alias("ids"))
+    return ended.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(vocabulary)("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op12_fim",
     """WITH t AS (SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
