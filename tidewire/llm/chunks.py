@@ -127,8 +127,34 @@ def _block_rows(cut: Callable[[str], list[str]] | None, buckets: int):
     return run
 
 
-def code_batch(block: int, numbers: bytes, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return _rows(CODES, block=[block], numbers=[numbers], counts=[packed_ints(counts)], ids=[packed_ints(ids)])
+class Codes:
+    """Ids of numbered chunks in one growing array."""
+
+    def __init__(self, ids: np.ndarray | None = None) -> None:
+        """``ids``: the first chunks' ids, one each."""
+        self.flat = np.zeros(1 << 16, np.int32) if ids is None else ids.astype(np.int32)
+        self.used = self.n = 0 if ids is None else len(ids)
+        self.starts = np.zeros(max(self.n, 1 << 10), np.int64)
+        self.sizes = np.ones(max(self.n, 1 << 10), np.int64)
+        self.starts[: self.n] = np.arange(self.n)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        for name, used, more in (("flat", self.used, len(ids)), ("starts", self.n, len(counts)), ("sizes", self.n, len(counts))):
+            held = getattr(self, name)
+            if used + more > len(held):
+                setattr(self, name, np.concatenate((held[:used], np.zeros(max(len(held), more), held.dtype))))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.sizes[self.n : self.n + len(counts)] = counts
+        self.used, self.n = self.used + len(ids), self.n + len(counts)
+
+    def batch(self, block: int, numbers: bytes, at: np.ndarray) -> pa.RecordBatch:
+        """A row of codes for the chunks with these numbers."""
+        if len(at) and at.max() >= self.n:
+            raise ValueError("a chunk is used before it is coded")
+        sizes = self.sizes[at]
+        ids = self.flat[ragged(self.starts[at], sizes)]
+        return _rows(CODES, block=[block], numbers=[numbers], counts=[packed_ints(sizes)], ids=[packed_ints(ids)])
 
 
 def _join_back(texts: pa.Table, codes: pa.Table) -> pa.Table:

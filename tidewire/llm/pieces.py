@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.chunks import CODE_ROW, code_batch, encode_distinct, merged_spans, unpacked_chunks
+from tidewire.llm.chunks import CODE_ROW, Codes, encode_distinct, merged_spans, unpacked_chunks
 
 MARK = "▁"  # stands for a space
 CHUNK = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+")
@@ -183,26 +183,15 @@ def segment(chunks: list[str], vocabulary: Pieces) -> tuple[np.ndarray, np.ndarr
 
 def _code(share) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = share.value, {}
-        flat, starts, sizes = np.zeros(1 << 16, np.int32), [], []
-        used = 0
+        vocabulary, known, codes = share.value, {}, Codes()
         for batch in batches:
             for row in batch.select(["block", "numbers", "chunks"]).to_pylist():
                 chunks = unpacked_chunks(row["chunks"])
                 fresh = [c for c in chunks if c not in known]
                 if fresh:
-                    ids, counts = segment([c.decode() for c in fresh], vocabulary)
+                    codes.add(*segment([c.decode() for c in fresh], vocabulary))
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-                    if used + len(ids) > len(flat):
-                        flat = np.concatenate((flat[:used], np.zeros(max(len(flat), len(ids)), np.int32)))
-                    flat[used : used + len(ids)] = ids
-                    starts.append(used + np.cumsum(counts) - counts), sizes.append(counts)
-                    used += len(ids)
-                    if len(starts) > 64:
-                        starts, sizes = [np.concatenate(starts)], [np.concatenate(sizes)]
-                at = np.array([known[c] for c in chunks], dtype=np.int64)
-                start, size = np.concatenate(starts)[at], np.concatenate(sizes)[at]
-                yield code_batch(row["block"], row["numbers"], size, flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+                yield codes.batch(row["block"], row["numbers"], np.array([known[c] for c in chunks], dtype=np.int64))
 
     return run
 
