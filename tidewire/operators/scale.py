@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.columns import clip, finite_or, stable_rank
 from tidewire.functions.quantiles import exact_quantiles, quantile_state
 from tidewire.operators.graph import sample_per_group
-from tidewire.operators.index import row_index, running_totals
+from tidewire.operators.index import running_totals
 from tidewire.schema import CONCEPT_MAX_ROWS, SCALE_LIMIT, SCALE_QUANTILES
-from tidewire.session import settle
+from tidewire.session import cut, settle
 
 
 def batch_state(df: DataFrame, features: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
@@ -32,27 +34,27 @@ def earlier_batches(
 ) -> DataFrame:
     """Exact quantiles, mean and count of every feature over all batches before each batch.
 
-    A wanted quantile is the k-th smallest of the earlier rows. All rows are numbered by value once; then all
-    batches search at the same time, ``BITS`` bits of that number per round: a round counts, for the ranges
-    still looked at, the rows per batch and subrange, and running totals over the batches tell each batch in which subrange
-    its k-th row lies. So the rounds grow with the logarithm of the rows, no task holds a stream, and what a
-    batch carries is three numbers per feature. Columns: ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` a batch that
+    A wanted quantile is the k-th smallest of the earlier rows. Rows are dealt by value into parts of about ``PART_ROWS``
+    rows; from counts per part and batch every batch learns in which part its k-th row lies (one round for each ``BITS`` bits of
+    the part's number, none for a single part), and a part answers all batches that ask it at once. So a row is
+    moved once or twice, no task holds more than a part, and what a batch carries is three numbers per feature. Columns:
+    ``{f}_q0..``, ``{f}_mean``, ``{f}_n``. With ``own_first`` a batch that
     has none before it reads its own quantiles. Every stream continues from ``initial``, a ``batch_state``, if given;
     it is counted once for all streams.
     """
     stream = list(stream)
     keys = [*stream, "feature"]
     entries = ", ".join(f"named_struct('feature', '{f}', 'v', cast({f} AS double))" for f in features)
-    rows = df.selectExpr(*stream, f"{batch} AS _batch", f"inline(array({entries}))").where("v IS NOT NULL").withColumn("w", F.lit(1))
-    rows = rows.withColumn("saved", F.lit(False))
+    wide = settle(df.select(*stream, F.col(batch).alias("_batch"), *features))
+    rows = wide.selectExpr(*stream, "_batch", f"inline(array({entries}))").where("v IS NOT NULL")
+    rows = rows.withColumn("w", F.lit(1).cast("long")).withColumn("saved", F.lit(False))
     if initial is not None:
         saved = initial.select("feature", F.col("value").alias("v"), F.col("n").alias("w"), F.lit(True).alias("saved"))
         rows = rows.unionByName(saved, allowMissingColumns=True)
-    placed = settle(row_index(rows, ["v", "saved", "_batch", *stream], stream=["feature"], name="pos"))
-    own, kept = placed.where("NOT saved"), placed.where("saved").select("feature", "pos", "w", "v")
+    own, kept = rows.where("NOT saved"), rows.where("saved").select("feature", "w", "v")
 
     # How many rows, and which sum, came before each batch.
-    every = df.select(*stream, F.col(batch).alias("_batch"), F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")).distinct()
+    every = wide.select(*stream, "_batch").distinct().select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
     sums = own.groupBy(*keys, "_batch").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     filled = every.join(sums, on=[*keys, "_batch"], how="left").fillna(0, ["n", "s"])
     totals = _batch_totals(filled, ["n", "s"], keys).selectExpr(*keys, "_batch", "n", "n_upto - n AS before", "s_upto - s AS before_s")
@@ -68,9 +70,7 @@ def earlier_batches(
         *keys, "_batch", include.alias("own"), size.alias("size"), F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("q", "p")
     ).where("size > 0")
     queries = queries.select(*keys, "_batch", "own", "q", F.greatest(F.ceil(F.col("p") * F.col("size")) - 1, F.lit(0)).cast("long").alias("k"))
-    found = _kth_rows(own, kept, queries.withColumn("node", F.lit(0).cast("long")), keys)
-    values = placed.select("feature", F.col("pos").alias("node"), "v")
-    answers = found.join(values, ["feature", "node"]).select(*stream, "_batch", "feature", "q", "v")
+    answers = _kth_values(rows, queries, totals.agg(F.sum("n").alias("n")).first()["n"], keys)
     picked = answers.groupBy(*stream, "_batch").agg(
         *[F.max(F.when((F.col("feature") == f) & (F.col("q") == i), F.col("v"))).alias(f"{f}_q{i}") for f in features for i in range(len(probs))]
     )
@@ -93,7 +93,9 @@ def earlier_batches(
     )
 
 
-BITS = 5  # bits of the row number per round of the search
+PART_ROWS = 4_000_000  # rows of a part
+PIECE_QUERIES = 1_000_000  # questions a copy of a part answers
+BITS = 5  # bits of the part's number per round of the search
 BLOCK = 4096  # batches of a block; a window holds the batches of one block or the blocks of one stream
 
 
@@ -110,15 +112,87 @@ def _batch_totals(table: DataFrame, names: Sequence[str], keys: Sequence[str]) -
     )
 
 
-def _kth_rows(rows: DataFrame, saved: DataFrame, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``queries`` (keys, _batch, own, q, k) with ``node``, the number of their k-th row among the earlier ones."""
-    top = rows.agg(F.max("pos")).first()[0]
-    top = max(top if top is not None else 0, saved.agg(F.max("pos")).first()[0] or 0)
-    shift = -(-max(top.bit_length(), 1) // BITS) * BITS
+def _kth_values(rows: DataFrame, queries: DataFrame, count: int | None, keys: Sequence[str]) -> DataFrame:
+    """``queries`` (keys, _batch, own, q, k) with ``v``, their k-th smallest value among the earlier rows of ``rows``."""
+    stream = [c for c in keys if c != "feature"]
+    size = (count or 0) + rows.where("saved").count()  # saved rows are an empty relation where no state is given
+    parts = max(1, -(-size // PART_ROWS))
+    if parts == 1:
+        placed, asked = rows.withColumn("part", F.lit(0).cast("long")), queries.withColumn("part", F.lit(0).cast("long"))
+    else:
+        # Equal values may lie in several parts, so a frequent value does not fill one.
+        order = ["feature", "v", "_batch", *stream]
+        placed = cut(rows.repartitionByRange(parts, *order)).withColumn("part", F.spark_partition_id().cast("long"))
+        per_part = placed.groupBy(*keys, "part", "_batch", "saved").agg(F.sum("w").alias("w"))
+        counts = settle(per_part)
+        started = queries.withColumn("node", F.lit(0).cast("long"))
+        asked = _kth_parts(counts.where("NOT saved"), counts.where("saved"), parts, started, keys).withColumnRenamed("node", "part")
+    # All quantiles of a feature are asked in few parts; a part with many questions is copied.
+    pieces = asked.groupBy("feature", "part").agg(F.ceil(F.count("*") / PIECE_QUERIES).alias("pieces"))
+    place = ["feature", "part", "piece"]
+    data = placed.join(pieces, ["feature", "part"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    dealt = asked.join(pieces, ["feature", "part"]).withColumn("piece", F.pmod(F.xxhash64(*stream, "_batch"), F.col("pieces")))
+    schema = dealt.select(*keys, "_batch", "q").schema.add("v", "double")
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        fixed = left[left["saved"]]
+        own, found = left[~left["saved"]], []
+        by = {}
+        if stream:
+            by = {key if isinstance(key, tuple) else (key,): rows for key, rows in own.groupby(stream, dropna=False)}
+        for key, wanted in right.groupby(stream, dropna=False) if stream else [((), right)]:
+            mine = by.get(key if isinstance(key, tuple) else (key,), own[:0]) if stream else own
+            values = kth_of_prefixes(
+                mine["v"].to_numpy(float), mine["_batch"].to_numpy("int64"), fixed["v"].to_numpy(float), fixed["w"].to_numpy("int64"),
+                wanted["_batch"].to_numpy("int64"), wanted["own"].to_numpy(bool), wanted["k"].to_numpy("int64"),
+            )
+            found.append(wanted[[*keys, "_batch", "q"]].assign(v=values))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in schema.fieldNames()})
+
+    chosen = data.select(*keys, "part", "piece", "_batch", "v", "w", "saved").groupBy(*place)
+    return chosen.cogroup(dealt.select(*keys, "part", "piece", "_batch", "own", "q", "k").groupBy(*place)).applyInPandas(answer, schema)
+
+
+def kth_of_prefixes(
+    values: np.ndarray, batches: np.ndarray, fixed: np.ndarray, weights: np.ndarray, asked: np.ndarray, own: np.ndarray, k: np.ndarray
+) -> np.ndarray:
+    """For every question the ``k``-th smallest (from 0) of the values of batches before ``asked`` (with ``own``: up to it) and the ``fixed`` ones.
+
+    The ranks are partitioned bit by bit (a wavelet matrix over the batches' order), so all questions take one step per
+    bit: they go to the half that holds their value, by counts of the half inside their prefix.
+    """
+    order = np.argsort(batches, kind="stable")
+    batches = batches[order]
+    distinct, ranks = np.unique(np.concatenate((values[order], fixed)), return_inverse=True)
+    ranks = ranks.ravel()
+    bits = max(1, int(len(distinct) - 1).bit_length())
+    weight = np.zeros((1 << bits) + 1, dtype=np.int64)
+    np.add.at(weight, ranks[len(values) :] + 1, weights)
+    weight = np.cumsum(weight)
+    current = ranks[: len(values)]
+    left = np.zeros(len(asked), dtype=np.int64)
+    right = np.where(own, np.searchsorted(batches, asked, side="right"), np.searchsorted(batches, asked, side="left"))
+    low, k = np.zeros(len(asked), dtype=np.int64), k.copy()
+    for bit in range(bits - 1, -1, -1):
+        upper = (current >> bit) & 1
+        zeros = np.concatenate((np.zeros(1, np.int64), np.cumsum(1 - upper)))
+        inside = zeros[right] - zeros[left] + weight[low + (1 << bit)] - weight[low]
+        up = k >= inside
+        k = np.where(up, k - inside, k)
+        left = np.where(up, zeros[-1] + left - zeros[left], zeros[left])
+        right = np.where(up, zeros[-1] + right - zeros[right], zeros[right])
+        low = np.where(up, low + (1 << bit), low)
+        current = np.concatenate((current[upper == 0], current[upper == 1]))
+    return distinct[np.minimum(low, len(distinct) - 1)] if len(distinct) else np.full(len(asked), np.nan)
+
+
+def _kth_parts(rows: DataFrame, saved: DataFrame, parts: int, queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``queries`` with ``node``, the part of their k-th row among the earlier ones, and ``k`` inside that part."""
+    shift = -(-max((parts - 1).bit_length(), 1) // BITS) * BITS
     names = [f"c{i}" for i in range(1 << BITS)]
     place = [*keys, "node"]
     while shift > 0:
-        node, child = F.shiftright("pos", shift), F.shiftright("pos", shift - BITS).bitwiseAND((1 << BITS) - 1)
+        node, child = F.shiftright("part", shift), F.shiftright("part", shift - BITS).bitwiseAND((1 << BITS) - 1)
 
         def counted(table: DataFrame, by: Sequence[str], node=node, child=child) -> DataFrame:
             split = table.withColumn("node", node).withColumn("child", child).join(queries.select(*by[: by.index("node") + 1]).distinct(), by[: by.index("node") + 1], "left_semi")
