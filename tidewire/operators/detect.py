@@ -57,23 +57,46 @@ def rolling_threshold(
     p: float = THRESHOLD_QUANTILE,
     warmup: int = WARMUP_BATCHES,
 ) -> DataFrame:
-    """Threshold per batch: the quantile of the ``queue`` scores before it, -1 while warming up.
+    """Threshold per batch: the quantile of the ``queue`` scores before it, -1 while warming up, null without scores.
 
-    ``position`` numbers the stream's rows densely and batches hold ``rows_per_batch`` of them. Each row is
-    sent to the batches whose queue holds it (about ``queue / rows_per_batch``), so groups have ``queue`` rows
-    whatever the size of the stream. Rows carried over from before the stream have negative positions and
-    no batch.
+    ``position`` numbers the stream's rows densely and batches hold ``rows_per_batch`` of them. Blocks of at least 64 batches
+    and four queues are judged side by side, each with the queue of rows before it, so most rows are sent once and
+    groups are bounded whatever the size of the stream. Rows carried over from before the stream have
+    negative positions and no batch.
     """
-    first = F.floor(F.col(position) / F.lit(rows_per_batch)) + 1
-    last = F.floor((F.col(position) + queue) / F.lit(rows_per_batch))
-    spread = scores.where(last >= 0).select(
-        *stream, F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)).alias(batch), "score"
-    )
-    known = scores.select(*stream, batch).where(F.col(batch).isNotNull()).distinct()
-    found = spread.groupBy(*stream, batch).agg(F.expr(f"percentile(score, {p!r}D) AS _q"))
-    return known.join(found, on=[*stream, batch], how="left").select(
-        *stream, batch, F.when(F.col(batch) >= warmup, F.col("_q")).otherwise(F.lit(-1.0)).alias("threshold")
+    stream = list(stream)
+    batches = max(64, -(-4 * queue // rows_per_batch))
+    size = batches * rows_per_batch
+    blocks = F.sequence(F.greatest(F.floor(F.col(position) / F.lit(size)), F.lit(0).cast("long")), F.floor((F.col(position) + queue) / F.lit(size)))
+    dealt = scores.where(F.col(position) >= -queue).select(
+        *stream, F.explode(blocks).alias("_block"), F.col(position).alias("_at"), F.col(batch).cast("long").alias("_batch"), F.col("score").cast("double").alias("score")
     )
+    schema = scores.select(*stream, F.col(batch).cast("long").alias(batch)).schema.add("threshold", "double")
+    keys = [*stream, "_block"]
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at", kind="stable")
+        at, values = rows["_at"].to_numpy("int64"), rows["score"].to_numpy(float)
+        first = int(rows["_block"].iloc[0]) * batches
+        own = np.unique(rows["_batch"].dropna().to_numpy("int64"))
+        own = own[(own >= first) & (own < first + batches)]
+        edges = np.searchsorted(at, np.concatenate((own * rows_per_batch - queue, own * rows_per_batch)))
+        found = [-1.0 if b < warmup else interpolated(values[low:high], p) for b, low, high in zip(own, edges[: len(own)], edges[len(own) :], strict=True)]
+        ids = rows.iloc[[0] * len(own)][stream].reset_index(drop=True)
+        return ids.assign(**{batch: own, "threshold": pd.array(found, dtype="Float64")})
+
+    return dealt.groupBy(*keys).applyInPandas(judge, schema)
+
+
+def interpolated(values: np.ndarray, p: float) -> float | None:
+    """A quantile between its two neighbours; missing values do not count."""
+    values = values[~np.isnan(values)]
+    if not len(values):
+        return None
+    rank = p * (len(values) - 1)
+    low, high = int(np.floor(rank)), int(np.ceil(rank))
+    a, b = np.partition(values, (low, high))[[low, high]]
+    return float(a if a == b else (high - rank) * a + (rank - low) * b)
 
 
 @dataclass

@@ -11,10 +11,12 @@ from tidewire.operators import detect as D
 from tidewire.operators import evaluate as E
 from tidewire.operators import graph as G
 from tidewire.operators import graph_iter as GI
+from tidewire.operators import prequential as PQ
 from tidewire.operators.meta import service_names, traffic_records, without_time
 from tidewire.operators.scale import batch_state, running_scale
 from tidewire.operators.traffic import link_features, traffic_features
 from tidewire.schema import BATCH_ROWS, PROTOCOL_IDS, QUEUE_ROWS
+from tidewire.session import settle
 
 
 def metadata_extraction(headers: DataFrame, services: DataFrame | None = None, known: Sequence[str] = ()) -> DataFrame:
@@ -34,8 +36,9 @@ def graph_feature_extraction(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _judged(scored: DataFrame, *, stream: Sequence[str], warmup: int, by: Sequence[str], rows_per_batch: int = BATCH_ROWS) -> DataFrame:
+    scored = settle(scored.select(*stream, "seq", "batch_id", "score"))  # read by both sides of the join below
     thresholds = D.rolling_threshold(
-        scored.select(*stream, "seq", "batch_id", "score"), stream=stream, warmup=warmup, rows_per_batch=rows_per_batch
+        scored, stream=stream, warmup=warmup, rows_per_batch=rows_per_batch
     )
     return E.batch_metrics(scored.join(thresholds, on=[*stream, "batch_id"]), by=by)
 
@@ -47,10 +50,10 @@ def basic_detection(features: DataFrame, names: Sequence[str], *, warmup: int) -
 
 
 def scaled_detection(features: DataFrame, names: Sequence[str], *, latent: int, warmup: int) -> DataFrame:
-    """Time removed, running quantile scaling, linear reconstruction error, threshold, metrics."""
+    """Time removed, running quantile scaling, linear reconstruction error, threshold, metrics; all by earlier batches only."""
     rows = without_time(features).select("seq", "batch_id", *names)
     scaled = running_scale(rows, names)
-    scored = D.reconstruction_scores(scaled, names, latent)
+    scored = PQ.reconstruction_stream(scaled, names, latent)
     return _judged(scored, stream=[], warmup=warmup, by=["batch_id"])
 
 

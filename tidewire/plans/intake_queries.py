@@ -19,6 +19,7 @@ from tidewire.plans.score_queries import (
     _SCORES,
     SIZED,
     SIZES,
+    before_sql,
     deviation_sql,
     file_metrics,
     prior_sql,
@@ -420,16 +421,14 @@ def basic_detection(spark, sf):
     "scaled_detection",
     f"""WITH {{packets}}, {SIZED}, {prior_sql("sized", SIZES)},
       x AS (SELECT seq, batch_id, {scaled_sql("packet_size")} AS a, {scaled_sql("k")} AS b FROM sized JOIN prior USING (batch_id)),
-      m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM x),
-      e AS (SELECT *, (va + vb) / 2 - sqrt(pow((va - vb) / 2, 2) + c * c) AS low FROM m),
-      v AS (SELECT *, c / sqrt(c * c + pow(low - va, 2)) AS vx, (low - va) / sqrt(c * c + pow(low - va, 2)) AS vy FROM e),
-      sc AS (SELECT seq, batch_id, pow((a - ma) * vx + (b - mb) * vy, 2) / 2 AS score FROM x, v),
+      {before_sql("x", "a", "b")},
+      sc AS (SELECT seq, batch_id, pow((a - ma) * vx + (b - mb) * vy, 2) / 2 AS score FROM x LEFT JOIN v USING (batch_id)),
       n AS (SELECT DISTINCT batch_id FROM sc),
       q AS (SELECT n.batch_id, quantile_cont(score, 0.99) AS q FROM n JOIN sc p
         ON p.seq < n.batch_id * 1024 AND p.seq >= n.batch_id * 1024 - 10000 GROUP BY ALL),
       scores AS (SELECT sc.*, CASE WHEN batch_id >= 2 THEN q ELSE -1 END AS threshold FROM sc LEFT JOIN q USING (batch_id)),
       metrics AS (SELECT batch_id, {_METRIC_COLS} FROM scores GROUP BY batch_id)
-      SELECT batch_id, {", ".join(r(c, c) for c in _DOUBLES)}, pos_count, batch_size FROM metrics""",
+      SELECT batch_id, {", ".join(r(f"coalesce({c}, 0)", c) for c in _DOUBLES)}, pos_count, batch_size FROM metrics""",
 )
 def scaled_detection(spark, sf):
     return rounded(CH.scaled_detection(sized(spark, sf), SIZES, latent=1, warmup=2))

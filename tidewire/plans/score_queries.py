@@ -11,6 +11,7 @@ from tidewire.operators import detect as D
 from tidewire.operators import drift as R
 from tidewire.operators import evaluate as E
 from tidewire.operators import linear as A
+from tidewire.operators import prequential as PQ
 from tidewire.operators import scale as SC
 from tidewire.operators import similarity as SI
 from tidewire.operators import traffic as TR
@@ -19,7 +20,7 @@ from tidewire.operators.windows import tumbling_snapshots
 from tidewire.plans.registry import query, r, rounded
 from tidewire.plans.traffic_queries import stats_cte, sums_sql
 from tidewire.schema import packets, table
-from tidewire.session import staging_path
+from tidewire.session import settle, staging_path
 
 SIZES = ["packet_size", "k"]
 
@@ -385,6 +386,71 @@ def reconstruction_scores(spark, sf):
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "score"))
 
 
+# Models of the earlier batches only. ``before`` holds, per batch, the moments of the rows that came before it.
+
+
+def before_sql(source: str, a: str, b: str) -> str:
+    return f"""g AS (SELECT batch_id, count(*) AS n, sum({a}) AS sa, sum({b}) AS sb, sum({a} * {a}) AS saa, sum({b} * {b}) AS sbb,
+        sum({a} * {b}) AS sab FROM {source} GROUP BY ALL),
+      u AS (SELECT batch_id, sum(n) OVER w AS n, sum(sa) OVER w AS sa, sum(sb) OVER w AS sb, sum(saa) OVER w AS saa,
+        sum(sbb) OVER w AS sbb, sum(sab) OVER w AS sab FROM g
+        WINDOW w AS (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      m AS (SELECT batch_id, sa / n AS ma, sb / n AS mb, saa / n - (sa / n) * (sa / n) AS va, sbb / n - (sb / n) * (sb / n) AS vb,
+        sab / n - (sa / n) * (sb / n) AS c FROM u),
+      e AS (SELECT *, (va + vb) / 2 - sqrt(pow((va - vb) / 2, 2) + c * c) AS low FROM m),
+      v AS (SELECT *, c / sqrt(c * c + pow(low - va, 2)) AS vx, (low - va) / sqrt(c * c + pow(low - va, 2)) AS vy FROM e)"""
+
+
+@query(
+    "reconstruction_stream",
+    f"""WITH {{packets}}, {SIZED}, x AS (SELECT seq, batch_id, packet_size / 100 AS a, k / 100 AS b FROM sized),
+      {before_sql("x", "a", "b")}
+      SELECT seq, batch_id, {r("pow((a - ma) * vx + (b - mb) * vy, 2) / 2", "score")} FROM x LEFT JOIN v USING (batch_id)""",
+)
+def reconstruction_stream(spark, sf):
+    rows = sized(spark, sf).selectExpr("seq", "batch_id", "packet_size / 100 AS a", "k / 100 AS b")
+    return rounded(PQ.reconstruction_stream(rows, ["a", "b"], 1, block_batches=3).select("seq", "batch_id", "score"))
+
+
+def _images_sql(dim: int = 1) -> str:
+    """Two maps to one dimension each: the own distance plus the log of all distances' exponentials."""
+    w = PQ.Transformations(2, 2, dim).weights[:, :, 0]
+    image = [f"({float(w[t][0])!r} * a + {float(w[t][1])!r} * b)" for t in range(2)]
+    mean = [f"({float(w[t][0])!r} * ma + {float(w[t][1])!r} * mb)" for t in range(2)]
+    d = [[f"pow({image[i]} - {mean[j]}, 2)" for j in range(2)] for i in range(2)]
+    return " + ".join(f"{d[i][i]} + ln(exp(-{d[i][0]}) + exp(-{d[i][1]}))" for i in range(2))
+
+
+@query(
+    "transformation_stream",
+    f"""WITH {{packets}}, {SIZED}, x AS (SELECT seq, batch_id, packet_size / 100 AS a, k / 100 AS b FROM sized),
+      g AS (SELECT batch_id, avg(a) AS ma, avg(b) AS mb FROM x GROUP BY ALL),
+      v AS (SELECT batch_id, avg(ma) OVER w AS ma, avg(mb) OVER w AS mb FROM g
+        WINDOW w AS (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT seq, batch_id, {r(_images_sql(), "score")} FROM x LEFT JOIN v USING (batch_id)""",
+)
+def transformation_stream(spark, sf):
+    rows = sized(spark, sf).selectExpr("seq", "batch_id", "packet_size / 100 AS a", "k / 100 AS b")
+    return rounded(PQ.transformation_stream(rows, ["a", "b"], transforms=2, dim=1, block_batches=3).select("seq", "batch_id", "score"))
+
+
+def _numbered(spark, sf):
+    df, names = _wide(spark, sf)
+    return df.withColumn("batch_id", F.floor(F.col("vec_id") / 64)), names
+
+
+@query("ensemble_stream")
+def ensemble_stream(spark, sf):
+    df, names = _numbered(spark, sf)
+    return PQ.ensemble_stream(df, names, warmup=2, max_size=8).select("vec_id", "batch_id", "score")
+
+
+@query("feedback_detection")
+def feedback_detection(spark, sf):
+    rows = sized(spark, sf).selectExpr("seq", "floor(seq / 64) AS batch_id", "packet_size / 100 AS a", "k / 100 AS b")
+    return PQ.feedback_scores(rows, ["a", "b"], PQ.Reconstruction(2, 1), queue=1000, warmup=30, chunk_batches=50)
+
+
 def _wide(spark, sf):
     names = [f"x{i}" for i in range(64)]
     return table(spark, sf, "embeddings").selectExpr(
@@ -493,7 +559,7 @@ def batch_metrics(spark, sf):
     features = TR.keyed_statistics(
         packets(spark, sf), TR.KEYS["mac_ip"], "packet_size", rates=(1.0, 0.1), keep=("batch_id",)
     ).select("seq", "batch_id", *_FLAG)
-    scored = D.deviation_scores(features, _FLAG).select("seq", "batch_id", "score")
+    scored = settle(D.deviation_scores(features, _FLAG).select("seq", "batch_id", "score"))
     thresholds = D.rolling_threshold(scored, warmup=3)
     return rounded(E.batch_metrics(scored.join(thresholds, on="batch_id")), 4)
 
