@@ -41,6 +41,10 @@ def test_decoding_of_any_ids():
     vocabulary, model, rng = pieces.read_pieces(PATH), library(), random.Random(6)
     bytes_ = set(vocabulary.byte_ids.tolist())
     strings = [None if i in bytes_ else p.replace("▁", " ") if p in vocabulary.ids else "" for i, p in enumerate(vocabulary.pieces)]
+    lead = vocabulary.byte_ids.tolist()
+    cut_off = [[lead[0xE3], lead[0x81]], [lead[0xE3], lead[0x81], 264], [lead[0xF0], lead[0x9F], lead[0xE3], lead[0x81], lead[0x82]], [lead[0xC3]], [1, 28705, lead[0x20]]]
+    for ids in cut_off:
+        assert pieces.decoded(ids, vocabulary, strings) == model.decode(ids), ids
     for _ in range(400):
         ids = [rng.choice((rng.randrange(3, 259), rng.randrange(259, 32000), 1, 2, 28705, 259)) for _ in range(rng.randrange(0, 12))]
         assert pieces.decoded(ids, vocabulary, strings) == model.decode(ids), ids
@@ -74,3 +78,10 @@ def test_digests(spark, tmp_path):
     one, none = (1, len(ids), sha(" ".join(map(str, ids))), sha("hello hello")), (1, sha("2"), sha(""))
     assert got == sorted([one, one, (None, *none), (3, *none)], key=repr)
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), pieces.read_pieces(PATH)).collect() == []
+
+
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    encoded = pieces.encode(docs, pieces.read_pieces(PATH))
+    encoded.collect()
+    assert "ReusedExchange" in encoded._jdf.queryExecution().executedPlan().toString()

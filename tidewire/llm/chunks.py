@@ -8,25 +8,28 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BLOCK_CHUNKS = 1 << 22  # chunks of a block of texts
-BLOCK_DISTINCT, BLOCK_CHARS = 600_000, 128 << 20  # distinct ones; letters of the texts that brought new ones
-ROW_CHUNKS = 1 << 16  # chunks of the texts that share a row
+BLOCK_CHUNKS = 1 << 21  # chunks of a block of texts
+BLOCK_DISTINCT, BLOCK_BYTES = 400_000, 16 << 20  # distinct ones, and their bytes
+TEXTS_AT_ONCE = 1024  # texts that are split together
+ROW_CHUNKS = 1 << 18  # chunks of the texts that share a row
 BUCKETS_A_PARTITION = 4
 
 BLOCKS = pa.schema(
     [
-        ("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("chunks", pa.binary()),
+        ("place", pa.int64()), ("block", pa.int64()), ("numbers", pa.binary()), ("chunks", pa.binary()),
         ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.binary()),
     ]
 )
-BLOCK_ROW = "block long, bucket int, numbers binary, chunks binary, docs array<long>, counts array<long>, places binary"
+BLOCK_ROW = "place long, block long, numbers binary, chunks binary, docs array<long>, counts array<long>, places binary"
 CODES = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 CODE_ROW = "block long, numbers binary, counts binary, ids binary"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -52,7 +55,7 @@ def unpacked_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<i4").ravel()
 
 
-def packed_chunks(chunks: list[bytes]) -> bytes:
+def packed_chunks(chunks: Sequence[bytes]) -> bytes:
     sizes = np.array([len(c) for c in chunks], dtype="<i4").tobytes()
     return len(chunks).to_bytes(4, "little") + squeezed(sizes + b"".join(chunks))
 
@@ -72,7 +75,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class _Numbers(dict):
     """Chunk -> its number, in the order of first use."""
 
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: bytes) -> int:
         self[chunk] = number = len(self)
         return number
 
@@ -82,46 +85,49 @@ def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
 
-def _block_rows(cut: Callable[[str], list[str]] | None, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, numbers, used = TaskContext.get().partitionId() << 32, _Numbers(), 0
-        docs: list = []
-        counts: list[int] = []
-        places: list[np.ndarray] = []
+def _slices(docs: pa.Array, lists: pa.ListArray) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Rows of about ROW_CHUNKS chunks together."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(lists):
+        before = int(ends[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + ROW_CHUNKS, side="right")))
+        yield docs.slice(at, upto - at), lists.slice(at, upto - at)
+        at = upto
+
 
-        def texts() -> Iterator[pa.RecordBatch]:
-            if docs:
-                yield _rows(BLOCKS, block=[block], docs=[list(docs)], counts=[list(counts)], places=[packed_ints(np.concatenate(places))])
-                docs.clear(), counts.clear(), places.clear()
+def _block_rows(cut: Callable[[pa.Array], Iterable[tuple[np.ndarray, pa.ListArray]]] | None, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, numbers, used, held = TaskContext.get().partitionId() << 32, _Numbers(), 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            yield from texts()
-            by_bucket: dict[int, tuple[list, list]] = {}
+            by_bucket: dict[int, list] = {}
             for chunk, number in numbers.items():
-                raw = chunk.encode()
-                at = by_bucket.setdefault(zlib.crc32(raw) % buckets, ([], []))
-                at[0].append(number), at[1].append(raw)
-            for bucket, (some, raws) in by_bucket.items():
-                # The numbers rise, so their steps are small.
-                yield _rows(BLOCKS, block=[block], bucket=[bucket], numbers=[packed_ints(np.diff(some, prepend=0))], chunks=[packed_chunks(raws)])
-
-        held = waiting = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                chunks = (cut(text.as_py() or "") if cut else text.as_py()) or []
-                known = len(numbers)
-                got = np.fromiter(map(numbers.__getitem__, chunks), np.int32, len(chunks))
-                if len(numbers) > known:
-                    held += sum(map(len, chunks))
-                docs.append(doc), counts.append(len(chunks)), places.append(got)
-                used += len(chunks)
-                waiting += len(chunks)
-                if waiting >= ROW_CHUNKS or len(docs) >= 4096:
-                    yield from texts()
-                    waiting = 0
-                if used >= BLOCK_CHUNKS or len(numbers) >= BLOCK_DISTINCT or held >= BLOCK_CHARS:
-                    yield from close()
-                    block, numbers, used, held, waiting = block + 1, _Numbers(), 0, 0, 0
+                by_bucket.setdefault(zlib.crc32(chunk) % buckets, []).append((chunk, number))
+            for bucket in list(by_bucket):
+                some = by_bucket.pop(bucket)
+                some.sort()  # alike chunks side by side take less room
+                chunks, places = zip(*some, strict=True)
+                yield _rows(BLOCKS, place=[-1 - bucket], block=[block], numbers=[packed_ints(np.array(places))], chunks=[packed_chunks(chunks)])
+            pa.default_memory_pool().release_unused()
+
+        for batch in (b.slice(i, TEXTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, TEXTS_AT_ONCE)):
+            texts = batch.column(1)
+            for rows, cut_rows in cut(texts) if cut else [(None, texts)]:
+                ids = batch.column(0) if rows is None else batch.column(0).take(pa.array(rows))
+                for docs, lists in _slices(ids, cut_rows):
+                    coded = lists.flatten().dictionary_encode()
+                    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+                    known = len(numbers)
+                    own = np.fromiter(map(numbers.__getitem__, distinct), np.int32, len(distinct))
+                    held += sum(len(c) for c, n in zip(distinct, own.tolist(), strict=True) if n >= known)
+                    places = own[coded.indices.to_numpy()]
+                    counts = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+                    yield _rows(BLOCKS, place=[block], block=[block], docs=[docs.to_pylist()], counts=[counts], places=[packed_ints(places)])
+                    used += len(places)
+                    if used >= BLOCK_CHUNKS or len(numbers) >= BLOCK_DISTINCT or held >= BLOCK_BYTES:
+                        yield from close()
+                        block, numbers, used, held = block + 1, _Numbers(), 0, 0
         yield from close()
 
     return run
@@ -157,48 +163,57 @@ class Codes:
         return _rows(CODES, block=[block], numbers=[numbers], counts=[packed_ints(sizes)], ids=[packed_ints(ids)])
 
 
-def _join_back(texts: pa.Table, codes: pa.Table) -> pa.Table:
+def _join_back(texts: pa.Table, codes: pa.Table, finish: Callable[[pa.RecordBatch], pa.RecordBatch]) -> pa.Table:
     """The ids of a block's texts: every place in a text is replaced by its chunk's ids."""
     numbers, counts, ids = [], [], []
     for row in codes.select(["numbers", "counts", "ids"]).to_pylist():
-        numbers.append(np.cumsum(unpacked_ints(row["numbers"]), dtype=np.int64))
+        numbers.append(unpacked_ints(row["numbers"]).astype(np.int64))
         counts.append(unpacked_ints(row["counts"]).astype(np.int64))
         ids.append(unpacked_ints(row["ids"]))
     none = np.zeros(0, dtype=np.int64)
     at, sizes, flat = (np.concatenate([none, *x]) for x in (numbers, counts, ids))
     starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     starts[at], lengths[at], flat = np.cumsum(sizes) - sizes, sizes, flat.astype(np.int32)
+    del numbers, counts, ids
     out = []
-    for row in texts.select(["docs", "counts", "places"]).to_pylist():
-        if row["docs"] is None:
-            continue
-        places = unpacked_ints(row["places"])
+    for docs, counts, packed in zip(*(texts.column(c) for c in ("docs", "counts", "places")), strict=True):
+        places = unpacked_ints(packed.as_py())
         taken = lengths[places]
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(taken)))[np.concatenate((np.zeros(1, np.int64), np.cumsum(row["counts"])))]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(taken)))[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts.values.to_numpy())))]
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[ragged(starts[places], taken)]))
-        out.append(pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), lists], schema=ENCODED))
-    return pa.Table.from_batches(out, schema=ENCODED)
+        out.append(finish(pa.RecordBatch.from_arrays([docs.values, lists], schema=ENCODED)))
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(out)
 
 
-def encode_distinct(texts: DataFrame, cut: Callable[[str], list[str]] | None, code: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Ids of whole texts: doc_id, ids.
+def encode_distinct(
+    texts: DataFrame, cut: Callable | None, code: Callable[[DataFrame], DataFrame], finish: Callable = lambda batch: batch, columns: str = "doc_id long, ids array<int>"
+) -> DataFrame:
+    """Ids of whole texts: doc_id, ids; ``finish`` may turn batches of these into other ``columns``.
 
-    ``texts`` has two columns, doc_id and a text, which ``cut`` splits into chunks (or, with None, an array of chunks). ``code`` takes
-    rows of BLOCK_ROW whose chunks of equal bucket share a partition and returns rows of CODE_ROW; it may hold the distinct
-    chunks of its partition, which are a share of all. Blocks are bounded, so no task holds more than one block's distinct
-    chunks; a chunk that all texts share stands once per block.
+    ``texts`` has two columns, doc_id and a text, which ``cut`` splits into chunks: it takes an array of texts and gives lists of
+    chunks with the places of their texts; with None the second column holds the lists. ``code`` takes
+    rows with packed chunks (block, numbers, chunks; equal chunks share a partition) and returns rows of CODE_ROW; it may hold the
+    distinct chunks of its partition, which are a share of all. Blocks are bounded, so no task holds more than one block's
+    distinct chunks; a chunk that all texts share stands once per block.
+
+    One exchange deals texts by block and chunks by bucket; both sides below read it.
     """
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.mapInArrow(_block_rows(cut, BUCKETS_A_PARTITION * partitions), BLOCK_ROW)
-    # Read by both sides below; the second reads what the first has shuffled.
-    blocks = rows.repartition(partitions, "block")
-    codes = code(blocks.mapInArrow(_only_chunks, BLOCK_ROW).repartition(partitions, "bucket"))
-    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_join_back, "doc_id long, ids array<int>")
+    dealt = rows.repartition(partitions, "place")
+    codes = code(dealt.mapInArrow(_only_chunks, CHUNK_ROW))
+    # A filter that is not deterministic stays behind the exchange, which otherwise would be made twice.
+    blocks = dealt.where(F.when(F.col("docs").isNull(), 0).otherwise(1) > F.rand())
+    return blocks.groupBy("place").cogroup(codes.withColumnRenamed("block", "place").groupBy("place")).applyInArrow(lambda left, right: _join_back(left, right, finish), columns)
+
+
+CHUNK_ROW = "block long, numbers binary, chunks binary"
 
 
 def _only_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(batch.column("chunks").is_valid())
+        yield batch.filter(batch.column("chunks").is_valid()).select(["block", "numbers", "chunks"])
 
 
 def merged_spans(chunk, ranks) -> Iterable:

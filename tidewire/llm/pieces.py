@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.chunks import CODE_ROW, Codes, encode_distinct, merged_spans, unpacked_chunks
+from tidewire.llm.chunks import CODE_ROW, Codes, encode_distinct, merged_spans, ragged, unpacked_chunks
 
 MARK = "▁"  # stands for a space
 CHUNK = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+")
 NONE = np.int32(2**31 - 1)  # rank of neighbours that make no piece
 PAD = np.int32(-(2**31))
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64)  # symbols of the chunks that are merged together; longer ones use a heap
-ROWS_AT_ONCE = 1 << 15
+ROWS_AT_ONCE = 1 << 14  # rows of a matrix
+IDS_AT_ONCE = 1 << 19  # ids that are decoded together
+FRESH_AT_ONCE = 1 << 16  # new chunks that a task segments together
 
 
 @dataclass
@@ -62,6 +67,16 @@ class Pieces:
             places[slot] = value
         self.table = slots, np.ascontiguousarray(places[:, 0]), np.ascontiguousarray(places[:, 1])
 
+    @cached_property
+    def spelling(self) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Strings of the pieces (None for bytes), their bytes side by side with starts and sizes, and which begin with a space."""
+        bytes_ = {int(i): b for b, i in enumerate(self.byte_ids)}
+        strings = [None if i in bytes_ else p.replace(MARK, " ") if p in self.ids else "" for i, p in enumerate(self.pieces)]
+        raws = [bytes([bytes_[i]]) if s is None else s.encode() for i, s in enumerate(strings)]
+        sizes = np.array([len(r) for r in raws], dtype=np.int64)
+        spaced = np.array([bool(s) and s[0] == " " for s in strings])
+        return strings, np.frombuffer(b"".join(raws), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, spaced
+
     def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that neighbours make; NONE where they make none."""
         slots, ranks, ids = self.table
@@ -107,9 +122,18 @@ def read_pieces(path: str) -> Pieces:
     return Pieces(pieces, ranks, plain, np.array([by_byte[f"<0x{b:02X}>"] for b in range(256)], dtype=np.int32), model.eos_id())
 
 
-def cut(text: str) -> list[str]:
-    """A text's chunks: runs of white space markers with the letters behind them. A marker goes ahead of a text that is not empty."""
-    return CHUNK.findall(" " + text) if text else []
+def cut(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+    """Texts' chunks, runs of white space markers with the letters behind them, each without its first marker.
+
+    A marker goes ahead of a text that is not empty, so every chunk has one. Texts whose markers are single spaces between
+    words are split at them, all others by pattern.
+    """
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | $|{MARK}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    plain, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+    yield plain, pc.split_pattern(texts.take(pa.array(plain)), " ")
+    lists = [[chunk[1:] for chunk in CHUNK.findall(" " + text)] if text else [] for text in texts.take(pa.array(other)).to_pylist()]
+    yield other, pa.array(lists, pa.list_(pa.string()))
 
 
 def _merge(ids: np.ndarray, vocabulary: Pieces) -> np.ndarray:
@@ -157,8 +181,8 @@ def segment(chunks: list[str], vocabulary: Pieces) -> tuple[np.ndarray, np.ndarr
     sizes = np.array([len(c) for c in chunks], dtype=np.int64)
     symbols = vocabulary.single[np.frombuffer("".join(chunks).replace(" ", MARK).encode("utf-32-le"), dtype=np.uint32)]
     ends = np.cumsum(sizes)
-    parts: list = [None] * len(chunks)
     counts = np.zeros(len(chunks), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     low = 0
     for width in WIDTHS:
         group = np.flatnonzero((sizes > low) & (sizes <= width))
@@ -166,18 +190,19 @@ def segment(chunks: list[str], vocabulary: Pieces) -> tuple[np.ndarray, np.ndarr
         for some in (group[i : i + ROWS_AT_ONCE] for i in range(0, len(group), ROWS_AT_ONCE)):
             inside = np.arange(width) < sizes[some, None]
             rows = np.full((len(some), width), PAD, np.int32)
-            rows[inside] = symbols[np.repeat(ends[some] - sizes[some], sizes[some]) + np.nonzero(inside)[1]]
+            rows[inside] = symbols[ragged(ends[some] - sizes[some], sizes[some])]
             merged = _merge(rows, vocabulary)
             kept = merged != PAD
             counts[some] = kept.sum(axis=1)
-            for i, row, n in zip(some.tolist(), merged, counts[some].tolist(), strict=True):
-                parts[i] = row[:n]
+            done.append((some, merged[kept]))
     for i in np.flatnonzero(sizes > low):
         spans = merged_spans(chunks[i].replace(" ", MARK), vocabulary.ranks)
-        ids = (vocabulary.ids.get(s, -1 - ord(s[0])) for s in spans)
-        parts[i] = np.fromiter(ids, np.int32)
-        counts[i] = len(parts[i])
-    flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        ids = np.fromiter((vocabulary.ids.get(s, -1 - ord(s[0])) for s in spans), np.int32)
+        counts[i] = len(ids)
+        done.append((np.array([i]), ids))
+    starts, flat = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int32)
+    for some, ids in done:
+        flat[ragged(starts[some], counts[some])] = ids
     return _with_bytes(flat, counts, vocabulary)
 
 
@@ -185,19 +210,26 @@ def _code(share) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known, codes = share.value, {}, Codes()
         for batch in batches:
-            for row in batch.select(["block", "numbers", "chunks"]).to_pylist():
-                chunks = unpacked_chunks(row["chunks"])
-                fresh = [c for c in chunks if c not in known]
+            rows = batch.select(["block", "numbers", "chunks"]).to_pylist()
+            while rows:
+                some, fresh = [], {}
+                while rows and len(fresh) < FRESH_AT_ONCE:
+                    row = rows.pop()
+                    row["chunks"] = unpacked_chunks(row["chunks"])
+                    fresh.update((c, None) for c in row["chunks"] if c not in known)
+                    some.append(row)
                 if fresh:
-                    codes.add(*segment([c.decode() for c in fresh], vocabulary))
+                    codes.add(*segment([MARK + c.decode() for c in fresh], vocabulary))
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-                yield codes.batch(row["block"], row["numbers"], np.array([known[c] for c in chunks], dtype=np.int64))
+                for row in some:
+                    yield codes.batch(row["block"], row["numbers"], np.array([known[c] for c in row["chunks"]], dtype=np.int64))
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """Token ids of whole texts without the end id: doc_id, ids (array of int). Null and empty texts have none.
+def encode(docs: DataFrame, vocabulary: Pieces, *, end: bool = False, decoded: bool = False) -> DataFrame:
+    """Token ids of whole texts: doc_id, ids (array of int); with ``end`` an end id closes them. Null and empty texts have no others.
+    ``decoded`` adds ``text``, what the ids decode to.
 
     As the model's library encodes: a marker goes ahead of the text, spaces become markers, neighbours merge by the pieces'
     scores, and code points without a piece fall back to bytes; strings of special tokens are ordinary text. No piece crosses from
@@ -207,7 +239,24 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     """
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the vocabulary's size
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return encode_distinct(texts, cut, lambda rows: rows.mapInArrow(_code(share), CODE_ROW))
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(0), ended(batch.column(1), share.value.end) if end else batch.column(1)]
+        columns += [texts_of(columns[1], share.value)] if decoded else []
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
+
+    names = "doc_id long, ids array<int>" + (", text string" if decoded else "")
+    return encode_distinct(texts, cut, lambda rows: rows.mapInArrow(_code(share), CODE_ROW), finish, names)
+
+
+def ended(ids: pa.ListArray, end: int) -> pa.ListArray:
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    flat = np.insert(ids.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:] - offsets[0], end)
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0] + np.arange(len(offsets)), pa.int32()), pa.array(flat, pa.int32()))
+
+
+# Of bytes that are no UTF-8 every one becomes a replacement character.
+codecs.register_error("each_byte", lambda error: ("\ufffd", error.start + 1))
 
 
 def decoded(ids: list[int], vocabulary: Pieces, strings: list[str | None]) -> str:
@@ -219,7 +268,7 @@ def decoded(ids: list[int], vocabulary: Pieces, strings: list[str | None]) -> st
             raw.append(int(vocabulary.pieces[i][3:5], 16))
             continue
         if raw:
-            out.append(raw.decode("utf-8", "replace"))
+            out.append(raw.decode("utf-8", "each_byte"))
             raw.clear()
             first = False
         if first and piece:
@@ -227,17 +276,47 @@ def decoded(ids: list[int], vocabulary: Pieces, strings: list[str | None]) -> st
             piece = piece.removeprefix(" ")
         out.append(piece)
     if raw:
-        out.append(raw.decode("utf-8", "replace"))
+        out.append(raw.decode("utf-8", "each_byte"))
     return "".join(out)
 
 
+def texts_of(ids: pa.ListArray, vocabulary: Pieces) -> pa.Array:
+    """The texts of many rows of ids: the pieces' bytes side by side; rows that are no UTF-8 one by one. Null gives null."""
+    offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
+    parts, at = [], 0
+    while at < len(ids):  # rows of about IDS_AT_ONCE ids together
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + IDS_AT_ONCE, side="right")) - 1)
+        ends = offsets[at : upto + 1]
+        parts += _texts(flat[ends[0] : ends[-1]], ends - ends[0], vocabulary)
+        at = upto
+    return pa.array([t if ok else None for t, ok in zip(parts, ids.is_valid().to_pylist(), strict=True)], pa.string())
+
+
+def _texts(ids: np.ndarray, ends: np.ndarray, vocabulary: Pieces) -> list[str]:
+    strings, letters, starts, sizes, spaced = vocabulary.spelling
+    taken = sizes[ids]
+    skip = np.zeros(len(ids), dtype=np.int64)
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        while low < high and taken[low] == 0:
+            low += 1
+        if low < high and spaced[ids[low]]:
+            skip[low] = 1  # the marker ahead of the text
+    whole = letters[ragged(starts[ids] + skip, taken - skip)].tobytes()
+    places = np.concatenate((np.zeros(1, np.int64), np.cumsum(taken - skip)))[ends].tolist()
+    out = []
+    for i, (low, high) in enumerate(zip(places[:-1], places[1:], strict=True)):
+        try:
+            out.append(whole[low:high].decode())
+        except UnicodeDecodeError:
+            out.append(decoded(ids[ends[i] : ends[i + 1]].tolist(), vocabulary, strings))
+    return out
+
+
 def decode(vocabulary: Pieces) -> Callable:
     """A column function: array of ids -> text. Control ids are silent; null gives null."""
-    bytes_ = set(vocabulary.byte_ids.tolist())
-    strings = [None if i in bytes_ else p.replace(MARK, " ") if p in vocabulary.ids else "" for i, p in enumerate(vocabulary.pieces)]
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        return pa.array([None if row is None else decoded(row, vocabulary, strings) for row in (r.as_py() for r in ids)], pa.string())
+        return texts_of(ids, vocabulary)
 
     return text

@@ -144,12 +144,12 @@ def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode whole texts with an end id and decode them: n_tokens and digests of the ids and of the decoded text."""
     vocabulary = pieces.read_pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
-    ended = pieces.encode(docs, vocabulary).select("doc_id", F.concat("ids", F.array(F.lit(vocabulary.end))).alias("ids"))
-    return ended.select(
+    encoded = pieces.encode(docs, vocabulary, end=True, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(pieces.decode(vocabulary)("ids"), 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )
 
 
