@@ -13,7 +13,7 @@ from tidewire.operators.detect import (
     one_class_svm,
     reconstruction_scores,
 )
-from tidewire.operators.drift import Concepts, concept_drift, drift_levels
+from tidewire.operators.drift import drift_levels
 from tidewire.operators.linear import Moments
 from tidewire.operators.windows import anchored_windows
 
@@ -44,40 +44,43 @@ def test_adaptive_threshold(spark, chunk):
     assert [r["threshold"] for r in found] == pytest.approx(wanted)
 
 
-def test_concepts_in_pieces(spark):
-    rng = np.random.default_rng(2)
-    rows = []
-    for node in ("a", "b"):
-        for i in range(220):
-            level = 0.0 if i < 120 else 50.0
-            rows.append((node, i, float(rng.normal(level + 1, 1)), float(rng.normal(level, 2))))
-        rows.append((node, 220, 0.0, 0.0))
-    df = spark.createDataFrame(rows, "node string, snapshot_id long, count double, size double")
-    one = concept_drift(df, ["count", "size"], min_rows=30, max_rows=100).orderBy("node", "snapshot_id").collect()
-    cut = concept_drift(df, ["count", "size"], min_rows=30, max_rows=100, chunk_rows=64).orderBy("node", "snapshot_id").collect()
-    assert one == cut
-    state, wanted = Concepts(30, 100), []
-    for _, key, count, size in rows[:220]:
-        done = state.update(key, np.array([count, size]))
-        if done:
-            wanted.append((done[0], done[3]))
-    assert [(r["snapshot_id"], r["concept_id"]) for r in one if r["node"] == "a" and r["concept_id"] >= 0] == wanted
-    assert {c for _, c in wanted} >= {0, 1}
-    assert [r["concept_id"] for r in one if r["snapshot_id"] == 220] == [-1, -1]
-
-
-def test_drift_levels(spark):
-    scores = [1.0 + 0.01 * (i % 7) for i in range(40)] + [9.0 + 0.01 * (i % 5) for i in range(12)]
-    df = spark.createDataFrame([(i, s, 5.0) for i, s in enumerate(scores)], "batch_id long, median_score double, threshold double")
-    for chunk in (1000, 5):
-        found = drift_levels(df, patience=10, confidence=5.0, chunk_batches=chunk).orderBy("batch_id").collect()
-        raised = [r for r in found if r["drift"] != "none"]
-        assert [r["batch_id"] for r in raised] == [49]
-        above, below = np.array(scores[40:50]), np.array(scores[30:40])
-        spread = np.percentile(above, 99) - np.percentile(below, 1)
-        level = 10 * (np.median(above) - np.median(below)) ** 2 / spread**2
-        assert raised[0]["drift_level"] == pytest.approx(level)
-        assert raised[0]["drift"] == ("malicious" if level > 5 else "benign")
+@pytest.mark.parametrize("seed", [1, 2])
+def test_drift_levels(spark, seed):
+    """Against two queues that take every value in turn."""
+    rng, patience = random.Random(seed), 10
+    level, rows, wanted = 1.0, [], {}
+    usual, suspicious, since, models = deque(maxlen=patience), deque(maxlen=patience), 0, 1
+    for b in range(260):
+        if rng.random() < 0.06:
+            level = rng.choice((1.0, 6.0, 9.0, 30.0))
+        scores = [level + rng.random() * 3 for _ in range(rng.randrange(2, 6))]
+        rows += [("x", b * 2, len(rows) + i, s, 5.0) for i, s in enumerate(scores)]
+        median = float(np.median(scores))
+        if median > 5.0:
+            suspicious.append(median)
+            since = 0
+        else:
+            usual.append(median)
+            since += 1
+        if since > patience // 5:
+            suspicious.clear()
+        magnitude, kind = 0.0, "none"
+        if len(usual) == len(suspicious) == patience:
+            low = min(np.percentile(suspicious, 1), np.percentile(usual, 1))
+            high = max(np.percentile(suspicious, 99), np.percentile(usual, 99))
+            magnitude = patience * (np.median(suspicious) - np.median(usual)) ** 2 / (high - low) ** 2
+            kind = "malicious" if magnitude > 0.1 else "benign"
+            models = min(20, models + (kind == "benign"))
+            suspicious.clear()
+        usual.extend(scores)
+        wanted[b * 2] = (pytest.approx(magnitude), kind, models)
+    rows += [("y", 0, 0, 1.0, 5.0), ("y", 0, 1, None, 5.0), ("z", 3, 0, None, 5.0)]
+    df = spark.createDataFrame(rows, "file string, batch_id long, seq long, score double, threshold double")
+    found = drift_levels(df, stream=["file"], patience=patience, confidence=0.1).collect()
+    assert {r.batch_id: (r.drift_level, r.drift, r.num_model) for r in found if r.file == "x"} == wanted
+    assert {"malicious", "benign"} <= {v[1] for v in wanted.values()}
+    assert [(r.batch_id, r.drift_level, r.drift, r.num_model) for r in found if r.file == "y"] == [(0, 0.0, "none", 1)]
+
 
 
 @pytest.mark.parametrize("chunk", [1000, 9])

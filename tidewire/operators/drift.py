@@ -2,96 +2,20 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.functions.ks import ks_min_p_value
+from tidewire.operators.concepts import History
 from tidewire.operators.folds import chunked_fold
 from tidewire.operators.graph import edges_among
+from tidewire.operators.index import running_totals
 from tidewire.schema import CONCEPT_MAX_ROWS, CONCEPT_MIN_ROWS
-
-
-class Concepts:
-    """Concept state of one entity: reservoirs of known concepts and the buffer of the next rows."""
-
-    P = 0.01
-    MALICIOUS_P = 1e-4
-
-    def __init__(self, min_rows: int, max_rows: int):
-        self.min_rows, self.max_rows = min_rows, max_rows
-        self.samples = {0: []}
-        self.seen = {0: 0}
-        self.malicious = {0: False}
-        self.created = 0
-        self.current = 0
-        self.buffer: deque = deque()
-        self.assigned: deque = deque()
-
-    def add(self, concept: int, item: np.ndarray) -> None:
-        self.seen[concept] += 1
-        sample = self.samples[concept]
-        if len(sample) < self.max_rows:
-            sample.append(item)
-            return
-        place = int(np.random.default_rng([concept, self.seen[concept]]).integers(self.seen[concept]))
-        if place < self.max_rows:
-            sample[place] = item
-
-    def update(self, key: int, item: np.ndarray):
-        """Take one row; give (key, item, scaled, concept, malicious) of the row that is decided, or None."""
-        if self.seen[self.current] < self.min_rows:
-            self.add(self.current, item)
-            return None
-        if len(self.buffer) < self.min_rows:
-            self.buffer.append((key, item))
-            return None
-        if not self.assigned:
-            self._assign()
-        oldest_key, oldest = self.buffer.popleft()
-        concept = self.assigned.popleft()
-        if concept not in self.samples:
-            concept = self.current
-        low, centre, high = np.percentile(np.vstack(self.samples[concept]), [16, 50, 84], axis=0)
-        spread = np.where(high - low == 0, 1.0, high - low)
-        self.add(concept, oldest)
-        self.buffer.append((key, item))
-        return oldest_key, oldest, (oldest - centre) / spread, concept, self.malicious[concept]
-
-    def _assign(self) -> None:
-        coming = np.vstack([item for _, item in self.buffer])
-        p = ks_min_p_value(np.vstack(self.samples[self.current]), coming)
-        if p > 1 - self.P:
-            self.assigned.extend([self.current] * len(coming))
-        elif p < self.P:
-            self.current = self._match(coming)
-            self.assigned.extend([self.current] * len(coming))
-        else:
-            self.assigned.append(self.current)
-
-    def _match(self, coming: np.ndarray) -> int:
-        p = {c: ks_min_p_value(coming, np.vstack(sample)) for c, sample in self.samples.items()}
-        matching = [c for c, value in p.items() if value > self.P]
-        if not matching:
-            self.created += 1
-            new = self.created
-            self.samples[new], self.seen[new] = [], 0
-            self.malicious[new] = max(p.values()) < self.MALICIOUS_P
-            for item in coming:
-                self.add(new, item)
-            return new
-        first = matching[0]
-        for other in matching[1:]:
-            for item in self.samples[other]:
-                self.add(first, item)
-            self.malicious[first] = self.malicious[first] or self.malicious[other]
-            del self.samples[other], self.seen[other], self.malicious[other]
-        return first
+from tidewire.session import settle
 
 
 def concept_drift(
@@ -122,25 +46,31 @@ def concept_drift(
         ]
     )
     features = list(features)
-
-    def step(state, chunk: pd.DataFrame):
-        name = chunk[entity].iloc[0]
-        values = chunk[features].to_numpy(dtype=float)
+    names = schema.fieldNames()
+
+    def step(state: tuple[History, np.ndarray], chunk: pd.DataFrame):
+        history, waiting = state
+        values, at = chunk[features].to_numpy(dtype=float), chunk[order].to_numpy()
+        silent = ~values.any(axis=1)
+        before, known = history.decided, max(1, len(history.concepts))
+        started = history.arrived
+        # The first rows only make a concept; they are never decided themselves.
+        keys = np.concatenate((waiting, at[~silent][max(0, min_rows - started) :])).astype(at.dtype)
+        rows, scaled, concept, malicious, many = history.arrive(values[~silent])
+        # A silent row sees the concepts of the decisions that the rows before it have brought about.
+        made = np.maximum(0, started + np.cumsum(~silent)[silent] - 2 * min_rows) - before
+        seen = np.concatenate(([known], many))[np.maximum(made, 0)]
+        ids = {entity: chunk[entity].iloc[0]}
+        parts = (
+            (keys[: len(rows)], rows, scaled, concept, malicious, many),
+            (at[silent], values[silent], values[silent], np.full(silent.sum(), -1), np.zeros(silent.sum(), bool), seen),
+        )
         out = []
-        for key, item in zip(chunk[order], values, strict=True):
-            if not item.any():
-                out.append((name, key, *item, *item, -1, False, len(state.samples)))
-                continue
-            done = state.update(key, item)
-            if done:
-                at, original, scaled, concept, malicious = done
-                out.append((name, at, *original, *scaled, concept, malicious, len(state.samples)))
-        return state, pd.DataFrame(out, columns=schema.fieldNames())
-
-    def resume(plain: dict) -> Concepts:
-        state = Concepts(min_rows, max_rows)
-        vars(state).update(plain)
-        return state
+        for when, original, result, number, evil, count in parts:
+            columns = {f"original_{f}": original[:, i] for i, f in enumerate(features)} | {f: result[:, i] for i, f in enumerate(features)}
+            flags = {"concept_id": number, "malicious_concept": evil, "num_concepts": count}
+            out.append(pd.DataFrame({order: when, **columns, **flags}).assign(**ids)[names])
+        return (history, keys[len(rows) :]), pd.concat(out)
 
     return chunked_fold(
         rows.select(entity, order, *features, F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk")),
@@ -149,10 +79,10 @@ def concept_drift(
         stream=[entity],
         order=[order],
         chunk="_chunk",
-        initial=lambda: Concepts(min_rows, max_rows),
+        initial=lambda: (History(len(features), min_rows, max_rows), np.empty(0)),
         speculate=False,
-        pack=vars,
-        unpack=resume,
+        pack=lambda state: (state[0].plain(), state[1]),
+        unpack=lambda plain: (History.resumed(plain[0]), plain[1]),
     )
 
 
@@ -174,85 +104,87 @@ def scored_graph(decided: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return nodes, edges_among(edges, nodes)
 
 
-class ScoreLevels:
-    """Queues of batch medians below and above the threshold."""
-
-    def __init__(self, patience: int, usual=(), potential=(), since: int = 0, models: int = 1):
-        self.usual: deque = deque((float(x) for x in usual), maxlen=patience)
-        self.potential: deque = deque((float(x) for x in potential), maxlen=patience)
-        self.since = since
-        self.models = models
-
-
 def drift_levels(
-    batches: DataFrame,
+    scores: DataFrame,
     *,
     stream: Sequence[str] = (),
     batch: str = "batch_id",
+    row: str = "seq",
     patience: int = 1000,
     confidence: float = 50.0,
     max_models: int = 20,
-    chunk_batches: int = 100_000,
 ) -> DataFrame:
-    """Drift magnitude per batch from ``batches(median_score, threshold)``.
-
-    Once both queues hold ``patience`` medians the magnitude is ``n * (difference of medians)**2 / range**2``
-    with the 1-99 percentile range. Above ``confidence`` it is malicious drift, else benign drift, which adds
-    a model to the pool; both empty the queue of potential batches.
+    """Drift magnitude per batch from row scores ``scores(stream, batch, row, score, threshold)``; batches without scores are left out.
+
+    A batch whose median lies above its threshold is suspicious: its median joins the suspicious queue, which empties
+    once more than a fifth of ``patience`` batches in a row were not. The usual queue takes the medians of the other batches and
+    the row scores of every batch, each after the batch is judged. Both queues hold the last ``patience`` values. When both are
+    full the magnitude is ``patience * (difference of medians)**2 / range**2``, the range between the lowest 1 and the highest
+    99 percentile. Above ``confidence`` it is malicious drift, else benign drift, which adds a model to the pool; both empty
+    the suspicious queue.
+
+    Queues are not folded row by row: suspicious batches between two long quiet stretches are numbered, every ``patience``-th
+    of them completes a queue, and only the rows of the batches that its usual queue reaches back to are read. (A batch of
+    two rows or more always leaves the usual queue full by then; streams of single-row batches are judged by what it holds.)
     """
     keys = list(stream) or ["_all"]
-    rows = batches if stream else batches.withColumn("_all", F.lit(0))
-    schema = T.StructType(
-        [
-            *[rows.schema[k] for k in keys],
-            rows.schema[batch],
-            T.StructField("drift_level", T.DoubleType()),
-            T.StructField("drift", T.StringType()),
-            T.StructField("num_model", T.IntegerType()),
-        ]
+    rows = scores if stream else scores.withColumn("_all", F.lit(0))
+    rows = rows.select(*keys, F.col(batch).alias("_batch"), F.col(row).alias("_row"), F.col("score").cast("double").alias("score"), "threshold")
+    rows = settle(rows.where(F.col("score").isNotNull()))
+    medians = rows.groupBy(*keys, "_batch").agg(
+        F.expr("percentile(score, 0.5D)").alias("median"), F.max("threshold").alias("threshold"), F.count("*").alias("n")
     )
-
-    def note(state: ScoreLevels, score: float, threshold: float) -> None:
-        if score > threshold:
-            state.potential.append(score)
-            state.since = 0
-        else:
-            state.usual.append(score)
-            state.since += 1
-        if state.since > patience // 5:
-            state.potential.clear()
-
-    def step(state: ScoreLevels, chunk: pd.DataFrame):
-        out = []
-        rows_in = list(zip(*[chunk[c] for c in (*keys, batch, "median_score", "threshold")], strict=True))
-        for *ids, score, threshold in rows_in:
-            level, kind = 0.0, "none"
-            note(state, score, threshold)
-            if len(state.usual) == patience and len(state.potential) == patience:
-                above, below = np.array(state.potential), np.array(state.usual)
-                hi = max(np.percentile(above, 99), np.percentile(below, 99))
-                lo = min(np.percentile(above, 1), np.percentile(below, 1))
-                level = float(patience * (np.median(above) - np.median(below)) ** 2 / (hi - lo) ** 2)
-                kind = "malicious" if level > confidence else "benign"
-                if kind == "benign":
-                    state.models = min(max_models, state.models + 1)
-                state.potential.clear()
-            out.append((*ids, level, kind, state.models))
-        return state, pd.DataFrame(out, columns=schema.fieldNames())
-
-    chunk = F.floor(F.col(batch) / F.lit(chunk_batches)).alias("_chunk")
-    result = chunked_fold(
-        rows.select(*keys, batch, "median_score", "threshold", chunk),
-        step,
-        schema,
-        stream=keys,
-        order=[batch],
-        chunk="_chunk",
-        initial=lambda: ScoreLevels(patience),
-        pack=lambda state: (np.array(state.usual), np.array(state.potential), state.since, state.models),
-        unpack=lambda plain: ScoreLevels(patience, *plain),
+    judged = medians.withColumn("high", (F.col("median") > F.col("threshold")).cast("long"))
+    judged = judged.withColumn("entries", F.col("n") + 1 - F.col("high")).withColumn("one", F.lit(1).cast("long"))
+    placed = settle(running_totals(judged, ["entries", "one", "high"], ["_batch"], stream=keys))
+
+    # Suspicious batches in order; a new stretch begins where too many others lie before one.
+    quiet = patience // 5
+    highs = placed.where("high = 1").select(*keys, "_batch", "median", F.col("entries_upto").alias("upto"), "entries", F.col("one_upto").alias("at"), F.col("high_upto").alias("h"))
+    ahead = highs.select(*keys, (F.col("h") + 1).alias("h"), F.col("at").alias("last"))
+    starts = highs.join(ahead, [*keys, "h"], "left").withColumn("start", (F.col("last").isNull() | (F.col("at") - F.col("last") - 1 > quiet)).cast("long"))
+    stretches = running_totals(starts.select(*keys, "h", "start"), ["start"], ["h"], stream=keys).withColumnRenamed("start_upto", "stretch")
+    first = stretches.groupBy(*keys, "stretch").agg(F.min("h").alias("h0"))
+    queues = (
+        highs.join(stretches.select(*keys, "h", "stretch"), [*keys, "h"])
+        .join(first, [*keys, "stretch"])
+        .groupBy(*keys, "stretch", F.floor((F.col("h") - F.col("h0")) / patience).alias("turn"))
+        .agg(F.count("*").alias("size"), F.max("_batch").alias("_batch"), F.max(F.col("upto") - F.col("entries")).alias("end"), F.expr("percentile(median, array(0.01D, 0.5D, 0.99D))").alias("above"))
+        .where(F.col("size") == patience)
+    )
+    queues = settle(queues.select(*keys, F.col("_batch").alias("_event"), "end", "above"))
+
+    # The usual queue: the last entries before the batch. Queues of different events do not overlap, so entries go by blocks.
+    span = F.lit(patience)
+    reached = queues.select("*", F.explode(F.sequence(F.greatest(F.floor((F.col("end") - span) / span), F.lit(0).cast("long")), F.floor((F.col("end") - 1) / span))).alias("block"))
+    entered = placed.select(*keys, "_batch", "median", "high", (F.col("entries_upto") - F.col("entries")).alias("before"), "entries")
+    entered = entered.withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / span), F.floor((F.col("before") + F.col("entries") - 1) / span))))
+    meets = (F.col("before") < F.col("end")) & (F.col("before") + F.col("entries") > F.col("end") - span)
+    touched = entered.join(reached, [*keys, "block"]).where(meets).select(*keys, "_batch", "_event", "end", "median", "high", "before").distinct()
+    inside = Window.partitionBy(*keys, "_batch", "_event").orderBy("_row")
+    own = rows.join(touched, [*keys, "_batch"]).select(
+        *keys, "_event", "end", (F.col("before") + F.lit(1) - F.col("high") + F.row_number().over(inside) - 1).alias("e"), F.col("score").alias("v")
+    )
+    usual = own.unionByName(touched.where("high = 0").select(*keys, "_event", "end", F.col("before").alias("e"), F.col("median").alias("v")))
+    below = usual.where((F.col("e") < F.col("end")) & (F.col("e") >= F.col("end") - span)).groupBy(*keys, "_event").agg(
+        F.expr("percentile(v, array(0.01D, 0.5D, 0.99D))").alias("below")
+    )
+    gap = F.col("above")[1] - F.col("below")[1]
+    reach = F.greatest(F.col("above")[2], F.col("below")[2]) - F.least(F.col("above")[0], F.col("below")[0])
+    level = F.try_divide(F.lit(float(patience)) * gap * gap, reach * reach)
+    events = queues.join(below, [*keys, "_event"]).select(*keys, F.col("_event").alias("_batch"), level.alias("drift_level"))
+    events = events.withColumn("drift", F.when(F.col("drift_level") > confidence, "malicious").otherwise("benign"))
+    marked = placed.select(*keys, "_batch").join(events, [*keys, "_batch"], "left")
+    marked = settle(marked.withColumn("more", F.coalesce((F.col("drift") == "benign").cast("long"), F.lit(0).cast("long"))))
+    counted = running_totals(marked.select(*keys, "_batch", "more"), ["more"], ["_batch"], stream=keys).drop("more")
+    out = marked.join(counted, [*keys, "_batch"]).select(
+        *keys,
+        F.col("_batch").alias(batch),
+        F.coalesce("drift_level", F.lit(0.0)).alias("drift_level"),
+        F.coalesce("drift", F.lit("none")).alias("drift"),
+        F.least(F.lit(max_models), F.col("more_upto") + 1).cast("int").alias("num_model"),
     )
-    return result if stream else result.drop("_all")
+    return out if stream else out.drop("_all")
 
 
 def pool_reliability(

@@ -221,13 +221,31 @@ def concept_info(spark, sf):
     return R.concept_info(R.concept_drift(node_rows(spark, sf)[0], ["count", "size"]))
 
 
-@query("drift_levels")
+@query(
+    "drift_levels",
+    f"""WITH {{packets}}, sc AS (SELECT file, seq // 32 AS batch_id, seq, packet_size AS score FROM packets),
+      m AS (SELECT file, batch_id, quantile_cont(score, 0.5) AS median FROM sc GROUP BY ALL),
+      en AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY batch_id, kind, seq) - 1 AS e FROM (
+        SELECT file, batch_id, 0 AS kind, 0 AS seq, median AS v FROM m WHERE median <= 35
+        UNION ALL SELECT file, batch_id, 1, seq, score FROM sc)),
+      o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY batch_id) AS place FROM m),
+      h AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY file ORDER BY place) - 1 <= 4 THEN 0 ELSE 1 END AS start FROM o WHERE median > 35),
+      s AS (SELECT *, sum(start) OVER (PARTITION BY file ORDER BY place) AS stretch FROM h),
+      t AS (SELECT *, (row_number() OVER (PARTITION BY file, stretch ORDER BY place) - 1) // 20 AS turn FROM s),
+      q AS (SELECT file, max(batch_id) AS batch_id, quantile_cont(median, [0.01, 0.5, 0.99]) AS above
+        FROM t GROUP BY file, stretch, turn HAVING count(*) = 20),
+      st AS (SELECT q.file, q.batch_id, any_value(above) AS above, min(e) AS fin FROM q JOIN en ON en.file = q.file AND en.batch_id = q.batch_id GROUP BY q.file, q.batch_id),
+      b AS (SELECT st.file, st.batch_id, any_value(above) AS above, quantile_cont(v, [0.01, 0.5, 0.99]) AS below
+        FROM st JOIN en ON en.file = st.file AND e < fin AND e >= fin - 20 GROUP BY st.file, st.batch_id),
+      ev AS (SELECT file, batch_id, 20 * pow(above[2] - below[2], 2) / pow(greatest(above[3], below[3]) - least(above[1], below[1]), 2) AS level FROM b)
+      SELECT o.file, o.batch_id, {r("coalesce(level, 0)", "drift_level")},
+        CASE WHEN level > 0.5 THEN 'malicious' WHEN level IS NOT NULL THEN 'benign' ELSE 'none' END AS drift,
+        CAST(least(20, 1 + sum(CASE WHEN level <= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY o.file ORDER BY o.batch_id)) AS INTEGER) AS num_model
+      FROM o LEFT JOIN ev ON ev.file = o.file AND ev.batch_id = o.batch_id""",
+)
 def drift_levels(spark, sf):
-    small = packets(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 32))
-    medians = small.groupBy("file", "batch_id").agg(
-        F.expr("percentile(packet_size, 0.5D)").alias("median_score"), F.lit(35.0).alias("threshold")
-    )
-    return R.drift_levels(medians, stream=["file"], patience=20, confidence=5.0)
+    rows = packets(spark, sf).selectExpr("file", "floor(seq / 32) AS batch_id", "seq", "packet_size AS score", "35D AS threshold")
+    return rounded(R.drift_levels(rows, stream=["file"], patience=20, confidence=0.5))
 
 
 # A pool of three models: the scores differ in what they measure.
