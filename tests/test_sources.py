@@ -52,6 +52,13 @@ def test_captures(spark, tmp_path):
     assert split.rdd.getNumPartitions() > 3
     assert whole.count() == split.count() == 2 * len(data)
     assert whole.exceptAll(split).count() == 0
+    for size in (1500, 8 << 20):
+        stored = CA.stored_captures(spark, str(tmp_path), slice_bytes=size)
+        assert stored.count() == whole.count() and stored.exceptAll(whole).count() == 0
+    CA.write_captures(whole.where("file = 'benign_a' AND (has_ip OR has_arp)"), str(tmp_path / "again"))
+    again, fields = CA.read_captures(spark, str(tmp_path / "again"), split_bytes=900), [n for n in CA.NAMES if n not in ("seq", "file")]
+    assert again.count() == 200
+    assert again.select(*fields).exceptAll(whole.where("file = 'benign_a'").select(*fields)).count() == 0
     rows = traffic_records(split, carry=["file"]).orderBy("file", "t").collect()
     assert len(rows) == 400
     first = [r for r in rows if r["file"] == "benign_a"][:4]

@@ -30,6 +30,7 @@ from tidewire.plans.score_queries import (
 from tidewire.plans.traffic_queries import keyed_sql
 from tidewire.schema import MICROS_PER_DAY, PACKETS, packets, table
 from tidewire.session import staging_path
+from tidewire.sources import captures as CA
 from tidewire.sources import tables as ST
 from tidewire.streaming import live as LV
 
@@ -384,6 +385,46 @@ def process_times(spark, sf):
     return LV.process_times(spark, done)
 
 
+# Captures: events are written as pcap files and read back, split.
+
+
+def capture_headers(spark, sf):
+    """Events as decoded packet headers with real addresses."""
+    events = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind = {"tcp": "click", "udp": "view", "icmp": "purchase", "arp": "error"}
+    flags = [f"event_type {'=' if n != 'ip' else '<>'} '{kind.get(n, 'error')}' AS has_{n}" for n in ("ip", "tcp", "udp", "icmp", "arp")]
+    mac, ip = "concat('02:00:00:00:00:', lower(lpad(hex({0} % 20), 2, '0')))", "concat('10.{1}.', floor({0} / 256), '.', {0} % 256)"
+    ends = [f"{mac.format(e)} AS {n}" for n, e in (("eth_src", "user_id"), ("eth_dst", "k"), ("arp_hwsrc", "user_id"), ("arp_hwdst", "k"))]
+    ends += [f"{ip.format(e, i)} AS {n}" for n, e, i in (("ip_src", "user_id", 0), ("ip_dst", "k", 1), ("arp_psrc", "user_id", 0), ("arp_pdst", "k", 1))]
+    return events.selectExpr(
+        "concat(CASE WHEN user_id % 4 = 0 THEN 'benign_' ELSE 'attack_' END, user_id % 4) AS file", "event_id AS seq",
+        "unix_micros(cast(ts AS timestamp)) / 1e6D AS t", "cast(64 + floor(value) AS int) AS frame_len", *flags, "false AS has_ip6", *ends,
+        "cast(1024 + user_id % 50000 AS int) AS sport", "k + 1 AS dport",
+    )
+
+
+@query(
+    "capture_packets",
+    """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+      SELECT CASE WHEN user_id % 4 = 0 THEN 'benign_' ELSE 'attack_' END || (user_id % 4) AS file, epoch_us(ts) AS micros,
+        CASE event_type WHEN 'click' THEN 'TCP' WHEN 'view' THEN 'UDP' WHEN 'purchase' THEN 'ICMP' WHEN 'error' THEN 'ARP' ELSE 'Other' END AS protocol,
+        '02:00:00:00:00:' || lpad(printf('%x', user_id % 20), 2, '0') AS src_mac, '02:00:00:00:00:' || lpad(printf('%x', k % 20), 2, '0') AS dst_mac,
+        '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src_ip, '10.1.' || (k // 256) || '.' || (k % 256) AS dst_ip,
+        CASE event_type WHEN 'click' THEN CAST(1024 + user_id % 50000 AS VARCHAR) WHEN 'view' THEN CAST(1024 + user_id % 50000 AS VARCHAR)
+          WHEN 'purchase' THEN 'icmp' WHEN 'error' THEN 'arp' ELSE '' END AS src_port,
+        CASE event_type WHEN 'click' THEN CAST(k + 1 AS VARCHAR) WHEN 'view' THEN CAST(k + 1 AS VARCHAR)
+          WHEN 'purchase' THEN 'icmp' WHEN 'error' THEN 'arp' ELSE '' END AS dst_port,
+        CAST(64 + floor(value) AS DOUBLE) AS packet_size FROM e""",
+)
+def capture_packets(spark, sf):
+    path = staging_path(spark, "captures").removeprefix("file:")
+    CA.write_captures(capture_headers(spark, sf), path)
+    records = M.traffic_records(CA.stored_captures(spark, path, slice_bytes=64 << 10), carry=["file"])
+    return records.select(
+        "file", F.round(F.col("t") * 1_000_000).cast("long").alias("micros"), "protocol", "src_mac", "dst_mac", "src_ip", "dst_ip", "src_port", "dst_port", "packet_size"
+    )
+
+
 # Chains.
 
 
