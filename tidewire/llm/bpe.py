@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.chunks import CODE_ROW, Codes, encode_distinct, merged_spans, packed_ints, unpacked_chunks, unpacked_ints
+
 # White space as Unicode has it; Java's \s is ASCII only.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BUCKETS = 1 << 17  # of the pair table, about one pair each
-WORDS_A_BATCH = 2_000_000  # words whose distinct ones are folded together
-CACHED, CACHE_ROWS = 80_000, 20_000  # size of the cache of frequent words, and of the sample it is taken from
+BITS = 17  # of an id; ranks stand above them
+NO_RANK = 1 << 40
 LONG = 256  # bytes; longer words are merged with a heap, since a fold takes quadratic time
 
 
@@ -41,9 +42,9 @@ def _bucket(a, b):
 
 
 def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The pair ranks as one value, array<map<pair, rank>> by bucket; bounded by the vocabulary."""
+    """The pair ranks as one value, array<map<pair, rank>> by bucket, ranks shifted by BITS; bounded by the vocabulary."""
     pairs = np.array([(a, b, r) for (a, b), r in pair_ranks(ranks).items()], dtype=np.int64).reshape(-1, 3)
-    table = pa.table({"bucket": _bucket(pairs[:, 0], pairs[:, 1]), "pair": pairs[:, 0] * 65536 + pairs[:, 1], "rank": pairs[:, 2].astype(np.int32)})
+    table = pa.table({"bucket": _bucket(pairs[:, 0], pairs[:, 1]), "pair": (pairs[:, 0] << BITS) + pairs[:, 1], "rank": pairs[:, 2] << BITS})
     filled = spark.createDataFrame(table).groupBy("bucket").agg(F.collect_list(F.struct("pair", "rank")).alias("ranks"))
     every = spark.range(BUCKETS).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
     in_order = F.sort_array(F.collect_list(F.struct("bucket", "ranks")))
@@ -51,8 +52,9 @@ def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
 
 
 def _pair(pairs: Column, a: Column, b: Column) -> Column:
-    at = F.pmod(a * 7919 + b, F.lit(BUCKETS)) + 1
-    return F.element_at(F.element_at(pairs, at), a.cast("long") * 65536 + b)
+    """Shifted rank of two neighbours, NO_RANK if they make no token or one is missing."""
+    bucket = F.get(pairs, F.pmod(a * 7919 + b, F.lit(BUCKETS)).cast("int"))
+    return F.coalesce(F.element_at(bucket, a * (1 << BITS) + b), F.lit(NO_RANK))
 
 
 def _with(value: Column, body) -> Column:
@@ -61,169 +63,123 @@ def _with(value: Column, body) -> Column:
 
 
 def fold_merges(ids: Column, pairs: Column) -> Column:
-    """Merge the lowest-ranked neighbours, the leftmost first, until no pair has a rank. A token's id is its rank."""
+    """Merge the lowest-ranked neighbours, the leftmost first, until no pair has a rank. A token's id is its rank.
 
-    def merge(state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
+    The state holds one number per token: the rank that it makes with its right neighbour, shifted, plus its id. So the least number is
+    the next merge, and equal numbers are equal pairs. A number without a rank ahead of all spares the first token a case of its own.
+    """
+    low = F.lit((1 << BITS) - 1)
 
-        def at(p: Column) -> Column:
-            # No place, no pair with a rank: the word is done.
-            return F.when(p.isNull(), state).otherwise(merged_at(p))
+    def merge(state: Column, _: Column) -> Column:
+        def at(least: Column) -> Column:
+            return F.when(least >= NO_RANK, state).otherwise(_with(F.array_position(state, least).cast("int"), lambda p: merged(least, p)))
 
-        def merged_at(p: Column) -> Column:
-            new = F.element_at(ranks, p)
-            size = F.size(ranks)
-            left = F.when(p > 1, F.array(_pair(pairs, F.element_at(ids, F.greatest(p - 1, F.lit(1))), new))).otherwise(F.slice(ranks, 1, 0))
-            right = F.when(p < size, F.array(_pair(pairs, new, F.element_at(ids, F.least(p + 2, size + 1))))).otherwise(F.slice(ranks, 1, 0))
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new), F.slice(ids, p + 2, size)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, size)).alias("ranks"),
-            )
+        def merged(least: Column, p: Column) -> Column:
+            new = F.shiftright(least, BITS)
+            before, after = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
+            changed = F.array(_pair(pairs, before, new) + before, _pair(pairs, new, after) + new)
+            return F.concat(F.slice(state, F.lit(1), p - 2), changed, F.slice(state, p + 2, F.size(state)))
 
-        return _with(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
+        return _with(F.array_min(state), at)
 
     size = F.size(ids)
-    ranks = F.transform(F.sequence(F.lit(1), size - 1), lambda i: _pair(pairs, F.element_at(ids, i), F.element_at(ids, i + 1)))
-    folded = F.aggregate(F.sequence(F.lit(1), size - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), merge, lambda s: s["ids"])
-    return F.when(size < 2, ids).otherwise(folded)
+    ranked = F.transform(ids, lambda a, i: _pair(pairs, a.cast("long"), F.get(ids, i + 1).cast("long")) + a)
+    start = F.concat(F.array(F.lit(NO_RANK + (1 << BITS) - 1)), ranked)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, merge, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s)), lambda x: x.bitwiseAND(low).cast("int"))
+    )
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for a long word, by a heap over linked neighbours."""
-    n = len(word)
-    ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if i >= 0 and j < n and (rank := ranks.get(word[i : ends[j]])) is not None:
-            heapq.heappush(heap, (rank, i, ends[i], ends[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, middle, end = heapq.heappop(heap)
-        j = after[i]
-        if ends[i] != middle or j >= n or ends[j] != end:
-            continue  # one of the two has been merged since
-        ends[i], after[i] = end, after[j]
-        ends[j] = -1
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : ends[i]]])
-        i = after[i]
-    return out
-
-
-def _distinct(ranks, cache):
-    """Batches of documents' words -> one row per batch: the distinct words as ids, documents as places in them.
-
-    ``fresh`` marks words that still are byte ids; words of the cache, whole tokens and long words come merged.
-    """
+    return [ranks[piece] for piece in merged_spans(word, ranks)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, merged = ranks.value, cache.value
-        for batch in batches:
-            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
-            start, held = 0, 0
-            for i, n in enumerate([*counts, None]):
-                if n is None or (held + n > WORDS_A_BATCH and i > start):
-                    if i > start:
-                        yield _one(batch.slice(start, i - start), known, merged)
-                    start, held = i, 0
-                held += n or 0
 
-    return run
+FRESH_ROW = "block long, numbers binary, uses binary, fresh array<array<int>>, done array<array<int>>"
+FRESH = pa.schema(
+    [("block", pa.int64()), ("numbers", pa.binary()), ("uses", pa.binary()), ("fresh", pa.list_(pa.list_(pa.int32()))), ("done", pa.list_(pa.list_(pa.int32())))]
+)
 
 
-def _starts(words: list[bytes], known: dict[bytes, int], merged: dict[bytes, bytes]) -> tuple[pa.Array, pa.Array]:
-    """The words as ids (packed 32-bit integers), and which are fresh."""
-    single = np.array([known.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
-    parts, fresh = [], []
-    for word in words:
-        part = merged.get(word)
-        if part is None:
-            rank = known.get(word)
-            if rank is not None:
-                part = rank.to_bytes(4, "little")
-            elif len(word) > LONG:
-                part = np.array(merge_long(word, known), dtype=np.int32).tobytes()
-        fresh.append(part is None)
-        parts.append(single[list(word)].tobytes() if part is None else part)
-    ends = np.cumsum([0, *map(len, parts)]) // 4
-    ids = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.array(fresh, pa.bool_())
+def _fresh(share):
+    """Rows of words -> the words' numbers, with the byte ids of those that the partition has not seen before.
 
+    Whole tokens are numbered by rank; words above LONG bytes come merged (``done``), all others have still to be folded.
+    """
 
-def _one(batch: pa.RecordBatch, known: dict[bytes, int], merged: dict[bytes, bytes]) -> pa.RecordBatch:
-    lists = batch.column(1)
-    coded = lists.flatten().dictionary_encode()
-    ids, fresh = _starts(coded.dictionary.cast(pa.binary()).to_pylist(), known, merged)
-    offsets = lists.offsets.to_numpy()
-    places = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), coded.indices.cast(pa.int32()))
-    docs = pa.StructArray.from_arrays([batch.column(0), places], names=["doc_id", "places"])
-    row = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    return pa.RecordBatch.from_arrays([row(ids), row(fresh), row(docs)], names=["words", "fresh", "docs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = share.value
+        single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
+        numbers: dict[bytes, int] = {}
+        after = max(ranks.values()) + 1
+        for batch in batches:
+            for row in batch.select(["block", "numbers", "chunks"]).to_pylist():
+                words = unpacked_chunks(row["chunks"])
+                new = [w for w in words if w not in ranks and w not in numbers]
+                fresh, done = [w for w in new if len(w) <= LONG], [w for w in new if len(w) > LONG]
+                for word in (*fresh, *done):
+                    numbers[word] = after
+                    after += 1
+                uses = np.array([ranks[w] if w in ranks else numbers[w] for w in words], dtype=np.int64)
+                bytes_ = single[np.frombuffer(b"".join(fresh), dtype=np.uint8)]
+                merged = [merge_long(w, ranks) for w in done]
+                columns = [pa.array([row["block"]]), pa.array([row["numbers"]]), pa.array([packed_ints(uses)], pa.binary())]
+                for sizes, ids in (([len(w) for w in fresh], bytes_), ([len(m) for m in merged], np.array([i for m in merged for i in m], dtype=np.int32))):
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(ids, pa.int32()))
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), lists))
+                yield pa.RecordBatch.from_arrays(columns, schema=FRESH)
 
+    return run
 
-WORD_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
+def _coded(tokens: int):
+    """Numbers of words -> their ids; the folded words of a row count on from those of the rows before, as ``_fresh`` numbers them."""
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counted = batch.column(0).flatten().value_counts()
-        yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.binary()), counted.field(1)], schema=WORD_COUNTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(np.arange(tokens))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for name in ("fresh", "done"):
+                    lists = batch.column(name)[i].values
+                    codes.add(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64))
+                yield codes.batch(batch.column("block")[i].as_py(), batch.column("numbers")[i].as_py(), unpacked_ints(batch.column("uses")[i].as_py()))
 
+    return run
 
-def frequent_words(split: DataFrame, ranks: dict[bytes, int], pairs: Column) -> dict[bytes, bytes]:
-    """The CACHED most frequent words of a sample of at most about CACHE_ROWS rows, folded once for all batches.
 
-    Only a cache, of bounded size: any other choice, or none, gives the same ids.
-    """
-    share = min(1.0, CACHE_ROWS / max(split.select("doc_id").count(), 1))
-    seen = split.select("words").sample(share, seed=1).mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [bytes(r["word"]) for r in seen.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(CACHED).collect()]
-    words = [w for w in words if w not in ranks]
-    step = 4096
-    blocks = [_starts(words[i : i + step], ranks, {})[0].to_pylist() for i in range(0, len(words), step)]
-    rows = split.sparkSession.createDataFrame(list(enumerate(blocks)), "block int, words array<array<int>>").repartition(max(1, len(blocks)))
-    folded = rows.withColumn("pairs", pairs).select("block", F.transform("words", lambda w: fold_merges(w, F.col("pairs"))).alias("ids"))
-    ids = [i for r in sorted(folded.collect(), key=lambda r: r["block"]) for i in r["ids"]]
-    return {w: np.array(i, dtype=np.int32).tobytes() for w, i in zip(words, ids, strict=True)}
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, packed: bool = False) -> DataFrame:
     """Token ids of whole texts: doc_id, ids (array of int). Null and empty texts have none.
 
+    ``packed`` adds the ids as little-endian unsigned 32-bit integers.
+
     ``pattern`` splits a text into words that are encoded on their own, as the rank file's tokenizer does; strings
-    of special tokens are ordinary text. Inside a task the distinct words of a batch of documents are numbered;
-    the merges are folded once per distinct word by higher-order functions with the rank map as a literal value,
-    and the documents look their words up by number, so no word is shuffled and no dictionary grows with
-    the corpus; the most frequent words are folded once beforehand and handed to all tasks. Repeated rows give
-    repeated rows; an empty table gives an empty result; other columns are not read.
+    of special tokens are ordinary text. Words meet by bucket (``chunks.encode_distinct``), so each distinct word of the corpus is
+    folded once, by higher-order functions with the rank map as a literal value; whole tokens need no fold. The ids
+    return to the blocks of documents by place. Repeated rows give repeated rows; an empty table gives an
+    empty result; other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
-    pairs = pair_table(spark, ranks)
-    cache = frequent_words(split, ranks, pairs)
-    share = spark.sparkContext.broadcast
-    rows = split.mapInArrow(
-        _distinct(share(ranks), share(cache)), "words array<array<int>>, fresh array<boolean>, docs array<struct<doc_id: long, places: array<int>>>"
-    )
-    known = rows.withColumn("pairs", pairs)
-    fold = F.transform("words", lambda w, i: F.when(F.element_at(F.col("fresh"), i + 1), fold_merges(w, F.col("pairs"))).otherwise(w))
-    # The generator keeps the optimizer from moving the fold into the lookup below.
-    once = known.select("docs", fold.alias("words")).select(F.inline(F.array(F.struct("docs", "words"))))
-    looked_up = F.transform(
-        "docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["places"], lambda p: F.element_at(F.col("words"), p + 1))).alias("ids"))
-    )
-    return once.select(F.inline(looked_up))
+    share = spark.sparkContext.broadcast(ranks)  # of the vocabulary's size
+
+    def code(rows: DataFrame) -> DataFrame:
+        # One partition's rows pass through the three steps in order.
+        words = rows.mapInArrow(_fresh(share), FRESH_ROW).withColumn("pairs", pair_table(spark, ranks))
+        folded = words.select("block", "numbers", "uses", F.transform("fresh", lambda w: fold_merges(w, F.col("pairs"))).alias("fresh"), "done")
+        return folded.mapInArrow(_coded(max(ranks.values()) + 1), CODE_ROW)
+
+    if not packed:
+        return encode_distinct(split, None, code)
+    return encode_distinct(split, None, code, with_packed, "doc_id long, ids array<int>, packed binary")
+
+
+def with_packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = batch.column(1)
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    data = ids.values.to_numpy().astype("<u4").tobytes()
+    rows = [data[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(rows, pa.binary())], names=["doc_id", "ids", "packed"])
 
 
 def token_hex(ranks: dict[bytes, int]) -> list[str]:
@@ -243,9 +199,3 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids: the tokens' binary pieces, concatenated."""
     pieces = _literal(token_hex(ranks))
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
-
-
-def packed(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids as little-endian unsigned 32-bit integers."""
-    words = _literal([i.to_bytes(4, "little").hex() for i in range(max(ranks.values()) + 1)])
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(words, i + 1)), ""))

@@ -75,11 +75,11 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_digests(docs: DataFrame, path: str | None = None, *, keep_ids: bool = False) -> DataFrame:
     """Encode and decode whole texts with a rank file: n_tokens and digests of the ids and of the decoded bytes."""
     ranks = bpe.read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.packed(F.col("ids"), ranks), 256).alias("ids_sha256"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
         *(["ids"] if keep_ids else []),
     )
