@@ -123,3 +123,21 @@ def test_feedback(spark):
             assert r.trained == trains[j] and r.threshold == pytest.approx(threshold)
             assert r.score is None if np.isnan(score[j]) else r.score == pytest.approx(score[j])
     assert refused > 5
+
+
+def test_one_class(spark):
+    rows = data(160, 3)
+    df, names = frame(spark, rows, 3)
+    got = {r.seq: r.score for r in P.one_class_stream(df, names, group_batches=4, steps=2).collect()}
+    w, rho, step = np.zeros(3), 1.0, 0
+    assert len(got) == len(rows)
+    for g in sorted({r[1] // 4 for r in rows}):
+        own = [(i, x) for i, b, x in rows if b // 4 == g]
+        for i, x in own:
+            assert got[i] == (None if g == 0 or None in x else pytest.approx(float(np.dot(w, x) - rho)))
+        x = np.array([x for _, x in own if None not in x])
+        for _ in range(2):
+            step += 1
+            inside = x @ w < rho
+            pull, share = x[inside].sum(axis=0) / len(x), inside.mean()
+            w, rho = w - 0.5 / np.sqrt(step) * (0.05 * w - pull), rho - 0.5 / np.sqrt(step) * (share - 0.05)

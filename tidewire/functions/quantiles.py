@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.index import running_totals
@@ -13,11 +13,12 @@ from tidewire.operators.index import running_totals
 ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group: Sequence[str] = (), out: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group: Sequence[str] = (), out: str = "q", few: bool = False) -> DataFrame:
     """Interpolated quantiles (``out0``, ``out1``, ...) per group, exact for groups of any size.
 
     A bounded sketch first brackets each wanted rank within ``2/ACCURACY`` of the rows; one more pass counts
-    the rows below the bracket and the distinct values inside it, so no task ever holds a whole group.
+    the rows below the bracket and the distinct values inside it, so no task ever holds a whole group. ``few`` says that the groups
+    are a short list (features), whose brackets are broadcast.
     """
     group = list(group)
     rows = df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(0))
@@ -44,8 +45,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
         ).alias("b"),
     ).select(*keys, "b.*")
     packed = brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "rank", "lo", "hi")).alias("_all"))
-    if not group:
-        packed = F.broadcast(packed)  # one row
+    if few or not group:
+        packed = F.broadcast(packed)  # one row, or a short list
     v = F.col(value).cast("double")
     counted = (
         rows.join(packed, on=keys)
@@ -57,8 +58,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
         )
         .agg(F.count("*").alias("_c"))
     )
-    upto = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = counted.withColumn("_cum", F.sum("_c").over(upto))
+    cumulated = running_totals(counted, ["_c"], [F.asc_nulls_first("_v")], stream=[*keys, "i", "rank"]).withColumnRenamed("_c_upto", "_cum")
     low, high = F.floor("rank"), F.ceil("rank")
     picked = cumulated.groupBy(*keys, "i", "rank").agg(
         F.min(F.when(F.col("_cum") > low, F.col("_v"))).alias("_a"),

@@ -282,19 +282,37 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, *, seed: int = 0, rounds:
 def sample_per_group(df: DataFrame, group: Sequence[str], k: int, *, seed: int = 0, by: Sequence[str] = ("seq",)) -> DataFrame:
     """A seeded uniform sample of at most ``k`` rows per group (the sampling operator's own limit).
 
-    The rank filter is applied inside each input partition before the shuffle, so a hot group sends only
-    ``k`` rows per task.
+    Every task first keeps its own ``k`` lowest ranks of each group, so a hot group sends only ``k`` rows per task.
     """
-    salted = df.withColumn("_r", stable_rank(seed, *by)).withColumn("_salt", F.spark_partition_id())
-    local = Window.partitionBy(*group, "_salt").orderBy("_r")
+    group = list(group)
+    ranked = df.withColumn("_r", stable_rank(seed, *by))
+
+    def local(batches):
+        import pyarrow as pa
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > LOCAL_ROWS:
+                held = _lowest(pa.Table.from_batches(held), group, k).to_batches()
+                rows = 0
+        if held:
+            yield from _lowest(pa.Table.from_batches(held), group, k).to_batches()
+
     final = Window.partitionBy(*group).orderBy("_r")
-    return (
-        salted.withColumn("_k", F.row_number().over(local))
-        .where(F.col("_k") <= k)
-        .withColumn("_k", F.row_number().over(final))
-        .where(F.col("_k") <= k)
-        .drop("_r", "_salt", "_k")
-    )
+    kept = ranked.mapInArrow(local, ranked.schema)
+    return kept.withColumn("_k", F.row_number().over(final)).where(F.col("_k") <= k).drop("_r", "_k")
+
+
+LOCAL_ROWS = 200_000  # rows a task gathers before it drops all but each group's lowest ranks
+
+
+def _lowest(table, group: list[str], k: int):
+    """The rows with the ``k`` lowest ranks of every group."""
+    keys = table.select([*group, "_r"]).to_pandas()
+    keys = keys.sort_values("_r", kind="stable")
+    return table.take(keys.groupby(group, dropna=False, sort=False).head(k).index.to_numpy())
 
 
 def close_pair_loss(vectors: DataFrame, *, eps: float, max_rows: int = 50, seed: int = 0, vector: str = "embedding") -> DataFrame:

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.graph import SNAP
-from tidewire.operators.index import row_index
+from tidewire.operators.index import heavy_join, row_index
 from tidewire.session import settle
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected component of each node: the smallest node name in it.
 
-    Each round takes the smallest label among the neighbours and then jumps to the label's own label, so
-    long chains shorten by half. Rounds end when no label changes.
+    Each round takes the smallest of a node's label, its neighbours' labels and its label's own label, so
+    long chains shorten by half. Rounds end when no label changes. A label that most nodes share is no heavy key (``heavy_join``).
     """
     both = settle(
         edges.where("src <> dst")
@@ -25,22 +25,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .distinct()
     )
     labels = settle(nodes.select(SNAP, "node").distinct().withColumn("label", F.col("node")))
+    count = labels.count()
     while True:
         offered = (
             both.join(labels.withColumnRenamed("node", "src"), on=[SNAP, "src"])
             .groupBy(SNAP, F.col("dst").alias("node"))
             .agg(F.min("label").alias("_offer"))
         )
-        lowered = labels.join(offered, on=[SNAP, "node"], how="left").select(
-            SNAP, "node", F.col("label").alias("_old"), F.least("label", "_offer").alias("label")
-        )
-        jump = lowered.select(SNAP, F.col("node").alias("label"), F.col("label").alias("_next"))
-        jumped = settle(
-            lowered.join(jump, on=[SNAP, "label"]).select(SNAP, "node", "_old", F.col("_next").alias("label"))
+        further = labels.select(SNAP, F.col("node").alias("label"), F.col("label").alias("_next"))
+        jumped = heavy_join(labels, further, [SNAP, "label"], spread=["node"], total=count)
+        lowered = settle(
+            jumped.join(offered, on=[SNAP, "node"], how="left").select(
+                SNAP, "node", F.col("label").alias("_old"), F.least("label", "_next", "_offer").alias("label")
+            )
         )
-        if jumped.where("label <> _old").isEmpty():
-            return jumped.select(SNAP, "node", "label")
-        labels = jumped.select(SNAP, "node", "label")
+        labels = lowered.select(SNAP, "node", "label")
+        if lowered.where("label <> _old").isEmpty():
+            return labels
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,12 +67,13 @@ def lcc_ratio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.groupBy(SNAP).agg((F.max("size") / F.sum("size")).alias("lcc_ratio"))
 
 
-def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4) -> DataFrame:
+def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4, blocks_at_once: int = 256) -> DataFrame:
     """Mean shortest path length and diameter of the largest component, exact.
 
-    Breadth-first search from ``64 * words`` sources at a time: each node carries one bit per source, a step
-    moves the bits along the edges (``bit_or`` per node, combined before the shuffle), and the number of bits
-    that arrive is the number of pairs at that distance. No list of node pairs is ever made.
+    Breadth-first search from all sources: a node carries one bit per source in blocks of ``64 * words`` sources, a step
+    moves the bits along the edges (``bit_or`` per node and block, combined before the shuffle), and the number of bits
+    that arrive is the number of pairs at that distance. No list of node pairs is ever made. Up to ``blocks_at_once`` blocks of
+    every snapshot advance together, so the rounds are the distances.
     """
     lcc = row_index(largest_component(nodes, edges), ["node"], stream=[SNAP], name="no")
     lcc = settle(lcc)
@@ -85,45 +87,38 @@ def path_measures(nodes: DataFrame, edges: DataFrame, *, words: int = 4) -> Data
     both = settle(both.join(ids.withColumnRenamed("node", "src"), on=[SNAP, "src"], how="left_semi"))
     per_block = 64 * words
     blocks = (lcc.agg(F.max("no")).first()[0] or 0) // per_block + 1
+    any_bit = " OR ".join(f"f{w} <> 0" for w in range(words))
+    arrived = " + ".join(f"bit_count(f{w})" for w in range(words))
     found = []
-    for block in range(blocks):
-        at = f"(no - {block * per_block})"
+    for start in range(0, blocks, blocks_at_once):
+        at = f"(no - {per_block} * block)"
         bits = [
             f"CASE WHEN {at} >= {64 * w} AND {at} < {64 * (w + 1)} THEN shiftleft(1L, cast({at} - {64 * w} AS int)) ELSE 0L END"
             for w in range(words)
         ]
-        state = settle(
-            lcc.selectExpr(
-                SNAP,
-                "node",
-                *[f"{b} AS s{w}" for w, b in enumerate(bits)],
-                *[f"{b} AS f{w}" for w, b in enumerate(bits)],
-            )
-        )
+        # A row per node and block of its snapshot's sources.
+        last = f"least(cast((lcc_size - 1) DIV {per_block} AS int), {min(blocks, start + blocks_at_once) - 1})"
+        dealt = lcc.where(f"lcc_size > {start * per_block}").selectExpr(SNAP, "node", "no", f"explode(sequence({start}, {last})) AS block")
+        front = settle(dealt.selectExpr(SNAP, "node", "block", *[f"{b} AS f{w}" for w, b in enumerate(bits)]).where(any_bit))
+        seen = front.selectExpr(SNAP, "node", "block", *[f"f{w} AS s{w}" for w in range(words)])
         distance = 0
         while True:
             distance += 1
-            any_bit = " OR ".join(f"f{w} <> 0" for w in range(words))
-            front = state.where(any_bit).select(SNAP, F.col("node").alias("src"), *[f"f{w}" for w in range(words)])
             moved = (
-                both.join(front, on=[SNAP, "src"])
-                .groupBy(SNAP, F.col("dst").alias("node"))
+                both.join(front.withColumnRenamed("node", "src"), on=[SNAP, "src"])
+                .groupBy(SNAP, F.col("dst").alias("node"), "block")
                 .agg(*[F.bit_or(f"f{w}").alias(f"m{w}") for w in range(words)])
             )
             state = settle(
-                state.join(moved, on=[SNAP, "node"], how="left")
-                .selectExpr(
-                    SNAP,
-                    "node",
-                    *[f"s{w}" for w in range(words)],
-                    *[f"coalesce(m{w}, 0L) & ~s{w} AS f{w}" for w in range(words)],
-                )
-                .selectExpr(
-                    SNAP, "node", *[f"s{w} | f{w} AS s{w}" for w in range(words)], *[f"f{w}" for w in range(words)]
+                seen.join(moved, on=[SNAP, "node", "block"], how="full").selectExpr(
+                    SNAP, "node", "block",
+                    *[f"coalesce(s{w}, 0L) | coalesce(m{w}, 0L) AS s{w}" for w in range(words)],
+                    *[f"coalesce(m{w}, 0L) & ~coalesce(s{w}, 0L) AS f{w}" for w in range(words)],
                 )
-            )
-            arrived = " + ".join(f"bit_count(f{w})" for w in range(words))
-            step = state.groupBy(SNAP).agg(F.expr(f"sum({arrived})").alias("pairs")).where("pairs > 0")
+            )
+            front = state.where(any_bit).select(SNAP, "node", "block", *[f"f{w}" for w in range(words)])
+            seen = state.select(SNAP, "node", "block", *[f"s{w}" for w in range(words)])
+            step = settle(front.groupBy(SNAP).agg(F.expr(f"sum({arrived})").alias("pairs")))
             if step.isEmpty():
                 break
             found.append(step.select(SNAP, F.lit(distance).alias("distance"), "pairs"))

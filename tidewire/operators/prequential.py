@@ -15,7 +15,7 @@ from tidewire.operators.detect import adaptive_threshold, correlation_clusters
 from tidewire.operators.linear import Moments
 from tidewire.operators.scan import STATE, exclusive_scan
 from tidewire.schema import QUEUE_ROWS, THRESHOLD_QUANTILE, TOLERANCE, WARMUP_BATCHES
-from tidewire.session import settle
+from tidewire.session import settle, staging_path
 
 BLOCK_BATCHES = 32  # batches that a task scores in a row
 
@@ -279,3 +279,74 @@ def feedback_scores(
         if changed.isEmpty():
             return judged
         chosen = settle(base.join(judged.select(*ids, F.col("trained").alias("_teach")), ids))
+
+
+def one_class_stream(
+    df: DataFrame,
+    features: Sequence[str],
+    *,
+    batch: str = "batch_id",
+    nu: float = 0.05,
+    rate: float = 0.5,
+    steps: int = 1,
+    group_batches: int = 16,
+) -> DataFrame:
+    """``df`` with the signed distance (``score``) to a linear one-class boundary that has learnt from earlier groups of batches only.
+
+    The boundary ``w x = rho`` starts at 0 and 1. Every group of ``group_batches`` batches moves it by ``steps`` sub-gradient steps on the
+    group's rows (step i of the stream has rate ``rate / sqrt(i)``): partial sums per Arrow batch, added up in a tree. Groups are
+    stored as folders, so a step reads its own rows only and the whole stream is read ``steps`` times to learn and once to
+    score; the boundaries of all groups are a short list. Rows of the first group, and rows with a missing feature, have none.
+    """
+    features = list(features)
+    d = len(features)
+    spark = df.sparkSession
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    rows = df.select(F.floor(F.col(batch) / F.lit(group_batches)).alias("_group"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).where(whole)
+    path = staging_path(spark, "groups")
+    rows.write.partitionBy("_group").parquet(path)
+    stored = spark.read.schema("x array<double>, _group long").parquet(path)
+    groups = sorted(r[0] for r in stored.select("_group").distinct().collect())  # a short list
+    w, rho, step = np.zeros(d), 1.0, 0
+    before: dict[int, tuple[np.ndarray, float]] = {}
+    for number, group in enumerate(groups):
+        if number:
+            before[group] = (w, rho)
+        for _ in range(steps):
+            step += 1
+            w, rho = _boundary_step(stored.where(F.col("_group") == group).select("x"), w, rho, nu, rate / np.sqrt(step))
+    known = spark.sparkContext.broadcast(before)
+    starts = np.array(groups[1:], dtype=np.int64)
+    out = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def score(batches):
+        for part in batches:
+            x = part[features].astype(float).to_numpy()
+            at = np.searchsorted(starts, (part[batch] // group_batches).to_numpy("int64"), side="right") - 1
+            values = np.full(len(part), np.nan)
+            for i in np.unique(at[at >= 0]):
+                weights, edge = known.value[int(starts[i])]
+                values[at == i] = x[at == i] @ weights - edge
+            yield part.assign(score=pd.Series(values, index=part.index).astype("Float64").where(~np.isnan(values)))
+
+    return df.mapInPandas(score, out)
+
+
+def _boundary_step(rows: DataFrame, w: np.ndarray, rho: float, nu: float, rate: float) -> tuple[np.ndarray, float]:
+    """One sub-gradient step: rows on the wrong side of the boundary pull it."""
+
+    def sums(batches):
+        total = np.zeros(len(w) + 2)
+        for part in batches:
+            if len(part):
+                x = np.stack(part["x"].to_numpy())
+                inside = x @ w < rho
+                total += np.concatenate(([len(x), inside.sum()], x[inside].sum(axis=0)))
+        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    found = dict(rows.mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v")).collect())
+    n = max(found.get(0, 0.0), 1.0)
+    pull = np.array([found.get(i + 2, 0.0) for i in range(len(w))]) / n
+    return w - rate * (nu * w - pull), float(rho - rate * (found.get(1, 0.0) / n - nu))

@@ -250,16 +250,18 @@ def reference_scale(
 ) -> DataFrame:
     """Scale by percentiles of a reference group: ``minmax`` (1, 99) or ``standard`` (16, 50, 84)."""
     probs = [0.01, 0.99] if kind == "minmax" else [0.16, 0.5, 0.84]
-    group = list(group)
-    keys = group or ["_all"]
-    rows, ref = (df, reference) if group else (df.withColumn("_all", F.lit(0)), reference.withColumn("_all", F.lit(0)))
-    for f in features:
-        q = exact_quantiles(ref, f, probs, group=keys, out="_q")
-        low, centre, high = ("_q0", "_q0", "_q1") if kind == "minmax" else ("_q0", "_q1", "_q2")
-        spread = F.col(high) - F.col(low)
-        scaled = (F.col(f) - F.col(centre)) / F.when(spread == 0, 1.0).otherwise(spread)
-        rows = rows.join(q if group else F.broadcast(q), on=keys).withColumn(f, scaled).drop("_q0", "_q1", "_q2")
-    return rows.select(*df.columns)
+    low, centre, high = (0, 0, 1) if kind == "minmax" else (0, 1, 2)
+    group, features = list(group), list(features)
+    entries = ", ".join(f"named_struct('_f', {i}, '_v', cast({f} AS double))" for i, f in enumerate(features))
+    marks = exact_quantiles(reference.selectExpr(*group, f"inline(array({entries}))"), "_v", probs, group=[*group, "_f"], out="_q", few=not group)
+    # All marks of a group in one row: one join, whatever the number of features.
+    row = marks.groupBy(*group).agg(*[F.max(F.when(F.col("_f") == i, F.col(f"_q{j}"))).alias(f"_m{i}_{j}") for i in range(len(features)) for j in range(len(probs))])
+    rows = df.join(row, on=group) if group else df.withColumn("_one", F.lit(0)).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one")
+    scaled = {}
+    for i, f in enumerate(features):
+        spread = F.col(f"_m{i}_{high}") - F.col(f"_m{i}_{low}")
+        scaled[f] = (F.col(f) - F.col(f"_m{i}_{centre}")) / F.when(spread == 0, 1.0).otherwise(spread)
+    return rows.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
 def ks_statistic(df: DataFrame, features: Sequence[str], is_second: str, *, group: Sequence[str] = ()) -> DataFrame:

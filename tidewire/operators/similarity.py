@@ -6,36 +6,86 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewire.schema import BATCH_ROWS
 
-
-def kernel_cka(
-    df: DataFrame, x: Sequence[str], y: Sequence[str], *, batch: str = "batch_id", max_rows: int = BATCH_ROWS
-) -> DataFrame:
+TILE = 512  # rows of a batch whose kernel values are held at once
+
+
+def squared_distances(a: np.ndarray, low: int) -> np.ndarray:
+    """Squared distances of the rows from ``low`` on, a tile of them, to all rows."""
+    return ((a[low : low + TILE, None, :] - a[None, :, :]) ** 2).sum(axis=2)
+
+
+def middle_distance(a: np.ndarray, few: int = 1 << 20) -> float:
+    """Median of the squared distances that are not 0, by counting in ever finer bins over the tiles."""
+    tiles = range(0, len(a), TILE)
+    low, high, count = np.inf, 0.0, 0
+    for t in tiles:
+        d = squared_distances(a, t)
+        d = d[d != 0]
+        count += len(d)
+        if len(d):
+            low, high = min(low, d.min()), max(high, d.max())
+    if not count:
+        return float("nan")
+    ends = [(count - 1) // 2, count // 2]
+    before, inside = 0, count
+    while inside > few and high > low:
+        edges = np.linspace(low, high, 4097)
+        counts = np.zeros(4096, dtype=np.int64)
+        for t in tiles:
+            d = squared_distances(a, t).ravel()
+            counts += np.histogram(d[(d != 0) & (d >= low) & (d <= high)], edges)[0]
+        upto = before + np.cumsum(counts)
+        first, last = np.searchsorted(upto, ends[0], side="right"), np.searchsorted(upto, ends[1], side="right")
+        shrunk = int(counts[first : last + 1].sum())
+        before, low, high = before + int(counts[:first].sum()), edges[first], edges[last + 1]
+        if shrunk >= inside:
+            break
+        inside = shrunk
+    held = []
+    for t in tiles:
+        d = squared_distances(a, t).ravel()
+        held.append(d[(d != 0) & (d >= low) & (d <= high)])
+    values = np.sort(np.concatenate(held))
+    below = sum(int(((d := squared_distances(a, t)) != 0).sum() - (d >= low)[d != 0].sum()) for t in tiles)
+    return float((values[ends[0] - below] + values[ends[1] - below]) / 2)
+
+
+def kernel_sums(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Inner products xy, xx, yy of the two centred kernel matrices.
+
+    Centring takes row means off; so sums of products and of row sums are enough, and they add up tile by tile.
+    """
+    n = len(x)
+    width = [middle_distance(a) for a in (x, y)]
+    rows = np.empty((2, n))
+    products = np.zeros(3)
+    for t in range(0, n, TILE):
+        kx, ky = (np.exp(-0.5 * squared_distances(a, t) / w) for a, w in zip((x, y), width, strict=True))
+        rows[0, t : t + TILE], rows[1, t : t + TILE] = kx.sum(axis=1), ky.sum(axis=1)
+        products += [(kx * ky).sum(), (kx * kx).sum(), (ky * ky).sum()]
+    out = []
+    for value, (i, j) in zip(products, ((0, 1), (0, 0), (1, 1)), strict=True):
+        out.append(float(value - 2 * (rows[i] @ rows[j]) / n + rows[i].sum() * rows[j].sum() / n**2))
+    return tuple(out)
+
+
+def kernel_cka(df: DataFrame, x: Sequence[str], y: Sequence[str], *, batch: str = "batch_id") -> DataFrame:
     """Gaussian-kernel similarity of two representations per micro-batch.
 
-    A kernel needs all row pairs of its batch; a batch has a fixed number of rows, so its matrix is a local
-    numpy array and no pairs leave the task.
+    A kernel needs all row pairs of its batch; they are summed in tiles of a few rows against the batch, so the memory
+    grows with the batch, not with its square, and no pairs leave the task.
     """
     schema = T.StructType([df.schema[batch], T.StructField("cka", T.DoubleType())])
     x, y = list(x), list(y)
 
-    def centred_kernel(a: np.ndarray) -> np.ndarray:
-        d = ((a[:, None, :] - a[None, :, :]) ** 2).sum(axis=2)
-        k = np.exp(-0.5 * d / np.median(d[d != 0]))
-        k -= k.mean(axis=0)
-        return k - k.mean(axis=1, keepdims=True)
-
     def similarity(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > max_rows:
-            raise ValueError(f"a batch has at most {max_rows} rows, found {len(rows)}")
-        kx, ky = (centred_kernel(rows[c].to_numpy(dtype=float)) for c in (x, y))
-        value = (kx * ky).sum() / np.sqrt((kx * kx).sum() * (ky * ky).sum())
-        return pd.DataFrame({batch: [rows[batch].iloc[0]], "cka": [value]})
+        xy, xx, yy = kernel_sums(*(rows[c].to_numpy(dtype=float) for c in (x, y)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return pd.DataFrame({batch: [rows[batch].iloc[0]], "cka": [xy / np.sqrt(np.float64(xx * yy))]})
 
     return df.select(batch, *dict.fromkeys([*x, *y])).groupBy(batch).applyInPandas(similarity, schema)
 
@@ -57,8 +107,8 @@ def sliced_wasserstein(
 ) -> DataFrame:
     """Mean squared rank difference between each batch and a prior sample, over random directions.
 
-    The prior's rows (``uniform`` on [-1, 1], ``gaussian`` or ``log-normal``) are derived from the row ids,
-    so both sides are projected in the same pass and ranked within (batch, slice).
+    The prior's rows (``uniform`` on [-1, 1], ``gaussian`` or ``log-normal``) are derived from the row ids. A batch is shuffled
+    once with its features; its task projects both sides on all directions and sorts them as two matrices.
     """
     features = list(features)
     theta = unit_directions(slices, len(features), seed)
@@ -77,20 +127,11 @@ def sliced_wasserstein(
     }[shape]
     with_prior = df.selectExpr(batch, *features, *[f"{p} AS _z{i}" for i, p in enumerate(prior)])
 
-    def project(names: Sequence[str], s: int) -> str:
-        return " + ".join(f"{float(w)!r}D * {n}" for w, n in zip(theta[s], names, strict=True))
-
     z = [f"_z{i}" for i in range(len(features))]
-    entries = ", ".join(
-        f"named_struct('slice', {s}, 'a', {project(features, s)}, 'b', {project(z, s)})" for s in range(slices)
-    )
-    projected = with_prior.selectExpr(batch, f"inline(array({entries}))")
-
-    def ranked(column: str) -> DataFrame:
-        place = Window.partitionBy(batch, "slice").orderBy(column)
-        return projected.select(batch, "slice", column, F.row_number().over(place).alias("rank"))
-
-    gap = F.col("a") - F.col("b")
-    return (
-        ranked("a").join(ranked("b"), on=[batch, "slice", "rank"]).groupBy(batch).agg(F.avg(gap * gap).alias("distance"))
-    )
+    schema = T.StructType([df.schema[batch], T.StructField("distance", T.DoubleType())])
+
+    def distance(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [np.sort(rows[c].to_numpy(dtype=float) @ theta.T, axis=0) for c in (features, z)]
+        return pd.DataFrame({batch: [rows[batch].iloc[0]], "distance": [float(((sides[0] - sides[1]) ** 2).mean())]})
+
+    return with_prior.groupBy(batch).applyInPandas(distance, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators import detect as D
@@ -134,14 +134,11 @@ def apply_detector(
     """
     spark = attacks.sparkSession
     state = spark.read.parquet(f"{state_path}/quantiles")
-    scored = D.deviation_scores(
-        attacks.select("file", "seq", "batch_id", *names), names, stream=["file"], initial=state
-    )
+    scored = settle(D.deviation_scores(attacks.select("file", "seq", "batch_id", *names), names, stream=["file"], initial=state))
+    # At most ``queue`` scores: one row, copied to every file; the last one stands just before the file's first row.
     tail = spark.read.parquet(f"{state_path}/scores")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("seq")))  # at most ``queue`` rows
-    tail = tail.select((-place).cast("long").alias("seq"), "score", F.lit(0).alias("_one"))
-    files = scored.select("file").distinct().withColumn("_one", F.lit(0))
-    before = files.join(tail, on="_one").select("file", "seq", F.lit(None).cast("long").alias("batch_id"), "score")
+    packed = tail.agg(F.collect_list(F.struct((F.col("seq") - tail.agg(F.max("seq")).scalar() - 1).alias("seq"), "score"))).scalar()
+    before = scored.select("file").distinct().select("file", F.inline(packed)).select("file", "seq", F.lit(None).cast("long").alias("batch_id"), "score")
     history = scored.select("file", "seq", "batch_id", "score").unionByName(before)
     thresholds = D.rolling_threshold(history, stream=["file"], queue=queue, p=p, warmup=0)
     return scored.join(thresholds, on=["file", "batch_id"]).select("file", "seq", "batch_id", "score", "threshold")

@@ -29,7 +29,7 @@ from tidewire.plans.score_queries import (
 )
 from tidewire.plans.traffic_queries import keyed_sql
 from tidewire.schema import MICROS_PER_DAY, PACKETS, packets, table
-from tidewire.session import staging_path
+from tidewire.session import settle, staging_path
 from tidewire.sources import captures as CA
 from tidewire.sources import tables as ST
 from tidewire.streaming import live as LV
@@ -370,19 +370,23 @@ def stream_jitter(spark, sf):
       SELECT batch_id, {", ".join(r(c, c) for c in _DOUBLES)}, pos_count, batch_size FROM m""",
 )
 def stream_metrics(spark, sf):
+    """Scores land in files that cut through batches and are read two files at a time."""
     path, rows_path = staging_path(spark, "metrics"), staging_path(spark, "landing")
-    scores(spark, sf).write.partitionBy("batch_id").parquet(rows_path)
-    schema = scores(spark, sf).schema
-    stream = spark.readStream.schema(schema).option("basePath", rows_path).parquet(rows_path)
+    every = settle(scores(spark, sf))
+    top = every.agg(F.max("seq")).first()[0] or 0
+    for part in range(6):  # one after the other: a stream reads the oldest files first
+        low, high = part * (top + 1) // 6, (part + 1) * (top + 1) // 6
+        every.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(rows_path)
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", "2").parquet(rows_path)
     LV.metrics_to(stream, path, staging_path(spark, "progress")).awaitTermination()
-    return rounded(spark.read.parquet(path).drop("trigger"))
+    return rounded(LV.close_metrics(spark, path))
 
 
 @query("process_times")
 def process_times(spark, sf):
     stream = LV.window_counts(landed(spark, sf), window="1 hour", late="1 day")
-    done = LV.run_to_table(stream, staging_path(spark, "stream"), staging_path(spark, "progress"))
-    return LV.process_times(spark, done)
+    target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
+    return LV.process_times(spark, lambda: LV.run_to_table(stream, target, progress), staging_path(spark, "times"))
 
 
 # Captures: events are written as pcap files and read back, split.

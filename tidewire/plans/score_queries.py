@@ -463,6 +463,12 @@ def ensemble_stream(spark, sf):
     return PQ.ensemble_stream(df, names, warmup=2, max_size=8).select("vec_id", "batch_id", "score")
 
 
+@query("one_class_stream")
+def one_class_stream(spark, sf):
+    df, names = _numbered(spark, sf)
+    return PQ.one_class_stream(df, names, group_batches=4).select("vec_id", "batch_id", "score")
+
+
 @query("feedback_detection")
 def feedback_detection(spark, sf):
     rows = sized(spark, sf).selectExpr("seq", "floor(seq / 64) AS batch_id", "packet_size / 100 AS a", "k / 100 AS b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import threading
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions.columns import CANCELLATION, decay_tag
@@ -126,14 +127,26 @@ def keyed_statistics(
 def metrics_to(
     scores: DataFrame, path: str, checkpoint: str, *, by: Sequence[str] = ("batch_id",), prepare: Callable[[DataFrame], DataFrame] | None = None
 ) -> StreamingQuery:
-    """Append the nine metrics of every trigger's complete batches to a table.
+    """Append the nine metrics of batches to the table ``path/closed``, one row per batch whatever triggers it spans.
 
-    A trigger's folder is named by its number and overwritten on a retry, so rows are written once.
+    The last key of ``by`` numbers the batches of the stream that the others name; rows come batch after batch. The newest
+    batch of each stream stays open: its rows wait in ``path/open`` until a row of a later batch closes it, or ``close_metrics``
+    does at the end. Folders are named by the trigger's number and overwritten on a retry, so rows are written once.
     """
+    spark = scores.sparkSession
+    *stream, number = by
 
-    def write(rows: DataFrame, number: int) -> None:
+    def write(rows: DataFrame, trigger: int) -> None:
         chosen = prepare(rows) if prepare else rows
-        batch_metrics(chosen, by=by).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+        waiting = _open_rows(spark, path, trigger, chosen.schema)
+        held = chosen.unionByName(waiting) if waiting is not None else chosen
+        held = held.persist()
+        newest = held.groupBy(*stream).agg(F.max(number).alias("_newest"))
+        marked = held.join(F.broadcast(newest), list(stream)) if stream else held.crossJoin(F.broadcast(newest))  # one row
+        last = F.col(number) == F.col("_newest")
+        batch_metrics(marked.where(~last).drop("_newest"), by=by).write.mode("overwrite").parquet(f"{path}/closed/trigger={trigger}")
+        marked.where(last).drop("_newest").write.mode("overwrite").parquet(f"{path}/open/{trigger}")
+        held.unpersist()
 
     return (
         scores.writeStream.foreachBatch(write)
@@ -143,6 +156,28 @@ def metrics_to(
     )
 
 
+def _open_rows(spark: SparkSession, path: str, before: int | None, schema: T.StructType | None = None) -> DataFrame | None:
+    """The rows of open batches that the last trigger (before ``before``) has left."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/open")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    numbers = [int(s.getPath().getName()) for s in system.listStatus(folder)]
+    numbers = [n for n in numbers if before is None or n < before]
+    if not numbers:
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/open/{max(numbers)}")
+
+
+def close_metrics(spark: SparkSession, path: str, *, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """End the stream: the metrics of all batches, also of those still open."""
+    rest = _open_rows(spark, path, None)
+    if rest is not None:
+        batch_metrics(rest, by=by).write.mode("overwrite").parquet(f"{path}/closed/trigger=-1")
+    return spark.read.parquet(f"{path}/closed").drop("trigger")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has landed and append the result to a Parquet table."""
     query = (
@@ -157,10 +192,46 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return query
 
 
-def process_times(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Seconds and rows per trigger from the query's own progress reports."""
-    rows = [
-        (int(p["batchId"]), p["timestamp"], int(p["numInputRows"]), p["durationMs"].get("triggerExecution", 0) / 1000.0)
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "batch_num long, timestamp string, rows long, process_time double")
+class TriggerTimes(StreamingQueryListener):
+    """Appends a row per trigger of any query to a table: the progress reports of a query forget old triggers, the table does not."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ended = spark, path, set()
+        self.change = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (str(p.id), int(p.batchId), p.timestamp, int(p.numInputRows), p.durationMs.get("triggerExecution", 0) / 1000.0)
+        self.spark.createDataFrame([row], TIMES).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.change:
+            self.ended.add(str(event.id))
+            self.change.notify_all()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        """Until the reports of an ended query have arrived."""
+        with self.change:
+            self.change.wait_for(lambda: str(query.id) in self.ended, seconds)
+
+
+TIMES = "query string, batch_num long, timestamp string, rows long, process_time double"
+
+
+def process_times(spark: SparkSession, run: Callable[[], StreamingQuery], path: str) -> DataFrame:
+    """Seconds and rows of every trigger of the query that ``run`` starts and finishes, stored below ``path``."""
+    listener = TriggerTimes(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        query = run()
+        query.awaitTermination()
+        listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.read.schema(TIMES).parquet(path).where(F.col("query") == str(query.id)).drop("query")
