@@ -42,6 +42,48 @@ def brute(rows, min_words):
     return out
 
 
+def brute_runs(rows):
+    """{doc_id: runs} from the definition: windows of powers of two, their earliest copy, diagonals, extension, the outer ones."""
+    order = sorted(rows, key=lambda r: r[0])
+    lines = {k: (t or "").split("\n") if t else [] for k, t in order}
+    at = lambda k, i: lines[k][i] if 0 <= i < len(lines[k]) and lines[k][i] else None
+    holders = {}
+    for k in lines:
+        for i in range(len(lines[k])):
+            n = 1
+            while all(at(k, i + m) for m in range(n)):
+                holders.setdefault(tuple(lines[k][i : i + n]), []).append((k, i))
+                n *= 2
+    out = {}
+    for k in lines:
+        runs = set()
+        for i in range(len(lines[k])):
+            n, best = 1, None
+            while all(at(k, i + m) for m in range(n)) and (first := min(holders[tuple(lines[k][i : i + n])])) < (k, i):
+                best = (first, n)
+                n *= 2
+            if best is None:
+                continue
+            (o, p), n = best
+            start, end, gap = i, i + n, i - p
+            while at(k, start - 1) and at(k, start - 1) == at(o, start - 1 - gap):
+                start -= 1
+            while at(k, end) and at(k, end) == at(o, end - gap):
+                end += 1
+            runs.add((start, -end, o, gap))
+        shown, reach = [], -1
+        for start, end, o, gap in sorted(runs):
+            if -end > reach:
+                shown.append((start, -end - start, o, start - gap))
+                reach = -end
+        out[k] = shown
+    return out
+
+
+def runs_of(rows):
+    return {r.row.doc_id: [tuple(x) for x in r.runs] for r in rows}
+
+
 def found(docs, min_words):
     return {r.row.doc_id: (r.n_lines, r.n_deleted, r.text) for r in line_dedup.without_repeats(docs, min_words=min_words).collect()}
 
@@ -58,6 +100,11 @@ def test_random_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for least in (1, 5):
         assert found(docs, least) == brute(rows, least)
+    got = line_dedup.without_repeats(docs, min_words=0).collect()
+    wanted = brute_runs(rows)
+    assert runs_of(got) == wanted
+    assert {(r.n_runs, r.longest_run) for r in got} == {(len(v), max((x[1] for x in v), default=0)) for v in wanted.values()}
+    assert max(r.longest_run for r in got) > 3
 
 
 def test_edges(spark):
@@ -68,6 +115,8 @@ def test_edges(spark):
     assert got[1] == (300, 0, long) and got[2] == (301, 300, "own")
     assert got[3] == (0, 0, None) and got[4] == (0, 0, "") and got[5] == (3, 0, "\n\n")
     assert got[6] == (71, 69, "x\n") and got[None] == (1, 0, "only here")
+    runs = runs_of(line_dedup.without_repeats(docs).collect())
+    assert runs[2] == [(1, 300, 1, 0)] and runs[6] == [(1, 69, 6, 0)] and runs[1] == [] == runs[3]
     twice = docs.unionByName(docs.where("doc_id = 1"))
     same = line_dedup.cleaned(twice)
     assert same.columns == docs.columns and sorted(r.text for r in same.where("doc_id = 1").collect()) == [long, long]

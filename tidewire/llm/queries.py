@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidewire.llm import bpe, exact_dedup, fim, fingerprints, licenses, line_dedup, mixing, near_dedup, pieces, pii, sharding, spelling, toxicity
 from tidewire.llm.text import documents
 
+STAND_IN = "stand-in"  # where a corpus has its secret key
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -87,7 +89,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, *, keep_ids: bool = Fa
 
 @query("op5_pii")
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, folder)).select("row.doc_id", "text", "n_values", "n_replaced")
+    return pii.pseudonymise(documents(spark, folder), key=STAND_IN).select("row.doc_id", "text", "n_values", "n_replaced")
 
 
 @query("op6_sharding")
@@ -133,7 +135,8 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.without_repeats(documents(spark, folder), min_words=0).select("row.doc_id", "n_lines", "n_deleted", "text")
+    left = line_dedup.without_repeats(documents(spark, folder), min_words=0)
+    return left.select("row.doc_id", "n_lines", "n_deleted", "text", "n_runs", "longest_run", "runs")
 
 
 @query("op11_pieces")
