@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "tidewire"  # a stand-in; pass the secret of the corpus
 ROUNDS = 8
 
 # What counts as a candidate of a kind. The first alternative that matches a place wins.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# An account number as one word, or printed in groups of four with a shorter last one.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 # Phone numbers: three, three and four digits after a plus and a country, other numbers after a plus (8 to 15 digits), three,
 # three and four digits divided or in brackets, and ten digits in a row where area and exchange start with 2 to 9.
 BARE = r"(?<![0-9A-Za-z+.-])(?:1[ .-]?)?"
@@ -27,8 +27,14 @@ COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]|[/.-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SOCIAL, DATE, PHONE, ADDRESS, CARD))
+HARDWARE = r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Za-z:-])|(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}(?![0-9A-Za-z:-])"
+ADDRESS6 = r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:.])"
+# Card numbers in their printed layouts: groups of four (any number of them: the first four that are valid count), four, six and
+# five digits, four, six and four, or 13 to 19 digits unbroken. Other spacings join numbers that only stand side by side.
+GROUPS = r"(?<![0-9-])[0-9]{4}(?: [0-9]{4}){3,}(?![0-9-])|(?<![0-9-])[0-9]{4}(?:-[0-9]{4}){3,}(?![0-9-])"
+CARD = GROUPS + r"|(?<![0-9-])[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{4,5}(?![0-9-])|(?<![0-9-])[0-9]{13,19}(?![0-9-])"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SOCIAL, DATE, HARDWARE, ADDRESS6, CARD, PHONE, ADDRESS))
+CUT = "\x01"  # divides values from the text around them; texts that hold it take a second search
 
 FIRST_DAY = -25567  # 1900-01-01
 DAYS = 270  # dates are permuted among 270 * 270 days from then on
@@ -119,6 +125,41 @@ def _card(v: Column, key: str) -> Column:
     return F.when(luhn(d) % 10 == 0, _into(v, new)).otherwise(v)
 
 
+def _groups(v: Column, key: str) -> Column:
+    """Groups of four digits: the first four groups in a row that are a valid card number are replaced."""
+    groups = F.split(v, "[ -]")
+    starts = F.filter(F.sequence(F.lit(1), F.size(groups) - 3), lambda i: luhn(F.array_join(F.slice(groups, i, F.lit(4)), "")) % 10 == 0)
+
+    def replaced(at: Column) -> Column:
+        card = F.array_join(F.slice(groups, at, F.lit(4)), " ")
+        parts = F.concat(F.slice(groups, F.lit(1), at - 1), F.split(_card(card, key), " "), F.slice(groups, at + 4, F.size(groups)))
+        return F.when(at.isNull(), v).otherwise(_into(v, F.array_join(parts, "")))
+
+    return _let(F.get(starts, F.lit(0)), replaced)
+
+
+def _hardware(v: Column, key: str) -> Column:
+    """48 bits, in the letters' case of the value."""
+    hexes = F.lower(F.regexp_replace(v, "[:-]", ""))
+    half = lambda at: F.conv(F.substr(hexes, F.lit(at), F.lit(6)), 16, 10).cast("long")
+    moved = feistel(half(1), half(7), F.lit(1 << 24), F.lit(1 << 24), F.lit("hardware"), key)
+    plain = _let(moved, lambda m: F.lower(F.concat(F.lpad(F.hex(m["left"]), 6, "0"), F.lpad(F.hex(m["right"]), 6, "0"))))
+    shown = _let(plain, lambda p: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(11), F.lit(2)), lambda i: F.substr(p, i, F.lit(2))), ":"))
+    shown = F.replace(shown, F.lit(":"), F.substr(v, F.lit(3), F.lit(1)))
+    return F.when(F.upper(v) == v, F.upper(shown)).otherwise(shown)
+
+
+def _address6(v: Column, key: str) -> Column:
+    """Both halves of 64 bits are permuted on their own, so addresses of one network stay together."""
+    groups = F.transform(F.split(F.lower(v), ":"), lambda g: F.conv(g, 16, 10).cast("long"))
+    halves = []
+    for tag, at in (("network", 0), ("interface", 4)):
+        moved = feistel(groups[at] * 65_536 + groups[at + 1], groups[at + 2] * 65_536 + groups[at + 3], F.lit(1 << 32), F.lit(1 << 32), F.lit(tag), key)
+        numbers = _let(moved, lambda m: F.array(F.floor(m["left"] / 65_536), m["left"] % 65_536, F.floor(m["right"] / 65_536), m["right"] % 65_536))
+        halves.append(F.transform(numbers, lambda n: F.lower(F.hex(n.cast("long")))))
+    return F.array_join(F.concat(*halves), ":")
+
+
 def _national(digits: Column, key: str) -> Column:
     """Ten digits: an area and an exchange that start with 2 to 9 stay so, and so do those that start with 0 or 1."""
 
@@ -164,15 +205,18 @@ def _address(v: Column, key: str) -> Column:
 
 def _date(v: Column, key: str) -> Column:
     iso = F.substr(v, F.lit(5), F.lit(1)) == "-"
-    # Day first; a date that is only valid with the month first is left alone.
-    day = F.coalesce(F.when(iso, F.try_to_date(v, "yyyy-MM-dd")), F.try_to_date(F.regexp_replace(v, "[.]", "/"), "dd/MM/yyyy"))
+    # Day first; a date that is only valid with the month first is read and shown so.
+    plain = F.regexp_replace(v, "[.]", "/")
+    first = F.coalesce(F.when(iso, F.try_to_date(v, "yyyy-MM-dd")), F.try_to_date(plain, "dd/MM/yyyy"))
+    day = F.coalesce(first, F.try_to_date(plain, "MM/dd/yyyy"))
     number = F.datediff(day, F.lit("1970-01-01").cast("date")) - FIRST_DAY
 
     def moved(n: Column) -> Column:
         pair = feistel(F.floor(n / DAYS), n % DAYS, F.lit(DAYS), F.lit(DAYS), F.lit("date"), key)
         new = _let(pair, lambda m: F.date_from_unix_date((m["left"] * DAYS + m["right"] + FIRST_DAY).cast("int")))
         mark = F.substr(v, F.lit(3), F.lit(1))
-        shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.regexp_replace(F.date_format(new, "dd/MM/yyyy"), "/", mark))
+        divided = F.when(first.isNull(), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+        shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.regexp_replace(divided, "/", mark))
         return F.when(n.between(0, DAYS * DAYS - 1), shown).otherwise(v)
 
     return F.when(number.isNull(), v).otherwise(_let(number, moved))
@@ -198,10 +242,26 @@ def _social(v: Column, key: str) -> Column:
 
 
 def _iban(v: Column, key: str) -> Column:
-    account = F.substr(v, F.lit(5))
-    new = F.concat(F.substr(v, F.lit(1), F.lit(2)), F.lit("00"), _into(account, permute_digits(_digits(account), "iban", key)))
-    checked = _let(new, lambda n: F.concat(F.substr(n, F.lit(1), F.lit(2)), F.lpad((98 - mod97(n)).cast("string"), 2, "0"), F.substr(n, F.lit(5))))
-    return F.when((mod97(v) == 1) & (F.length(_digits(account)) >= 2), checked).otherwise(v)
+    """An account number with its check digits anew. Printed in groups it may be followed by words that look like
+    groups: the longest valid beginning that ends with a group counts."""
+
+    def checked(part: Column) -> Column:
+        plain = F.replace(part, F.lit(" "), F.lit(""))
+        account = F.substr(plain, F.lit(5))
+        new = F.concat(F.substr(plain, F.lit(1), F.lit(2)), F.lit("00"), _into(account, permute_digits(_digits(account), "iban", key)))
+        digits = _let(new, lambda n: F.concat(F.lpad((98 - mod97(n)).cast("string"), 2, "0"), _digits(F.substr(n, F.lit(5)))))
+        return _into(part, digits)
+
+    groups = F.split(v, " ")
+    lengths = F.when(F.size(groups) == 1, F.array(F.lit(1))).otherwise(F.sequence(F.size(groups), F.lit(3), F.lit(-1)))
+    part = lambda n: F.array_join(F.slice(groups, F.lit(1), n), " ")
+    plain = lambda n: F.replace(part(n), F.lit(" "), F.lit(""))
+    fits = F.filter(lengths, lambda n: (F.length(plain(n)) >= 15) & (mod97(plain(n)) == 1) & (F.length(_digits(F.substr(plain(n), F.lit(5)))) >= 2))
+
+    def shown(n: Column) -> Column:
+        return F.when(n.isNull(), v).otherwise(F.concat(checked(part(n)), F.substr(v, F.length(part(n)) + 1)))
+
+    return _let(F.get(fits, F.lit(0)), shown)
 
 
 def _email(v: Column, key: str) -> Column:
@@ -221,25 +281,35 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(is_a("[0-9]{3}-[0-9]{2}-[0-9]{4}"), _social(value, key))
         .when(is_a("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"), _date(value, key))
         .when(is_a("[0-9]{1,3}([.][0-9]{1,3}){3}"), _address(value, key))
+        .when(is_a(HARDWARE), _hardware(value, key))
+        .when(is_a(ADDRESS6), _address6(value, key))
+        .when(is_a(GROUPS), _groups(value, key))
+        .when(is_a(CARD), _card(value, key))
         .when(is_a(PHONE), _phone(value, key))
         .otherwise(_card(value, key))
     )
 
 
-def pseudonymise(docs: DataFrame, *, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str) -> DataFrame:
     """All rows as ``row`` with the text in which valid personal values are replaced, n_values and n_replaced.
 
-    Kinds: card numbers (Luhn), IBANs (mod 97), phone numbers, US social security numbers, IPv4 addresses, dates from 1900-01-01
-    to 2099-08-04, and mail addresses. Numbers and dates are permuted within their format by the key: the
+    Kinds: card numbers (Luhn), IBANs (mod 97), phone numbers, US social security numbers, IPv4 and full IPv6 addresses, hardware
+    addresses, dates from 1900-01-01 to 2099-08-04 (day first, else month first), and mail addresses. Numbers and dates are permuted within their format by the key: the
     pseudonym is valid too, keeps its separators, differs for different values, and is the same for equal ones
     in all documents. Formats that fail validation stay as they are. The work is row by row, so nothing is
     shuffled and no value can be hot. Null stays null with no values; empty texts, repeated rows and empty tables
     are handled as any other; input columns stay inside ``row`` and cannot clash.
     """
     text = F.col("text").cast("string")
-    parts = docs.select(
-        F.struct("*").alias("row"), text.alias("body"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("values"), F.split(text, ANY).alias("gaps")
-    )
+    # One search marks the values; then texts are cut at the marks. A text that holds the mark itself is searched twice.
+    cut = F.split(F.regexp_replace(text, ANY, f"{CUT}$0{CUT}"), CUT)
+    marked = docs.select(F.struct("*").alias("row"), text.alias("body"), F.contains(text, F.lit(CUT)).alias("held"), F.inline(F.array(F.struct(cut.alias("cut")))))
+    turn = lambda odd: F.filter("cut", lambda x, i: i % 2 == odd)
+    parts = marked.select(
+        "row", "body",
+        F.when(F.col("held"), F.regexp_extract_all("body", F.lit(ANY), F.lit(0))).otherwise(turn(1)).alias("values"),
+        F.when(F.col("held"), F.split("body", ANY)).otherwise(turn(0)).alias("gaps"),
+    )
     # The generator keeps the optimizer from repeating the work for each use below.
     changed = parts.select("row", "body", F.inline(F.array(F.struct("values", "gaps", F.transform("values", lambda v: pseudonym(v, key)).alias("names")))))
     woven = F.array_join(F.zip_with("gaps", F.concat("names", F.array(F.lit(""))), lambda gap, name: F.concat(gap, name)), "")
