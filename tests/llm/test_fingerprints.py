@@ -62,7 +62,7 @@ def test_equal_to_plain_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wanted, got = expected(zip(table["doc_id"], table["text"], strict=True)), found(docs)
     assert got.keys() == wanted.keys()
-    wrong = [k for k in got if got[k][:4] != wanted[k][:4] or any(abs(x - y) > 1e-9 and y > 0.02 for x, y in zip(got[k][4:], wanted[k][4:], strict=True))]
+    wrong = [k for k in got if got[k][:4] != wanted[k][:4] or any(abs(x - y) > 1e-9 for x, y in zip(got[k][4:], wanted[k][4:], strict=True))]
     assert not wrong
     assert sum(v[4] > v[5] for v in got.values()) > 0.97 * len(got)
 
@@ -77,6 +77,14 @@ def test_edges(spark):
     assert fp.edited_pairs(docs.limit(0)).collect() == []
 
 
+def test_texts_of_anchors_take_linear_time(spark):
+    """Many anchors in a row: 200,000 of them would take hours if every anchor looked over the following ones."""
+    texts = ["the " * 200_000, "the of " * 3 + "red end " + "der die das " * 50_000 + "last", "the red the blue of the green", "a the b the c the d", "the"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = fp.with_marks(docs, "text").collect()
+    assert [list(r.marks) for r in got] == [marks(r.text) for r in got]
+
+
 def test_similar_pairs(spark):
     sets = {i: sorted(set(range(i % 5, 20 + i)) - {3 * i}) for i in range(12)} | {50: [], 51: [], 52: sorted(set(range(0, 20)))}
     marked = spark.createDataFrame(list(sets.items()), "key long, marks array<long>")

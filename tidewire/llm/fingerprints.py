@@ -29,10 +29,13 @@ def _choice(words: list[str]) -> str:
 
 
 ANCHOR = _choice(ANCHORS)
-# An anchor and, looking ahead, the run up to the CHAIN-th content word; anchors on the way are passed over.
+# Runs of anchors give way to a mark ahead of the next content word, so that no search walks over them again.
+RUN_OF_ANCHORS = rf"(?<= )(?:{ANCHOR} )++"
+MARK = "|"
+# The CHAIN content words behind a mark, with the marks between them.
+SPOT = r"\|(?=([^ |]+ " + r"\|?[^ |]+ " * (CHAIN - 1) + "))"
 # A stretch without anchors, in blocks of words counted from its start.
-BLOCK = rf"(?<= )(?:(?!{ANCHOR} )[^ ]+ ){{4}}"
-SPOT = rf"(?<= ){ANCHOR} (?=((?:(?:{ANCHOR} )*+[^ ]+ ){{{CHAIN}}}))"
+BLOCK = r"(?<=[ |])(?:[^ |]+ ){4}"
 
 
 def with_marks(df: DataFrame, text: str, name: str = "marks") -> DataFrame:
@@ -43,16 +46,10 @@ def with_marks(df: DataFrame, text: str, name: str = "marks") -> DataFrame:
     words itself as a whole. The generators keep the optimizer from repeating a search for each use.
     """
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spread = df.select("*", F.inline(F.array(F.struct(plain.alias("_plain")))))
-    found = F.struct(F.regexp_extract_all("_plain", F.lit(SPOT), F.lit(1)).alias("_spots"), F.regexp_extract_all("_plain", F.lit(BLOCK), F.lit(0)).alias("_blocks"))
+    spread = df.select("*", F.inline(F.array(F.struct(plain.alias("_plain"), F.regexp_replace(plain, RUN_OF_ANCHORS, MARK).alias("_marked")))))
+    found = F.struct(F.regexp_extract_all("_marked", F.lit(SPOT), F.lit(1)).alias("_spots"), F.regexp_extract_all("_marked", F.lit(BLOCK), F.lit(0)).alias("_blocks"))
     spread = spread.select("*", F.inline(F.array(found)))
-
-    def chain(spot: Column) -> Column:
-        # A run of just CHAIN words holds no anchor.
-        clean = F.ltrim(F.regexp_replace(F.concat(F.lit(" "), spot), rf"(?<= ){ANCHOR} ", ""))
-        return F.when(F.length(spot) - F.length(F.replace(spot, F.lit(" "), F.lit(""))) == CHAIN, spot).otherwise(clean)
-
-    chains = F.transform("_spots", chain)
+    chains = F.transform("_spots", lambda spot: F.replace(spot, F.lit(MARK), F.lit("")))
     words = F.transform(F.filter(F.split(F.trim("_plain"), " "), lambda w: w != ""), lambda w: F.concat(w, F.lit(" ")))
     whole = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.array(text))
     marks = F.when(F.size("_spots") + F.size("_blocks") > 0, F.concat(chains, "_blocks")).when(F.col("_plain") != "  ", words).otherwise(whole)
