@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -20,7 +21,8 @@ LEXICON = 5_000  # entries of the lexicon at most, the most telling ones
 STEMS = range(4, 11)  # lengths of word beginnings that may become entries
 LEAST_SEEN = 4  # toxic documents that hold an entry
 LEAST_WEIGHT = 2.5  # log odds of an entry
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "stupid simple")
+EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "stupid simple")  # beside those that are learnt
+LEARNT = 1_000  # learnt exception phrases at most
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
@@ -99,36 +101,84 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r["entry"]: r["weight"] for r in best.collect()}  # at most LEXICON rows
 
 
+def _automaton(entries: dict[str, float], excused: Sequence[str] = ()):
+    automaton = ahocorasick.Automaton()
+    for entry, weight in entries.items():
+        automaton.add_word(entry, (len(entry), weight))
+    for phrase in excused:
+        automaton.add_word(phrase, (len(phrase), entries.get(phrase)))
+    automaton.make_automaton()
+    return automaton
+
+
+def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], most: int = LEARNT) -> list[str]:
+    """Phrases of two words, one of them a hit, that clean documents hold rather than toxic ones, whatever the language.
+
+    Counted once per document of the sample; a phrase must stand in LEAST_SEEN clean ones and be less likely in a toxic
+    document than in a clean one. The most frequent ``most`` are kept.
+    """
+    if not lexicon:
+        return []
+    total = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
+    toxic, clean = total["t"] or 0, total["c"] or 0
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(lexicon)
+        for batch in batches:
+            seen = Counter(), Counter()
+            for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = fold(text)
+                starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+                at = {int(np.searchsorted(starts, end - length + 1)) for end, (length, _) in automaton.iter(f" {' '.join(words)} ")}
+                pairs = {i for k in at for i in (k - 1, k) if 0 <= i < len(words) - 1}
+                seen[kind].update({f"{words[i]} {words[i + 1]}" for i in pairs})
+            yield from batches_of(((w, seen[1][w], seen[0][w]) for w in seen[0].keys() | seen[1].keys()), COUNTED)
+
+    counted = sample.mapInArrow(phrases, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    best = counted.where((F.col("c") >= LEAST_SEEN) & (odds < 0)).orderBy(F.desc("c"), "word").limit(most)
+    return [r["word"] for r in best.collect()]  # at most ``most`` rows
+
+
 def hits(lexicon: dict[str, float], exceptions: Sequence[str] = EXCEPTIONS):
     """A column function from text to (weight of all hits, number of words)."""
-    items, excused = list(lexicon.items()), [f" {e} " for e in exceptions]
+    excused = [f" {e} " for e in exceptions]
 
     @F.pandas_udf("weight double, words long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for entry, weight in items:
-            automaton.add_word(entry, (len(entry), weight))
-        for phrase in excused:
-            automaton.add_word(phrase, (len(phrase), None) if phrase not in lexicon else (len(phrase), lexicon[phrase]))
-        automaton.make_automaton()
+        automaton = _automaton(lexicon, excused)
+        free = set(excused)
         for texts in batches:
-            rows = [_weigh(automaton, fold(text)) for text in texts]
+            rows = [_weigh(automaton, fold(text), free) for text in texts]
             yield pd.DataFrame({"weight": [r[0] for r in rows], "words": [r[1] for r in rows]})
 
     return run
 
 
-def _weigh(automaton, words: list[str]) -> tuple[float, int]:
-    """Each word counts with its heaviest entry; words inside an exception phrase do not count."""
+def _weigh(automaton, words: list[str], excused: set[str] = frozenset()) -> tuple[float, int]:
+    """Each word counts with its heaviest entry; words inside an exception phrase do not count.
+
+    Hits come by their end; the excused stretches are joined in order of their start, so a look-up is a binary search.
+    """
+    line = f" {' '.join(words)} "
     best: dict[int, float] = {}
     free: list[tuple[int, int]] = []
-    for end, (length, weight) in automaton.iter(f" {' '.join(words)} "):
+    for end, (length, weight) in automaton.iter(line):
         at = end - length + 1
-        if weight is None:
-            free.append((at, end))
-        elif weight > best.get(at, 0.0):
+        if weight is not None and weight > best.get(at, 0.0):
             best[at] = weight
-    return sum(w for at, w in best.items() if not any(a <= at < b for a, b in free)), len(words)
+        if length > 1 and line[at : end + 1] in excused:
+            free.append((at, end))
+    if not free:
+        return sum(best.values()), len(words)
+    starts, ends = [], []
+    for low, high in sorted(free):
+        if ends and low <= ends[-1]:
+            ends[-1] = max(ends[-1], high)
+        else:
+            starts.append(low), ends.append(high)
+    inside = lambda at: (i := bisect_right(starts, at)) and at < ends[i - 1]
+    return sum(w for at, w in best.items() if not inside(at)), len(words)
 
 
 def features(weight: Column, words: Column) -> list[Column]:
@@ -160,14 +210,14 @@ def score(docs: DataFrame, labels: DataFrame, *, exceptions: Sequence[str] = EXC
     """All rows as ``row`` with held_out, score (0 to 1) and predicted (score of at least 0.5).
 
     The lexicon's entries and weights and the calibration come from labelled documents that are not held
-    out, at most TRAIN_ROWS of them. The score is a logistic function of the weight of the hits, in total
+    out, at most TRAIN_ROWS of them, and so do exception phrases beside the given ones. The score is a logistic function of the weight of the hits, in total
     and by length. Null and empty texts have no hits and get the base score; without any labels of
     one class the lexicon is empty and all rows share a score. Rows with null or other labels do not teach;
     repeated rows are scored alike; an empty table gives an empty result. Input columns stay inside ``row``.
     """
     sample = training(docs, labels)
     lexicon = learn_lexicon(sample)
-    weigh = hits(lexicon, exceptions)
+    weigh = hits(lexicon, [*exceptions, *learn_exceptions(sample, lexicon)])
     seen = sample.select(weigh("text").alias("hit"), "toxic")
     table = settle(seen.select(*[f.alias(f"x{i}") for i, f in enumerate(features(F.col("hit.weight"), F.col("hit.words")))], "toxic"))
     beta = fit(table)
