@@ -96,9 +96,14 @@ def test_anchored_windows(spark, chunk):
         if at - start > 2.5:
             wanted |= {j: (start, at) for j in pending}
             start, pending = at, []
-    df = spark.createDataFrame(list(enumerate(times)), "seq long, t double")
-    found = anchored_windows(df, 2.5, chunk_rows=chunk).collect()
-    assert {r["seq"]: (r["window_start"], r["window_end"]) for r in found} == wanted
+    # Rows come in any order, and their numbers do not follow the time.
+    rows = [(name, 500 - i, t + shift) for name, shift in (("a", 0.0), ("b", 100.0)) for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "file string, seq long, t double")
+    found = anchored_windows(df, 2.5, stream=["file"], chunk_rows=chunk).collect()
+    got = {(r["file"], 500 - r["seq"]): (r["window_start"], r["window_end"]) for r in found}
+    assert got.keys() == {(f, i) for f in "ab" for i in wanted}
+    assert all(got["a", i] == pytest.approx(w) and got["b", i] == pytest.approx((w[0] + 100, w[1] + 100)) for i, w in wanted.items())
 
 
 def test_clusters_respect_sizes():

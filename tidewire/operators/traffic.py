@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
 from tidewire.operators.decay import Term, decayed_sums, statistic_terms
-from tidewire.operators.index import arrival
+from tidewire.operators.index import arrival, running_totals
 from tidewire.schema import DECAY_RATES, PROTOCOL_IDS, WEIGHT_FLOOR
 
 STATS_1D = ("weight", "mean", "std")
@@ -363,19 +363,20 @@ def idle_sessions(
     keys: Sequence[str],
     *,
     rates: Sequence[float] = DECAY_RATES,
+    stream: Sequence[str] = (),
     floor: float = WEIGHT_FLOOR,
     chunk_rows: int = 1 << 20,
     **options,
 ) -> DataFrame:
     """Split a key's rows where its statistic died out: the slowest decaying weight fell below ``floor``.
 
-    Adds ``weight`` (after the row), ``expires_at`` (when it falls below the floor without new rows) and
+    ``stream`` names the capture, which is numbered on its own and is part of every key. Adds ``weight`` (after the row), ``expires_at`` (when it falls below the floor without new rows) and
     ``session`` (0, 1, ... per key).
     """
-    keys = list(keys)
+    keys = [*stream, *keys]
     slow = min(rates)
     group = ", ".join([*keys, "_chunk"])
-    weighed = decayed_sums(arrival(rows), keys, [Term("weight", slow)], chunk_rows=chunk_rows, **options).selectExpr(
+    weighed = decayed_sums(arrival(rows, stream), keys, [Term("weight", slow)], chunk_rows=chunk_rows, **options).selectExpr(
         "*", f"t + log2(weight / {floor!r}D) / {slow!r}D AS expires_at", f"floor(_arrival / {chunk_rows}) AS _chunk"
     )
     in_chunk = f"PARTITION BY {group} ORDER BY _arrival"
@@ -417,20 +418,31 @@ def expired_links(
     *,
     rates: Sequence[float] = DECAY_RATES,
     protocol_ids: dict[str, int] | None = None,
+    stream: Sequence[str] = (),
     **options,
 ) -> DataFrame:
-    """Delete rows (``type`` 0): one per link and idle session that ended before the last packet."""
+    """Delete rows (``type`` 0): one per link and idle session that ended before the last packet of its capture.
+
+    ``t`` is the time the link expired, ``seq`` the first packet after it: a deletion takes effect just before that packet.
+    """
+    stream = list(stream)
     links = packets.selectExpr(
-        "seq", "t", "src_mac AS src_id", "dst_mac AS dst_id", f"{layer_id_sql('protocol', protocol_ids)} AS protocol"
+        *stream, "seq", "t", "src_mac AS src_id", "dst_mac AS dst_id", f"{layer_id_sql('protocol', protocol_ids)} AS protocol"
     )
-    keys = ["src_id", "dst_id", "protocol"]
+    keys = [*stream, "src_id", "dst_id", "protocol"]
+    numbered = arrival(links, stream)
     ends = (
-        idle_sessions(links, keys, rates=rates, **options)
+        idle_sessions(numbered, keys[len(stream) :], rates=rates, stream=stream, **options)
         .groupBy(*keys, "session")
-        .agg(F.max("seq").alias("seq"), F.max("expires_at").alias("t"))
+        .agg(F.max("expires_at").alias("t"))
     )
-    horizon = links.agg(F.max("t")).scalar()
-    return ends.where(F.col("t") <= horizon).select("seq", "t", F.lit(0).alias("type"), *keys, "session")
+    # As many packets lie up to an expiry as the number of the next one; packets count themselves, expiries come after them.
+    place = numbered.select(*stream, "t", F.lit(0).alias("_late"), F.col("_arrival").alias("_tie"), F.lit(1).cast("long").alias("_packets"))
+    gone = ends.select(*keys, "session", "t", F.lit(1).alias("_late"), F.xxhash64(*keys, "session").alias("_tie"), F.lit(0).cast("long").alias("_packets"))
+    merged = place.unionByName(gone, allowMissingColumns=True)
+    counted = running_totals(merged, ["_packets"], ["t", "_late", "_tie"], stream=stream).where("_late = 1")
+    after = counted.select(*keys, "session", "t", F.col("_packets_upto").alias("_arrival"))
+    return after.join(numbered.select(*stream, "_arrival", "seq"), [*stream, "_arrival"]).select(*stream, "seq", "t", F.lit(0).alias("type"), *keys[len(stream) :], "session")
 
 
 def peek(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.operators.folds import chunked_fold
+from tidewire.operators.index import arrival
 
 
 GRID_BLOCK = 65_536  # windows of the grid that one row lists
@@ -65,10 +66,12 @@ def anchored_windows(
     """Windows that open at a row: ``(seq, window_start, window_end)`` per row.
 
     A window closes with the first row more than ``granularity`` after its start; that row still belongs to
-    it, and its time opens the next window. Rows of the trailing window have no end and are left out.
+    it, and its time opens the next window. Rows of the trailing window have no end and are left out. Rows are taken by
+    time (then ``seq``) whatever order they came in; every stream is numbered on its own.
     """
     keys = list(stream) or ["_all"]
-    rows = df.select(*stream, seq, F.col(time).cast("double").alias("_t"), F.floor(F.col(seq) / F.lit(chunk_rows)).alias("_chunk"))
+    numbered = arrival(df.select(*stream, seq, F.col(time).cast("double").alias("_t")), list(stream), order=("_t", seq))
+    rows = numbered.withColumn("_chunk", F.floor(F.col("_arrival") / F.lit(chunk_rows)))
     if not stream:
         rows = rows.withColumn("_all", F.lit(0))
     schema = T.StructType(
@@ -82,7 +85,7 @@ def anchored_windows(
     )
 
     def step(state, piece: pd.DataFrame):
-        t, ids = piece["_t"].to_numpy(), piece[seq].to_numpy()
+        t, ids = piece["_t"].to_numpy(), piece["_arrival"].to_numpy()
         start, opened = state or (float(t[0]), int(ids[0]) - 1)
         starts, openers, closed = np.empty(len(t)), np.empty(len(t), dtype=np.int64), np.full(len(t), np.nan)
         at = 0
@@ -98,7 +101,7 @@ def anchored_windows(
         return (start, opened), out
 
     found = chunked_fold(
-        rows, step, schema, stream=keys, order=[seq], chunk="_chunk", initial=lambda: None
+        rows, step, schema, stream=keys, order=["_arrival"], chunk="_chunk", initial=lambda: None
     )
     ends = found.where("_closed_at IS NOT NULL AND NOT isnan(_closed_at)").select(*keys, "opened", F.col("_closed_at").alias("window_end"))
     return found.join(ends, on=[*keys, "opened"]).select(*stream, seq, "window_start", "window_end")

@@ -315,10 +315,8 @@ def changes(spark, sf):
     gone = expired_links(view, rates=(5.0, 3.0)).selectExpr(
         "floor(seq / 1024) AS batch_id", "seq", "0 AS type", "src_id AS src", "dst_id AS dst", "protocol", "cast(null AS double) AS size"
     )
-    # Deletions follow the upsert of the same packet.
-    return ups.unionByName(gone.withColumn("seq", F.col("seq") + 40)).withColumn(
-        "batch_id", F.floor(F.col("seq") / 1024)
-    )
+    # A deletion stands ahead of the upsert of the first packet after it.
+    return ups.unionByName(gone)
 
 
 _CHANGES = """base AS (SELECT *, CASE protocol WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 WHEN 'ICMP' THEN 2
@@ -327,8 +325,8 @@ _CHANGES = """base AS (SELECT *, CASE protocol WHEN 'TCP' THEN 0 WHEN 'UDP' THEN
             FROM base a JOIN base b USING (src_mac, dst_mac, layer) WHERE b.seq <= a.seq GROUP BY ALL),
       ex AS (SELECT *, t + log2(weight / 1e-3) / 3 AS ends,
               lead(t) OVER (PARTITION BY src_mac, dst_mac, layer ORDER BY seq) AS next_t FROM w),
-      gone AS (SELECT seq + 40 AS seq, src_mac, dst_mac, layer FROM ex
-              WHERE (next_t IS NULL OR next_t > ends) AND ends <= (SELECT max(t) FROM packets)),
+      gone AS (SELECT pseq AS seq, src_mac, dst_mac, layer FROM ex ASOF JOIN (SELECT t AS pt, seq AS pseq FROM packets) p ON ex.ends < p.pt
+              WHERE next_t IS NULL OR next_t > ends),
       changes AS (SELECT seq // 1024 AS batch_id, seq, 1 AS type, src_mac AS src, dst_mac AS dst, layer AS protocol, packet_size AS size FROM base
         UNION ALL SELECT seq // 1024, seq, 0, src_mac, dst_mac, layer, NULL FROM gone)"""
 

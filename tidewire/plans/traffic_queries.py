@@ -290,18 +290,19 @@ def statistics_with_expiry(spark, sf):
     "expired_links",
     """WITH {packets}, base AS (SELECT *, CASE protocol WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 WHEN 'ICMP' THEN 2
           WHEN 'ARP' THEN 3 ELSE 4 END AS layer FROM packets),
-      w AS (SELECT a.seq, a.t, src_mac, dst_mac, layer, sum(pow(2, -3 * (a.t - b.t))) AS weight
-            FROM base a JOIN base b USING (src_mac, dst_mac, layer) WHERE b.seq <= a.seq GROUP BY ALL),
+      w AS (SELECT file, a.seq, a.t, src_mac, dst_mac, layer, sum(pow(2, -3 * (a.t - b.t))) AS weight
+            FROM base a JOIN base b USING (file, src_mac, dst_mac, layer) WHERE b.seq <= a.seq GROUP BY ALL),
       e AS (SELECT *, t + log2(weight / 1e-3) / 3 AS ends,
-              lead(t) OVER (PARTITION BY src_mac, dst_mac, layer ORDER BY seq) AS next_t,
-              lag(t + log2(weight / 1e-3) / 3) OVER (PARTITION BY src_mac, dst_mac, layer ORDER BY seq) AS before FROM w),
+              lead(t) OVER (PARTITION BY file, src_mac, dst_mac, layer ORDER BY seq) AS next_t,
+              lag(t + log2(weight / 1e-3) / 3) OVER (PARTITION BY file, src_mac, dst_mac, layer ORDER BY seq) AS before FROM w),
       s AS (SELECT *, CAST(sum(CASE WHEN t > before THEN 1 ELSE 0 END)
-              OVER (PARTITION BY src_mac, dst_mac, layer ORDER BY seq) AS BIGINT) AS session FROM e)
-      SELECT seq, round(ends, 6) AS t, 0 AS type, src_mac AS src_id, dst_mac AS dst_id, layer AS protocol, session
-      FROM s WHERE (next_t IS NULL OR next_t > ends) AND ends <= (SELECT max(t) FROM packets)""",
+              OVER (PARTITION BY file, src_mac, dst_mac, layer ORDER BY seq) AS BIGINT) AS session FROM e),
+      p AS (SELECT file AS pfile, t AS pt, seq AS pseq FROM packets)
+      SELECT s.file, pseq AS seq, round(ends, 6) AS t, 0 AS type, src_mac AS src_id, dst_mac AS dst_id, layer AS protocol, session
+      FROM s ASOF JOIN p ON s.file = p.pfile AND s.ends < p.pt WHERE next_t IS NULL OR next_t > ends""",
 )
 def expired_links(spark, sf):
-    return rounded(TR.expired_links(packets(spark, sf), rates=(5.0, 3.0)), 6)
+    return rounded(TR.expired_links(packets(spark, sf), rates=(5.0, 3.0), stream=["file"]), 6)
 
 
 @query(
