@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tidewire.operators.evaluate import batch_metrics
 from tidewire.streaming import live
 
@@ -37,3 +39,23 @@ def test_every_trigger_has_a_row(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert [(r.batch_num, r.rows) for r in times if r.rows] == [(i, 2) for i in range(12)]
     assert all(r.process_time > 0 for r in times)
+
+
+def test_rows_of_a_key_at_once():
+    rng = np.random.default_rng(2)
+    rates = np.array([5.0, 1.0, 0.01])
+    for trial in range(40):
+        n = int(rng.integers(1, 60))
+        t = np.sort(np.cumsum(rng.exponential(rng.choice([0.01, 1.0, 900.0]), n)))
+        v = None if trial % 3 == 0 else rng.normal(5, 2, n)
+        last, sums = (None, None) if trial % 2 else (float(t[0] + rng.choice([-2.0, 0.5])), np.abs(rng.normal(3, 1, (3, 3))))
+        got, end = live.decayed_rows(t, v, last, sums, rates)
+        for i, at in enumerate(t):
+            if last is not None and sums[0, 2] * 2.0 ** (-0.01 * max(at - last, 0.0)) < 1e-3:
+                last, sums = None, None
+            x = (0.0 if last is None else at - last) if v is None else v[i]
+            add = np.array([1.0, x, x * x])[:, None] * np.ones(3)
+            sums = add if sums is None else sums * 2.0 ** (-rates * max(at - last, 0.0)) + add
+            last = at if last is None else max(at, last)
+            assert np.allclose(got[i], sums, rtol=1e-9, atol=1e-12), (trial, i)
+        assert end == last

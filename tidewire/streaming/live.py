@@ -53,6 +53,36 @@ def window_nodes(
     )
 
 
+def decayed_rows(t: np.ndarray, v: np.ndarray | None, last: float | None, sums: np.ndarray | None, rates: np.ndarray) -> tuple[np.ndarray, float]:
+    """Decayed count, sum and square sum (row, 3, rate) after every row of a key, and its last time; ``v`` None takes the gaps.
+
+    A row multiplies the sums by a factor and adds to them; such steps join into one step of the same kind, so after
+    log(rows) rounds every row holds all before it. Where the slowest weight has died out the factor is 0; such rows are
+    found from the weights, again until no more appear (a restart can only lower later weights).
+    """
+    clock = np.maximum.accumulate(np.maximum(t, t if last is None else last))
+    before = np.concatenate(([np.nan if last is None else last], clock[:-1]))
+    slow = int(np.argmin(rates))
+    fresh = np.isnan(before)
+    while True:
+        values = np.where(fresh, 0.0, t - np.nan_to_num(before)) if v is None else v
+        decay = np.where(fresh[:, None], 0.0, np.exp2(-rates * (clock - np.nan_to_num(before))[:, None]))
+        kept = np.repeat(np.stack([np.ones(len(t)), values, values * values], axis=1)[:, :, None], len(rates), axis=2)
+        if sums is not None:
+            kept[0] += sums * decay[0]
+        factor = decay.copy()
+        shift = 1
+        while shift < len(t):
+            kept[shift:] += factor[shift:, None, :] * kept[:-shift]
+            factor[shift:] *= factor[:-shift]
+            shift *= 2
+        weight = np.concatenate(([0.0 if sums is None else sums[0, slow]], kept[:-1, 0, slow]))
+        dead = ~fresh & (weight * np.exp2(-rates[slow] * (clock - np.nan_to_num(before))) < WEIGHT_FLOOR)
+        if not dead.any():
+            return kept, float(clock[-1])
+        fresh = fresh | dead
+
+
 def keyed_statistics(
     stream: DataFrame,
     key: str,
@@ -67,7 +97,7 @@ def keyed_statistics(
 
     State per key: last time and three sums per rate. A key whose slowest weight has fallen below the floor
     is dropped by event-time timeout, and a returning key starts afresh. Rows of a trigger are taken in
-    time order; ``unit_seconds`` is the time unit of the rates.
+    time order, all rows of a key at once (``decayed_rows``); ``unit_seconds`` is the time unit of the rates.
     """
     rates_array = np.array(rates)
     slow = float(min(rates))
@@ -89,24 +119,14 @@ def keyed_statistics(
             return
         rows = pd.concat(list(batches)).sort_values(["_t", "seq"], kind="stable")
         last, sums = pickle.loads(state.get[0]) if state.exists else (None, None)
-        out = np.empty((len(rows), len(stats)))
-        for i, (t, v) in enumerate(zip(rows["_t"], rows["_v"], strict=True)):
-            if last is not None and sums[0].max() * 2.0 ** (-slow * (t - last)) < WEIGHT_FLOOR:
-                last, sums = None, None
-            if gaps:
-                v = 0.0 if last is None else t - last
-            add = np.array([1.0, v, v * v])[:, None]
-            if sums is None:
-                sums = np.repeat(add, len(rates_array), axis=1)
-            else:
-                sums = sums * 2.0 ** (-rates_array * max(t - last, 0.0)) + add
-            last = t if last is None else max(t, last)
-            w, s, ss = sums
-            safe = np.where(w < WEIGHT_FLOOR, 1.0, w)
-            mean = np.where(w < WEIGHT_FLOOR, 0.0, s / safe)
-            gap = np.abs(ss / safe - mean * mean)
-            var = np.where((w < WEIGHT_FLOOR) | (gap <= CANCELLATION * ss / safe), 0.0, gap)
-            out[i] = np.column_stack([w, mean, np.sqrt(var)]).ravel()
+        kept, last = decayed_rows(rows["_t"].to_numpy(float), None if gaps else rows["_v"].to_numpy(float), last, sums, rates_array)
+        sums = kept[-1]
+        w, s, ss = kept[:, 0], kept[:, 1], kept[:, 2]
+        safe = np.where(w < WEIGHT_FLOOR, 1.0, w)
+        mean = np.where(w < WEIGHT_FLOOR, 0.0, s / safe)
+        gap = np.abs(ss / safe - mean * mean)
+        var = np.where((w < WEIGHT_FLOOR) | (gap <= CANCELLATION * ss / safe), 0.0, gap)
+        out = np.stack([w, mean, np.sqrt(var)], axis=2).reshape(len(rows), len(stats))
         state.update((pickle.dumps((last, sums), protocol=5),))
         ends = last + max(0.0, float(np.log2(sums[0].max() / WEIGHT_FLOOR))) / slow
         state.setTimeoutTimestamp(max(int(ends * unit_seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
