@@ -90,18 +90,22 @@ def running_totals(
 def heavy_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread: Sequence[str], counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row per key, where a few keys may hold most left rows.
 
-    Keys are counted first (before the shuffle). Those with more than a quarter of an even share of the left rows, at most four per
-    shuffle partition, are heavy: their left rows are dealt by a hash of ``spread`` and their right row is copied to every share.
-    ``left`` is read twice, so it should be stored, unless ``counts`` (on, _n) already tells how many left rows the keys have; ``total`` is
-    the number of left rows, if known.
+    Keys are counted first (before the shuffle). Those with more than HEAVY rows and more than a quarter of an even share of the left
+    rows, at most four per shuffle partition, are heavy: their left rows are dealt by a hash of ``spread`` and their right row is
+    copied to every share; without any the join stays as it is. ``left`` is read twice, so it should be stored, unless ``counts``
+    (on, _n) already tells how many left rows the keys have; ``total`` is the number of left rows, if known.
     """
     on = list(on)
     shares = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = left.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts.select(*on, "_n")
     every = counts.agg(F.sum("_n").alias("_all")).scalar() if total is None else F.lit(total)
-    heavy = F.broadcast(counts.where(F.col("_n") * (4 * shares) > every).select(*on, F.lit(True).alias("_heavy")))
-    dealt = F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")
-    mine = left.join(heavy, on, "left").withColumn("_share", F.when(F.col("_heavy"), dealt).otherwise(F.lit(0))).drop("_heavy")
-    every = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
-    theirs = right.join(heavy, on, "left").withColumn("_share", F.explode(every)).drop("_heavy")
-    return mine.join(theirs, [*on, "_share"]).drop("_share")
+    heavy = counts.where((F.col("_n") > HEAVY) & (F.col("_n") * (4 * shares) > every)).select(F.xxhash64(*on)).collect()  # at most 4 * shares
+    if not heavy:
+        return left.join(right, on)
+    is_heavy = F.xxhash64(*on).isin([r[0] for r in heavy])
+    mine = left.withColumn("_share", F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")).otherwise(F.lit(0)))
+    every_share = F.when(is_heavy, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
+    return mine.join(right.withColumn("_share", F.explode(every_share)), [*on, "_share"]).drop("_share")
+
+
+HEAVY = 1_000  # rows of a key that are no burden to one task
