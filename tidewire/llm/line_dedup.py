@@ -76,6 +76,23 @@ def later_windows(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return settle(windows.select(*DOC, "place", "w.length", "w.first")), rounds
 
 
+def _agreement(runs: DataFrame, ranks: DataFrame, step: int, key: list[str]) -> DataFrame:
+    """Runs (by ``key``) whose ``step`` lines before (``ahead`` = step) or after (``behind`` = step) are those of the original."""
+    own, other = F.struct(*DOC), F.struct(F.col("o_id").alias("id"), F.col("o_hash").alias("hash"))
+    asked = F.array(
+        *[
+            F.struct(F.lit(side).alias("side"), doc.alias("doc"), (at - back).cast("int").alias("place"))
+            for side, at in ((0, F.col("start") - step), (1, F.col("end")))
+            for doc, back in ((own, F.lit(0)), (other, F.col("gap")))
+        ]
+    )
+    spots = runs.select(*key, F.explode(asked).alias("a")).select(*key, "a.side", F.col("a.doc.id").alias("id_"), F.col("a.doc.hash").alias("hash_"), "a.place")
+    placed = ranks.select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), "place", "rank")
+    met = spots.join(placed, ["id_", "hash_", "place"]).groupBy(*key, "side").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("n"))
+    sides = [F.max(F.when(F.col("side") == i, step)).alias(name) for i, name in ((0, "ahead"), (1, "behind"))]
+    return met.where("n = 2 AND low = high").groupBy(*key).agg(*sides)
+
+
 def maximal_runs(windows: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """Maximal repeated runs per document: id, hash, runs (array of start, length, original_id, original_place, by start).
 
@@ -95,22 +112,17 @@ def maximal_runs(windows: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     runs = begins.withColumn("island", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy(*line, "island").agg(F.min("place").alias("start"), F.max("end").alias("end")).drop("island")
     runs = settle(runs.withColumn("run", F.xxhash64(*line, "start")))
-    for j in range(len(rounds) - 1, -1, -1):
-        step = 1 << j
-        own, other = F.struct(*DOC), F.struct(F.col("o_id").alias("id"), F.col("o_hash").alias("hash"))
-        asked = F.array(
-            *[
-                F.struct(F.lit(side).alias("side"), F.lit(whose).alias("whose"), doc.alias("doc"), (at - back).cast("int").alias("place"))
-                for side, at in ((0, F.col("start") - step), (1, F.col("end")))
-                for whose, doc, back in ((0, own, F.lit(0)), (1, other, F.col("gap")))
-            ]
-        )
-        spots = runs.select("run", *line, "start", F.explode(asked).alias("a")).select("run", *line, "start", "a.side", "a.whose", F.col("a.doc.id").alias("id_"), F.col("a.doc.hash").alias("hash_"), "a.place")
-        ranks = rounds[j].select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), "place", "rank")
-        met = spots.join(ranks, ["id_", "hash_", "place"]).groupBy("run", *line, "start", "side").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("n"))
-        agrees = met.where("n = 2 AND low = high").groupBy("run", *line, "start").agg(F.max(F.when(F.col("side") == 0, step)).alias("ahead"), F.max(F.when(F.col("side") == 1, step)).alias("behind"))
-        grown = runs.join(agrees, ["run", *line, "start"], "left")
-        runs = settle(grown.select(*line, (F.col("start") - F.coalesce("ahead", F.lit(0))).alias("start"), (F.col("end") + F.coalesce("behind", F.lit(0))).alias("end"), "run"))
+    # Hardly any run goes on beyond its windows: only those that agree in one line more are looked at further.
+    key = ["run", *line, "start"]
+    open_ = settle(runs.join(_agreement(runs, rounds[0], 1, key).select(*key), key, "left_semi"))
+    runs = runs.join(open_.select(*key), key, "left_anti")
+    if not open_.isEmpty():
+        for j in range(len(rounds) - 1, -1, -1):
+            grown = open_.join(_agreement(open_, rounds[j], 1 << j, key), key, "left")
+            open_ = settle(
+                grown.select("run", *line, (F.col("start") - F.coalesce("ahead", F.lit(0))).alias("start"), (F.col("end") + F.coalesce("behind", F.lit(0))).alias("end"))
+            )
+        runs = runs.unionByName(open_)
     in_order = Window.partitionBy(*DOC).orderBy("start", F.desc("end"), "o_id", "o_hash", "gap").rowsBetween(Window.unboundedPreceding, -1)
     outer = runs.withColumn("reach", F.max("end").over(in_order)).where("reach IS NULL OR reach < end")
     shown = F.struct(
@@ -119,8 +131,8 @@ def maximal_runs(windows: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     return outer.groupBy(*DOC).agg(F.sort_array(F.collect_list(shown)).alias("runs"))
 
 
-def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS, joined: bool = False) -> DataFrame:
-    """What to delete per document: id, hash, gone (array of places), runs (``maximal_runs``).
+def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS, joined: bool = False, runs: bool = True) -> DataFrame:
+    """What to delete per document: id, hash, gone (array of places), with ``runs`` also runs (``maximal_runs``).
 
     Windows of later copies that overlap make up the maximal repeated runs: a run of m lines is covered by the
     windows of its largest power of two, each a line further. A stretch of overlapping runs goes if it has at least
@@ -142,13 +154,14 @@ def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS, joined: bool =
         marked = marked.withColumn("stretch", F.col("number") - F.row_number().over(along))
     long = marked.groupBy(*DOC, "stretch").agg(F.sum("words").alias("words"), F.collect_list("place").alias("places")).where(F.col("words") >= min_words)
     gone = long.groupBy(*DOC).agg(F.flatten(F.collect_list("places")).alias("gone"))
-    return gone.join(maximal_runs(windows, rounds), DOC, "full")
+    return gone.join(maximal_runs(windows, rounds), DOC, "full") if runs else gone
 
 
-def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, joined: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, joined: bool = False, runs: bool = True) -> DataFrame:
     """All rows as ``row`` with n_lines, n_deleted, the text that is left, n_runs, longest_run and runs.
 
-    ``runs`` are the maximal repeated runs (``maximal_runs``): start and length in lines, and doc_id and place of the earlier copy.
+    ``runs`` are the maximal repeated runs (``maximal_runs``): start and length in lines, and doc_id and place of the earlier copy;
+    the last three columns are left out without ``runs``.
 
     Lines end at line feeds and are compared as they are. Later copies (by doc_id, then by place) of runs of
     lines are deleted, inside a document and across documents; null doc_ids come first. Every row stays, even with
@@ -158,23 +171,25 @@ def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, joined: bool
     result. Input columns stay inside ``row`` and cannot clash.
     """
     keyed = _keyed(docs)
-    gone = repeated_lines(keyed, min_words, joined)
+    gone = repeated_lines(keyed, min_words, joined, runs)
     lines = F.split("body", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-    joined = keyed.join(gone, DOC, "left")
-    return joined.select(
+    shown = [
+        F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
+        F.coalesce(F.array_max(F.transform("runs", lambda r: r["length"])), F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce("runs", F.array().cast(RUNS)).alias("runs"),
+    ]
+    return keyed.join(gone, DOC, "left").select(
         "row",
         F.when(F.col("body") == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),
-        F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
-        F.coalesce(F.array_max(F.transform("runs", lambda r: r["length"])), F.lit(0)).cast("long").alias("longest_run"),
-        F.coalesce("runs", F.array().cast(RUNS)).alias("runs"),
+        *(shown if runs else []),
     )
 
 
 def cleaned(docs: DataFrame, *, min_words: int = MIN_WORDS, joined: bool = False) -> DataFrame:
     """The documents with their columns, the text without repeated lines."""
-    held = without_repeats(docs, min_words=min_words, joined=joined)
+    held = without_repeats(docs, min_words=min_words, joined=joined, runs=False)
     return held.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
