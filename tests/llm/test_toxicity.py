@@ -95,7 +95,7 @@ def by_hand(docs, labels, exceptions):
 def test_whole_result_by_hand(spark):
     docs, labels = small(spark)
     more = [(300 + i, f"an idiot light shines {i} and a {'w0rthless' if i % 3 else 'fine'} idiot light", 0) for i in range(8)]
-    rows = [tuple(r)[:2] for r in docs.collect()] + [r[:2] for r in more] + [(900, "idiot"), (901, ""), (902, "an idiot light idiots")]
+    rows = [tuple(r)[:2] for r in docs.collect()] + [r[:2] for r in more] + [(900, "idiot"), (901, ""), (902, "idiot light")]
     marks = [tuple(r) for r in labels.collect()] + [(k, y) for k, _, y in more]
     wide = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.row.doc_id: r.score for r in toxicity.score(wide, spark.createDataFrame(marks, "doc_id long, toxic int"), exceptions=("so so",)).collect()}
