@@ -101,16 +101,26 @@ def multilayer_graph_features(nodes: DataFrame, edges: DataFrame, *, rows_per_ba
     return graph_detection(numbered, names, rows_per_batch=rows_per_batch, warmup=warmup)
 
 
-def multilayer_graph_reconstruction(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Snapshot score: how badly the edges are explained by the neighbourhood sizes of their ends."""
+def multilayer_graph_reconstruction(nodes: DataFrame, edges: DataFrame, *, seed: int = 0) -> DataFrame:
+    """Snapshot score: how badly the edges are explained by the neighbourhood sizes of their ends.
+
+    ``loss`` is the score, from the edges alone; ``train_loss`` adds the loss of as many random pairs without an edge, which a model
+    in training would lower.
+    """
     sized = nodes.join(
         edges.groupBy(G.SNAP, F.col("dst").alias("node")).agg(F.sum("count").alias("_c")), on=[G.SNAP, "node"], how="left"
     ).select(G.SNAP, "node", F.log1p(F.coalesce(F.col("_c").cast("double"), F.lit(0.0))).alias("x"))
-    spread = G.propagate(sized, edges, ["x"], hops=2)
-    ends = edges.select(G.SNAP, "src", "dst")
-    for end, name in (("src", "_a"), ("dst", "_b")):
-        ends = ends.join(spread.select(G.SNAP, F.col("node").alias(end), F.col("x").alias(name)), on=[G.SNAP, end])
-    return G.reconstruction_loss(ends.withColumn("edge_score", F.col("_a") * F.col("_b")))
+    spread = settle(G.propagate(sized, edges, ["x"], hops=2))
+
+    def loss(pairs: DataFrame, exists: bool) -> DataFrame:
+        ends = pairs.select(G.SNAP, "src", "dst")
+        for end, name in (("src", "_a"), ("dst", "_b")):
+            ends = ends.join(spread.select(G.SNAP, F.col("node").alias(end), F.col("x").alias(name)), on=[G.SNAP, end])
+        return G.reconstruction_loss(ends.withColumn("edge_score", F.col("_a") * F.col("_b")), exists=exists)
+
+    missing = loss(G.negative_edges(nodes, edges, seed=seed), False).withColumnRenamed("loss", "_missing")
+    both = loss(edges, True).join(missing, G.SNAP, "left")
+    return both.select(G.SNAP, "loss", (F.col("loss") + F.coalesce("_missing", F.lit(0.0))).alias("train_loss"))
 
 
 # Detection from saved state: fit on the benign file, start every attack file from there.

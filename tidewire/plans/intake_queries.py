@@ -473,7 +473,8 @@ def basic_detection(spark, sf):
         ON p.seq < n.batch_id * 1024 AND p.seq >= n.batch_id * 1024 - 10000 GROUP BY ALL),
       scores AS (SELECT sc.*, CASE WHEN batch_id >= 2 THEN q ELSE -1 END AS threshold FROM sc LEFT JOIN q USING (batch_id)),
       metrics AS (SELECT batch_id, {_METRIC_COLS} FROM scores GROUP BY batch_id)
-      SELECT batch_id, {", ".join(r(f"coalesce({c}, 0)", c) for c in _DOUBLES)}, pos_count, batch_size FROM metrics""",
+      SELECT batch_id, {", ".join(r(f"coalesce({c}, 0)", c) for c in _DOUBLES)},
+        CASE WHEN median_score IS NULL THEN 0 ELSE pos_count END AS pos_count, CASE WHEN median_score IS NULL THEN 0 ELSE batch_size END AS batch_size FROM metrics""",
 )
 def scaled_detection(spark, sf):
     return rounded(CH.scaled_detection(sized(spark, sf), SIZES, latent=1, warmup=2))
