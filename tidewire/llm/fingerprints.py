@@ -29,8 +29,9 @@ def _choice(words: list[str]) -> str:
 
 
 ANCHOR = _choice(ANCHORS)
-# Runs of anchors give way to a mark ahead of the next content word, so that no search walks over them again.
-RUN_OF_ANCHORS = rf"(?<= )(?:{ANCHOR} )++"
+# Every anchor gives way to a mark, and marks in a row to one ahead of the next content word, so that no search walks over them again.
+# (A pattern for a whole run of anchors would take a stack frame for each.)
+ONE_ANCHOR = rf"(?<= ){ANCHOR} "
 MARK = "|"
 # The CHAIN content words behind a mark, with the marks between them.
 SPOT = r"\|(?=([^ |]+ " + r"\|?[^ |]+ " * (CHAIN - 1) + "))"
@@ -46,7 +47,7 @@ def with_marks(df: DataFrame, text: str, name: str = "marks") -> DataFrame:
     words itself as a whole. The generators keep the optimizer from repeating a search for each use.
     """
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spread = df.select("*", F.inline(F.array(F.struct(plain.alias("_plain"), F.regexp_replace(plain, RUN_OF_ANCHORS, MARK).alias("_marked")))))
+    spread = df.select("*", F.inline(F.array(F.struct(plain.alias("_plain"), F.regexp_replace(F.regexp_replace(plain, ONE_ANCHOR, MARK), r"\|\|+", MARK).alias("_marked")))))
     found = F.struct(F.regexp_extract_all("_marked", F.lit(SPOT), F.lit(1)).alias("_spots"), F.regexp_extract_all("_marked", F.lit(BLOCK), F.lit(0)).alias("_blocks"))
     spread = spread.select("*", F.inline(F.array(found)))
     chains = F.transform("_spots", lambda spot: F.replace(spot, F.lit(MARK), F.lit("")))
