@@ -1,5 +1,6 @@
 """Streams: batches over several triggers, rows per trigger."""
 
+import datetime
 import random
 
 import numpy as np
@@ -59,3 +60,31 @@ def test_rows_of_a_key_at_once():
             last = at if last is None else max(at, last)
             assert np.allclose(got[i], sums, rtol=1e-9, atol=1e-12), (trial, i)
         assert end == last
+
+
+def test_many_keys_share_a_state(spark, tmp_path):
+    """Keys over several triggers: few calls whatever the number of keys, each key as if it were alone, a missing value stays with its key."""
+    rng = random.Random(4)
+    times = sorted(rng.random() * 40 for _ in range(600))
+    rows = [(i, f"k{rng.randrange(150)}", datetime.datetime.fromtimestamp(1e6 + t, datetime.UTC), float(i % 7)) for i, t in enumerate(times)]
+    rows[30] = (*rows[30][:3], None)
+    schema = "seq long, name string, ts timestamp, v double"
+    for value in ("v", None):
+        stream = landed(spark, str(tmp_path / f"in{value}"), rows, schema, [100, 350])
+        calls = live.keyed_statistics(stream, "name", value, late="1 hour", rates=(1.0, 0.5), buckets=4)
+        out = str(tmp_path / f"out{value}")
+        query = live.run_to_table(calls, out, str(tmp_path / f"state{value}"))
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+        got = {r["seq"]: r for r in spark.read.parquet(out).collect()}
+        assert sorted(got) == list(range(600))
+        held = {}
+        for seq, name, ts, v in rows:
+            t = ts.timestamp()
+            last, w, s = held.get(name, (None, 0.0, 0.0))
+            fade = 0.0 if last is None or w * 2.0 ** (-0.5 * (t - last)) < 1e-3 else 2.0 ** (-0.5 * (t - last))
+            x = (np.nan if v is None else v) if value else (t - last if fade else 0.0)
+            w, s = w * fade + 1, (s * fade if fade else 0.0) + x
+            held[name] = (t, w, s)
+            row = [got[seq]["stat_0p5_weight"], got[seq]["stat_0p5_mean"]]
+            row[1] = np.nan if row[1] is None else row[1]
+            assert np.allclose(row, [w, s / w], rtol=1e-6, atol=1e-9, equal_nan=True), (seq, name, row, w, s / w)

@@ -54,35 +54,50 @@ def window_nodes(
 
 
 def decayed_rows(t: np.ndarray, v: np.ndarray | None, last: float | None, sums: np.ndarray | None, rates: np.ndarray) -> tuple[np.ndarray, float]:
-    """Decayed count, sum and square sum (row, 3, rate) after every row of a key, and its last time; ``v`` None takes the gaps.
+    """``decayed_keys`` of one key: the sums after every row and the last time."""
+    sums = np.zeros((3, len(rates))) if sums is None else sums
+    kept, clock = decayed_keys(t, v, np.array([0]), np.array([np.nan if last is None else last]), sums[None], rates)
+    return kept, float(clock[-1])
 
-    A row multiplies the sums by a factor and adds to them; such steps join into one step of the same kind, so after
-    log(rows) rounds every row holds all before it. Where the slowest weight has died out the factor is 0; such rows are
-    found from the weights, again until no more appear (a restart can only lower later weights).
+
+def decayed_keys(t: np.ndarray, v: np.ndarray | None, starts: np.ndarray, last: np.ndarray, sums: np.ndarray, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decayed count, sum and square sum (row, 3, rate) after every row of its key, and the key's last time; ``v`` None takes the gaps.
+
+    Rows lie key after key, in time order; ``starts`` names the first row of every key, ``last`` (NaN: none) and ``sums`` what
+    its earlier rows have left. A row multiplies the sums by a factor and adds to them; such steps join into one step of the same kind,
+    so after log(rows of the longest key) rounds every row holds all before it. At a key's first row, and where the slowest weight has died
+    out, the factor is 0; rows of the second kind are found from the weights, again until no more appear (a restart can only lower later weights).
     """
-    clock = np.maximum.accumulate(np.maximum(t, t if last is None else last))
-    before = np.concatenate(([np.nan if last is None else last], clock[:-1]))
+    lengths = np.diff(np.append(starts, len(t)))
+    clock = np.fmax(t, np.repeat(last, lengths))
+    before = np.concatenate(([np.nan], clock[:-1]))
+    before[starts] = last
     slow = int(np.argmin(rates))
     fresh = np.isnan(before)
+    gone = clock - np.nan_to_num(before)
     while True:
         values = np.where(fresh, 0.0, t - np.nan_to_num(before)) if v is None else v
-        decay = np.where(fresh[:, None], 0.0, np.exp2(-rates * (clock - np.nan_to_num(before))[:, None]))
+        factor = np.where(fresh[:, None], 0.0, np.exp2(-rates * gone[:, None]))
         kept = np.repeat(np.stack([np.ones(len(t)), values, values * values], axis=1)[:, :, None], len(rates), axis=2)
-        if sums is not None:
-            kept[0] += sums * decay[0]
-        factor = decay.copy()
+        kept[starts] += np.where(fresh[starts, None, None], 0.0, sums * factor[starts, None, :])
+        factor[starts] = 0.0
         shift = 1
-        while shift < len(t):
-            kept[shift:] += factor[shift:, None, :] * kept[:-shift]
+        while shift < lengths.max():
+            passed = factor[shift:, None, :]  # 0 passes nothing on, not even a missing value
+            kept[shift:] += np.multiply(passed, kept[:-shift], out=np.zeros_like(kept[shift:]), where=passed != 0)
             factor[shift:] *= factor[:-shift]
             shift *= 2
-        weight = np.concatenate(([0.0 if sums is None else sums[0, slow]], kept[:-1, 0, slow]))
-        dead = ~fresh & (weight * np.exp2(-rates[slow] * (clock - np.nan_to_num(before))) < WEIGHT_FLOOR)
+        weight = np.concatenate(([0.0], kept[:-1, 0, slow]))
+        weight[starts] = sums[:, 0, slow]
+        dead = ~fresh & (weight * np.exp2(-rates[slow] * gone) < WEIGHT_FLOOR)
         if not dead.any():
-            return kept, float(clock[-1])
+            return kept, clock
         fresh = fresh | dead
 
 
+BUCKETS = 4096  # groups of keys whose state is kept together
+
+
 def keyed_statistics(
     stream: DataFrame,
     key: str,
@@ -92,12 +107,14 @@ def keyed_statistics(
     late: str = "10 seconds",
     unit_seconds: float = 1.0,
     rates: Sequence[float] = DECAY_RATES,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Decayed weight, mean and deviation per row and key; without ``value`` of the gap to the key's last row.
 
     State per key: last time and three sums per rate. A key whose slowest weight has fallen below the floor
     is dropped by event-time timeout, and a returning key starts afresh. Rows of a trigger are taken in
-    time order, all rows of a key at once (``decayed_rows``); ``unit_seconds`` is the time unit of the rates.
+    time order; ``unit_seconds`` is the time unit of the rates. Keys are dealt to ``buckets`` groups (fixed for the life of a
+    checkpoint) whose keys share one state and are computed at once (``decayed_keys``), so many keys with few rows cost no call each.
     """
     rates_array = np.array(rates)
     slow = float(min(rates))
@@ -114,23 +131,46 @@ def keyed_statistics(
     gaps = value is None
 
     def update(ids, batches, state: GroupState):
-        if state.hasTimedOut:
+        names, last, sums = pickle.loads(state.get[0]) if state.exists else ([], np.empty(0), np.empty((0, 3, len(rates_array))))
+        result = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            codes, found = pd.factorize(rows["key"], use_na_sentinel=False)
+            order = np.lexsort((rows["seq"], rows["_t"], codes))
+            rows, codes = rows.iloc[order], codes[order]
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            found = [None if isinstance(name, float) else name for name in found]
+            known = {name: place for place, name in enumerate(names)}
+            places = np.array([known.get(name, -1) for name in found])
+            old = places >= 0
+            before, carried = np.full(len(found), np.nan), np.zeros((len(found), 3, len(rates_array)))
+            before[old], carried[old] = last[places[old]], sums[places[old]]
+            t, v = rows["_t"].to_numpy(float), None if gaps else rows["_v"].to_numpy(float)
+            kept, clock = decayed_keys(t, v, starts, before, carried, rates_array)
+            w, s, ss = kept[:, 0], kept[:, 1], kept[:, 2]
+            safe = np.where(w < WEIGHT_FLOOR, 1.0, w)
+            mean = np.where(w < WEIGHT_FLOOR, 0.0, s / safe)
+            gap = np.abs(ss / safe - mean * mean)
+            var = np.where((w < WEIGHT_FLOOR) | (gap <= CANCELLATION * ss / safe), 0.0, gap)
+            out = np.stack([w, mean, np.sqrt(var)], axis=2).reshape(len(rows), len(stats))
+            result = pd.DataFrame({"seq": rows["seq"], "key": rows["key"], time: rows[time], **dict(zip(stats, out.T, strict=True))})
+            ends = np.append(starts[1:], len(rows)) - 1
+            rest = np.ones(len(names), dtype=bool)
+            rest[places[old]] = False
+            names = [name for name, stays in zip(names, rest, strict=True) if stays] + found
+            last, sums = np.concatenate((last[rest], clock[ends])), np.concatenate((sums[rest], kept[ends]))
+        # The slowest weight of a key ends here; whatever comes later starts afresh.
+        expiry = last + np.maximum(0.0, np.log2(sums[:, 0].max(axis=1) / WEIGHT_FLOOR)) / slow
+        limits = (expiry * unit_seconds * 1000).astype("int64") + 1
+        alive = limits > state.getCurrentWatermarkMs()
+        if alive.any():
+            names = [name for name, stays in zip(names, alive, strict=True) if stays]
+            state.update((pickle.dumps((names, last[alive], sums[alive]), protocol=5),))
+            state.setTimeoutTimestamp(int(limits[alive].min()))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["_t", "seq"], kind="stable")
-        last, sums = pickle.loads(state.get[0]) if state.exists else (None, None)
-        kept, last = decayed_rows(rows["_t"].to_numpy(float), None if gaps else rows["_v"].to_numpy(float), last, sums, rates_array)
-        sums = kept[-1]
-        w, s, ss = kept[:, 0], kept[:, 1], kept[:, 2]
-        safe = np.where(w < WEIGHT_FLOOR, 1.0, w)
-        mean = np.where(w < WEIGHT_FLOOR, 0.0, s / safe)
-        gap = np.abs(ss / safe - mean * mean)
-        var = np.where((w < WEIGHT_FLOOR) | (gap <= CANCELLATION * ss / safe), 0.0, gap)
-        out = np.stack([w, mean, np.sqrt(var)], axis=2).reshape(len(rows), len(stats))
-        state.update((pickle.dumps((last, sums), protocol=5),))
-        ends = last + max(0.0, float(np.log2(sums[0].max() / WEIGHT_FLOOR))) / slow
-        state.setTimeoutTimestamp(max(int(ends * unit_seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"seq": rows["seq"], "key": ids[0], time: rows[time], **dict(zip(stats, out.T, strict=True))})
+        if result is not None:
+            yield result
 
     rows = stream.withWatermark(time, late).selectExpr(
         "seq",
@@ -138,8 +178,9 @@ def keyed_statistics(
         time,
         f"unix_micros({time}) / {unit_seconds * 1e6!r}D AS _t",
         f"cast({value or '0D'} AS double) AS _v",
+        f"pmod(xxhash64(cast({key} AS string)), {buckets}) AS _bucket",
     )
-    return rows.groupBy("key").applyInPandasWithState(
+    return rows.groupBy("_bucket").applyInPandasWithState(
         update, output, T.StructType([T.StructField("state", T.BinaryType())]), "append", GroupStateTimeout.EventTimeTimeout
     )
 
