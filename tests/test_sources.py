@@ -4,6 +4,7 @@ import struct
 
 from tidewire.operators import evaluate as E
 from tidewire.operators.meta import traffic_records
+from tidewire.plans.intake_queries import capture_packets
 from tidewire.sources import captures as CA
 from tidewire.sources import tables as ST
 
@@ -135,3 +136,16 @@ def test_unknown_file_is_an_error(spark):
         assert "unknown file type" in str(error)
     else:
         raise AssertionError("no error")
+
+
+def test_capture_of_many_hosts(spark, tmp_path):
+    """Hosts above 65,535 keep their numbers."""
+    users = [3, 65_535, 65_536, 90_001, 9_000_000, 1_500_000_003]
+    kinds = ["click", "view", "purchase", "error", "signup", "click"]
+    rows = [(i, user, kind, float(i), '{"k": 7}') for i, (user, kind) in enumerate(zip(users, kinds, strict=True))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.selectExpr("*", "cast(timestamp_micros(1700000000000000 + event_id) AS timestamp_ntz) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    found = {r["micros"] - 1_700_000_000_000_000: r for r in capture_packets(spark, str(tmp_path)).collect()}
+    assert [found[i]["src_ip"] for i in range(6)] == [f"10.0.{u // 256}.{u % 256}" for u in users]
+    assert {r["dst_ip"] for r in found.values()} == {"10.1.0.7"}
+    assert [found[i]["file"] for i in range(6)] == [("attack_" if u % 4 else "benign_") + str(u % 4) for u in users]

@@ -393,15 +393,18 @@ def process_times(spark, sf):
 
 
 def capture_headers(spark, sf):
-    """Events as decoded packet headers with real addresses."""
+    """Events as decoded packet headers with real addresses: an even second byte names sources, an odd one destinations.
+
+    Hosts above 65,535 go on in the second and first byte; a capture holds one day.
+    """
     events = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     kind = {"tcp": "click", "udp": "view", "icmp": "purchase", "arp": "error"}
     flags = [f"event_type {'=' if n != 'ip' else '<>'} '{kind.get(n, 'error')}' AS has_{n}" for n in ("ip", "tcp", "udp", "icmp", "arp")]
-    mac, ip = "concat('02:00:00:00:00:', lower(lpad(hex({0} % 20), 2, '0')))", "concat('10.{1}.', floor({0} / 256), '.', {0} % 256)"
+    mac, ip = "concat('02:00:00:00:00:', lower(lpad(hex({0} % 20), 2, '0')))", "concat(10 + {0} div 8388608, '.', 2 * ({0} div 65536 % 128) + {1}, '.', {0} div 256 % 256, '.', {0} % 256)"
     ends = [f"{mac.format(e)} AS {n}" for n, e in (("eth_src", "user_id"), ("eth_dst", "k"), ("arp_hwsrc", "user_id"), ("arp_hwdst", "k"))]
     ends += [f"{ip.format(e, i)} AS {n}" for n, e, i in (("ip_src", "user_id", 0), ("ip_dst", "k", 1), ("arp_psrc", "user_id", 0), ("arp_pdst", "k", 1))]
     return events.selectExpr(
-        "concat(CASE WHEN user_id % 4 = 0 THEN 'benign_' ELSE 'attack_' END, user_id % 4) AS file", "event_id AS seq",
+        "concat(CASE WHEN user_id % 4 = 0 THEN 'benign_' ELSE 'attack_' END, user_id % 4, '-', date_format(ts, 'yyyyMMdd')) AS file", "event_id AS seq",
         "unix_micros(cast(ts AS timestamp)) / 1e6D AS t", "cast(64 + floor(value) AS int) AS frame_len", *flags, "false AS has_ip6", *ends,
         "cast(1024 + user_id % 50000 AS int) AS sport", "k + 1 AS dport",
     )
@@ -424,8 +427,11 @@ def capture_packets(spark, sf):
     path = staging_path(spark, "captures").removeprefix("file:")
     CA.write_captures(capture_headers(spark, sf), path)
     records = M.traffic_records(CA.stored_captures(spark, path, slice_bytes=64 << 10), carry=["file"])
+    host = "concat('10.', b[1] % 2, '.', ((b[0] - 10) * 128 + b[1] div 2) * 256 + b[2], '.', b[3])"
+    ips = [F.expr(f"transform(array(cast(split({c}, '[.]') AS array<int>)), b -> {host})[0]").alias(c) for c in ("src_ip", "dst_ip")]
     return records.select(
-        "file", F.round(F.col("t") * 1_000_000).cast("long").alias("micros"), "protocol", "src_mac", "dst_mac", "src_ip", "dst_ip", "src_port", "dst_port", "packet_size"
+        F.regexp_replace("file", "-[0-9]+$", "").alias("file"), F.round(F.col("t") * 1_000_000).cast("long").alias("micros"), "protocol", "src_mac", "dst_mac", *ips,
+        "src_port", "dst_port", "packet_size"
     )
 
 
