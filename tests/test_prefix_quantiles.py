@@ -1,6 +1,7 @@
 """Quantiles of all earlier batches against plain loops, in one part and in many."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -48,3 +49,17 @@ def test_earlier_batches(spark, monkeypatch, part_rows, queries, saved):
             assert [r[f"{f}_q0"], r[f"{f}_q1"], r[f"{f}_q2"]] == wanted
             assert r[f"{f}_n"] == len(earlier)
             assert r[f"{f}_mean"] == (pytest.approx(sum(earlier) / len(earlier)) if earlier else None)
+
+
+def test_part_is_bounded():
+    """A full part: four tasks of an executor keep well below its Python memory."""
+    rng = np.random.default_rng(2)
+    n = scale.PART_ROWS
+    values, batches = rng.random(n), np.arange(n) // 1024
+    asked = np.repeat(np.unique(batches)[1:], 3)
+    k = (np.tile([0.16, 0.5, 0.84], len(asked) // 3) * asked * 1024).astype("int64")
+    tracemalloc.start()
+    kth_of_prefixes(values, batches, np.empty(0), np.empty(0, np.int64), asked, np.zeros(len(asked), bool), k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20

@@ -93,7 +93,7 @@ def earlier_batches(
     )
 
 
-PART_ROWS = 4_000_000  # rows of a part
+PART_ROWS = 1 << 19  # rows of a part: about 150 MB of a task's Python, and an executor runs several tasks
 PIECE_QUERIES = 1_000_000  # questions a copy of a part answers
 BITS = 5  # bits of the part's number per round of the search
 BLOCK = 4096  # batches of a block; a window holds the batches of one block or the blocks of one stream
