@@ -124,6 +124,21 @@ def test_anchored_windows_of_dense_rows(spark):
     assert jobs < 60  # 82 pieces; not a round of jobs for each
 
 
+def test_fold_input_is_made_once(spark):
+    """Rounds read a stored table; they do not do again what leads to the scores."""
+    rng = random.Random(5)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            made.add(len(rows))
+            yield rows
+
+    df = spark.createDataFrame([(i, i // 10, rng.random()) for i in range(600)], "seq long, batch_id long, score double")
+    out = adaptive_threshold(df.mapInPandas(counted, df.schema), queue=100, warmup=10, chunk_batches=8)
+    assert out.count() == 600 and made.value == 600
+
+
 def test_clusters_respect_sizes():
     rng = np.random.default_rng(0)
     base = rng.normal(size=(500, 3))

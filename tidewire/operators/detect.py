@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -102,7 +101,7 @@ def interpolated(values: np.ndarray, p: float) -> float | None:
 @dataclass
 class Queue:
     batches: int = 0
-    scores: deque = field(default_factory=deque)
+    scores: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
 def adaptive_threshold(
@@ -115,7 +114,7 @@ def adaptive_threshold(
     p: float = THRESHOLD_QUANTILE,
     warmup: int = WARMUP_BATCHES,
     tolerance: float = TOLERANCE,
-    chunk_batches: int = 512,
+    chunk_batches: int = 2048,
 ) -> DataFrame:
     """Test-then-train threshold with feedback: ``threshold`` and ``trained`` per score.
 
@@ -123,7 +122,8 @@ def adaptive_threshold(
     80 % of the warm-up queue nothing, the rest everything; later only scores below ``tolerance`` times the
     threshold train and enter the queue of the last ``queue`` scores.
 
-    The queue forgets its start, so a stream is folded in pieces of ``chunk_batches`` batches at once.
+    The queue mostly forgets its start, so a stream is folded in pieces of ``chunk_batches`` batches at once. Where feedback keeps
+    every later score out it does not; such pieces take a round each.
     """
     keys = list(stream) or ["_all"]
     rows = scores if stream else scores.withColumn("_all", F.lit(0))
@@ -139,21 +139,21 @@ def adaptive_threshold(
     )
 
     def guess(chunk: int) -> Queue:
-        return Queue(chunk * chunk_batches, deque(maxlen=queue))
+        return Queue(chunk * chunk_batches)
 
     def step(state: Queue, piece: pd.DataFrame):
         out = []
         for _, one in piece.groupby(batch, sort=True):
             values = one["score"].to_numpy(dtype=float)
             warm = state.batches < warmup
-            threshold = -1.0 if warm else (float(np.quantile(state.scores, p)) if state.scores else np.nan)
-            if warm or not state.scores:
+            threshold = -1.0 if warm else (float(np.quantile(state.scores, p)) if len(state.scores) else np.nan)
+            if warm or not len(state.scores):
                 trained = np.ones(len(values), dtype=bool)
                 queued = values if state.batches >= warmup * WARMUP_SPLIT else values[:0]
             else:
                 trained = values < tolerance * threshold
                 queued = values[trained]
-            state.scores.extend(queued.tolist())
+            state.scores = np.concatenate((state.scores, queued))[-queue:]
             state.batches += 1
             out.append(one.assign(threshold=threshold, trained=trained))
         return state, pd.concat(out)
@@ -167,8 +167,8 @@ def adaptive_threshold(
         chunk="_chunk",
         initial=lambda: guess(0),
         guess=guess,
-        pack=lambda state: (state.batches, np.array(state.scores)),
-        unpack=lambda plain: Queue(plain[0], deque(plain[1].tolist(), maxlen=queue)),
+        pack=lambda state: (state.batches, state.scores.copy()),
+        unpack=lambda plain: Queue(*plain),
     )
     return result if stream else result.drop("_all")
 

@@ -44,6 +44,7 @@ def chunked_fold(
     # Folds cost time, not bytes: keep the configured parallelism where sizes alone would merge tasks.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = out_schema.fieldNames()
+    rows = settle(rows)  # every round reads it: without this a round would do again all that leads to it
 
     def run(left: pd.DataFrame, right: pd.DataFrame, *, emit: bool) -> pd.DataFrame:
         if len(right) == 0 or len(left) == 0:
