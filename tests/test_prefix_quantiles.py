@@ -2,9 +2,11 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import scale
 from tidewire.operators.scale import batch_state, earlier_batches, kth_of_prefixes
@@ -63,3 +65,23 @@ def test_part_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_rows_of_few_groups_are_dealt(spark):
+    """Three groups do not mean three tasks."""
+    df = spark.range(0, 60_000, 1, 4).selectExpr("id", "cast(id % 3 AS string) AS flag", "cast(id AS double) AS x")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    usual = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        out = scale.reference_scale(df, df, ["x"], kind="minmax", group=["flag"])
+        rows = out.withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(key, value)
+    assert len(rows) == 60_000
+    assert max(Counter(r["_task"] for r in rows).values()) < 15_000
+    low, high = 599.97 + 0.0, 59_397.03  # 1 and 99 per cent of the numbers 0, 3, ... 59,997
+    wanted = {r["id"]: (r["id"] - low) / (high - low) for r in rows if r["flag"] == "0"}
+    assert all(r["x"] == pytest.approx(wanted[r["id"]], abs=1e-9) for r in rows if r["flag"] == "0")

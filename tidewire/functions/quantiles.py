@@ -8,7 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.index import running_totals
+from tidewire.operators.index import heavy_join, running_totals
+from tidewire.session import settle
 
 ACCURACY = 10_000
 
@@ -18,7 +19,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
 
     A bounded sketch first brackets each wanted rank within ``2/ACCURACY`` of the rows; one more pass counts
     the rows below the bracket and the distinct values inside it, so no task ever holds a whole group. ``few`` says that the groups
-    are a short list (features), whose brackets are broadcast.
+    are a short list (features), whose brackets are broadcast; else a group that holds much of the rows is dealt (``heavy_join``).
     """
     group = list(group)
     rows = df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(0))
@@ -28,6 +29,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx(value, wanted, ACCURACY).alias("_b")
     )
+    short = few or not group
+    if not short:
+        sketch = settle(sketch)
     brackets = sketch.select(
         *keys,
         F.explode(
@@ -45,12 +49,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], *, group:
         ).alias("b"),
     ).select(*keys, "b.*")
     packed = brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "rank", "lo", "hi")).alias("_all"))
-    if few or not group:
-        packed = F.broadcast(packed)  # one row, or a short list
+    if short:
+        bracketed = rows.join(F.broadcast(packed), on=keys)  # one row, or a short list
+    else:
+        bracketed = heavy_join(rows, packed, keys, spread=[F.monotonically_increasing_id()], counts=sketch)
     v = F.col(value).cast("double")
     counted = (
-        rows.join(packed, on=keys)
-        .select(*keys, v.alias("_v"), F.explode("_all").alias("b"))
+        bracketed.select(*keys, v.alias("_v"), F.explode("_all").alias("b"))
         .where(F.col("_v") <= F.col("b.hi"))
         .groupBy(
             *keys, F.col("b.i").alias("i"), F.col("b.rank").alias("rank"),

@@ -87,7 +87,7 @@ def running_totals(
     )
 
 
-def heavy_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread: Sequence[str], counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread: Sequence, counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row per key, where a few keys may hold most left rows.
 
     Keys are counted first (before the shuffle). Those with more than HEAVY rows and more than a quarter of an even share of the left

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.columns import clip, finite_or, stable_rank
 from tidewire.functions.quantiles import exact_quantiles, quantile_state
 from tidewire.operators.graph import sample_per_group
-from tidewire.operators.index import running_totals
+from tidewire.operators.index import heavy_join, running_totals
 from tidewire.schema import CONCEPT_MAX_ROWS, SCALE_LIMIT, SCALE_QUANTILES
 from tidewire.session import cut, settle
 
@@ -248,7 +248,10 @@ def running_scale(df: DataFrame, features: Sequence[str], *, batch: str = "batch
 def reference_scale(
     df: DataFrame, reference: DataFrame, features: Sequence[str], *, kind: str = "standard", group: Sequence[str] = ()
 ) -> DataFrame:
-    """Scale by percentiles of a reference group: ``minmax`` (1, 99) or ``standard`` (16, 50, 84)."""
+    """Scale by percentiles of a reference group: ``minmax`` (1, 99) or ``standard`` (16, 50, 84).
+
+    Rows of a group that holds much of the data are dealt to many tasks (``heavy_join``).
+    """
     probs = [0.01, 0.99] if kind == "minmax" else [0.16, 0.5, 0.84]
     low, centre, high = (0, 0, 1) if kind == "minmax" else (0, 1, 2)
     group, features = list(group), list(features)
@@ -256,7 +259,7 @@ def reference_scale(
     marks = exact_quantiles(reference.selectExpr(*group, f"inline(array({entries}))"), "_v", probs, group=[*group, "_f"], out="_q", few=not group)
     # All marks of a group in one row: one join, whatever the number of features.
     row = marks.groupBy(*group).agg(*[F.max(F.when(F.col("_f") == i, F.col(f"_q{j}"))).alias(f"_m{i}_{j}") for i in range(len(features)) for j in range(len(probs))])
-    rows = df.join(row, on=group) if group else df.withColumn("_one", F.lit(0)).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one")
+    rows = heavy_join(df, row, group, spread=[F.monotonically_increasing_id()]) if group else df.withColumn("_one", F.lit(0)).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one")
     scaled = {}
     for i, f in enumerate(features):
         spread = F.col(f"_m{i}_{high}") - F.col(f"_m{i}_{low}")
