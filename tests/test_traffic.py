@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.functions.columns import decay_tag
+from tidewire.operators import decay
 from tidewire.operators import traffic as TR
 
 RATES = (5.0, 1.0, 0.1)
@@ -150,3 +152,18 @@ def test_late_packets_cross_chunks(spark):
     for chunk in (1 << 20, 3):
         found = TR.keyed_statistics(spark.createDataFrame(late, SCHEMA), "src", "v", rates=(1.0,), chunk_rows=chunk).collect()
         assert max(r["stat_1_weight"] for r in found) == pytest.approx(2 - 2.0**-9)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Adaptive execution leaves about one task per core; what each holds must not grow with the data."""
+    rows = [(i, i / 7.0, f"m{i % 5}", f"u{i % 23}", f"u{i % 31}", float(i % 11)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "seq long, t double, src_mac string, src_ip string, dst_ip string, packet_size double")
+    usual = TR.keyed_statistics(df, TR.KEYS["ip_pair"], None).orderBy("seq").collect()
+    monkeypatch.setattr(decay, "TASK_ROWS", 50)
+    dealt = TR.keyed_statistics(df, TR.KEYS["ip_pair"], None)
+    assert dealt.withColumn("_task", F.spark_partition_id()).select("_task").distinct().count() > 40
+    assert [tuple(r) for r in dealt.orderBy("seq").collect()] == [tuple(r) for r in usual]
+    pairs = [TR.Pair("channel", TR.KEYS["src_ip"], TR.KEYS["dst_ip"], "packet_size")]
+    many = TR.statistics(df, [], pairs, rates=(1.0,)).orderBy("seq").collect()
+    monkeypatch.setattr(decay, "TASK_ROWS", 1 << 17)
+    assert [tuple(r) for r in many] == [tuple(r) for r in TR.statistics(df, [], pairs, rates=(1.0,)).orderBy("seq").collect()]

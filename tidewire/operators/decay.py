@@ -65,6 +65,7 @@ def decayed_sums(
     bits: int = 400,
     carry_buckets: int = 1,
     chunk_rows: int = 1 << 20,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add one decayed sum per term to ``events``.
 
@@ -73,6 +74,7 @@ def decayed_sums(
     gap_where      SQL condition of the rows whose value is the time since the key's previous row (0 for
                    the first row); their terms take ``gap ** power`` in place of ``value``.
     first_is_zero  the first row of a key adds nothing.
+    rows           number of rows of ``events``, if known: then tasks grow in number with it (``task_count``).
     """
     keys = list(keys)
     rates = sorted({term.rate for term in terms})
@@ -82,11 +84,14 @@ def decayed_sums(
     ordering = ", ".join(order)
     in_slice = f"PARTITION BY {group} ORDER BY {ordering}"
 
+    tasks = task_count(events, rows)
     rows = events.selectExpr(
         "*",
         f"floor({arrival} / {chunk_rows}) AS _chunk",
         f"floor({time} / {width!r}D) AS _bucket",
     ).selectExpr("*", f"_bucket * {width!r}D AS _start")
+    if tasks:
+        rows = rows.repartition(tasks, *slice_keys)
     if gap_where:
         rows = rows.selectExpr(
             "*", f"({gap_where}) AS _is_gap", f"{time} - lag({time}) OVER ({in_slice}) AS _gap0"
@@ -116,6 +121,8 @@ def decayed_sums(
     if first_is_zero:
         sliced += [f"min_by({term.value}, {rank}) AS _f_{term.name}" for term in terms]
     slices = rows.groupBy(*slice_keys).agg(*[F.expr(text) for text in sliced])
+    if tasks:
+        slices = slices.repartition(tasks, *keys)
     carried = _carried(slices, keys, terms, growth, bool(gap_where), first_is_zero, bits, carry_buckets)
 
     joined = local.join(carried, on=slice_keys, how="left")
@@ -128,6 +135,18 @@ def decayed_sums(
     )
 
 
+TASK_ROWS = 1 << 17  # rows of a task: the windows over wide rows take about 4 KB of its memory for each
+
+
+def task_count(events: DataFrame, rows: int | None) -> int | None:
+    """Shuffle partitions that leave a task TASK_ROWS rows, or None where as many as there are cores do so.
+
+    Adaptive execution merges partitions until there is one per core, so what a task holds would grow with the data.
+    """
+    tasks = -(-(rows or 0) // TASK_ROWS)
+    return tasks if tasks > events.sparkSession.sparkContext.defaultParallelism else None
+
+
 def _carried(slices, keys, terms, growth, gaps, first_is_zero, bits, carry_buckets) -> DataFrame:
     """What has to be added to the prefix sums of each slice."""
     group = ", ".join(keys)

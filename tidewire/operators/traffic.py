@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import columns as C
-from tidewire.operators.decay import Term, decayed_sums, statistic_terms
+from tidewire.operators.decay import Term, decayed_sums, statistic_terms, task_count
 from tidewire.operators.index import arrival, running_totals
 from tidewire.schema import DECAY_RATES, PROTOCOL_IDS, WEIGHT_FLOOR
 
@@ -75,6 +75,7 @@ def statistics(
     Without ``joint`` that second pass and its columns (covariance, pcc) are left out. Each ``stream`` (a capture file) has its own packet numbers and statistics. ``keep`` columns pass through.
     """
     packets = arrival(packets, stream)
+    count = packets.count()
     slots: list[tuple[int, str, str]] = []
     for number, single in enumerate(singles):
         slots.append((number, single.key, single.value or "0D"))
@@ -97,6 +98,7 @@ def statistics(
         statistic_terms("v", rates),
         order=("_arrival", "slot"),
         gap_where=f"kind IN ({', '.join(gap_kinds)})" if gap_kinds else None,
+        rows=count * len(slots),
         **options,
     )
     # One array per event (weights, means, variances) keeps the code of the pivot small.
@@ -105,8 +107,10 @@ def statistics(
     variances = [C.var_sql(f"w_{tag}", f"s_{tag}", f"ss_{tag}") for tag in tags]
     state = sums.selectExpr(*row_id, "slot", f"array({', '.join(weights + means + variances)}) AS a")
     # Shuffle the narrow rows first: aggregating before the exchange would only widen them.
+    tasks = task_count(packets, count * len(slots))
+    placed = [tasks, *row_id] if tasks else row_id
     pivot = (
-        state.repartition(*row_id)
+        state.repartition(*placed)
         .groupBy(*row_id)
         .agg(*[F.expr(f"first(CASE WHEN slot = {slot} THEN a END, true) AS a{slot}") for slot in range(len(slots))])
     )
@@ -187,6 +191,7 @@ def statistics(
         [*stream, "pair", "link"],
         [Term(f"sr_{tag}", rate, f"r_{tag}") for tag, rate in zip(tags, rates, strict=True)],
         first_is_zero=True,
+        rows=count * len(pairs),
         **options,
     )
     covariances = residuals.selectExpr(
@@ -198,7 +203,7 @@ def statistics(
     both = [f"cov_{tag}" for tag in tags] + [C.correlation_sql(f"cov_{tag}", f"spread_{tag}") for tag in tags]
     by_packet = (
         covariances.selectExpr(*row_id, "pair", f"array({', '.join(both)}) AS c")
-        .repartition(*row_id)
+        .repartition(*placed)
         .groupBy(*row_id)
         .agg(*[F.expr(f"first(CASE WHEN pair = {number} THEN c END, true) AS c{number}") for number in range(len(pairs))])
     )
@@ -327,6 +332,7 @@ def keyed_statistics(
         [*keys, "_key"],
         statistic_terms("_value", rates),
         gap_where=None if value else "true",
+        rows=rows.count(),
         **options,
     )
     return sums.selectExpr(
