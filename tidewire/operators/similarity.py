@@ -15,12 +15,22 @@ TILE = 512  # rows of a batch whose kernel values are held at once
 
 def squared_distances(a: np.ndarray, low: int) -> np.ndarray:
     """Squared distances of the rows from ``low`` on, a tile of them, to all rows."""
-    return ((a[low : low + TILE, None, :] - a[None, :, :]) ** 2).sum(axis=2)
+    out = np.zeros((len(a[low : low + TILE]), len(a)))
+    for column in a.T:
+        gap = np.subtract.outer(column[low : low + TILE], column)
+        gap *= gap
+        out += gap
+    return out
 
 
 def middle_distance(a: np.ndarray, few: int = 1 << 20) -> float:
-    """Median of the squared distances that are not 0, by counting in ever finer bins over the tiles."""
+    """Median of the squared distances that are not 0, by counting in ever finer bins over the tiles; up to ``few`` pairs are held."""
     tiles = range(0, len(a), TILE)
+    if len(a) * (len(a) - 1) // 2 <= few:  # each pair once: both halves of the matrix have the same median
+        pairs = np.concatenate([row[t + i + 1 :] for t in tiles for i, row in enumerate(squared_distances(a, t))])
+        pairs = pairs[pairs != 0]
+        ends = [(len(pairs) - 1) // 2, len(pairs) // 2]
+        return float(np.partition(pairs, ends)[ends].sum() / 2) if len(pairs) else float("nan")
     low, high, count = np.inf, 0.0, 0
     for t in tiles:
         d = squared_distances(a, t)
@@ -87,7 +97,9 @@ def kernel_cka(df: DataFrame, x: Sequence[str], y: Sequence[str], *, batch: str
         with np.errstate(invalid="ignore", divide="ignore"):
             return pd.DataFrame({batch: [rows[batch].iloc[0]], "cka": [xy / np.sqrt(np.float64(xx * yy))]})
 
-    return df.select(batch, *dict.fromkeys([*x, *y])).groupBy(batch).applyInPandas(similarity, schema)
+    # Pairs cost time, not bytes: keep the configured parallelism where sizes alone would merge tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(batch, *dict.fromkeys([*x, *y])).repartition(tasks, batch).groupBy(batch).applyInPandas(similarity, schema)
 
 
 def unit_directions(slices: int, dim: int, seed: int) -> np.ndarray:
