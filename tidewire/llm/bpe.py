@@ -46,7 +46,7 @@ def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     pairs = np.array([(a, b, r) for (a, b), r in pair_ranks(ranks).items()], dtype=np.int64).reshape(-1, 3)
     table = pa.table({"bucket": _bucket(pairs[:, 0], pairs[:, 1]), "pair": (pairs[:, 0] << BITS) + pairs[:, 1], "rank": pairs[:, 2] << BITS})
     filled = spark.createDataFrame(table).groupBy("bucket").agg(F.collect_list(F.struct("pair", "rank")).alias("ranks"))
-    every = spark.range(BUCKETS).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
+    every = spark.range(BUCKETS).withColumnRenamed("id", "bucket").join(filled.hint("merge"), "bucket", "left")
     in_order = F.sort_array(F.collect_list(F.struct("bucket", "ranks")))
     return every.agg(F.transform(in_order, lambda x: F.map_from_entries(x["ranks"])).alias("pairs")).scalar()
 

@@ -17,6 +17,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest of a node's label, its neighbours' labels and its label's own label, so
     long chains shorten by half. Rounds end when no label changes. A label that most nodes share is no heavy key (``heavy_join``).
+    Nothing is broadcast, so the rounds take no memory of the driver.
     """
     both = settle(
         edges.where("src <> dst")
@@ -28,14 +29,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     count = labels.count()
     while True:
         offered = (
-            both.join(labels.withColumnRenamed("node", "src"), on=[SNAP, "src"])
+            both.join(labels.withColumnRenamed("node", "src").hint("merge"), on=[SNAP, "src"])
             .groupBy(SNAP, F.col("dst").alias("node"))
             .agg(F.min("label").alias("_offer"))
         )
         further = labels.select(SNAP, F.col("node").alias("label"), F.col("label").alias("_next"))
         jumped = heavy_join(labels, further, [SNAP, "label"], spread=["node"], total=count)
         lowered = settle(
-            jumped.join(offered, on=[SNAP, "node"], how="left").select(
+            jumped.join(offered.hint("merge"), on=[SNAP, "node"], how="left").select(
                 SNAP, "node", F.col("label").alias("_old"), F.least("label", "_next", "_offer").alias("label")
             )
         )

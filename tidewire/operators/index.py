@@ -93,9 +93,11 @@ def heavy_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread:
     Keys are counted first (before the shuffle). Those with more than HEAVY rows and more than a quarter of an even share of the left
     rows, at most four per shuffle partition, are heavy: their left rows are dealt by a hash of ``spread`` and their right row is
     copied to every share; without any the join stays as it is. ``left`` is read twice, so it should be stored, unless ``counts``
-    (on, _n) already tells how many left rows the keys have; ``total`` is the number of left rows, if known.
+    (on, _n) already tells how many left rows the keys have; ``total`` is the number of left rows, if known. Rows are sorted and
+    merged also where the right side is small: loops join many times, and every broadcast would take pages of the driver's memory.
     """
     on = list(on)
+    right = right.hint("merge")
     shares = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = left.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts.select(*on, "_n")
     every = counts.agg(F.sum("_n").alias("_all")).scalar() if total is None else F.lit(total)
@@ -105,7 +107,7 @@ def heavy_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread:
     is_heavy = F.xxhash64(*on).isin([r[0] for r in heavy])
     mine = left.withColumn("_share", F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")).otherwise(F.lit(0)))
     every_share = F.when(is_heavy, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
-    return mine.join(right.withColumn("_share", F.explode(every_share)), [*on, "_share"]).drop("_share")
+    return mine.join(right.withColumn("_share", F.explode(every_share)).hint("merge"), [*on, "_share"]).drop("_share")
 
 
 HEAVY = 1_000  # rows of a key that are no burden to one task
