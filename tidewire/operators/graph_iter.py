@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.graph import SNAP
@@ -12,37 +12,64 @@ from tidewire.operators.index import heavy_join, row_index
 from tidewire.session import settle
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected component of each node: the smallest node name in it.
+FIXED = 8  # rounds of a contraction that share an order
 
-    Each round takes the smallest of a node's label, its neighbours' labels and its label's own label, so
-    long chains shorten by half. Rounds end when no label changes. A label that most nodes share is no heavy key (``heavy_join``).
-    Nothing is broadcast, so the rounds take no memory of the driver.
-    """
-    both = settle(
-        edges.where("src <> dst")
-        .select(SNAP, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
-        .select(SNAP, "e.src", "e.dst")
-        .distinct()
-    )
-    labels = settle(nodes.select(SNAP, "node").distinct().withColumn("label", F.col("node")))
-    count = labels.count()
+
+def _named(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(snapshot, node, id): a 64-bit hash per node that is unique inside its snapshot, and the seed that made it so."""
+    names = nodes.select(SNAP, "node").where(F.col(SNAP).isNotNull() & F.col("node").isNotNull()).distinct()
+    seed = 0
     while True:
-        offered = (
-            both.join(labels.withColumnRenamed("node", "src").hint("merge"), on=[SNAP, "src"])
-            .groupBy(SNAP, F.col("dst").alias("node"))
-            .agg(F.min("label").alias("_offer"))
-        )
-        further = labels.select(SNAP, F.col("node").alias("label"), F.col("label").alias("_next"))
-        jumped = heavy_join(labels, further, [SNAP, "label"], spread=["node"], total=count)
-        lowered = settle(
-            jumped.join(offered.hint("merge"), on=[SNAP, "node"], how="left").select(
-                SNAP, "node", F.col("label").alias("_old"), F.least("label", "_next", "_offer").alias("label")
-            )
-        )
-        labels = lowered.select(SNAP, "node", "label")
-        if lowered.where("label <> _old").isEmpty():
-            return labels
+        named = settle(names.withColumn("id", F.xxhash64(F.lit(seed), "node")))
+        if named.groupBy(SNAP, "id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+            return named, seed
+        seed += 1
+
+
+def _turned(column: Column, by: int) -> Column:
+    """The bits of a long, rotated to the left."""
+    return F.shiftleft(column, by % 64).bitwiseOR(F.shiftrightunsigned(column, -by % 64))
+
+
+def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(snapshot, node, root): the nodes of one component, and only they, share a root (a long) in their snapshot.
+
+    Randomised contraction: a round maps every node to the one of itself and its neighbours that comes first in an order of hashed
+    ids, and the edges to those between the images. The rounds shrink and end without edges; their maps are joined from the last one
+    back. The first rounds share an order, in which a graph of small diameter ends after as many; later ones have an
+    order each, in which about half of the nodes that still have an edge go, whatever the shape.
+    Only edges between ``nodes`` count. Nothing is broadcast, so the rounds take no memory of the driver.
+    """
+    named, seed = _named(nodes)
+    left = edges.where("src <> dst").select(SNAP, F.xxhash64(F.lit(seed), "src").alias("a"), F.xxhash64(F.lit(seed), "dst").alias("b"))
+    left = left.select(SNAP, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in "ab":
+        left = left.join(named.select(SNAP, F.col("id").alias(end)).hint("merge"), [SNAP, end], "left_semi")
+    left, maps = settle(left), []
+    while not left.isEmpty():
+        by = 13 * max(0, len(maps) - FIXED)  # from then on other bits of the ids lead in each round
+        ends = [F.struct(F.col(one).alias("id"), _turned(F.col(other), by).alias("other")) for one, other in ("ab", "ba")]
+        near = left.select(SNAP, F.inline(F.array(*ends))).groupBy(SNAP, "id").agg(F.min("other").alias("other"))
+        step = settle(near.select(SNAP, "id", _turned(F.least("other", _turned(F.col("id"), by)), -by).alias("root")))
+        maps.append(step)
+        for end in "ab":
+            image = step.select(SNAP, F.col("id").alias(end), F.col("root").alias("_to")).hint("merge")
+            left = left.join(image, [SNAP, end]).withColumn(end, F.col("_to")).drop("_to")
+        left = settle(left.where("a <> b").select(SNAP, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = maps.pop() if maps else None
+    for step in reversed(maps):
+        after = found.select(SNAP, F.col("id").alias("root"), F.col("root").alias("_next")).hint("merge")
+        found = settle(step.join(after, [SNAP, "root"], "left").select(SNAP, "id", F.coalesce("_next", "root").alias("root")))
+    if found is None:
+        return named.select(SNAP, "node", F.col("id").alias("root"))
+    return settle(named.join(found.hint("merge"), [SNAP, "id"], "left").select(SNAP, "node", F.coalesce("root", "id").alias("root")))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Connected component of each node (``roots``): the smallest node name in it. A root that most nodes share is no heavy key."""
+    rooted = roots(nodes, edges)
+    names = settle(rooted.groupBy(SNAP, "root").agg(F.min("node").alias("label"), F.count("*").alias("_n")))
+    return settle(heavy_join(rooted, names.drop("_n"), [SNAP, "root"], spread=["node"], counts=names).select(SNAP, "node", "label"))
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,7 +91,7 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def lcc_ratio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of the nodes in the largest component."""
-    sizes = components(nodes, edges).groupBy(SNAP, "label").agg(F.count("*").alias("size"))
+    sizes = roots(nodes, edges).groupBy(SNAP, "root").agg(F.count("*").alias("size"))
     return sizes.groupBy(SNAP).agg((F.max("size") / F.sum("size")).alias("lcc_ratio"))
 
 

@@ -86,10 +86,13 @@ def layered_detection(links: DataFrame, names: Sequence[str], *, warmup: int) ->
 
 
 def graph_feature_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Structural features per snapshot of the undirected graph, with the largest component's share."""
-    plain = G.undirected(edges)
+    """Structural features per snapshot of the undirected graph, with the largest component's share.
+
+    Both the features and the components read the graph, so it is stored first; a row per snapshot comes out, stored as well.
+    """
+    nodes, plain = settle(nodes.select(G.SNAP, "node")), settle(G.undirected(edges))
     features = G.degree_features(nodes, plain)
-    return features.join(GI.lcc_ratio(nodes, plain), on=G.SNAP)
+    return settle(features.join(GI.lcc_ratio(nodes, plain), on=G.SNAP))
 
 
 def multilayer_graph_features(nodes: DataFrame, edges: DataFrame, *, rows_per_batch: int, warmup: int) -> DataFrame:
