@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.columns import stable_rank
 from tidewire.operators.index import row_index
+from tidewire.session import settle
 
 SNAP = "snapshot_id"
 
@@ -184,23 +185,26 @@ def consecutive_jaccard(edges: DataFrame) -> DataFrame:
 
 
 def propagate(
-    nodes: DataFrame, edges: DataFrame, features: Sequence[str], *, hops: int = 1, kind: str = "gcn"
+    nodes: DataFrame, edges: DataFrame, features: Sequence[str], *, hops: int = 1, kind: str = "gcn", degree: str | None = None
 ) -> DataFrame:
     """Linear neighbourhood aggregation over distinct directed edges, ``hops`` times.
 
     gcn: ``sum_j x_j / sqrt(d_i d_j)`` over in-neighbours and the node itself, ``d`` = in-degree + 1.
     gin: the node's own features plus the sum over its in-neighbours.
+    Edges and every hop's nodes are stored, since each is read more than once. ``degree`` names a column of ``nodes`` that holds the
+    in-degrees already; then ``edges`` must be distinct and stored.
     """
-    links = edges.select(SNAP, "src", "dst").distinct()
+    links = edges.select(SNAP, "src", "dst") if degree else settle(edges.select(SNAP, "src", "dst").distinct())
     weight = "_w"
     if kind == "gcn":
-        degree = links.groupBy(SNAP, F.col("dst").alias("node")).agg((F.count("*") + 1).alias("_d"))
-        current = nodes.join(degree, on=[SNAP, "node"], how="left").select(
-            SNAP, "node", *features, (1.0 / F.sqrt(F.coalesce("_d", F.lit(1)))).alias(weight)
-        )
+        if not degree:
+            known, degree = links.groupBy(SNAP, F.col("dst").alias("node")).agg(F.count("*").alias("_d")), "_d"
+            nodes = nodes.join(known, on=[SNAP, "node"], how="left")
+        current = nodes.select(SNAP, "node", *features, (1.0 / F.sqrt(F.coalesce(degree, F.lit(0)) + 1)).alias(weight))
     else:
         current = nodes.select(SNAP, "node", *features, F.lit(1.0).alias(weight))
     for _ in range(hops):
+        current = settle(current)
         scaled = current.select(SNAP, "node", weight, *[(F.col(f) * F.col(weight)).alias(f) for f in features])
         sent = links.join(scaled.withColumnRenamed("node", "src"), on=[SNAP, "src"]).select(
             SNAP, F.col("dst").alias("node"), *features, F.lit(None).cast("double").alias(weight)
@@ -245,38 +249,67 @@ def numbered_nodes(nodes: DataFrame) -> DataFrame:
     return row_index(nodes.select(SNAP, "node").distinct(), ["node"], stream=[SNAP], name="node_no")
 
 
-def negative_edges(nodes: DataFrame, edges: DataFrame, *, seed: int = 0, rounds: int = 6) -> DataFrame:
-    """As many random non-edges per snapshot as it has edges, or all of them where there are fewer.
+WALK_BLOCK = 4_096  # places of a walk that are listed as one array
+WALK_TASK = 1 << 18  # places of a walk that a task lists
+
 
-    A seeded permutation walks through the numbers of a snapshot's possible pairs without repeating one. Among the first
-    ``goal + edges`` pairs of the walk at least ``goal`` are no edges, so the first ``goal`` of those are
-    taken: no draw is repeated, and the complete graph is never listed unless it is that small. The places of the walk are
-    dealt out by the edges' own numbers.
+def _walk(pairs: DataFrame, seed: int, rounds: int, *, back: bool = False) -> DataFrame:
+    """The seeded permutation of a snapshot's pairs (``_i`` of ``_n`` numbers, ``_j`` of ``_n - 1``), or the way back.
+
+    A step uses the one before it twice, so a filter that is pushed below all steps doubles its text with each. The ``coalesce`` spares
+    a join with the result its filters on nulls; whatever else filters the result must store it first.
     """
-    numbers = numbered_nodes(nodes)
-    distinct = edges.select(SNAP, "src", "dst").distinct()
-    sizes = numbers.groupBy(SNAP).agg(F.count("*").alias("_n"))
-    counts = distinct.groupBy(SNAP).agg(F.count("*").alias("_all"), F.count_if(F.col("src") != F.col("dst")).alias("_own"))
-    goals = sizes.join(counts, on=SNAP).selectExpr(SNAP, "_n", "_own", "least(_all, _n * (_n - 1) - _own) AS _goal").where("_n > 1")
-    walk = (
-        row_index(distinct, ["src", "dst"], stream=[SNAP], name="_e")
-        .join(goals, on=SNAP)
-        .selectExpr(SNAP, "_n", "_goal", "_goal + _own AS _span", "explode(array(2 * _e, 2 * _e + 1)) AS _at")
-        .where("_at < _span")
-        .selectExpr("*", "_at div (_n - 1) AS _i", "_at % (_n - 1) AS _j")
-    )
-    for k in range(rounds):
-        walk = walk.withColumn("_i", F.expr(f"pmod(_i + pmod(xxhash64({seed}, {k}, {SNAP}, _j), _n), _n)"))
-        walk = walk.withColumn("_j", F.expr(f"pmod(_j + pmod(xxhash64({seed}, {k}, {SNAP}, _i), _n - 1), _n - 1)"))
-    # The second end skips the first one's number.
-    ends = walk.withColumn("_j", F.expr("_j + CASE WHEN _j >= _i THEN 1 ELSE 0 END"))
-    for end, number in (("src", "_i"), ("dst", "_j")):
-        ends = ends.join(
-            numbers.select(SNAP, F.col("node").alias(end), F.col("node_no").alias(number)), on=[SNAP, number]
-        )
-    fresh = ends.select(SNAP, "src", "dst", "_at", "_goal").join(distinct, on=[SNAP, "src", "dst"], how="left_anti")
-    placed = row_index(fresh, ["_at"], stream=[SNAP], name="_place")
-    return placed.where("_place < _goal").select(SNAP, "src", "dst")
+    steps = [(k, end) for k in range(rounds) for end in ("_i", "_j")]
+    for k, end in reversed(steps) if back else steps:
+        other, size = ("_j", "_n") if end == "_i" else ("_i", "(_n - 1)")
+        moved = f"{end} {'-' if back else '+'} pmod(xxhash64({seed}, {k}, {SNAP}, {other}), {size})"
+        pairs = pairs.withColumn(end, F.expr(f"coalesce(pmod({moved}, {size}), 0L)"))
+    return pairs
+
+
+def negative_pairs(sizes: DataFrame, taken: DataFrame, *, seed: int = 0, rounds: int = 6) -> DataFrame:
+    """(snapshot, _i, _j): node numbers of as many random non-edges per snapshot as it has edges, or of all where there are fewer.
+
+    ``sizes`` (snapshot, _n, _all, _own) counts nodes, edges and edges that are no loops; ``taken`` (snapshot, _i, _j) holds the node
+    numbers of the distinct edges. A seeded permutation walks through the numbers of a snapshot's possible pairs without repeating one,
+    and the first ``goal`` non-edges on the walk are taken. The way back through the permutation tells at which places
+    the edges stand, so the places to leave out are known before the walk, which is listed in blocks and only as far as it is used.
+    The few bytes of the blocks pass for those of the pairs, so joins with the result need a ``merge`` hint: they would broadcast it.
+    """
+    goals = sizes.where("_n > 1").selectExpr(SNAP, "_n", "least(_all, _n * (_n - 1) - _own) AS _goal", "_own")
+    goals = settle(goals)
+    # The first end's number is skipped by the second one.
+    apart = taken.where("_i <> _j").withColumn("_j", F.expr("_j - CASE WHEN _j > _i THEN 1 ELSE 0 END"))
+    places = _walk(apart.join(goals, on=SNAP), seed, rounds, back=True).selectExpr(SNAP, "_goal", "_own", "_i * (_n - 1) + _j AS _at")
+    met = settle(settle(places).where("_at < _goal + _own").select(SNAP, "_at", "_goal"))
+    # ``_at - _k`` non-edges come before the edge at ``_at``.
+    met = settle(row_index(met, ["_at"], stream=[SNAP], name="_k").where("_at - _k < _goal").select(SNAP, "_at"))
+    until = goals.join(met.groupBy(SNAP).agg(F.count("*").alias("_met")), on=SNAP, how="left")
+    until = settle(until.selectExpr(SNAP, "_n", "_goal + coalesce(_met, 0) AS _end").where("_end > 0"))
+    tasks = -(-(until.agg(F.sum("_end")).first()[0] or 0) // WALK_TASK)
+    # Named here, the number of tasks is not merged by the few bytes of the blocks.
+    blocks = until.selectExpr("*", f"explode(sequence(0L, (_end - 1) div {WALK_BLOCK})) AS _block")
+    edges_in = met.groupBy(SNAP, F.expr(f"_at div {WALK_BLOCK}").alias("_block")).agg(F.collect_list("_at").alias("_met"))
+    dealt = blocks.join(edges_in, on=[SNAP, "_block"], how="left").repartition(max(tasks, 1), SNAP, "_block")
+    every = f"sequence(_block * {WALK_BLOCK}, least((_block + 1) * {WALK_BLOCK}, _end) - 1)"
+    free = dealt.selectExpr(SNAP, "_n", f"explode(CASE WHEN _met IS NULL THEN {every} ELSE array_except({every}, _met) END) AS _at")
+    walk = _walk(free.selectExpr(SNAP, "_n", "_at div (_n - 1) AS _i", "_at % (_n - 1) AS _j"), seed, rounds)
+    return walk.selectExpr(SNAP, "_i", "_j + CASE WHEN _j >= _i THEN 1 ELSE 0 END AS _j")
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """Distinct edges per snapshot (``_all``), and those of them that are no loops (``_own``)."""
+    return edges.groupBy(SNAP).agg(F.count("*").alias("_all"), F.count_if(F.col("src") != F.col("dst")).alias("_own"))
+
+
+def negative_edges(nodes: DataFrame, edges: DataFrame, *, seed: int = 0, rounds: int = 6) -> DataFrame:
+    """As many random non-edges per snapshot as it has edges, or all of them where there are fewer (``negative_pairs``)."""
+    numbers, distinct = settle(numbered_nodes(nodes)), settle(edges.select(SNAP, "src", "dst").distinct())
+    ends = [numbers.select(SNAP, F.col("node").alias(end), F.col("node_no").alias(no)) for end, no in (("src", "_i"), ("dst", "_j"))]
+    taken = distinct.join(ends[0], on=[SNAP, "src"]).join(ends[1], on=[SNAP, "dst"]).select(SNAP, "_i", "_j")
+    sizes = numbers.groupBy(SNAP).agg(F.count("*").alias("_n")).join(edge_counts(distinct), on=SNAP)
+    drawn = negative_pairs(sizes, taken, seed=seed, rounds=rounds)
+    return drawn.join(ends[0].hint("merge"), on=[SNAP, "_i"]).join(ends[1].hint("merge"), on=[SNAP, "_j"]).select(SNAP, "src", "dst")
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], k: int, *, seed: int = 0, by: Sequence[str] = ("seq",)) -> DataFrame:

@@ -16,8 +16,12 @@ FIXED = 8  # rounds of a contraction that share an order
 
 
 def _named(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(snapshot, node, id): a 64-bit hash per node that is unique inside its snapshot, and the seed that made it so."""
-    names = nodes.select(SNAP, "node").where(F.col(SNAP).isNotNull() & F.col("node").isNotNull()).distinct()
+    """(snapshot, node, id) of the distinct nodes, with ``hashed`` ids."""
+    return hashed(nodes.select(SNAP, "node").where(F.col(SNAP).isNotNull() & F.col("node").isNotNull()).distinct())
+
+
+def hashed(names: DataFrame) -> tuple[DataFrame, int]:
+    """``names`` with ``id``, a 64-bit hash of ``node`` that is unique inside its snapshot, and the seed that made it so."""
     seed = 0
     while True:
         named = settle(names.withColumn("id", F.xxhash64(F.lit(seed), "node")))

@@ -108,21 +108,30 @@ def multilayer_graph_reconstruction(nodes: DataFrame, edges: DataFrame, *, seed:
     """Snapshot score: how badly the edges are explained by the neighbourhood sizes of their ends.
 
     ``loss`` is the score, from the edges alone; ``train_loss`` adds the loss of as many random pairs without an edge, which a model
-    in training would lower.
+    in training would lower. ``edges`` are distinct. Nodes and edges are made once and stored with hashed ids, and the joins that
+    bring the ends' values to the edges also bring the node numbers from which the pairs without an edge are drawn.
     """
-    sized = nodes.join(
-        edges.groupBy(G.SNAP, F.col("dst").alias("node")).agg(F.sum("count").alias("_c")), on=[G.SNAP, "node"], how="left"
-    ).select(G.SNAP, "node", F.log1p(F.coalesce(F.col("_c").cast("double"), F.lit(0.0))).alias("x"))
-    spread = settle(G.propagate(sized, edges, ["x"], hops=2))
-
-    def loss(pairs: DataFrame, exists: bool) -> DataFrame:
-        ends = pairs.select(G.SNAP, "src", "dst")
-        for end, name in (("src", "_a"), ("dst", "_b")):
-            ends = ends.join(spread.select(G.SNAP, F.col("node").alias(end), F.col("x").alias(name)), on=[G.SNAP, end])
-        return G.reconstruction_loss(ends.withColumn("edge_score", F.col("_a") * F.col("_b")), exists=exists)
-
-    missing = loss(G.negative_edges(nodes, edges, seed=seed), False).withColumnRenamed("loss", "_missing")
-    both = loss(edges, True).join(missing, G.SNAP, "left")
+    numbers, salt = GI.hashed(G.numbered_nodes(nodes))
+    named = numbers.where(F.col("node").isNotNull()).select(G.SNAP, F.col("id").alias("node"), "node_no")
+    ids = [F.when(F.col(end).isNotNull(), F.xxhash64(F.lit(salt), end)).alias(end) for end in ("src", "dst")]
+    links = settle(edges.select(G.SNAP, *ids, "count"))
+    into = links.groupBy(G.SNAP, F.col("dst").alias("node")).agg(F.sum("count").alias("_c"), F.count("*").alias("_in"))
+    sized = named.join(into, on=[G.SNAP, "node"], how="left").select(
+        G.SNAP, "node", "_in", F.log1p(F.coalesce(F.col("_c").cast("double"), F.lit(0.0))).alias("x")
+    )
+    spread = settle(G.propagate(sized, links, ["x"], hops=2, degree="_in").join(named, on=[G.SNAP, "node"]))
+
+    def scored(pairs: DataFrame, ends: dict[str, str], key: str) -> DataFrame:
+        for (end, number), x in zip(ends.items(), ("_a", "_b"), strict=True):
+            values = {end: F.col(key), number: F.col("node_no"), x: F.col("x")}
+            pairs = pairs.join(spread.select(G.SNAP, *[c.alias(name) for name, c in values.items()]).hint("merge"), on=[G.SNAP, end])
+        return pairs.select(G.SNAP, "_i", "_j", (F.col("_a") * F.col("_b")).alias("edge_score"))
+
+    known = settle(scored(links.select(G.SNAP, "src", "dst"), {"src": "_i", "dst": "_j"}, "node"))
+    sizes = numbers.groupBy(G.SNAP).agg(F.count("*").alias("_n")).join(G.edge_counts(links), on=G.SNAP)
+    drawn = G.negative_pairs(sizes, known.select(G.SNAP, "_i", "_j"), seed=seed)
+    missing = G.reconstruction_loss(scored(drawn, {"_i": "_i", "_j": "_j"}, "node_no"), exists=False).withColumnRenamed("loss", "_missing")
+    both = G.reconstruction_loss(known).join(missing, G.SNAP, "left")
     return both.select(G.SNAP, "loss", (F.col("loss") + F.coalesce("_missing", F.lit(0.0))).alias("train_loss"))
 
 
