@@ -8,44 +8,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.schema import BATCH_ROWS
-from tidewire.session import cut
+from tidewire.session import cut, settle
 
 
 def row_index(
-    df: DataFrame, order: Sequence[str], *, stream: Sequence[str] = (), name: str = "idx", partitions: int | None = None
+    df: DataFrame, order: Sequence[str], *, stream: Sequence[str] = (), name: str = "idx", partitions: int | None = None, stored: bool = False
 ) -> DataFrame:
     """Number the rows 0, 1, ... in ``order``, per ``stream`` if given.
 
     Rows are range partitioned by (stream, order), so equal shares go to every task whatever the skew; the
     sorted rows are checkpointed once (range bounds are sampled, so a recompute could place rows anew) and
-    numbered from their position plus the row counts of the partitions before.
+    numbered from their position plus the row counts of the partitions before. ``stored`` keeps them as a table, which takes a fraction of a
+    checkpoint's bytes, and copies the offsets (one row per task and stream) to the rows instead of dealing the rows once more.
     """
     stream = list(stream)
     keys = [F.col(c) for c in [*stream, *order]]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    placed = cut(ranged.sortWithinPartitions(*keys)).select(
-        "*", F.monotonically_increasing_id().alias("_place")
-    ).withColumn("_part", F.shiftright("_place", 33))
+    rows, place = ranged.sortWithinPartitions(*keys), F.monotonically_increasing_id().alias("_place")
+    placed = settle(rows.select("*", place)) if stored else cut(rows).select("*", place)
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
     counts = placed.groupBy(*stream, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_from"))
     # One row per partition and stream.
     before = Window.partitionBy(*stream).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *stream, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift")
     )
-    return placed.join(offsets, on=[*stream, "_part"]).select(
+    return placed.join(F.broadcast(offsets) if stored else offsets, on=[*stream, "_part"]).select(
         *df.columns, (F.col("_place") + F.col("_shift")).alias(name)
     )
 
 
 def arrival(
-    df: DataFrame, stream: Sequence[str] = (), *, order: Sequence[str] = ("t", "seq"), name: str = "_arrival"
+    df: DataFrame, stream: Sequence[str] = (), *, order: Sequence[str] = ("t", "seq"), name: str = "_arrival", stored: bool = False
 ) -> DataFrame:
     """Number the rows of each stream in time order; a table that is numbered already stays as it is.
 
     Sources may deliver late, and their own numbers may jump (byte offsets) or repeat (one capture's number in
     another one), so order and identity of rows rest on this number only.
     """
-    return df if name in df.columns else row_index(df, order, stream=stream, name=name)
+    return df if name in df.columns else row_index(df, order, stream=stream, name=name, stored=stored)
 
 
 def batches(df: DataFrame, index: str = "idx", rows: int = BATCH_ROWS, name: str = "batch_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import columns as C
 from tidewire.operators.decay import Term, decayed_sums, statistic_terms, task_count
 from tidewire.operators.index import arrival, running_totals
+from tidewire.operators.visits import HOME_ROWS, Layout, home_statistics
 from tidewire.schema import DECAY_RATES, PROTOCOL_IDS, WEIGHT_FLOOR
 
 STATS_1D = ("weight", "mean", "std")
@@ -65,17 +66,36 @@ def statistics(
     keep: Sequence[str] = ("t",),
     stream: Sequence[str] = (),
     joint: bool = True,
+    far: bool = True,
+    homes: tuple[str, str] | None = None,
+    marks: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """One row per packet with all requested statistics, by ``stream`` columns and ``seq``.
 
+    ``homes`` are the endpoints (source, destination) that the keys are made of. Where no home holds a separator of the keys (``marks``),
+    every key lies in one home and the statistics are computed there (``visits``), which shuffles short rows and, once, the
+    destinations' statistics; a missing endpoint is a home of its own. Otherwise, and for keys of other kinds, statistics are dealt by key:
+
     Every packet contributes one row per single and two per pair to one key-event table; the sums of all
     statistics come from one windowed pass, the link covariances from a second one. Both endpoint states
     of a packet meet again by one shuffle on its place in time, which the covariance pass and the result share.
     Without ``joint`` that second pass and its columns (covariance, pcc) are left out. Each ``stream`` (a capture file) has its own packet numbers and statistics. ``keep`` columns pass through.
+    Without ``far`` the destination's weight, mean and deviation may be left out.
     """
-    packets = arrival(packets, stream)
-    count = packets.count()
+    if homes is None and len(pairs) == 1 and not singles:
+        homes = pairs[0].src, pairs[0].dst
+    texts = " ".join([*[f"{s.key} {s.value}" for s in singles], *[f"{p.src} {p.dst} {p.value}" for p in pairs], *(homes or ())]).lower()
+    passed = {*stream, "seq", "t", "_arrival", *keep}
+    packets = arrival(packets.select(*[c for c in packets.columns if c in passed or c.lower() in texts]), stream, stored=True)
+    if homes is not None and pairs:
+        marked = [f"instr(cast({home} AS string), '{mark}') > 0" for home in homes for mark in (*marks, "->")]
+        unfit = f"coalesce(bool_or({' OR '.join(marked)}), false)"
+        count, mixed = packets.agg(F.count("*"), F.expr(unfit)).first()
+        if not mixed:
+            return _at_homes(packets, count, singles, pairs, rates, keep, stream, joint, far, homes, **options)
+    else:
+        count = packets.count()
     slots: list[tuple[int, str, str]] = []
     for number, single in enumerate(singles):
         slots.append((number, single.key, single.value or "0D"))
@@ -216,6 +236,24 @@ def statistics(
     return wide.hint("merge").join(by_packet, on=row_id).selectExpr(*shown, *kept, *singles_out, *pair_out)
 
 
+def _at_homes(packets, count, singles, pairs, rates, keep, stream, joint, far, homes, *, chunk_rows: int = HOME_ROWS, **_) -> DataFrame:
+    """The statistics by ``visits.home_statistics``; its sums need no time buckets, so their options do not matter."""
+    kinds = [*singles, *pairs]
+    values = list(dict.fromkeys(kind.value for kind in kinds if kind.value is not None))
+    layout = Layout(
+        stream=tuple(stream),
+        kept=tuple(name for name in dict.fromkeys(keep) if name not in (*stream, "seq")),
+        names=tuple(kind.name for kind in kinds),
+        singles=len(singles),
+        values=tuple(None if kind.value is None else values.index(kind.value) for kind in kinds),
+        rates=tuple(rates),
+        joint=joint,
+        far=far,
+    )
+    keys = [*[(single.key, None) for single in singles], *[(pair.src, pair.dst) for pair in pairs]]
+    return home_statistics(packets, count, layout, keys, values, homes, chunk_rows)
+
+
 def capture_stream(packets: DataFrame, stream: Sequence[str] | None) -> list[str]:
     """The columns that tell captures apart: ``file`` where the table has it, unless stated otherwise."""
     return list(stream) if stream is not None else [c for c in ("file",) if c in packets.columns]
@@ -253,6 +291,9 @@ def traffic_features(
         ],
         rates=rates,
         stream=streams,
+        far=False,
+        homes=None if arp_by_mac else (KEYS["src_ip"], KEYS["dst_ip"]),
+        marks=("_",),
         **options,
     )
     return wide.select(
@@ -284,6 +325,8 @@ def link_features(
         rates=rates,
         keep=("t", "src_mac", "dst_mac", "protocol_id"),
         stream=streams,
+        homes=(src, dst),
+        marks=("-",),
         **options,
     )
     tags = [C.decay_tag(rate) for rate in rates]
